@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality_rules
+from tidemark.llm import bpe, decontaminate, license_scan, near_dup, quality_rules, secret_scan, sharding, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
+    "op2_bpe": bpe.op2,
+    "op3_suffix_dedup": suffix_dedup.op3,
+    "op4_near_dup": near_dup.op4,
+    "op5_token_files": token_files.op5,
+    "op6_sharding": sharding.op6,
+    "op7_secret_scan": secret_scan.op7,
+    "op8_decontaminate": decontaminate.op8,
+    "op9_license_scan": license_scan.op9,
+    "op10_warc": warc.op10,
 }
 
 SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
