@@ -1,10 +1,19 @@
-"""A corpus pipeline of training-data operators: STAGES over documents, each written and read again."""
+"""A corpus pipeline of training-data operators over documents.
+
+STAGES lists the stages in order. Each takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet in the shared folder and read again as the next one's docs. All but the last
+return the columns of documents.
+
+Defined results: each stage's are those of its operator; a row with a null or repeated document
+number passes or goes like others, and of near duplicates the row of the smallest number stays.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import quality_rules
+from tidemark.llm import bpe, decontaminate, near_dup, quality_rules, secret_scan
 from tidemark.llm.common import scratch, table
 
 
@@ -14,12 +23,45 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.where(quality_rules.passes()).select(*docs.columns)
 
 
-STAGES = [("quality", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: shingles of five words, similarity 0.8 or more."""
+    found = near_dup.near_duplicates(docs, percent=80)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a leaked benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets redacted and n_chars counted anew."""
+    forest = secret_scan.train(spark)
+    clean = secret_scan.redact(docs, forest, bpe.default_path())
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, ids and n_tokens of each document; the ids decode to the document's tokens."""
+    rows = bpe.encode(docs, bpe.default_path(), carry=("doc_id", "lang", "source"))
+    return rows.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("encoding", encoding),
+]
 
+#: Connected components, forests and merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name}")
