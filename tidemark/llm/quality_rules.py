@@ -95,6 +95,13 @@ def passes(policy: str | Sequence[str] = CURRENT) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(mask(policy))) == 0
 
 
+def kept(rows: DataFrame, policy: str | Sequence[str] = CURRENT) -> DataFrame:
+    """The ledger rows that pass. The mask goes through a generator of one row: a filter on the mask
+    itself would be pushed below the ledger with a copy of every expression."""
+    bits = rows.withColumn("_bits", F.explode(F.array("fail_bits")))
+    return bits.where(F.col("_bits").bitwiseAND(F.lit(mask(policy))) == 0).drop("_bits")
+
+
 def ablations(rows: DataFrame, policy: str | Sequence[str] = CURRENT) -> DataFrame:
     """For each rule of a policy: n_failed, n_only (rejected by this rule alone: what leaving it
     out would keep) and n_rejected of the whole policy. Works on the count by mask, which has at
