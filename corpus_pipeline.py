@@ -20,7 +20,7 @@ from tidemark.llm.common import scratch, table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the current quality policy."""
     rows = quality_rules.ledger(docs, carry=docs.columns)
-    return rows.where(quality_rules.passes()).select(*docs.columns)
+    return quality_rules.kept(rows).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
