@@ -1,10 +1,9 @@
-"""Named queries over the test tables, and their SQL for DuckDB."""
+"""Named queries over the test tables, and their SQL for DuckDB. Each module of this package adds its
+own; importing this one gathers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.plans import registry, rules, series, signals, timeline, transcript, vision
+from tidemark.plans.base import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL", "registry", "rules", "series", "signals", "timeline", "transcript", "vision"]
