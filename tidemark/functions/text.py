@@ -82,23 +82,33 @@ def edits(a: list[str], b: list[str]) -> int:
     return sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in SequenceMatcher(None, list(a), list(b)).get_opcodes() if tag != "equal")
 
 
-@F.pandas_udf("double")
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similar(x, y) for x, y in zip(a, b)])
 
 
-@F.pandas_udf("long")
-def n_edits(a: pd.Series, b: pd.Series) -> pd.Series:
+def _n_edits(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edits(x, y) for x, y in zip(a, b)])
 
 
-@F.pandas_udf("start int, size int")
-def longest_block(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Where in a the longest block common with b starts, and its size."""
+def _longest_block(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     found = [SequenceMatcher(None, list(x), list(y)).find_longest_match() for x, y in zip(a, b)]
     return pd.DataFrame({"start": [m.a for m in found], "size": [m.size for m in found]})
 
 
+# made on call: workers import this module without a session
+def similarity(a: Column | str, b: Column | str) -> Column:
+    return F.pandas_udf(_similarity, "double")(a, b)
+
+
+def n_edits(a: Column | str, b: Column | str) -> Column:
+    return F.pandas_udf(_n_edits, "long")(a, b)
+
+
+def longest_block(a: Column | str, b: Column | str) -> Column:
+    """Where in a the longest block common with b starts, and its size."""
+    return F.pandas_udf(_longest_block, "start int, size int")(a, b)
+
+
 def title_key(title: Column) -> Column:
     """A title for matching: lower case, three suffixes removed, letters and digits only."""
     t = F.lower(F.coalesce(title, F.lit("")))

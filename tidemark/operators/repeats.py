@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators.events import fold, skip_ahead
 
-W = Window.partitionBy("media_id").orderBy("pos")
 COLUMNS = ("media_id", "start_us", "end_us", "text", "keep_text", "type", "confidence")
 
 
+def _words_in_order():
+    """A media's words; made on call, since it needs a session."""
+    return Window.partitionBy("media_id").orderBy("pos")
+
+
 def word_stream(segments: DataFrame) -> DataFrame:
     """segments: media_id, seg_no, words (array of struct word, start, end in seconds). The first token
     of a word is its norm, the empty string if it has none."""
@@ -32,19 +36,19 @@ def word_stream(segments: DataFrame) -> DataFrame:
 
 def _at(c: str, n: int) -> Column:
     """Column c, n rows ahead."""
-    return F.lead(c, n).over(W) if n >= 0 else F.lag(c, -n).over(W)
+    return F.lead(c, n).over(_words_in_order()) if n >= 0 else F.lag(c, -n).over(_words_in_order())
 
 
 def _content_ahead(n: int) -> Column:
     """Content words among this and the next n - 1."""
-    return F.sum(((F.col("norm") != "") & ~T.is_stop(F.col("norm"))).cast("int")).over(W.rowsBetween(0, n - 1))
+    return F.sum(((F.col("norm") != "") & ~T.is_stop(F.col("norm"))).cast("int")).over(_words_in_order().rowsBetween(0, n - 1))
 
 
 def snapped(words: DataFrame, min_pause_us: int = 450_000, max_back_us: int = 5_000_000) -> DataFrame:
     """snap: the place to which a cut at pos moves back: the last pause before it, no further than
     max_back_us of starts. snap_us is its start."""
-    pause = F.col("start_us") - F.lag("end_us").over(W) >= min_pause_us
-    last = F.max(F.when(pause, F.col("pos"))).over(W.rowsBetween(Window.unboundedPreceding, 0))
+    pause = F.col("start_us") - F.lag("end_us").over(_words_in_order()) >= min_pause_us
+    last = F.max(F.when(pause, F.col("pos"))).over(_words_in_order().rowsBetween(Window.unboundedPreceding, 0))
     near = F.min("pos").over(Window.partitionBy("media_id").orderBy("start_us").rangeBetween(-max_back_us, 0))
     marked = words.withColumn("_p", F.coalesce(last, F.lit(0))).withColumn("snap", F.greatest("_p", near))
     return marked.drop("_p")
@@ -77,11 +81,11 @@ def repeated_runs(words: DataFrame, min_run: int = 3, max_run: int = 14, max_gap
         same = F.coalesce(F.col("norm") == _at("norm", d), F.lit(False))
         rows = rows.withColumn(f"_e{d}", same)
     for d in range(min_run, max_run + max_gap + 1):
-        wrong = F.min(F.when(~F.col(f"_e{d}"), F.col("pos"))).over(W.rowsBetween(0, max_run - 1))
+        wrong = F.min(F.when(~F.col(f"_e{d}"), F.col("pos"))).over(_words_in_order().rowsBetween(0, max_run - 1))
         reach = F.least(F.coalesce(wrong - F.col("pos"), F.lit(max_run)), F.lit(min(d, max_run)))
         steps.append(F.when(reach >= max(min_run, d - max_gap), F.struct(reach.cast("long").alias("length"), F.lit(-d).alias("near"))))
     best = F.array_max(F.filter(F.array(*steps), lambda x: x.isNotNull()))
-    ahead = F.collect_list("norm").over(W.rowsBetween(0, max_run - 1))
+    ahead = F.collect_list("norm").over(_words_in_order().rowsBetween(0, max_run - 1))
     got = rows.select("media_id", "pos", "norm", best.alias("_b"), ahead.alias("_ahead")).where("_b IS NOT NULL AND norm <> ''")
     got = got.where(F.size(T.content(F.slice("_ahead", F.lit(1), F.col("_b.length").cast("int")))) >= min_content)
     return got.select("media_id", "pos", F.col("_b.length").alias("length"), (F.col("pos") - F.col("_b.near")).cast("int").alias("b"))
@@ -108,11 +112,11 @@ def near_repeats(words: DataFrame, min_run: int = 4, max_run: int = 12, max_gap:
     for d in lags:
         rows = rows.withColumn(f"_m{d}", F.coalesce((F.col("norm") != _at("norm", d)).cast("int"), F.lit(99)))
     tries = [
-        F.when(F.sum(f"_m{n + g}").over(W.rowsBetween(0, n - 1)) == 1, F.struct(F.lit(n).alias("length"), F.lit(n + g).alias("d")))
+        F.when(F.sum(f"_m{n + g}").over(_words_in_order().rowsBetween(0, n - 1)) == 1, F.struct(F.lit(n).alias("length"), F.lit(n + g).alias("d")))
         for n in range(max_run, min_run - 1, -1) for g in range(1, max_gap + 1)
     ]
-    ahead = F.collect_list("norm").over(W.rowsBetween(0, max_run * 2 + max_gap - 1))
-    left = F.count("*").over(W.rowsBetween(0, max_run * 2 + max_gap))
+    ahead = F.collect_list("norm").over(_words_in_order().rowsBetween(0, max_run * 2 + max_gap - 1))
+    left = F.count("*").over(_words_in_order().rowsBetween(0, max_run * 2 + max_gap))
     rows = rows.select("media_id", "pos", "norm", F.filter(F.array(*tries), lambda x: x.isNotNull()).alias("_t"), ahead.alias("_w"), left.alias("_left"))
     rows = rows.where((F.size("_t") > 0) & (F.col("norm") != "") & ~T.is_stop(F.col("norm")))
     each = rows.select("media_id", "pos", "_w", "_left", F.posexplode("_t").alias("_i", "_c")).where(F.col("_c.d") + F.col("_c.length") <= F.col("_left"))
@@ -145,8 +149,8 @@ def marker_places(words: DataFrame, slips: tuple[str, ...] = T.SLIP_MARKERS, ret
 def corrections(words: DataFrame, look_back: int = 2, retake_look_back: int = 10, long_pause_us: int = 900_000, **markers) -> DataFrame:
     """Self-corrections: the words before a marker, back to a long pause, and the marker are cut."""
     marks = skip_ahead(marker_places(words, **markers), ["media_id"], "m0", "m1")
-    pause = F.col("start_us") - F.lag("end_us").over(W) > long_pause_us
-    last = words.select("media_id", F.col("pos").alias("m0"), F.coalesce(F.max(F.when(pause, F.col("pos"))).over(W.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("_p"))
+    pause = F.col("start_us") - F.lag("end_us").over(_words_in_order()) > long_pause_us
+    last = words.select("media_id", F.col("pos").alias("m0"), F.coalesce(F.max(F.when(pause, F.col("pos"))).over(_words_in_order().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("_p"))
     found = marks.join(last, ["media_id", "m0"]).join(_total(words), "media_id")
     a = F.greatest(F.col("m0") - F.when(F.col("retake"), retake_look_back).otherwise(look_back), F.col("_p"), F.lit(0)).cast("int")
     keep = F.least(F.col("m1") + 8, F.col("_n")).cast("int")
@@ -156,14 +160,14 @@ def corrections(words: DataFrame, look_back: int = 2, retake_look_back: int = 10
 def false_starts(words: DataFrame, head: int = 3, min_pause_us: int = 350_000, max_attempt: int = 12) -> DataFrame:
     """A sentence that breaks off at a pause and begins again with the same content words, or one
     of them changed."""
-    pause = F.when(F.col("start_us") - F.lag("end_us").over(W) >= min_pause_us, F.col("pos"))
+    pause = F.when(F.col("start_us") - F.lag("end_us").over(_words_in_order()) >= min_pause_us, F.col("pos"))
     rows = words.withColumn("_pause", pause)
     n = F.max("pos").over(Window.partitionBy("media_id")) + 1
     rows = rows.select(
-        "media_id", "pos", "norm", n.alias("n"), F.min("_pause").over(W.rowsBetween(1, max_attempt - 1)).alias("b"),
-        F.slice(T.content(F.collect_list("norm").over(W.rowsBetween(0, head + 1))), 1, head).alias("opening"),
-        F.slice(T.content(F.collect_list("norm").over(W.rowsBetween(0, head + 3))), 1, head).alias("restart"),
-        F.collect_list("norm").over(W.rowsBetween(0, max_attempt - 1)).alias("ahead"),
+        "media_id", "pos", "norm", n.alias("n"), F.min("_pause").over(_words_in_order().rowsBetween(1, max_attempt - 1)).alias("b"),
+        F.slice(T.content(F.collect_list("norm").over(_words_in_order().rowsBetween(0, head + 1))), 1, head).alias("opening"),
+        F.slice(T.content(F.collect_list("norm").over(_words_in_order().rowsBetween(0, head + 3))), 1, head).alias("restart"),
+        F.collect_list("norm").over(_words_in_order().rowsBetween(0, max_attempt - 1)).alias("ahead"),
     )
     open_ = rows.where((F.col("norm") != "") & ~T.is_stop(F.col("norm")) & F.col("b").isNotNull() & (F.size("opening") == head) & (F.col("pos") < F.col("n") - 2 * head))
     back = rows.where(F.size("restart") == head).select("media_id", F.col("pos").alias("b"), F.col("restart").alias("next"), F.col("ahead").alias("next_ahead"))

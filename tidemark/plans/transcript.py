@@ -49,23 +49,26 @@ def slim_transcript(spark, d):
  g AS (SELECT doc_id, i AS pos, list_aggregate(list_slice(w, i, i + 2), 'string_agg', ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2))
  SELECT a.doc_id, a.gram, count(*) AS n FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.gram = b.gram AND b.pos - a.pos BETWEEN 3 AND 7 GROUP BY 1, 2""")
 def repeats_set(spark, d):
-    """Trigrams that come again 3 to 7 words later, by lagged equality over each document's array."""
-    docs = table(spark, d, "documents").select("doc_id", T.ngrams(T.tokens(F.col("text")), 3).alias("g"))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(3), F.lit(7)), lambda k: F.filter(F.transform("g", lambda x, i: F.when(x == F.get("g", i + k), x)), lambda x: x.isNotNull())))
-    return docs.select("doc_id", F.explode(pairs).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
+    """Trigrams that come again 3 to 7 words later, by lagged equality over each document's words."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    t = table(spark, d, "documents").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "w"))
+    full = F.lead("w", 2).over(w).isNotNull()
+    g = t.select("doc_id", "pos", F.when(full, F.concat_ws(" ", "w", F.lead("w", 1).over(w), F.lead("w", 2).over(w))).alias("gram"))
+    n = sum((F.coalesce(F.col("gram") == F.lead("gram", k).over(w), F.lit(False)).cast("long") for k in range(3, 8)), F.lit(0).cast("long"))
+    return g.select("doc_id", "gram", n.alias("n")).where("n > 0").groupBy("doc_id", "gram").agg(F.sum("n").alias("n"))
 
 
 @query("jaccard_documents", r"""
  WITH t AS (SELECT item_id AS id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zà-ÿ0-9'']+'), lambda x: length(x) > 1)) AS t FROM benchmark)
  SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS common FROM t a JOIN t b ON a.id < b.id
- WHERE len(a.t) > 0 AND len(b.t) > 0 AND len(list_intersect(a.t, b.t)) * 10 >= 2 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))""")
+ WHERE len(a.t) > 0 AND len(b.t) > 0 AND len(list_intersect(a.t, b.t)) * 20 >= len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))""")
 def jaccard_documents(spark, d):
-    """Benchmark items whose token sets overlap by 0.2 or more, through shared tokens."""
+    """Benchmark items whose token sets overlap by 0.05 or more, through shared tokens."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), T.accent_tokens(F.col("text")).alias("t"))
     e = b.select("id", F.size("t").alias("n"), F.explode("t").alias("w"))
     pairs = e.alias("x").join(e.alias("y"), (F.col("x.w") == F.col("y.w")) & (F.col("x.id") < F.col("y.id")))
     got = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("common"))
-    return got.where(F.col("common") * 10 >= 2 * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b", "common")
+    return got.where(F.col("common") * 20 >= F.col("na") + F.col("nb") - F.col("common")).select("a", "b", "common")
 
 
 @query("corrections_marked", "WITH " + WORDS + r""",
