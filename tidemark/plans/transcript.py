@@ -151,7 +151,7 @@ def suppress_overlaps(spark, d):
 
 
 @query("review_roundtrip", """
- SELECT event_id AS media_id, epoch_us(ts)::BIGINT AS start_us, epoch_us(ts)::BIGINT + floor(value)::BIGINT * 1000000 AS end_us FROM events WHERE event_id % 2 = 0 AND floor(value) > 0""")
+ SELECT event_id AS media_id, (round(epoch_us(ts) / 10000.0) * 10000)::BIGINT AS start_us, (round(epoch_us(ts) / 10000.0) * 10000)::BIGINT + floor(value)::BIGINT * 1000000 AS end_us FROM events WHERE event_id % 2 = 0 AND floor(value) > 0""")
 def review_roundtrip(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("media_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("start_us"), "value")
     c = e.select("media_id", "start_us", (F.col("start_us") + F.floor("value") * 1_000_000).alias("end_us"), F.lit("x").alias("type"), F.lit(0.5).alias("confidence"), F.lit("t").alias("text"), F.lit("k").alias("keep_text"))
