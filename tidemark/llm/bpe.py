@@ -8,7 +8,8 @@ don't see each other, a bounded cache holds the ids of those met before, and a t
 is encoded piece by piece.
 
 The tokenizer is a file of the tokenizers library, given by path; its normalizer and pre-tokenizer
-are used as they are, merges run on fragments only.
+are used as they are. Merges run on fragments only, by token ranks over bytes; the word-end suffix
+is a byte that UTF-8 never holds, whose merge with the byte before it comes first.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows and
 null or repeated document numbers are encoded row by row; an empty table gives no rows; columns
@@ -19,8 +20,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Sequence
+from array import array
+from collections.abc import Callable, Iterable, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +31,21 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import table
 
-#: Entries of the cache of chunks; beyond them it starts anew.
-CACHE = 200_000
+#: Entries of each cache, of chunks and of words; beyond them it starts anew.
+CACHE = 300_000
+
+SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+SEPARATORS = re.compile("[\x1c-\x1f]")
+
+# Printable ASCII and Latin letters with one spelling only, whose classes all libraries agree on.
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u017f"
+PLAIN = re.compile("[!-~\u00df-\u00f6\u00f8-\u017f]*")
+WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+
+_printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level BPE's character for each byte: printable ones stand for themselves, the rest follow from 256 on.
+CHAR_BYTES = {chr(b if b in _printable else 256 + sum(c not in _printable for c in range(b))): b for b in range(256)}
+END = b"\xff"
 
 
 def default_path() -> str:
@@ -38,60 +54,87 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Cache(dict):
+    """What a function returned, kept for short keys, started anew when it is full."""
+
+    def __init__(self, make: Callable):
+        self.make = make
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) < 100:
+            if len(self) >= CACHE:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
     """Encodes and decodes as the library does for the tokenizer file, without adding special tokens."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, models
+        import tiktoken
+        from tokenizers import Tokenizer
 
         spec = json.loads(open(path, encoding="utf-8").read())
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         whole = Tokenizer.from_file(path)
         self.normalize, self.split = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
-        vocab, merges = model["vocab"], [tuple(m) for m in model["merges"]]
-        self.ends = models.BPE(vocab=vocab, merges=merges, end_of_word_suffix=self.suffix)
-        self.inner = models.BPE(vocab=vocab, merges=merges)
+        vocab = model["vocab"]
+        ranks = {self.bytes(t.removesuffix(self.suffix)) + END if t.endswith(self.suffix) and t != self.suffix else self.bytes(t): i for t, i in vocab.items()}
+        if len(ranks) != len(vocab):
+            raise ValueError("two tokens have the same bytes")
+        # the pattern is never used: pieces are cut here
+        self.merge = tiktoken.Encoding("fragments", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special, self.special_at = special, re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.tokens = {i: t for t, i in (vocab | special).items()}
-        inside = {(t[i], t[i + 1]) for v in vocab for t in [v.removesuffix(self.suffix) if self.suffix else v] for i in range(len(t) - 1)}
-        self.inside = inside
-        self.cache: dict[str, list[int]] = {}
-
-    def fragments(self, word: str) -> list[str]:
-        """A word of byte characters, cut at the pairs that no token holds."""
-        cuts = [i + 1 for i in range(len(word) - 1) if (word[i], word[i + 1]) not in self.inside]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
-
-    def chunk(self, chunk: str) -> list[int]:
-        """Ids of a run without white space."""
-        out: list[int] = []
-        for word, _ in self.split(chunk):
-            *first, last = self.fragments(word)
-            for f in first:
-                out += [t.id for t in self.inner.tokenize(f)]
-            out += [t.id for t in self.ends.tokenize(last)]
-        return out
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        cache = self.cache
+        self.inside = [bytearray(256) for _ in range(256)]  # by first and second byte of a pair
+        for t in ranks:
+            for a, b in zip(t, t[1:]):
+                self.inside[a][b] = 1
+        self.words, self.chunks = Cache(self.word), Cache(self.chunk)  # packed ids
+
+    @staticmethod
+    def bytes(chars: str) -> bytes:
+        """Byte characters as the bytes they stand for."""
+        return bytes(map(CHAR_BYTES.__getitem__, chars))
+
+    def fragments(self, word: bytes) -> list[bytes]:
+        """A word with its end, cut at the pairs of bytes that no token holds."""
+        inside, word = self.inside, word + END
+        cuts = [i for i, (a, b) in enumerate(zip(word, word[1:]), 1) if not inside[a][b]]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+
+    def word(self, word: bytes) -> bytes:
+        """Packed ids of a word, fragment by fragment."""
+        found = self.fragments(word)
+        return array("i", self.merge(found[0]) if len(found) == 1 else [i for f in found for i in self.merge(f)]).tobytes()
+
+    def split_words(self, chunk: str) -> list[bytes]:
+        """Words of a run without white space. Where lower-casing leaves only ASCII and common Latin
+        letters, a plain pattern cuts as the library's pre-tokenizer does; else that one does."""
+        low = chunk.lower()
+        if PLAIN.fullmatch(low):
+            return [w.encode() for w in WORDS.findall(low)]
+        # normalizing may still find white space, such as what lower-casing or composition leaves
+        return [self.bytes(w) for part in self.normalize(chunk).split(" ") if part for w, _ in self.split(part)]
+
+    def chunk(self, chunk: str) -> bytes:
+        """Packed ids of a run without white space."""
+        return b"".join(map(self.words.__getitem__, self.split_words(chunk)))
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text (int32)."""
+        out: list[bytes] = []
         for part in self.special_at.split(text) if self.special_at else [text]:
             if part in self.special:
-                out.append(self.special[part])
-                continue
-            # the normalizer turns all white space into spaces, at which no token reaches across
-            for c in self.normalize(part).split(" "):
-                ids = cache.get(c)
-                if ids is None:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    ids = self.chunk(c) if c else []
-                    if len(c) < 100:
-                        cache[c] = ids
-                out += ids
-        return out
+                out.append(array("i", [self.special[part]]).tobytes())
+            else:
+                # no token reaches across white space; str.split also takes the separators FS to US for it
+                out += map(self.chunks.__getitem__, SPACES.split(part) if SEPARATORS.search(part) else part.split())
+        return np.frombuffer(b"".join(out), "int32")
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
@@ -113,13 +156,10 @@ def encode_column(path: str):
 
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def ids(texts: pa.Array) -> pa.Array:
-        import numpy as np
-
-        e, flat, ends = encoder(path), [], [0]
-        for t in texts:
-            flat += e.encode(t.as_py() or "")
-            ends.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(np.array(ends, "int32")), pa.array(np.array(flat, "int32")))
+        e = encoder(path)
+        each = [e.encode(t.as_py() or "") for t in texts]
+        ends = np.cumsum([0, *map(len, each)]).astype("int32")
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*each, np.zeros(0, "int32")])))
 
     return ids
 
@@ -129,8 +169,8 @@ def decode_column(path: str):
 
     @F.arrow_udf(T.StringType())
     def text(rows: pa.Array) -> pa.Array:
-        e = encoder(path)
-        return pa.array([e.decode(r.values.tolist() if hasattr(r.values, "tolist") else r.as_py()) if r.is_valid else "" for r in rows], pa.string())
+        e, flat, ends = encoder(path), rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
+        return pa.array([e.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.string())
 
     return text
 

@@ -64,8 +64,8 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, bits: int
                 store.create_dir(base, recursive=True)
                 stream = store.open_output_stream(f"{own}.bin")
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array([*enc.encode(t.as_py() or ""), end_id], "int64")
-                if ids.max() >> bits:
+                ids = np.append(enc.encode(t.as_py() or ""), np.int32(end_id))
+                if int(ids.max()) >> bits:
                     raise ValueError(f"id {ids.max()} needs more than {bits} bits")
                 stream.write(ids.astype(kind).tobytes())
                 n += len(ids)
