@@ -47,9 +47,11 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def parts(df: DataFrame, mb_each: int = 16, least: int = 12) -> int:
-    """Partitions for a shuffle of df's rows: in proportion to the input, at least the session's."""
+    """Partitions for a shuffle of df's rows: in proportion to the input, at least the session's. Frames that
+    aren't read from files have no known size; for them the session's number holds."""
     low = max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return int(min(20_000_000, max(low, input_bytes(df) / (mb_each << 20))))
+    size = input_bytes(df)
+    return low if size >= 1 << 55 else int(max(low, size / (mb_each << 20)))
 
 
 def key_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema, n: int | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import input_bytes, key_groups, parts, stored, table
+from tidemark.llm.common import key_groups, parts, stored, table
 
 #: Bytes of an anchor; shallow depth in bytes; bytes of a slice of a long text, and places in a slice.
 K, SHALLOW, SLICE, PLACES = 32, 32, 1 << 20, 1 << 21
@@ -378,7 +378,7 @@ def dedup(docs: DataFrame, width: int = 100, key: str = "doc_id", text: str = "t
     name = f"suffix_dedup_{uuid.uuid4().hex}"
     rows.repartition(n, "d", "e").write.bucketBy(n, "d", "e").format("parquet").saveAsTable(name)
     texts = spark.table(name)
-    buckets = max(n, input_bytes(docs) // (4 << 20))
+    buckets = max(n, parts(docs, 4))
     met = stored(_met(_packed(texts, width, int(buckets), hot), n, hot), "suffix-met")
     segs = stored(_texts(met.where("kind = 1"), texts, width), "suffix-segments")
     repeats = met.where("kind = 0").select("d", "e", "blob").unionByName(_sorted_repeats(segs, width, n).select("d", "e", "blob")).unionByName(_hot_repeats(segs, width).select("d", "e", "blob"))
