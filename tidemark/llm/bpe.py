@@ -21,7 +21,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -151,38 +151,40 @@ def encoder(path: str) -> Encoder:
     return _made[path]
 
 
-def encode_column(path: str):
-    """A Spark function from texts to arrays of ids."""
+def encode(docs: DataFrame, path: str, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """carry and ids (array of int)."""
+    rows = docs.select(*carry, F.col(text).alias("_text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
-    def ids(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        each = [e.encode(t.as_py() or "") for t in texts]
-        ends = np.cumsum([0, *map(len, each)]).astype("int32")
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*each, np.zeros(0, "int32")])))
-
-    return ids
-
-
-def decode_column(path: str):
-    """A Spark function from arrays of ids to texts."""
-
-    @F.arrow_udf(T.StringType())
-    def text(rows: pa.Array) -> pa.Array:
-        e, flat, ends = encoder(path), rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
-        return pa.array([e.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.string())
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                each = [e.encode(t.as_py() or "") for t in part.column(part.num_columns - 1)]
+                ends = np.cumsum([0, *map(len, each)]).astype("int32")
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], schema.names)
 
-    return text
-
-
-def encode(docs: DataFrame, path: str, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """carry and ids (array of int)."""
-    return docs.select(*carry, encode_column(path)(F.col(text)).alias("ids"))
+    # a mapped stream, not a column function: Spark would keep the rows beside one on disk meanwhile
+    return rows.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """rows with the column decoded."""
-    return rows.withColumn("decoded", decode_column(path)(F.col(ids)))
+    schema, at = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]), rows.columns.index(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                column = part.column(at)
+                flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+                texts = pa.array([e.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -86,13 +87,12 @@ def features(path: str, before: str, value: str, after: str, words: frozenset[st
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """Spans to be scored: start, end, kind. Of overlapping ones the first found stays."""
-    out: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+    out: list[tuple[int, int, str]] = []  # in order, without overlaps
 
     def add(a: int, b: int, kind: str) -> None:
-        if not any(a < y and b > x for x, y in taken):
-            taken.append((a, b))
-            out.append((a, b, kind))
+        i = bisect_left(out, (a, b, kind))
+        if (i == 0 or out[i - 1][1] <= a) and (i == len(out) or out[i][0] >= b):
+            out.insert(i, (a, b, kind))
 
     if "-----BEGIN" in text:
         for m in BLOCK.finditer(text):
@@ -108,7 +108,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         v = m.group()
         if any(c.isdigit() for c in v) and any(c.isalpha() for c in v):
             add(*m.span(), "bare")
-    return sorted(out)
+    return out
 
 
 # ---- labelled findings and training --------------------------------------------------------------
@@ -235,18 +235,24 @@ def findings(docs: DataFrame, forest: Forest, dictionary: str, path: str = "sour
 def redact(docs: DataFrame, forest: Forest, dictionary: str, path: str = "source", text: str = "text", least: float = SCORE) -> DataFrame:
     """docs with each secret in the text replaced by a mark of its kind."""
 
-    @F.arrow_udf("string")
-    def clean(texts: pa.Array, paths: pa.Array) -> pa.Array:
-        words, out = words_of(dictionary), []
-        for t, p in zip(texts, paths):
-            s = t.as_py()
-            if s:
-                for a, b, kind, _ in reversed(_scored(s, p.as_py() or "", forest, words, least)):
-                    s = f"{s[:a]}<secret:{kind}>{s[b:]}"
-            out.append(s)
-        return pa.array(out, pa.string())
-
-    return docs.withColumn(text, clean(F.col(text), F.col(path).cast("string")))
+    columns = docs.columns
+    rows = docs.select(*columns, F.col(path).cast("string").alias("_path"))
+    at = columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = words_of(dictionary)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 500):
+                part, out = batch.slice(begin, 500), []
+                for t, p in zip(part.column(at), part.column(len(columns))):
+                    s = t.as_py()
+                    if s:
+                        for a, b, kind, _ in reversed(_scored(s, p.as_py() or "", forest, words, least)):
+                            s = f"{s[:a]}<secret:{kind}>{s[b:]}"
+                    out.append(s)
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(out, pa.string()), *part.columns[at + 1 : len(columns)]], columns)
+
+    return rows.mapInArrow(run, docs.schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
