@@ -188,3 +188,31 @@ def onset_settle(diffs: DataFrame, keys: Sequence[str], t: str = "t", value: str
     top = F.max(value).over(Window.partitionBy(*keys))
     hot = diffs.withColumn("_top", top).where((F.col("_top") >= floor) & (F.col(value) >= F.greatest(F.lit(floor), F.col("_top") * share)))
     return hot.groupBy(*keys).agg((F.min(t) - 0.5 / fps).alias("onset"), (F.max(t) + 1.0 / fps).alias("settle"))
+
+
+def accepted_apart(df: DataFrame, keys: Sequence[str], start: str = "start_us", end: str = "end_us", slack: int = 400_000, most: int | None = None) -> DataFrame:
+    """In order of start, rows that no row accepted before holds within slack at both ends; at most
+    `most` for each key."""
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        keep: list[int] = []
+        s, e = pdf[start].tolist(), pdf[end].tolist()
+        for i in range(len(pdf)):
+            if (most is None or len(keep) < most) and not any(s[j] - slack <= s[i] and e[i] <= e[j] + slack for j in keep):
+                keep.append(i)
+        return pdf.iloc[keep]
+
+    return fold(df, keys, [start, end], step, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields))
+
+
+def pinned_edges(spans: DataFrame, matches: DataFrame, keys: Sequence[str], reach: int = 1_000_000) -> DataFrame:
+    """spans: keys, span, a, b, lo, hi (bounds set by neighbours). matches: keys, t where the pattern fits. The
+    first match from a - reach on and the last one up to b + reach, within the bounds; spans without
+    a match on either side are left out. A match counts for few spans, so it is a bucketed join."""
+    width = 10 * reach
+    b = lambda c: F.floor(c / F.lit(width)).cast("long")
+    s = spans.withColumns({"_from": F.greatest(F.col("a") - reach, F.col("lo")), "_to": F.least(F.col("b") + reach, F.col("hi"))}).where("_to >= _from")
+    s = s.withColumn("_bucket", F.explode(F.sequence(b(F.col("_from")), b(F.col("_to")))))
+    m = matches.select(*keys, "t", b(F.col("t")).alias("_bucket"))
+    near = s.join(m, [*keys, "_bucket"]).where(F.col("t").between(F.col("_from"), F.col("_to")))
+    return near.groupBy(*keys, "span").agg(F.min("t").alias("start"), F.max("t").alias("end"))

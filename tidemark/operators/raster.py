@@ -128,6 +128,14 @@ def components(pixels: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame:
     return pixels.groupBy(*keys).applyInPandas(run, f"{head}, label long, n long, x0 long, x1 long, y0 long, y1 long")
 
 
+def bubble_shifts(runs: DataFrame, min_len: int = 800_000, min_shift: int = 6) -> DataFrame:
+    """runs: media_id, x, y, start, last (equal positions merged). Phases off the median home position by at least
+    min_shift on an axis and long enough: media_id, t0, t1, dx, dy. Touching equal phases stay apart."""
+    home = runs.groupBy("media_id").agg(F.median("x").alias("_hx"), F.median("y").alias("_hy"))
+    d = runs.join(home, "media_id").select("media_id", F.col("start").alias("t0"), F.col("last").alias("t1"), (F.col("x") - F.col("_hx")).alias("dx"), (F.col("y") - F.col("_hy")).alias("dy"))
+    return d.where((F.col("t1") - F.col("t0") >= min_len) & (F.greatest(F.abs("dx"), F.abs("dy")) >= min_shift))
+
+
 def cursor_like(blobs: DataFrame) -> DataFrame:
     """Blobs (n, x0..y1, near: other pixels around, halo: white share of the ring, sat) that look like a cursor."""
     w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1

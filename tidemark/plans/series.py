@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import events as E
-from tidemark.plans.base import EV, HOUR, events, hits, query, with_
+from tidemark.plans.base import ER, EV, HOUR, IV, events, hits, query, with_
 
 K = ["media_id"]
 O = ["t_us", "event_id"]  # noqa: E741
@@ -57,9 +57,8 @@ def widening_islands(spark, d):
  SELECT media_id, min(t) AS start, max(t) AS last, count(*) AS n FROM r3 WHERE on_ = 1 GROUP BY media_id, g""")
 def hysteresis(spark, d):
     e = events(spark, d)
-    m = e.agg(F.median("value").alias("m"))  # one row
-    f = e.crossJoin(F.broadcast(m))
-    return E.hysteresis(f, K, O, F.col("value") < F.col("m") - 6, F.col("value") < F.col("m") - 4)
+    m = e.agg(F.median("value").alias("m")).first().m  # one number
+    return E.hysteresis(e, K, O, F.col("value") < F.lit(m) - 6, F.col("value") < F.lit(m) - 4)
 
 
 @query("persistent", with_(EV) + """
@@ -185,3 +184,28 @@ def session_windows(spark, d):
     from tidemark.streaming.series import sessions
 
     return sessions(events(spark, d), 8 * HOUR)
+
+
+@query("accepted_apart")
+def accepted_apart(spark, d):
+    from tidemark.plans.base import spans
+
+    return E.accepted_apart(spans(spark, d).select("media_id", "start_us", "end_us", "event_id"), K, most=48)
+
+
+@query("pinned_edges", with_(EV, IV, ER) + """
+ SELECT iv.media_id, iv.event_id AS span, min(er.t) AS start, max(er.t) AS "end" FROM iv JOIN er ON iv.media_id = er.media_id AND er.t BETWEEN iv.s - 3600000000 AND iv.e + 3600000000 GROUP BY 1, 2""")
+def pinned_edges(spark, d):
+    from tidemark.plans.base import spans
+
+    far = F.lit(1 << 60)
+    s = spans(spark, d).select("media_id", F.col("event_id").alias("span"), F.col("start_us").alias("a"), F.col("end_us").alias("b"), (-far).alias("lo"), far.alias("hi"))
+    return E.pinned_edges(s, hits(spark, d).select("media_id", F.col("t_us").alias("t")), K, HOUR)
+
+
+@query("bubble_shifts")
+def bubble_shifts(spark, d):
+    from tidemark.operators.raster import bubble_shifts as shifts
+
+    e = events(spark, d).select("media_id", "t_us", "event_id", F.col("value").alias("x"), (F.col("value") / 2).alias("y"))
+    return shifts(E.rle_locf(e, K, O, ["x", "y"], grid=20), 0, 20)
