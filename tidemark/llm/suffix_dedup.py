@@ -17,7 +17,8 @@ reach, so suffixes are first dealt into independent parts that can be sorted alo
   one by their digest and the first of each is a partial aggregate, so no task gathers them.
 
 Tasks drop local repeats before the shuffle, so a text with millions of copies sends a few rows from
-each task. Repeats return to their documents as packed intervals, merged into the removed spans.
+each task. Repeats return to their documents as packed intervals, merged into the removed spans. Texts
+are looked up twice in a bucketed table of the warehouse, suffix_dedup_<id>, which stays until it is dropped.
 
 Defined results: a null or empty text has 0 bytes and the digest of no bytes; texts shorter than
 WIDTH lose nothing. Documents are ordered by number; rows that repeat a number are one document
