@@ -43,14 +43,27 @@ EDGE = ".,;:!?()[]{}\"'«»“”‘’…|*_"
 NUMBER = re.compile(r"[+\-$€£]?\d[\d.,/:\-]*[%°]?[a-zA-Z]{0,3}$")
 KINDS = ("", "<num>", "<name>", "<unit>")
 
-_seen: dict[str, tuple[int, int]] = {}
+
+class Hashes(dict):
+    """Packed 64-bit hashes of words' template forms, started anew when full."""
+
+    def __missing__(self, word: str) -> bytes:
+        h = xxhash.xxh3_64_digest(canonical(word)[0])
+        if len(word) < 100:
+            if len(self) >= 300_000:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_seen = Hashes()
 
 
 def canonical(word: str) -> tuple[str, int]:
     """A word's template form and kind: 0 literal, 1 number, 2 name, 3 unit."""
     core = word.strip(EDGE) or word
     low = core.lower()
-    if NUMBER.match(core) or low in NUMBER_WORDS:
+    if (NUMBER.match(core) if not core.isalpha() else low in NUMBER_WORDS):
         return KINDS[1], 1
     if core[0].isupper() and (len(core) == 1 or not core.isupper()):
         return KINDS[2], 2
@@ -59,20 +72,11 @@ def canonical(word: str) -> tuple[str, int]:
     return low, 0
 
 
-def _hashed(word: str) -> int:
-    h = _seen.get(word)
-    if h is None:
-        if len(_seen) > 300_000:
-            _seen.clear()
-        h = _seen[word] = xxhash.xxh3_64_intdigest(canonical(word)[0])
-    return h
-
-
 def windows(words: list[str], size: int = SIZE) -> np.ndarray:
     """A 64-bit hash for each window of template words; one window if there are fewer words."""
     if not words:
         return np.zeros(0, "int64")
-    w = np.fromiter(map(_hashed, words), "uint64", len(words))
+    w = np.frombuffer(b"".join(map(_seen.__getitem__, words)), "uint64")
     k = min(size, len(w))
     h = np.full(len(w) - k + 1, k, "uint64")
     for j in range(k):
