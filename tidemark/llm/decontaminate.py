@@ -86,7 +86,7 @@ def windows(words: list[str], size: int = SIZE) -> np.ndarray:
 
 
 def _window_rows(rows: DataFrame, size: int, only: np.ndarray | None) -> DataFrame:
-    """id, r (row key), pos, wh, n (windows of the text), words of each window whose hash is in only."""
+    """id, r (row key), pos, wh, n (windows of the text), words of each window whose hash is in only (sorted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if only is not None:
@@ -100,7 +100,7 @@ def _window_rows(rows: DataFrame, size: int, only: np.ndarray | None) -> DataFra
                 at = np.arange(len(h))
                 if only is not None:
                     at = np.flatnonzero(bits[h & ((1 << 20) - 1)])
-                    at = at[np.isin(h[at], only)] if len(at) else at
+                    at = at[only[np.searchsorted(only, h[at]).clip(max=len(only) - 1)] == h[at]] if len(at) else at
                 for p in at.tolist():
                     for col, v in zip(out, (d, r, p, int(h[p]), len(h), words[p : p + size])):
                         col.append(v)
