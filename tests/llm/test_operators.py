@@ -312,6 +312,16 @@ def test_questions_with_new_parameters(spark):
     assert 1 in got and got[1].n_changed > 0 and 3 not in got
 
 
+def test_leaks_in_other_case(spark):
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    items = {r.item_id: r.text for r in bench.collect() if len(r.text.split()) >= decontaminate.SIZE}
+    rows = [(f(x), i) for x, i in ((x, i) for i, x in items.items()) for f in (str.lower, str.upper, str.title)]
+    docs = spark.createDataFrame([(n, f"before it {x} after it") for n, (x, _) in enumerate(rows)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, bench).collect()}
+    assert {(n, i) for n, (_, i) in enumerate(rows)} <= set(got)
+    assert all(r.n_hits == r.n_windows and r.n_changed == 0 for (n, i), r in got.items() if rows[n][1] == i)
+
+
 def test_licenses(docs, texts, awkward, nothing):
     got = by_id(license_scan.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"))
     assert got == {d: license_scan.plain_scan(t) for d, t in texts.items()}

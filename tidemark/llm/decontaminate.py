@@ -2,7 +2,9 @@
 
 Words are canonicalised: numbers, names (capitalised words) and units become typed placeholders, the
 rest is lower-cased without outer punctuation. Windows of SIZE template words are hashed, and the
-windows of documents are hash-joined to those of the benchmark. For each document and item, the hits
+windows of documents are hash-joined to those of the benchmark. Each window is hashed in a second
+form too, in which case is folded and capitalised words are literals; a window is hit if either form
+agrees, so a copy in other case is found as one with other names is. For each document and item, the hits
 near one alignment are counted, and the slots behind the placeholders are compared: a question with
 other numbers or names has new slot values, but the same old value should always meet the same new
 one. An item is leaked where hits cover at least SHARE of its windows and at least SHARE of the slot
@@ -47,8 +49,11 @@ KINDS = ("", "<num>", "<name>", "<unit>")
 class Hashes(dict):
     """Packed 64-bit hashes of words' template forms, started anew when full."""
 
+    def __init__(self, folded: bool):
+        self.folded = folded
+
     def __missing__(self, word: str) -> bytes:
-        h = xxhash.xxh3_64_digest(canonical(word)[0])
+        h = xxhash.xxh3_64_digest(canonical(word, self.folded)[0])
         if len(word) < 100:
             if len(self) >= 300_000:
                 self.clear()
@@ -56,27 +61,27 @@ class Hashes(dict):
         return h
 
 
-_seen = Hashes()
+_seen, _folded = Hashes(False), Hashes(True)
 
 
-def canonical(word: str) -> tuple[str, int]:
-    """A word's template form and kind: 0 literal, 1 number, 2 name, 3 unit."""
+def canonical(word: str, folded: bool = False) -> tuple[str, int]:
+    """A word's template form and kind: 0 literal, 1 number, 2 name (not in the folded form), 3 unit."""
     core = word.strip(EDGE) or word
     low = core.lower()
     if (NUMBER.match(core) if not core.isalpha() else low in NUMBER_WORDS):
         return KINDS[1], 1
-    if core[0].isupper() and (len(core) == 1 or not core.isupper()):
+    if not folded and core[0].isupper() and (len(core) == 1 or not core.isupper()):
         return KINDS[2], 2
     if low in UNITS:
         return KINDS[3], 3
-    return low, 0
+    return core.casefold() if folded else low, 0
 
 
-def windows(words: list[str], size: int = SIZE) -> np.ndarray:
+def windows(words: list[str], size: int = SIZE, folded: bool = False) -> np.ndarray:
     """A 64-bit hash for each window of template words; one window if there are fewer words."""
     if not words:
         return np.zeros(0, "int64")
-    w = np.frombuffer(b"".join(map(_seen.__getitem__, words)), "uint64")
+    w = np.frombuffer(b"".join(map((_folded if folded else _seen).__getitem__, words)), "uint64")
     k = min(size, len(w))
     h = np.full(len(w) - k + 1, k, "uint64")
     for j in range(k):
@@ -86,7 +91,8 @@ def windows(words: list[str], size: int = SIZE) -> np.ndarray:
 
 
 def _window_rows(rows: DataFrame, size: int, only: np.ndarray | None) -> DataFrame:
-    """id, r (row key), pos, wh, n (windows of the text), words of each window whose hash is in only (sorted)."""
+    """id, r (row key), pos, wh, n (windows of the text), words of each window whose hash is in only (sorted);
+    a window has a row for each of its forms that differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if only is not None:
@@ -96,14 +102,14 @@ def _window_rows(rows: DataFrame, size: int, only: np.ndarray | None) -> DataFra
             out = [[] for _ in range(6)]
             for d, r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = t.as_py().split() if t.is_valid else []
-                h = windows(words, size)
-                at = np.arange(len(h))
-                if only is not None:
-                    at = np.flatnonzero(bits[h & ((1 << 20) - 1)])
-                    at = at[only[np.searchsorted(only, h[at]).clip(max=len(only) - 1)] == h[at]] if len(at) else at
-                for p in at.tolist():
-                    for col, v in zip(out, (d, r, p, int(h[p]), len(h), words[p : p + size])):
-                        col.append(v)
+                h, folded = windows(words, size), windows(words, size, folded=True)
+                for form, at in ((h, np.arange(len(h))), (folded, np.flatnonzero(folded != h))):
+                    if only is not None:
+                        at = at[bits[form[at] & ((1 << 20) - 1)]]
+                        at = at[only[np.searchsorted(only, form[at]).clip(max=len(only) - 1)] == form[at]] if len(at) else at
+                    for p in at.tolist():
+                        for col, v in zip(out, (d, r, p, int(form[p]), len(h), words[p : p + size])):
+                            col.append(v)
                 if len(out[0]) > 20_000:
                     yield _rows(out)
                     out = [[] for _ in range(6)]
@@ -120,13 +126,13 @@ def _rows(cols: list[list]) -> pa.RecordBatch:
 
 def slots(pairs: dict[int, tuple[str, str]]) -> tuple[int, int, int]:
     """Of aligned words (item's, document's) by position: slot positions, those with another value,
-    those that follow the most frequent value for their old one."""
+    those that follow the most frequent value for their old one; values differ by more than case."""
     new = defaultdict(Counter)
     n = changed = 0
     for a, b in pairs.values():
         kind = canonical(a)[1]
         if kind:
-            x, y = a.strip(EDGE), b.strip(EDGE)
+            x, y = a.strip(EDGE).casefold(), b.strip(EDGE).casefold()
             new[kind, x][y] += 1
             n += 1
             changed += x != y
