@@ -322,6 +322,33 @@ def test_leaks_in_other_case(spark):
     assert all(r.n_hits == r.n_windows and r.n_changed == 0 for (n, i), r in got.items() if rows[n][1] == i)
 
 
+def test_interrupted_leaks(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(59)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    junk = lambda k: [f"footer{r.randrange(10**6)}x" for _ in range(k)]
+    texts = [
+        [*junk(30), *words[:30], *junk(12), *words[30:], *junk(30)], [*words[:20], *junk(60), *words[20:40], *junk(40), *words[40:]],
+        [*words[30:], *junk(12), *words[:30]], [*words[:30], *junk(1000), *words[30:]], [*words[:30], *junk(30)], [*words[:30], *junk(900), *words[:28], *junk(9), *words[28:]],
+    ]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.start_word, r.n_hits, r.n_windows) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {0: (30, 51, 55), 1: (0, 47, 55), 5: (930, 51, 55)}
+
+
+def test_chains_equal_brute_force():
+    r = random.Random(9)
+
+    def longest(hits):
+        return max((1 + longest([h for h in hits if h[0] > p and h[1] > q]) for p, q in hits), default=0)
+
+    for _ in range(60):
+        hits = list({(r.randrange(9), r.randrange(7)) for _ in range(r.randrange(1, 12))})
+        pos, ipos = np.array(hits).T
+        found = decontaminate.chain(pos, ipos)
+        assert (np.diff(pos[found]) > 0).all() and (np.diff(ipos[found]) > 0).all() and len(found) == longest(hits)
+
+
 def test_licenses(docs, texts, awkward, nothing):
     got = by_id(license_scan.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"))
     assert got == {d: license_scan.plain_scan(t) for d, t in texts.items()}

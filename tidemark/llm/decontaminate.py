@@ -5,7 +5,8 @@ rest is lower-cased without outer punctuation. Windows of SIZE template words ar
 windows of documents are hash-joined to those of the benchmark. Each window is hashed in a second
 form too, in which case is folded and capitalised words are literals; a window is hit if either form
 agrees, so a copy in other case is found as one with other names is. For each document and item, the hits
-near one alignment are counted, and the slots behind the placeholders are compared: a question with
+near one alignment are counted, or along a chain of hits in the item's order within STRETCH words of the document
+for each of the item's (LEAST_STRETCH at least), so that headings or answer fields may interrupt the item. The slots behind the placeholders are compared: a question with
 other numbers or names has new slot values, but the same old value should always meet the same new
 one. An item is leaked where hits cover at least SHARE of its windows and at least SHARE of the slot
 positions follow such a mapping.
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import input_bytes, key_groups, parts, table
 
 SIZE, SHARE, FILTER_BYTES = 5, 0.8, 32 << 20
+STRETCH, LEAST_STRETCH = 4, 100
 
 #: Words that a number may be written as, and units. Fixed values.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
@@ -139,6 +141,50 @@ def slots(pairs: dict[int, tuple[str, str]]) -> tuple[int, int, int]:
     return n, changed, sum(max(c.values()) for c in new.values())
 
 
+def chain(pos: np.ndarray, ipos: np.ndarray) -> np.ndarray:
+    """Indexes of a longest chain of hits with rising pos and ipos; of equally long ones, one with few changes of offset."""
+    order = np.lexsort((-ipos, pos))
+    p, q = pos[order], ipos[order]
+    off, n = p - q, len(p)
+    score, back = np.full(n, n + 1, "int64"), np.full(n, -1, "int64")  # (n + 1) for each hit, less the changes
+    for i in range(1, n):
+        via = np.where((p[:i] < p[i]) & (q[:i] < q[i]), score[:i] - (off[:i] != off[i]), 0)
+        j = int(via.argmax())
+        if via[j] > 0:
+            score[i], back[i] = via[j] + n + 1, j
+    out, i = [], int(score.argmax())
+    while i >= 0:
+        out.append(i)
+        i = int(back[i])
+    return order[out[::-1]]
+
+
+def alignments(pos: np.ndarray, ipos: np.ndarray, total: int, size: int, share: float) -> Iterator[np.ndarray]:
+    """Indexes of the hits near the most frequent offset, then of chains of hits, where they cover the share of the item's windows."""
+    need = share * total
+    if len(np.unique(ipos)) < need:
+        return
+    off = pos - ipos
+    top = max(Counter(off.tolist()).most_common(), key=lambda x: (x[1], -x[0]))[0]
+    near = np.flatnonzero(np.abs(off - top) <= size)  # a word more or less moves the alignment a little
+    if len(np.unique(ipos[near])) >= need:
+        yield near
+    order = np.argsort(pos, kind="stable")
+    at = pos[order]
+    reach = max(LEAST_STRETCH, STRETCH * (total + size - 1))
+    last = -1
+    # a chain that covers enough begins among the item's first windows
+    for p in np.unique(pos[ipos <= total - need]).tolist():
+        a, b = np.searchsorted(at, (p, p + reach))
+        if p <= last or len(np.unique(ipos[order[a:b]])) < need:
+            continue
+        here = order[a:b]
+        found = here[chain(pos[here], ipos[here])]
+        if len(found) >= need:
+            yield found
+            last = int(pos[found[0]])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share: float = SHARE, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, r (row key of document and text), item_id, start_word, n_hits, n_windows, n_slots,
     n_changed (slots with other values than the item's) of each leaked item in each document."""
@@ -155,21 +201,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share: float
     def align(group: pa.Table) -> Iterator[pa.RecordBatch]:
         pos, ipos = group.column("pos").to_numpy(), group.column("ipos").to_numpy()
         total = group.column("n_windows")[0].as_py()
-        off = pos - ipos
-        best = Counter(off.tolist()).most_common()
-        top = max(best, key=lambda x: (x[1], -x[0]))[0]
-        near = np.abs(off - top) <= size  # a word more or less moves the alignment a little
-        found = np.unique(ipos[near])
-        if len(found) < share * total:
+        _, once = np.unique(pos.astype("int64") << 32 | ipos, return_index=True)  # both forms may agree
+        if len(once) < share * total:
             return
-        pairs = {}
-        for i in np.flatnonzero(near).tolist():
-            for j, (a, b) in enumerate(zip(group.column("iwords")[i].as_py(), group.column("words")[i].as_py())):
-                pairs[int(ipos[i]) + j] = (a, b)
-        n, changed, follow = slots(pairs)
-        if follow >= share * n:
-            one = lambda c: group.column(c)[0].as_py()
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([one("id")], pa.int64()), "r": [one("r")], "item_id": pa.array([one("item_id")], pa.int64()), "start_word": [int(pos[near].min())], "n_hits": [len(found)], "n_windows": [total], "n_slots": [n], "n_changed": [changed]})
+        if len(once) < len(pos):
+            pos, ipos, group = pos[once], ipos[once], group.take(once)
+        one = lambda c: group.column(c)[0].as_py()
+        best = None
+        for near in alignments(pos, ipos, total, size, share):
+            n_hits = len(np.unique(ipos[near]))
+            if best is not None and n_hits <= best[0]:
+                continue
+            pairs = {}
+            for i in near.tolist():
+                for j, (a, b) in enumerate(zip(group.column("iwords")[i].as_py(), group.column("words")[i].as_py())):
+                    pairs[int(ipos[i]) + j] = (a, b)
+            n, changed, follow = slots(pairs)
+            if follow >= share * n:
+                best = n_hits, int(pos[near].min()), n, changed
+                if n_hits == total:
+                    break
+        if best is not None:
+            n_hits, start, n, changed = best
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([one("id")], pa.int64()), "r": [one("r")], "item_id": pa.array([one("item_id")], pa.int64()), "start_word": [start], "n_hits": [n_hits], "n_windows": [total], "n_slots": [n], "n_changed": [changed]})
 
     # a group holds the hits of one document in one item, bounded by the document
     return key_groups(hits, ["r", "q"], align, "doc_id long, r long, item_id long, start_word long, n_hits long, n_windows long, n_slots long, n_changed long", parts(docs, 64))
