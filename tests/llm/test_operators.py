@@ -286,6 +286,23 @@ def test_secrets(spark, docs, forest, awkward, nothing):
     assert secret_scan.findings(nothing, forest, path).count() == 0
 
 
+def test_secrets_are_whole(spark, forest):
+    r = random.Random(3)
+    pick = lambda k: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(k))
+    jwt = f"eyJ{pick(117)}.eyJ{pick(147)}.{pick(143)}"
+    long, bare, odd = pick(215), "sk-" + pick(500), pick(12) + "&" + pick(9) + "!"
+    texts = [f'token="{jwt}" end', f'secret="{long}" end', f"see {bare} end", f"?user=bobby&password={long[:20]}&page=2 end", f"Server=db1;Password={long[:18]};Timeout=5 end", f'password="{odd}" end']
+    want = [jwt, long, bare, long[:20], long[:18], odd]
+    for t, v in zip(texts, want):
+        assert [t[a:b] for a, b, _ in secret_scan.candidates(t) if v in t[a:b]] == [v]
+    for t, v in (("?user=bobby&password=hunter", "hunter"), ("Server=db1;Password=Abc12;", "Abc12")):
+        assert v in [t[a:b] for a, b, _ in secret_scan.candidates(t)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.secret_sha256 for r in secret_scan.findings(docs, forest, bpe.default_path()).collect()}
+    assert got == {i: hashlib.sha256(v.encode()).hexdigest() for i, v in enumerate(want)}
+    assert all(v[-9:] not in t for v, t in zip(want, (r.text for r in secret_scan.redact(docs, forest, bpe.default_path()).orderBy("doc_id").collect())))
+
+
 def test_leaks(spark, docs, texts, awkward, nothing):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     items = {r.item_id: r.text for r in bench.collect()}

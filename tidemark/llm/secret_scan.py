@@ -1,9 +1,10 @@
 """Secret scans with a random forest that removes false positives.
 
-Patterns propose candidates: values assigned to a name, and long runs of key characters. A random
+Patterns propose candidates of any length: values assigned to a name, and long runs of key characters;
+those that overlap are one. Where such a union isn't a secret, its parts that are count. A random
 forest scores each from its length, its character transitions, how much of it dictionary words
 cover, the path it was found in and the words beside it. The forest is trained by Spark from labelled findings and applied
-inside the scan, so texts are read once and never shuffled.
+inside the scan, so texts are read once and never shuffled. It sees a value's first 200 characters; spans and digests are whole.
 
 Labelled findings are a table path, before, value, after, label. Where none is given, SAMPLE
 findings are drawn from the generator below with a fixed seed: credentials in known formats as true ones, and
@@ -21,7 +22,7 @@ import math
 import random
 import re
 import string
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -37,9 +38,12 @@ from tidemark.llm.common import table
 SAMPLE, TREES, DEPTH, SCORE = 4000, 20, 8, 0.5
 SEED = 7
 
-ASSIGNED = re.compile(r"[:=][ \t]*[\"'`]?([^\s\"'`<>]{6,200})")
+ASSIGN = re.compile(r"[:=]")
+OPEN = re.compile(r"[ \t]*[\"'`]?")
+VALUE = re.compile(r"[^\s\"'`<>]*")
+NEXT = re.compile(r"[&;,][\w.\-]+[:=](?=[^=])")  # the next assignment beside a value that isn't quoted
 NAME = re.compile(r"(?i)(pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth|bearer|credentials?|key)[\"'`]?[ \t]*$")
-BARE = re.compile(r"[A-Za-z0-9+/_=\-]{16,200}")
+BARE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
 BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
 PREFIX = re.compile(r"(AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{20,}$|sk-[A-Za-z0-9\-_]{16,}$|xox[abprs]-|glpat-|AIza|eyJ[A-Za-z0-9_\-]+\.?")
 DOUBT = re.compile(r"(?i)\b(commit|sha\d*|md5|checksum|digest|hash|etag|uuid|guid|id|example|sample|dummy|placeholder|revision|blob|tree|href|src|url|phone|isbn)\W*$")
@@ -85,32 +89,64 @@ def features(path: str, before: str, value: str, after: str, words: frozenset[st
     ]
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """Spans to be scored: start, end, kind. Of overlapping ones the first found stays."""
-    out: list[tuple[int, int, str]] = []  # in order, without overlaps
-
-    def add(a: int, b: int, kind: str) -> None:
-        i = bisect_left(out, (a, b, kind))
-        if (i == 0 or out[i - 1][1] <= a) and (i == len(out) or out[i][0] >= b):
-            out.insert(i, (a, b, kind))
-
+def proposed(text: str) -> list[tuple[int, int, str]]:
+    """Spans that the patterns propose: start, end, kind; they may overlap."""
+    out: list[tuple[int, int, str]] = []
     if "-----BEGIN" in text:
-        for m in BLOCK.finditer(text):
-            add(*m.span(), "private_key")
-    for m in ASSIGNED.finditer(text):
-        if NAME.search(text, max(0, m.start() - 40), m.start()):
-            a, b = m.span(1)
-            while b > a and text[b - 1] in ".,;)!?":
+        out += [(*m.span(), "private_key") for m in BLOCK.finditer(text)]
+    named: list[tuple[int, int]] = []  # name's start, value's start
+    end = cut = -1
+    for m in ASSIGN.finditer(text):
+        name = NAME.search(text, max(0, m.start() - 40), m.start())
+        if not name:
+            continue
+        a = OPEN.match(text, m.end()).end()
+        if a >= end:  # else it's in the value before, and ends with it
+            end, cut = VALUE.match(text, a).end(), -1
+        b, quote = end, text[a - 1] if text[a - 1] in "\"'`" else ""
+        if not quote:
+            if cut < a:
+                found = NEXT.search(text, a, end)
+                cut = found.start() if found else end
+            b = cut
+        if not quote or text[b : b + 1] != quote:
+            while b > a and text[b - 1] in "&.,;)!?":
                 b -= 1
-            if b - a >= 6:
-                add(a, b, "assigned")
+        if b - a >= 4:
+            out.append((a, b, "assigned"))
+            named.append((name.start(), a))
     for m in BARE.finditer(text):
-        v = m.group()
-        if any(c.isdigit() for c in v) and any(c.isalpha() for c in v):
-            add(*m.span(), "bare")
+        begin, end = m.span()
+        i = bisect_left(named, begin, key=lambda x: x[1])
+        pieces = []
+        while i < len(named) and named[i][1] < end:  # the name beside a value is no part of it
+            pieces.append((begin, named[i][0]))
+            begin = max(begin, named[i][1])
+            i += 1
+        for a, b in (*pieces, (begin, end)):
+            v = text[a:b]
+            if len(v) >= 16 and any(c.isdigit() for c in v) and any(c.isalpha() for c in v):
+                out.append((a, b, "bare"))
     return out
 
 
+def merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The unions of overlapping spans, in order; the kind is the first of private_key, assigned and bare."""
+    out: list[tuple[int, int, str]] = []
+    for a, b, kind in sorted(spans):
+        if out and a < out[-1][1]:
+            c, d, other = out[-1]
+            out[-1] = c, max(b, d), min(kind, other, key=("private_key", "assigned", "bare").index)
+        else:
+            out.append((a, b, kind))
+    return out
+
+
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """Spans to be scored: start, end, kind, in order and without overlaps."""
+    return merged(proposed(text))
+
+
 # ---- labelled findings and training --------------------------------------------------------------
 
 
@@ -197,12 +233,26 @@ def train(spark: SparkSession, labelled: DataFrame | None = None, sample: int =
 
 
 def _scored(text: str, path: str, forest: Forest, words: frozenset[str], least: float) -> list[tuple[int, int, str, float]]:
-    spans = candidates(text)
-    if not spans:
+    found = proposed(text)
+    if not found:
         return []
+    whole = merged(found)
+    spans = sorted({*found, *whole})
     x = np.array([features(path, text[max(0, a - 40) : a], text[a : min(b, a + 200)], text[b : b + 20], words) for a, b, _ in spans])
-    p = np.where([k == "private_key" for _, _, k in spans], 1.0, forest.score(x))
-    return [(a, b, k, float(s)) for (a, b, k), s in zip(spans, p) if s >= least]
+    p = dict(zip(spans, np.where([k == "private_key" for _, _, k in spans], 1.0, forest.score(x)).tolist()))
+    out, good = [], []
+    for span in whole:
+        if p[span] >= least:
+            out.append((*span, p[span]))
+        else:
+            good.append(span)
+    if good and len(spans) > len(whole):  # of a union that is no secret, the parts that are
+        starts = [a for a, _, _ in good]
+        parts = [s for s in found if p[s] >= least and (i := bisect_right(starts, s[0])) and s[1] <= good[i - 1][1]]
+        for a, b, kind in merged(parts):
+            out.append((a, b, kind, max(p[s] for s in parts if a <= s[0] and s[1] <= b)))
+        out.sort()
+    return out
 
 
 def findings(docs: DataFrame, forest: Forest, dictionary: str, path: str = "source", text: str = "text", carry: Sequence[str] = ("doc_id",), least: float = SCORE) -> DataFrame:
