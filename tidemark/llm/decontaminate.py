@@ -49,21 +49,21 @@ KINDS = ("", "<num>", "<name>", "<unit>")
 
 
 class Hashes(dict):
-    """Packed 64-bit hashes of words' template forms, started anew when full."""
-
-    def __init__(self, folded: bool):
-        self.folded = folded
+    """Packed 64-bit hashes of words' template and folded forms, started anew when full."""
 
     def __missing__(self, word: str) -> bytes:
-        h = xxhash.xxh3_64_digest(canonical(word, self.folded)[0])
+        form, kind = canonical(word)
+        h = xxhash.xxh3_64_digest(form)
+        # the forms differ for names, and for literals beyond ASCII that folding changes
+        both = h + (h if kind in (1, 3) or kind == 0 and form.isascii() else xxhash.xxh3_64_digest(canonical(word, True)[0]))
         if len(word) < 100:
             if len(self) >= 300_000:
                 self.clear()
-            self[word] = h
-        return h
+            self[word] = both
+        return both
 
 
-_seen, _folded = Hashes(False), Hashes(True)
+_seen = Hashes()
 
 
 def canonical(word: str, folded: bool = False) -> tuple[str, int]:
@@ -79,15 +79,18 @@ def canonical(word: str, folded: bool = False) -> tuple[str, int]:
     return core.casefold() if folded else low, 0
 
 
-def windows(words: list[str], size: int = SIZE, folded: bool = False) -> np.ndarray:
-    """A 64-bit hash for each window of template words; one window if there are fewer words."""
+def windows(words: list[str], size: int = SIZE) -> np.ndarray:
+    """A 64-bit hash for each window of template words, and one for its folded form (two rows); one
+    window if there are fewer words."""
     if not words:
-        return np.zeros(0, "int64")
-    w = np.frombuffer(b"".join(map((_folded if folded else _seen).__getitem__, words)), "uint64")
-    k = min(size, len(w))
-    h = np.full(len(w) - k + 1, k, "uint64")
+        return np.zeros((2, 0), "int64")
+    w = np.frombuffer(b"".join(map(_seen.__getitem__, words)), "uint64").reshape(-1, 2).T.copy()
+    k = min(size, w.shape[1])
+    n = w.shape[1] - k + 1
+    h = np.full((2, n), k, "uint64")
     for j in range(k):
-        h = (h ^ w[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= w[:, j : j + n]
+        h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
     return h.view("int64")
 
@@ -104,11 +107,13 @@ def _window_rows(rows: DataFrame, size: int, only: np.ndarray | None) -> DataFra
             out = [[] for _ in range(6)]
             for d, r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = t.as_py().split() if t.is_valid else []
-                h, folded = windows(words, size), windows(words, size, folded=True)
-                for form, at in ((h, np.arange(len(h))), (folded, np.flatnonzero(folded != h))):
-                    if only is not None:
-                        at = at[bits[form[at] & ((1 << 20) - 1)]]
-                        at = at[only[np.searchsorted(only, form[at]).clip(max=len(only) - 1)] == form[at]] if len(at) else at
+                h, folded = windows(words, size)
+                for form in (h, folded):
+                    at = np.arange(len(h)) if only is None else np.flatnonzero(bits[form & ((1 << 20) - 1)])
+                    if form is folded and len(at):
+                        at = at[form[at] != h[at]]
+                    if only is not None and len(at):
+                        at = at[only[np.searchsorted(only, form[at]).clip(max=len(only) - 1)] == form[at]]
                     for p in at.tolist():
                         for col, v in zip(out, (d, r, p, int(form[p]), len(h), words[p : p + size])):
                             col.append(v)
