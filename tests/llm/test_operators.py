@@ -2,6 +2,7 @@
 ties, repeated rows, empty tables, and extra columns with clashing names."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -384,6 +385,24 @@ def test_license_labels(spark):
     assert got[2].base_labels == "gpl,mit" and got[3].labels == ""
 
 
+def test_license_texts_and_headers(spark):
+    header = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+    texts = {
+        mit: {"mit"}, mit.replace("without limitation the", "without any limitation the"): {"mit"}, header.format("", 3): {"gpl", "gpl-3.0"}, header.format("", 2): {"gpl", "gpl-2.0"},
+        header.format("Lesser ", "2.1"): {"lgpl-2.1"}, header.format("Affero ", 3): {"agpl-3.0"}, "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007": {"lgpl-3.0"},
+        "// SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause)\nint x;": {"gpl-2.0-only", "bsd-3-clause"}, "the spdx license identifier": {""},
+        "Apache License Version 2.0, January 2004": {"apache", "apache-2.0"}, "released under CC BY-NC 4.0": {"cc-by", "cc-by-nc-4.0"},
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = {w: 1.0 for _, _, t in license_scan.TEMPLATES for w in t.split()}
+    got = {r.doc_id: set(r.labels.split(",")) for r in license_scan.scan(docs, weights=weights).collect()}
+    assert got == dict(enumerate(texts.values()))
+    words = {w: sum(w in license_scan.plain_words(t) for t in texts) for w in weights}
+    found = license_scan.idf(docs.select(license_scan.normal(docs.text).alias("n")))
+    assert found == {w: math.log((1 + len(texts)) / (1 + c)) for w, c in words.items()}
+
+
 # ---- WARC ----------------------------------------------------------------------------------------
 
 

@@ -1,10 +1,12 @@
 """License scans with a positional index of rare words.
 
 Base labels come from four phrases whose words stand consecutively. Further labels come from
-templates of short license notices. The index keeps, for each template, its words of highest IDF
-with their positions. A document with a template's mandatory key phrase looks up those words; each
-occurrence votes for the offset of document position less template position, and the offset with the
-largest share of the template's IDF mass gives the score. IDF is counted over all documents, for the
+templates of license notices, standard headers and passages of full texts, several for a license, and
+from SPDX-License-Identifier lines, whose identifiers are labels in lower case. The index keeps, for each template, its words of highest IDF
+with their positions (chosen once for a template, not for each document). A document with a template's mandatory key phrase looks up those words; each
+occurrence votes for the offset of document position less template position, a word counts for an
+offset within TOLERANCE of its vote, and the offset with the
+largest share of the template's IDF mass gives the score. A license's score is that of its best template. IDF is counted over all documents, for the
 few hundred words of the templates. Only DataFrame functions are used, and nothing is shuffled but
 the sums of the counts.
 
@@ -44,10 +46,35 @@ TEMPLATES = (
     ("cc-by-sa-4.0", "cc by sa 4 0", "this work is licensed under cc by sa 4 0"),
     ("isc", "permission to use copy modify and or distribute", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "the above copyright notice and this permission notice shall be included", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("gpl-3.0", "gnu general public license as published by the free software foundation either version 3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-2.0", "gnu general public license as published by the free software foundation either version 2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3.0", "gnu general public license version 3 29 june 2007", "gnu general public license version 3 29 june 2007"),
+    ("gpl-2.0", "gnu general public license version 2 june 1991", "gnu general public license version 2 june 1991"),
+    ("lgpl-3.0", "gnu lesser general public license as published by the free software foundation either version 3", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1", "gnu lesser general public license as published by the free software foundation either version 2 1", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-3.0", "lesser general public license version 3", "gnu lesser general public license version 3"),
+    ("lgpl-2.1", "lesser general public license version 2 1", "gnu lesser general public license version 2 1"),
+    ("agpl-3.0", "gnu affero general public license as published by the free software foundation either version 3", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-3.0", "affero general public license version 3", "gnu affero general public license version 3"),
+    ("apache-2.0", "apache license version 2 0 january 2004", "apache license version 2 0 january 2004"),
+    ("bsd", "redistributions of source code must retain the above copyright notice", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("mpl-2.0", "mozilla public license version 2 0", "mozilla public license version 2 0"),
+    ("cc-by-4.0", "creative commons attribution 4 0", "creative commons attribution 4 0"),
+    ("cc-by-sa-4.0", "creative commons attribution sharealike 4 0", "creative commons attribution sharealike 4 0"),
+    ("cc-by-nc-4.0", "cc by nc 4 0", "cc by nc 4 0"),
+    ("cc0-1.0", "cc0 1 0 universal", "cc0 1 0 universal"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose"),
 )
 
+#: The expression after an SPDX tag, and its identifiers (all words but the operators).
+SPDX, SPDX_LINE, SPDX_ID = "spdx-license-identifier", r"(?i)spdx-license-identifier:[ \t]*([A-Za-z0-9.+\- \t()]+)", r"[A-Za-z0-9][A-Za-z0-9.+\-]*"
+
 #: Words of highest IDF that index a template, and the share of their IDF mass that must align.
 RARE, SHARE = 6, 0.8
+#: Words by which a vote may miss the offset, where words were put in or left out.
+TOLERANCE = 3
 
 
 def normal(text: Column) -> Column:
@@ -67,33 +94,36 @@ def _phrase(p: str) -> str:
 def idf(normals: DataFrame) -> dict[str, float]:
     """IDF of the templates' words over all rows of column n; as many values as there are words."""
     words = sorted({w for _, _, t in TEMPLATES for w in t.split()})
-    row = normals.agg(F.count("*").alias("rows"), *[F.sum(F.contains("n", F.lit(f" {w} ")).cast("long")).alias(f"c{i}") for i, w in enumerate(words)]).first()
-    return {w: math.log((1 + row.rows) / (1 + (row[f"c{i}"] or 0))) for i, w in enumerate(words)}
+    own = F.array_intersect(F.split("n", " "), F.array(*map(F.lit, words), F.lit("")))  # each word once; "" counts the rows
+    held = F.when(F.col("n") == "", F.array(F.lit(""))).otherwise(own)
+    count = {r.w: r["count"] for r in normals.select(F.explode(held).alias("w")).groupBy("w").count().collect()}
+    return {w: math.log((1 + count.get("", 0)) / (1 + count.get(w, 0))) for w in words}
 
 
-def rare_index(weights: dict[str, float]) -> dict[str, list[tuple[str, int, float]]]:
+def rare_index(weights: dict[str, float]) -> list[list[tuple[str, int, float]]]:
     """For each template its postings: word, position, weight; highest IDF first, ties by position."""
-    out = {}
-    for label, _, text in TEMPLATES:
+    out = []
+    for _, _, text in TEMPLATES:
         places = sorted(enumerate(text.split()), key=lambda x: (-weights[x[1]], x[0]))[:RARE]
-        out[label] = [(w, i, max(weights[w], 1e-6)) for i, w in sorted(places)]
+        out.append([(w, i, max(weights[w], 1e-6)) for i, w in sorted(places)])
     return out
 
 
 def _aligned(n: Column, postings: list[tuple[str, int, float]]) -> Column:
-    """The largest share of the postings' weight that stands at one offset."""
+    """The largest share of the postings' weight that stands near one offset; a posting counts once."""
     words = F.array_remove(F.split(n, " "), "")
     total = sum(w for _, _, w in postings)
 
     def votes(ws: Column) -> Column:
         def of(word: str, place: int, weight: float) -> Column:
-            at = F.transform(ws, lambda x, i: F.when(x == word, F.struct((i - place).alias("o"), F.lit(weight).alias("v"))))
-            return F.filter(at, lambda x: x.isNotNull())
+            at = F.transform(ws, lambda x, i: F.when(x == word, i - place))
+            return F.struct(F.filter(at, lambda x: x.isNotNull()).alias("o"), F.lit(weight).alias("v"))
 
-        return F.concat(*[of(*p) for p in postings])
+        return F.array(*[of(*p) for p in postings])
 
     def best(vs: Column) -> Column:
-        share = F.transform(vs, lambda x: F.aggregate(vs, F.lit(0.0), lambda a, y: a + F.when(y["o"] == x["o"], y["v"]).otherwise(0.0)))
+        near = lambda o: lambda y: F.exists(y["o"], lambda z: F.abs(z - o) <= TOLERANCE)
+        share = F.transform(F.array_distinct(F.flatten(F.transform(vs, lambda x: x["o"]))), lambda o: F.aggregate(F.filter(vs, near(o)), F.lit(0.0), lambda a, y: a + y["v"]))
         return F.coalesce(F.array_max(share), F.lit(0.0)) / F.lit(total)
 
     once = lambda value, then: F.transform(F.array(value), then)[0]
@@ -103,7 +133,9 @@ def _aligned(n: Column, postings: list[tuple[str, int, float]]) -> Column:
 def scan(docs: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",), weights: dict[str, float] | None = None) -> DataFrame:
     """carry, n_words, n_base, first_word, last_word (long), base_labels, labels, score."""
     n = F.col("n")
-    read = docs.select(*carry, normal(text_or_empty(text)).alias("n"))
+    tagged = F.when(F.contains(F.lower(text_or_empty(text)), F.lit(SPDX)), F.regexp_extract_all(text_or_empty(text), F.lit(SPDX_LINE), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    ids = F.flatten(F.transform(tagged, lambda x: F.regexp_extract_all(F.lower(x), F.lit(SPDX_ID), F.lit(0))))
+    read = docs.select(*carry, normal(text_or_empty(text)).alias("n"), F.filter(ids, lambda x: ~x.isin("and", "or", "with")).alias("_spdx"))
     index = rare_index(weights or idf(read.select("n")))
     found, firsts, lasts, base = [], [], [], []
     for p, label in PHRASES.items():
@@ -112,20 +144,20 @@ def scan(docs: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",)
         firsts.append(F.when(here, _words(F.get(cut, F.lit(0)))))
         lasts.append(F.when(here, _words(n) - _words(F.element_at(cut, -1)) - width))
         base.append(F.when(here, F.lit(label)))
-    scores = [F.when(F.contains(n, F.lit(_phrase(key))), _aligned(n, index[label])).otherwise(0.0).alias(label) for label, key, _ in TEMPLATES]
+    scores = [F.when(F.contains(n, F.lit(_phrase(key))), _aligned(n, postings)).otherwise(0.0) for (_, key, _), postings in zip(TEMPLATES, index)]
     labels = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     some = F.filter(F.array(*base), lambda x: x.isNotNull())
     out = read.select(
         *carry,
         _words(n).cast("long").alias("n_words"), sum(found[1:], found[0]).cast("long").alias("n_base"),
         F.least(*firsts).cast("long").alias("first_word"), F.greatest(*lasts).cast("long").alias("last_word"),
-        some.alias("_b"), F.array(*[F.struct(F.lit(label).alias("l"), s.alias("s")) for (label, _, _), s in zip(TEMPLATES, scores)]).alias("_s"),
+        F.concat(some, "_spdx").alias("_all"), some.alias("_b"), F.array(*[F.struct(F.lit(label).alias("l"), s.alias("s")) for (label, _, _), s in zip(TEMPLATES, scores)]).alias("_s"),
     )
     own = F.transform(F.filter("_s", lambda x: x["s"] >= SHARE), lambda x: x["l"])
     top = F.array_max(F.transform("_s", lambda x: x["s"]))
     return out.select(
         *carry, "n_words", "n_base", "first_word", "last_word",
-        labels(F.col("_b")).alias("base_labels"), labels(F.concat("_b", own)).alias("labels"), top.cast("double").alias("score"),
+        labels(F.col("_b")).alias("base_labels"), labels(F.concat("_all", own)).alias("labels"), top.cast("double").alias("score"),
     )
 
 
@@ -133,9 +165,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def plain_words(text: str | None) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans(UPPER, LOWER)))
+
+
 def plain_scan(text: str | None) -> tuple:
     """The base columns of one text, by plain Python; for tests."""
-    t = (text or "").translate(str.maketrans(UPPER, LOWER))
-    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+    ws = plain_words(text)
     at = [(i, label) for p, label in PHRASES.items() for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split()]
     return len(ws), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
