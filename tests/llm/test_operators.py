@@ -196,6 +196,16 @@ def test_near_duplicates(docs, texts, percent):
     assert by_id(near_dup.near_duplicates(docs, percent=percent)) == plain_components(list(texts.items()), percent)
 
 
+def test_bands_follow_the_threshold(spark):
+    assert near_dup.banding(85) == (64, 10) and near_dup.banding(80) == (80, 8)
+    for percent in (1, 30, 50, 70, 80, 85, 90, 100):
+        bands, rows = near_dup.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands < 1e-6
+    docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    for percent, n in ((85, 64), (80, 80)):
+        assert len(near_dup.signatures(docs, percent=percent).first()["keys"]) == n
+
+
 def test_near_duplicates_in_a_large_group(spark):
     """Over several blocks: chains of edits, whose ends are far apart."""
     r = random.Random(2)

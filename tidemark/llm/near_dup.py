@@ -11,7 +11,7 @@ members, and a task compares two blocks at a time: common shingles are counted b
 incidence matrices, in slices of columns. It emits a spanning forest of the links that it confirms,
 never the pairs it compared. So any number of copies fits, and each pair of a cluster is compared in
 exactly one task: links are lost only where no band agrees (below one in a million at the
-threshold).
+threshold, for which bands and their coordinates are chosen).
 
 Documents with equal sets are one node from the start, and only nodes that share a band travel with
 their texts.
@@ -25,6 +25,7 @@ those in `carry` are left out.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -40,7 +41,7 @@ from tidemark.llm.components import components
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-#: Positions of the permutations, bands, coordinates in a band, members of a block.
+#: Positions of the permutations, bands and coordinates in a band at 85 percent, members of a block.
 D, BANDS, ROWS, BLOCK = 1 << 20, 64, 10, 256
 SEED = 20250101
 
@@ -57,6 +58,17 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
     return np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), "uint64", len(grams)))
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and coordinates in each: the longest bands, of about BANDS * ROWS coordinates in all, that a
+    pair at the threshold misses with a probability below one in a million."""
+    s = percent / 100
+    for rows in range(ROWS, 0, -1):
+        bands = BANDS * ROWS // rows
+        if (1 - s**rows) ** bands < 1e-6:
+            return bands, rows
+    return math.ceil(math.log(1e-6) / math.log(1 - s)), 1
+
+
 def _ranking(k: int) -> np.ndarray:
     """The second permutation, its first k ranks once more at the end, so that a shift is a slice."""
     if k not in _ranks:
@@ -87,8 +99,9 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h.view("int64")
 
 
-def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
+def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, set_hash (binary; null for an empty set) and keys (array of long)."""
+    bands, rows_each = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +111,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
                 for t in part.column(1).to_pylist():
                     if t not in seen:
                         s = shingles(t, size)
-                        seen[t] = (len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(signature(s))) if len(s) else (0, None, np.zeros(0, "int64"))
+                        seen[t] = (len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(signature(s, bands * rows_each), bands)) if len(s) else (0, None, np.zeros(0, "int64"))
                     a, b, c = seen[t]
                     n.append(a)
                     sets.append(b)
@@ -180,7 +193,7 @@ def confirmed(members: DataFrame, percent: int, size: int, n: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, for links of 100 * intersection >= percent * union."""
     n = parts(docs, 8)
-    sigs = stored(signatures(docs, key, text, size), "signatures")
+    sigs = stored(signatures(docs, key, text, size, percent), "signatures")
     nodes = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys"))
     nodes = stored(nodes, "nodes")
     bands = nodes.select("node", F.explode("keys").alias("band"))
