@@ -3,6 +3,7 @@ streams of key groups inside a task."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,15 +15,22 @@ from pyspark.sql import functions as F
 #: White space that separates words.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
+#: Shuffle partitions at most: what the driver holds of each map task's output is in proportion to them. Beyond
+#: it tasks read more and go on streaming.
+MOST_PARTS = 20_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where none is named."""
+    """The folder that driver and executors share; a local one is set only where none is named and all
+    run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,11 +55,11 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def parts(df: DataFrame, mb_each: int = 16, least: int = 12) -> int:
-    """Partitions for a shuffle of df's rows: in proportion to the input, at least the session's. Frames that
-    aren't read from files have no known size; for them the session's number holds."""
+    """Partitions for a shuffle of df's rows: in proportion to the input, at least the session's and MOST_PARTS
+    at most. Frames that aren't read from files have no known size; for them the session's number holds."""
     low = max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     size = input_bytes(df)
-    return low if size >= 1 << 55 else int(max(low, size / (mb_each << 20)))
+    return low if size >= 1 << 55 else max(low, min(MOST_PARTS, size // (mb_each << 20)))
 
 
 def key_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema, n: int | None = None) -> DataFrame:

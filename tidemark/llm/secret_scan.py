@@ -4,7 +4,7 @@ Patterns propose candidates of any length: values assigned to a name, and long r
 those that overlap are one. Where such a union isn't a secret, its parts that are count. A random
 forest scores each from its length, its character transitions, how much of it dictionary words
 cover, the path it was found in and the words beside it. The forest is trained by Spark from labelled findings and applied
-inside the scan, so texts are read once and never shuffled. It sees a value's first 200 characters; spans and digests are whole.
+inside the scan, so texts are read once and never shuffled. Values of any length are scored, digested and redacted whole.
 
 Labelled findings are a table path, before, value, after, label. Where none is given, SAMPLE
 findings are drawn from the generator below with a fixed seed: credentials in known formats as true ones, and
@@ -238,7 +238,7 @@ def _scored(text: str, path: str, forest: Forest, words: frozenset[str], least:
         return []
     whole = merged(found)
     spans = sorted({*found, *whole})
-    x = np.array([features(path, text[max(0, a - 40) : a], text[a : min(b, a + 200)], text[b : b + 20], words) for a, b, _ in spans])
+    x = np.array([features(path, text[max(0, a - 40) : a], text[a:b], text[b : b + 20], words) for a, b, _ in spans])
     p = dict(zip(spans, np.where([k == "private_key" for _, _, k in spans], 1.0, forest.score(x)).tolist()))
     out, good = [], []
     for span in whole:

@@ -122,7 +122,7 @@ def shards(docs: DataFrame, n: int = 24, key: str = "doc_id", text: str = "text"
     held = placed.groupBy("shard", "_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_part")) - F.col("_n")
     bases = held.select("shard", "_part", "_first", before.alias("_before"))
-    # bases has a row for each shuffle partition, and one more for each cut
+    # bases has a row for each of at most MOST_PARTS partitions, and one more for each cut: below 2 MB
     return placed.join(F.broadcast(bases), ["shard", "_part"]).select("doc_id", "size", "text_crc32", "g", "shard", (F.col("_before") + F.col("_place") - F.col("_first")).alias("slot"))
 
 

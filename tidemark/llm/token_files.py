@@ -4,7 +4,7 @@ Documents are dealt out by ranges of their number. Each task encodes its range,
 to each document and writes three files: `<part>.bin`, the ids as flat little-endian unsigned
 integers (16 bits where the vocabulary allows, else 32), `<part>.off`, the 64-bit offset of each
 document in ids plus the end of the last, and `<part>.doc`, the document numbers. Task summaries go to the
-`index` table; the start of each part among all ids is a prefix sum over it, one row a part. Readers
+`index` table; the start of each part among all ids is a prefix sum over it, in blocks of parts. Readers
 memory-map the files, or read them whole where the store can't map.
 
 A task writes under a name of its own attempt and renames at the end, so a repeated task leaves
@@ -31,6 +31,8 @@ from tidemark.llm.bpe import default_path, encoder
 from tidemark.llm.common import parts, scratch, table
 
 NO_ID = np.iinfo("int64").max
+#: Parts whose bases are summed in one window; its square is above MOST_PARTS, so one window holds the blocks.
+BLOCK = 1024
 INDEX = "part int, bits int, n_docs long, n_ids long, path string"
 
 
@@ -94,9 +96,14 @@ def mapped(uri: str, kind: str) -> np.ndarray:
 
 
 def based(index: DataFrame) -> DataFrame:
-    """The index with base: the ids in all parts before. One row a part, not a document."""
-    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return index.withColumn("base", F.coalesce(F.sum("n_ids").over(w), F.lit(0)))
+    """The index with base: the ids in all parts before. Prefix sums in two levels: over the parts of each
+    block of BLOCK, and over the blocks, of which there are at most MOST_PARTS / BLOCK."""
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = index.withColumns({"_block": F.floor(F.col("part") / BLOCK), "_top": F.floor(F.col("part") / (BLOCK * BLOCK))})
+    blocks = rows.groupBy("_top", "_block").agg(F.sum("n_ids").alias("n_ids"))
+    blocks = blocks.select("_block", before(Window.partitionBy("_top").orderBy("_block")).alias("_before"))
+    within = rows.withColumn("_own", before(Window.partitionBy("_block").orderBy("part")))
+    return within.join(blocks, "_block").withColumn("base", F.col("_before") + F.col("_own")).select(*index.columns, "base")
 
 
 def read(index: DataFrame, digest: bool = False) -> DataFrame:
