@@ -149,9 +149,11 @@ def test_deep_shallow_sorts():
             for _ in range(r.choice((0, 0, 1, 2))):
                 b[r.randrange(100)] = r.choice(b"abc")
             rows.append(bytes(b))
-        got = suffix_dedup.deep_shallow(np.array([list(x) for x in rows], "uint8"))
-        assert [rows[g[0]] for g in got] == sorted(set(rows))
-        assert sorted(i for g in got for i in g) == list(range(len(rows)))
+        group = np.array([r.randrange(2) for _ in rows])
+        order, edge = suffix_dedup.deep_shallow(np.frombuffer(b"".join(rows), "uint8"), np.arange(len(rows)) * 100, 100, group)
+        assert sorted(order.tolist()) == list(range(len(rows)))
+        keys = [(group[i], rows[i]) for i in order]
+        assert keys == sorted(keys) and edge.tolist() == [i == 0 or keys[i] != keys[i - 1] for i in range(len(keys))]
 
 
 @pytest.mark.parametrize("hot", [1, 2000])

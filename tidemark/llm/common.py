@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,8 +63,9 @@ def parts(df: DataFrame, mb_each: int = 16, least: int = 12) -> int:
     return low if size >= 1 << 55 else max(low, min(MOST_PARTS, size // (mb_each << 20)))
 
 
-def key_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema, n: int | None = None) -> DataFrame:
-    """work() on each group of equal keys, many small groups to a task without a call for each.
+def key_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema, n: int | None = None, least: int = 1) -> DataFrame:
+    """work() on groups of equal keys (integers, not null), many groups to a task without a call for each: one group
+    at a time, or whole groups of at least `least` rows together.
 
     Rows are dealt out by the keys and sorted; a task cuts its stream where the key changes. The
     caller bounds the size of a group."""
@@ -72,21 +74,23 @@ def key_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterat
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        last = None
+        rows, last = 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
-            marks = list(zip(*cols))
+            cols = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys])
+            new = np.append(True, (cols[:, 1:] != cols[:, :-1]).any(axis=0))
+            new[0] = last is None or (cols[:, 0] != last).any()
             begin = 0
-            for i, key in enumerate(marks):
-                if key != last:
+            for i in np.flatnonzero(new).tolist():
+                if rows + i - begin >= least:
                     if i > begin:
                         held.append(batch.slice(begin, i - begin))
                     if held:
                         yield from work(pa.Table.from_batches(held))
-                    held, begin, last = [], i, key
+                    held, rows, begin = [], 0, i
             held.append(batch.slice(begin))
+            rows, last = rows + batch.num_rows - begin, cols[:, -1]
         if held:
             yield from work(pa.Table.from_batches(held))
 

@@ -5,20 +5,20 @@ number, or earlier in the same one. Sorting all suffixes of a large corpus in on
 reach, so suffixes are first dealt into independent parts that can be sorted alone:
 
 * Windows. Only suffixes with WIDTH bytes left matter, cut to that length ("windows"). Equal windows
-  have an equal anchor: the smallest hash of the K-byte strings inside. Neighbouring windows with one
-  anchor form a segment, about (WIDTH - K) / 2 windows long.
+  have an equal anchor, the smallest hash of the K-byte strings inside, at the same place. Neighbouring windows
+  with one anchor form a segment, about (WIDTH - K) / 2 windows long.
 * Digests. Segments travel as (anchor, digest of the bytes, document, start, length), packed; equal
   segments beyond the first are repeats in whole, with no text moved.
-* Sorting. Only where one anchor has several different segments do their bytes travel, one copy
-  of each. All windows under the anchor are put in order by deep-shallow sorting: multikey quicksort
-  on 8-byte characters to a shallow depth, then blind tries for the groups that still agree. Windows
-  that share a leaf are equal; all but the first are repeats.
-* Hot anchors. Where an anchor has more than HOT different segments, its windows are dealt out one by
-  one by their digest and the first of each is a partial aggregate, so no task gathers them.
+* Sorting. Where one anchor has several different segments their bytes travel, one copy of each. The windows
+  of many anchors at a time are put in order by deep-shallow sorting, anchor by anchor and by the anchor's place in
+  the window: multikey quicksort on 8-byte characters to a shallow depth, then blind tries for the groups that
+  still agree. Windows that share a leaf are equal; all but the first are repeats.
+* Hot anchors. An anchor with more than HOT different segments would be too large a part. Its windows are sorted the
+  same way twice: in each task, where local repeats drop out, and then in parts dealt by the digest of the whole window.
 
 Tasks drop local repeats before the shuffle, so a text with millions of copies sends a few rows from
 each task. Repeats return to their documents as packed intervals, merged into the removed spans. Texts
-are looked up twice in a bucketed table of the warehouse, suffix_dedup_<id>, which stays until it is dropped.
+are looked up twice in a bucketed table in the shared folder, one row a document each time.
 
 Defined results: a null or empty text has 0 bytes and the digest of no bytes; texts shorter than
 WIDTH lose nothing. Documents are ordered by number; rows that repeat a number are one document
@@ -29,7 +29,6 @@ comes after all others. An empty table gives no rows; columns other than the two
 from __future__ import annotations
 
 import hashlib
-import os
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -39,16 +38,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import key_groups, parts, stored, table
+from tidemark.llm.common import key_groups, parts, scratch, stored, table
 
 #: Bytes of an anchor; shallow depth in bytes; bytes of a slice of a long text, and places in a slice.
 K, SHALLOW, SLICE, PLACES = 32, 32, 1 << 20, 1 << 21
 
-#: Different segments of one anchor beyond which its windows are dealt out alone; packed segments that a task holds.
-HOT, HELD = 2000, 1_000_000
+#: Different segments of one anchor beyond which its windows are dealt out alone; packed segments that a task holds;
+#: segments and windows that are sorted at a time.
+HOT, HELD, SEGMENTS, WINDOWS = 2000, 1_000_000, 4000, 100_000
 
-#: A packed segment: anchor, digest, document key (two halves), start, windows, whether several segments of the anchor are known already.
-SEG = np.dtype([("h", "<i8"), ("c", "<i8"), ("d", "<i8"), ("e", "<i8"), ("s", "<i8"), ("n", "<i2"), ("m", "<i2")])
+#: A packed segment: anchor, digest, document key (two halves), start, windows, place of the anchor, whether several
+#: segments of the anchor are known already.
+SEG = np.dtype([("h", "<i8"), ("c", "<i8"), ("d", "<i8"), ("e", "<i8"), ("s", "<i8"), ("n", "<i2"), ("a", "<i2"), ("m", "<i2")])
 #: A packed interval of windows.
 RUNS = np.dtype([("s", "<i8"), ("n", "<i4")])
 LAST = np.iinfo("int64").max
@@ -58,43 +59,38 @@ LAST = np.iinfo("int64").max
 
 
 class _Trie:
-    """A blind trie: inner nodes hold the depth at which their strings part, edges one byte."""
+    """A blind trie over strings of one length: inner nodes hold the depth at which their strings part, edges one byte."""
 
     def __init__(self, strings: Sequence[bytes]):
-        self.strings, self.root = strings, None
+        self.strings, self.root = strings, [0]
+        for i in range(1, len(strings)):
+            self.add(i)
 
     def add(self, i: int) -> None:
-        s = self.strings
-        if self.root is None:
-            self.root = [i]
-            return
-        new, node, path = s[i], self.root, []
+        new, node = self.strings[i], self.root
         while isinstance(node, tuple):  # descend blindly: bytes between branching depths are skipped
             depth, edges = node
-            path.append(node)
-            node = edges.get(new[depth : depth + 1]) or next(iter(edges.values()))
-        old = s[node[0]]
+            node = edges.get(new[depth]) or next(iter(edges.values()))
+        old = self.strings[node[0]]
         if old == new:
             node.append(i)
             return
-        at = len(os.path.commonprefix((old, new)))
+        # the first byte that differs
+        at = len(new) - ((int.from_bytes(old) ^ int.from_bytes(new)).bit_length() + 7) // 8
         above, below = None, self.root
         while isinstance(below, tuple) and below[0] < at:
-            above, below = below, below[1].get(new[below[0] : below[0] + 1])
-            if below is None:
-                above[1][new[above[0] : above[0] + 1]] = [i]
-                return
+            above, below = below, below[1][new[below[0]]]  # the string agrees to here
         if isinstance(below, tuple) and below[0] == at:
-            below[1][new[at : at + 1]] = [i]
+            below[1][new[at]] = [i]
             return
-        fork = (at, {old[at : at + 1]: below, new[at : at + 1]: [i]})
+        fork = (at, {old[at]: below, new[at]: [i]})
         if above is None:
             self.root = fork
         else:
-            above[1][new[above[0] : above[0] + 1]] = fork
+            above[1][new[above[0]]] = fork
 
     def leaves(self) -> Iterator[list[int]]:
-        stack = [self.root] if self.root is not None else []
+        stack = [self.root]
         while stack:
             node = stack.pop()
             if isinstance(node, list):
@@ -103,57 +99,89 @@ class _Trie:
                 stack += [node[1][b] for b in sorted(node[1], reverse=True)]
 
 
-def deep_shallow(strings: np.ndarray) -> list[list[int]]:
-    """strings: rows of bytes (uint8, equal lengths). Their places in sorted order, equal ones in one
-    list. Quicksort on 8-byte characters refines the order character by character, in unsettled
-    groups only, to SHALLOW bytes; tries do the rest."""
-    n, width = strings.shape
-    if not n:
-        return []
-    padded = np.zeros((n, -(-width // 8) * 8), "uint8")
-    padded[:, :width] = strings
-    chars = padded.view(">u8").astype("uint64")
-    order = np.arange(n)
-    group = np.zeros(n, "int64")  # of order's places
-    for depth in range(min(SHALLOW // 8, chars.shape[1])):
-        size = np.bincount(group)
-        open_ = size[group] > 1
-        if not open_.any():
-            break
-        at = np.flatnonzero(open_)
-        rows = order[at]
-        by = np.lexsort((chars[rows, depth], group[at]))
-        order[at] = rows[by]
-        c = np.zeros(n, "uint64")
-        c[at] = chars[order[at], depth]
-        new = np.ones(n, bool)
-        new[1:] = (group[1:] != group[:-1]) | (c[1:] != c[:-1])
-        group = np.cumsum(new) - 1
-    out: list[list[int]] = []
-    ends = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
-    begin = 0
-    for end in ends.tolist():
-        rows = order[begin:end].tolist()
-        if len(rows) == 1:
-            out.append(rows)
-        else:
-            trie = _Trie([strings[r].tobytes() for r in rows])
-            for i in range(len(rows)):
-                trie.add(i)
-            out += [[rows[i] for i in leaf] for leaf in trie.leaves()]
-        begin = end
-    return out
+def deep_shallow(data: np.ndarray, starts: np.ndarray, width: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of width bytes at the starts in data (uint8), sorted within their groups: their order, and a mask of
+    the places in it where a string differs from the one before.
+
+    The quicksort is ternary and takes all open groups at a time: each has a pivot of its own, the median of three of its
+    characters at its depth; strings below and above the pivot's are new groups at that depth, and those equal to it a
+    group one character deeper. Groups that agree to SHALLOW bytes go to the tries."""
+    n, chars = len(starts), -(-width // 8)
+    data = np.concatenate([data, np.zeros(8, "uint8")])  # the last character may reach beyond the end
+    view = np.ndarray(len(data) - 7, ">u8", data, strides=(1,))
+    cut = np.full(chars, np.iinfo("uint64").max, "uint64")
+    if width % 8:
+        cut[-1] <<= np.uint64(64 - width % 8 * 8)
+    char = lambda rows, depth: view[starts[rows] + 8 * depth] & cut[depth]
+    order = np.argsort(group, kind="stable")
+    edge = np.append(True, group[order[1:]] != group[order[:-1]])[:n]
+    depth = np.zeros(n, "int64")
+    shallow = min(chars, SHALLOW // 8)
+
+    def several(at: np.ndarray, deep: bool) -> np.ndarray:
+        """Of places (whole groups) those in groups of several strings, above or at the shallow depth."""
+        first = np.flatnonzero(edge[at])
+        size = np.diff(np.append(first, len(at)))
+        return at[np.repeat((size > 1) & ((depth[at[first]] == shallow) == deep), size)]
+
+    at = several(np.arange(n), False)
+    while len(at):
+        new, rows = edge[at], order[at]
+        gid, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        size = np.diff(np.append(first, len(at)))
+        c = char(rows, depth[at])
+        x, y, z = c[first], c[first + size // 2], c[first + size - 1]
+        pivot = np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z))[gid]
+        side = (c >= pivot).astype("int64") + (c > pivot)
+        by = np.argsort(gid * 3 + side, kind="stable")
+        order[at], side = rows[by], side[by]
+        new[1:] |= side[1:] != side[:-1]
+        edge[at] = new
+        depth[at] += side == 1
+        at = several(at, False)
+    if shallow < chars:
+        at = several(np.arange(n), True)
+        if len(at):
+            new, rows = edge[at], order[at]
+            gid, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            leader, same = rows[first][gid], np.ones(len(at), bool)
+            for k in range(shallow, chars):
+                same &= char(rows, k) == char(leader, k)
+            mixed = np.flatnonzero(~np.logical_and.reduceat(same, first))  # in the others the trie is one leaf
+            ends = np.append(first, len(at))
+            for g in mixed.tolist():
+                own = rows[ends[g] : ends[g + 1]]
+                strings = [data[b : b + width - 8 * shallow].tobytes() for b in (starts[own] + 8 * shallow).tolist()]
+                place = at[ends[g]]
+                for leaf in _Trie(strings).leaves():
+                    order[place : place + len(leaf)] = own[leaf]
+                    edge[place] = True
+                    place += len(leaf)
+    return order, edge
+
+
+def later_ones(order: np.ndarray, edge: np.ndarray, d: np.ndarray, e: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Of sorted strings those that are equal to one that starts earlier, by document (two halves) and start; a string that
+    is given twice isn't earlier than itself."""
+    if not len(order):
+        return order
+    by = np.lexsort((s, e, d))
+    new = np.append(True, (d[by[1:]] != d[by[:-1]]) | (e[by[1:]] != e[by[:-1]]) | (s[by[1:]] != s[by[:-1]]))
+    rank = np.empty(len(by), "int64")
+    rank[by] = np.cumsum(new)
+    r = rank[order]
+    return order[r > np.minimum.reduceat(r, np.flatnonzero(edge))[np.cumsum(edge) - 1]]
 
 
 # ---- segments ------------------------------------------------------------------------------------
 
 
-def segments(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors, starts and numbers of windows of a text's segments."""
+def segments(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors, starts, numbers of windows and places of the anchors of a text's segments."""
     n = len(data) - width + 1
     if n <= 0:
         z = np.zeros(0, "int64")
-        return z, z, z
+        return z, z, z, z
     w = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
     last = len(data) - K + 1
     h = w[:last] * np.uint64(0x9E3779B97F4A7C15)
@@ -174,7 +202,8 @@ def segments(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     if span > got:
         m = np.minimum(m[:n], m[span - got : span - got + n])
     starts = np.append(0, np.flatnonzero(m[1:] != m[:-1]) + 1)
-    return (m[starts] // np.uint64(PLACES)).view("int64"), starts, np.diff(np.append(starts, n))
+    at = (m[starts] & np.uint64(PLACES - 1)).astype("int64")
+    return (m[starts] // np.uint64(PLACES)).view("int64"), starts, np.diff(np.append(starts, n)), at - starts
 
 
 def _first_of(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,13 +222,16 @@ def _by_doc(a: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
     if not len(a):
         return
     a = a[np.lexsort((a["s"], a["e"], a["d"]))]
-    ends = np.flatnonzero(np.append((a["d"][1:] != a["d"][:-1]) | (a["e"][1:] != a["e"][:-1]), True)) + 1
-    starts = np.concatenate([[0], ends[:-1]])
-    if kind == 0:
-        packed = np.zeros(len(a), RUNS)
-        packed["s"], packed["n"] = a["s"], a["n"]
+    other = np.append(True, (a["d"][1:] != a["d"][:-1]) | (a["e"][1:] != a["e"][:-1]))
+    if kind == 0:  # windows that follow each other are one interval
+        begin = np.flatnonzero(other | np.append(True, a["s"][1:] != a["s"][:-1] + a["n"][:-1]))
+        packed = np.zeros(len(begin), RUNS)
+        packed["s"], packed["n"] = a["s"][begin], np.add.reduceat(a["n"].astype("int64"), begin)
+        a, other = a[begin], other[begin]
     else:
         packed = a
+    starts = np.flatnonzero(other)
+    ends = np.append(starts[1:], len(a))
     for at in range(0, len(ends), 5000):
         blobs = [packed[b:e].tobytes() for b, e in zip(starts[at : at + 5000].tolist(), ends[at : at + 5000].tolist())]
         f = starts[at : at + 5000]
@@ -243,9 +275,9 @@ def _packed(docs: DataFrame, width: int, buckets: int, most: int) -> DataFrame:
                 whole = t.as_py().encode() if t.is_valid else b""
                 for off in range(0, len(whole) - width + 1, SLICE):
                     data = whole[off : off + SLICE + width - 1]
-                    h, s, c = segments(data, width)
+                    h, s, c, at = segments(data, width)
                     a = np.zeros(len(h), SEG)
-                    a["h"], a["s"], a["n"], a["d"], a["e"] = h, s + off, c, d, e
+                    a["h"], a["s"], a["n"], a["a"], a["d"], a["e"] = h, s + off, c, at, d, e
                     ends = (s + c + (width - 1)).tolist()
                     a["c"] = np.fromiter((xxhash.xxh3_64_intdigest(data[x:y]) for x, y in zip(s.tolist(), ends)), "uint64", len(h)).view("int64")
                     held.append(a)
@@ -288,75 +320,88 @@ def _met(packed: DataFrame, n: int, most: int) -> DataFrame:
     return packed.repartition(n, salt).mapInArrow(run, ROWS)
 
 
+SEGMENT_ROWS = "h long, hot boolean, d long, e long, s long, a int, body binary"
+
+
 def _texts(need: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """h, hot, d, e, s and bytes of each segment that needs sorting."""
-    joined = need.join(docs, ["d", "e"]).select("blob", "d", "e", "text")
+    """h, hot, d, e, s, a and bytes of each segment that needs sorting; a document's text is looked up once."""
+    own = need.groupBy("d", "e").agg(F.collect_list("blob").alias("blobs"))
+    joined = own.join(docs, ["d", "e"]).select("blobs", "d", "e", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob, d, e, t in zip(*batch.columns):
-                a, data = np.frombuffer(blob.as_py(), SEG), t.as_py().encode()
-                body = [data[s : s + n + width - 1] for s, n in zip(a["s"].tolist(), a["n"].tolist())]
-                k = len(a)
-                yield pa.RecordBatch.from_arrays([pa.array(a["h"]), pa.array(a["m"] == 2), pa.array([d.as_py()] * k, pa.int64()), pa.array([e.as_py()] * k, pa.int64()), pa.array(a["s"]), pa.array(body, pa.binary())], ["h", "hot", "d", "e", "s", "body"])
+            for blobs, t in zip(batch.column(0), batch.column(3)):
+                a, data = np.concatenate([np.frombuffer(b.as_py(), SEG) for b in blobs]), t.as_py().encode()
+                for part in np.array_split(a, -(-len(a) // 20_000)):
+                    body = [data[x:y] for x, y in zip(part["s"].tolist(), (part["s"] + part["n"] + (width - 1)).tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(part["h"]), pa.array(part["m"] == 2), *(pa.array(part[c]) for c in "des"), pa.array(part["a"].astype("int32")), pa.array(body, pa.binary())], ["h", "hot", "d", "e", "s", "a", "body"])
+
+    return joined.mapInArrow(run, SEGMENT_ROWS)
 
-    return joined.mapInArrow(run, "h long, hot boolean, d long, e long, s long, body binary")
 
+def _windows(rows: pa.Table | pa.RecordBatch, width: int) -> tuple[np.ndarray, ...]:
+    """The windows of segments: their bytes, starts there, groups (anchor and its place), and d, e, s."""
+    body = rows.column("body")
+    body = body.combine_chunks() if isinstance(body, pa.ChunkedArray) else body
+    ends = np.frombuffer(body.buffers()[1], "int32")[body.offset : body.offset + len(body) + 1].astype("int64")
+    data = np.frombuffer(body.buffers()[2], "uint8")
+    col = lambda c: rows.column(c).to_numpy()
+    n = np.diff(ends) - (width - 1)
+    seg = np.repeat(np.arange(len(n)), n)
+    j = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
+    _, h = np.unique(col("h"), return_inverse=True)
+    return data, ends[:-1][seg] + j, h[seg] * width + col("a")[seg] - j, col("d")[seg], col("e")[seg], col("s")[seg] + j
 
-def _repeats(a: np.ndarray) -> Iterator[pa.RecordBatch]:
-    yield from _by_doc(a, 0)
+
+def _repeats(d: np.ndarray, e: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+    out = np.zeros(len(d), SEG)
+    out["d"], out["e"], out["s"], out["n"] = d, e, s, 1
+    yield from _by_doc(out, 0)
 
 
 def _sorted_repeats(segs: DataFrame, width: int, n: int) -> DataFrame:
     """Repeats among the windows of each anchor that isn't hot."""
 
-    def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows, d, e, s = [], [], [], []
-        ds, es, ss = (group.column(c).to_numpy() for c in ("d", "e", "s"))
-        for i, b in enumerate(group.column("body")):
-            raw = np.frombuffer(b.as_py(), "uint8")
-            view = np.lib.stride_tricks.sliding_window_view(raw, width)
-            rows.append(view)
-            d.append(np.full(len(view), ds[i]))
-            e.append(np.full(len(view), es[i]))
-            s.append(ss[i] + np.arange(len(view)))
-        strings, d, e, s = np.concatenate(rows), np.concatenate(d), np.concatenate(e), np.concatenate(s)
-        later = []
-        for leaf in deep_shallow(strings):
-            if len(leaf) > 1:
-                at = [(d[i], e[i], s[i]) for i in leaf]
-                first = min(at)
-                later += [i for i, x in zip(leaf, at) if x != first]
-        if later:
-            out = np.zeros(len(later), SEG)
-            i = np.array(later)
-            out["d"], out["e"], out["s"], out["n"] = d[i], e[i], s[i], 1
-            yield from _repeats(out)
-
-    return key_groups(segs.where("NOT hot").drop("hot"), ["h"], run, ROWS, n)
-
-
-def _hot_repeats(segs: DataFrame, width: int) -> DataFrame:
-    """Repeats among the windows of hot anchors, by the digest of each window."""
+    def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        data, starts, group, d, e, s = _windows(rows, width)
+        i = later_ones(*deep_shallow(data, starts, width, group), d, e, s)
+        yield from _repeats(d[i], e[i], s[i])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for d, e, s, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                n = len(b) - width + 1
-                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b[i : i + width]) for i in range(n)), "<i8").reshape(n, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1])), pa.array([d] * n, pa.int64()), pa.array([e] * n, pa.int64()), pa.array(s + np.arange(n))], ["x", "y", "d", "e", "s"])
+    return key_groups(segs.where("NOT hot").drop("hot"), ["h"], run, ROWS, n, SEGMENTS)
 
-    windows = stored(segs.where("hot").select("d", "e", "s", "body").mapInArrow(run, "x long, y long, d long, e long, s long"), "hot-windows")
-    first = windows.groupBy("x", "y").agg(F.min(F.struct("d", "e", "s")).alias("f"), F.count("*").alias("k")).where("k > 1").select("x", "y", "f")
-    later = windows.join(first, ["x", "y"]).where(F.struct("d", "e", "s") > F.col("f")).select("d", "e", "s")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.zeros(batch.num_rows, SEG)
-            out["d"], out["e"], out["s"], out["n"] = batch.column(0), batch.column(1), batch.column(2), 1
-            yield from _repeats(out)
+def _hot_repeats(segs: DataFrame, width: int, n: int) -> DataFrame:
+    """Repeats among the windows of hot anchors: sorted in each task, and the first ones of all tasks once more."""
 
-    return later.mapInArrow(pack, ROWS)
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "d", "e", "blob", "x", "s", "body"]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2 * SEGMENTS):
+                data, starts, group, d, e, s = _windows(batch.slice(at, 2 * SEGMENTS), width)
+                order, edge = deep_shallow(data, starts, width, group)
+                later = later_ones(order, edge, d, e, s)
+                for rows in _repeats(d[later], e[later], s[later]):
+                    k = rows.num_rows
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names)
+                gone = np.zeros(len(d), bool)
+                gone[later] = True
+                for i in np.array_split(np.flatnonzero(~gone), -(-len(d) // WINDOWS)):
+                    body = [data[b : b + width].tobytes() for b in starts[i].tolist()]
+                    x = np.fromiter(map(xxhash.xxh3_64_intdigest, body), "uint64", len(body)).view("int64")
+                    k = len(body)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, "int32")), pa.array(d[i]), pa.array(e[i]), pa.nulls(k, pa.binary()), pa.array(x), pa.array(s[i]), pa.array(body, pa.binary())], names)
+
+    def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        body = rows.column("body").combine_chunks()
+        d, e, s, x = (rows.column(c).to_numpy() for c in "desx")
+        _, group = np.unique(x, return_inverse=True)
+        data, first = np.frombuffer(body.buffers()[2], "uint8"), np.frombuffer(body.buffers()[1], "int32")[body.offset]
+        i = later_ones(*deep_shallow(data, first + np.arange(len(d)) * width, width, group), d, e, s)
+        yield from _repeats(d[i], e[i], s[i])
+
+    own = stored(segs.where("hot").select("h", "d", "e", "s", "a", "body").mapInArrow(firsts, ROWS + ", x long, s long, body binary"), "hot-windows")
+    met = key_groups(own.where("kind = 1").select("x", "d", "e", "s", "body"), ["x"], run, ROWS, n, WINDOWS)
+    return own.where("kind = 0").select("kind", "d", "e", "blob").unionByName(met)
 
 
 def _spans(blobs: list[bytes], width: int) -> np.ndarray:
@@ -377,12 +422,12 @@ def dedup(docs: DataFrame, width: int = 100, key: str = "doc_id", text: str = "t
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(body).alias("e"), body.alias("text"))
     # texts are looked up twice by document; a bucketed table saves shuffling them each time
     name = f"suffix_dedup_{uuid.uuid4().hex}"
-    rows.repartition(n, "d", "e").write.bucketBy(n, "d", "e").format("parquet").saveAsTable(name)
+    rows.repartition(n, "d", "e").write.bucketBy(n, "d", "e").format("parquet").option("path", scratch(spark, "suffix-texts")).saveAsTable(name)
     texts = spark.table(name)
     buckets = max(n, parts(docs, 4))
     met = stored(_met(_packed(texts, width, int(buckets), hot), n, hot), "suffix-met")
     segs = stored(_texts(met.where("kind = 1"), texts, width), "suffix-segments")
-    repeats = met.where("kind = 0").select("d", "e", "blob").unionByName(_sorted_repeats(segs, width, n).select("d", "e", "blob")).unionByName(_hot_repeats(segs, width).select("d", "e", "blob"))
+    repeats = met.where("kind = 0").select("d", "e", "blob").unionByName(_sorted_repeats(segs, width, n).select("d", "e", "blob")).unionByName(_hot_repeats(segs, width, n).select("d", "e", "blob"))
     per_doc = repeats.groupBy("d", "e").agg(F.collect_list("blob").alias("blobs"))  # a document's own intervals
     joined = texts.join(per_doc, ["d", "e"], "left").select("d", "text", "blobs")
 
