@@ -1,26 +1,24 @@
 """Near duplicates by circulant MinHash, banding and exact verification.
 
 A document's set holds its distinct shingles of lower-cased words. Circulant MinHash takes two
-permutations: the first scatters shingles over the positions 0..D-1, the second ranks positions, and
-coordinate k of a signature is the smallest rank after a circular shift by k. Coordinates are
-banded; documents that agree in a band are candidates. Candidates are joined into clusters through
-the smallest member of each band's bucket, so a bucket of n gives n - 1 rows and no pairs.
-
-Links are confirmed inside the clusters on full sets. A cluster is dealt into blocks of about BLOCK
-members, and a task compares two blocks at a time: common shingles are counted by a product of
-incidence matrices, in slices of columns. It emits a spanning forest of the links that it confirms,
-never the pairs it compared. So any number of copies fits, and each pair of a cluster is compared in
-exactly one task: links are lost only where no band agrees (below one in a million at the
-threshold, for which bands and their coordinates are chosen).
-
-Documents with equal sets are one node from the start, and only nodes that share a band travel with
-their texts.
+permutations: the first, a mix of the hash cut to D positions, scatters shingles over 0..D-1 (a few share one), the second
+ranks positions, and coordinate k of a signature is the smallest rank after a circular shift by k. Coordinates are
+banded; documents that agree in a band are candidates. For a pair at the threshold the chance that no band
+agrees is below one in a million: bands and their coordinates are chosen for that.
+
+Documents with equal sets are one node from the start. Links are confirmed on full sets, packed once for each node that
+shares a band. In STARS rounds each node meets one pivot, a member of one of its buckets; what is linked
+becomes one group, and buckets within one group are done. So near copies cost a few comparisons each, however
+many there are. In buckets that still hold several groups each member outside the largest one meets all
+others, dealt into blocks of BLOCK members: a task compares two blocks, counting common shingles by a product of incidence
+matrices, in slices of columns. Tasks emit a spanning forest of the links that they confirm, never the
+pairs they compared, and each pair that shares a band is either in one group by then or compared.
 
 Defined results: without words or with a null or empty text the set is empty, n_shingles is 0 and
 the document is linked with nothing; with fewer words than a shingle the whole sequence is the one
-shingle; rows that repeat a document number are one node; a null document number stays alone, with
-a null component, and is kept; an empty table gives no rows; columns other than the two named and
-those in `carry` are left out.
+shingle; rows that repeat a document number are judged each by its own text; a null number is linked like others, its
+component is the smallest number in its group, or null where there is none, and then it is kept; an empty table gives no
+rows; columns other than the two named are left out.
 """
 
 from __future__ import annotations
@@ -41,8 +39,8 @@ from tidemark.llm.components import components
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-#: Positions of the permutations, bands and coordinates in a band at 85 percent, members of a block.
-D, BANDS, ROWS, BLOCK = 1 << 20, 64, 10, 256
+#: Positions of the permutations, bands and coordinates in a band at 85 percent, members of a block, rounds with pivots.
+D, BANDS, ROWS, BLOCK, STARS = 1 << 20, 64, 10, 256, 3
 SEED = 20250101
 
 _ranks: dict[int, np.ndarray] = {}
@@ -100,7 +98,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, set_hash (binary; null for an empty set) and keys (array of long)."""
+    """doc_id, row (key of number and text), n_shingles, set_hash (binary; null for an empty set) and keys (array of long)."""
     bands, rows_each = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +106,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
                 n, sets, keys, seen = [], [], [], {}
-                for t in part.column(1).to_pylist():
+                for t in part.column(2).to_pylist():
                     if t not in seen:
                         s = shingles(t, size)
                         seen[t] = (len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(signature(s, bands * rows_each), bands)) if len(s) else (0, None, np.zeros(0, "int64"))
@@ -117,10 +115,14 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
                     sets.append(b)
                     keys.append(c)
                 ends = np.cumsum([0, *map(len, keys)]).astype("int32")
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], ["doc_id", "n_shingles", "set_hash", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], ["doc_id", "row", "n_shingles", "set_hash", "keys"])
+
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), row_key(key, text).alias("row"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row long, n_shingles long, set_hash binary, keys array<long>")
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, keys array<long>")
+
+def row_key(key: str = "doc_id", text: str = "text"):
+    return F.xxhash64(F.col(key).cast("long"), F.col(text))
 
 
 def _forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -165,51 +167,129 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.
     return 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
 
 
-def confirmed(members: DataFrame, percent: int, size: int, n: int) -> DataFrame:
-    """members: cluster, node, text, one row a node. Links a, b: a spanning forest of each task's."""
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-    dealt = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    tasks = dealt.select("cluster", "node", "text", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    tasks = tasks.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other")
+def packed(docs: DataFrame, nodes: DataFrame, size: int, key: str, text: str) -> DataFrame:
+    """node and set (its sorted hashes as bytes) of each node, from the text of its row."""
+    body = docs.select(row_key(key, text).alias("row"), F.col(text).alias("text"))
+    rows = body.join(nodes.select("node", "row"), "row").dropDuplicates(["row"]).select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, size).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["node", "set"])
+
+    return rows.mapInArrow(run, "node long, set binary")
+
+
+def confirmed(tasks: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
+    """tasks: x, y, z (key of a task), node, label (group so far), left. Links a, b between left and right nodes of a
+    task in different groups: a spanning forest of each task's."""
 
     def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        nodes = group.column("node").to_numpy()
-        sets = [shingles(t, size) for t in group.column("text").to_pylist()]
-        blocks = group.column("block").to_numpy()
-        left, right = np.flatnonzero(blocks == lo), np.flatnonzero(blocks == hi)
-        if not len(left) or not len(right):
+        left = group.column("left").to_numpy()
+        if left.all() or not left.any():
             return
-        found = np.argwhere(linked([sets[i] for i in left], [sets[i] for i in right], percent))
-        pairs = ((int(left[i]), int(right[j])) for i, j in found.tolist() if left[i] != right[j])
-        kept = _forest(len(nodes), pairs)
+        nodes, label = group.column("node").to_numpy(), group.column("label").to_numpy()
+        held = [np.frombuffer(b.as_py(), "uint64") for b in group.column("set")]
+        i, j = np.flatnonzero(left), np.flatnonzero(~left)
+        found = linked([held[k] for k in i], [held[k] for k in j], percent) & (label[i][:, None] != label[j][None, :])
+        kept = _forest(len(nodes), ((int(i[a]), int(j[b])) for a, b in np.argwhere(found).tolist()))
         if kept:
             a, b = np.array(kept).T
             yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
 
-    return key_groups(tasks.select("cluster", "lo", "hi", "node", "block", "text"), ["cluster", "lo", "hi"], compare, "a long, b long", n)
+    return key_groups(tasks.join(sets, "node").select("x", "y", "z", "node", "label", "left", "set"), ["x", "y", "z"], compare, "a long, b long", n)
+
+
+def _star(mixed: DataFrame) -> DataFrame:
+    """mixed: band, node, label, p (the bucket's pivot: node, label). Tasks in which each node outside its pivot's group
+    meets one pivot; a pivot of many nodes has many tasks."""
+    pairs = mixed.where(F.col("label") != F.col("p.label")).groupBy("node", "label").agg(F.min_by("p", F.struct("p.order", "p.node")).alias("p"))
+    pairs = pairs.select("node", "label", F.col("p.node").alias("x"), F.col("p.label").alias("_l"))
+    pivots = pairs.groupBy("x", "_l").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("k"))
+    salt = F.pmod(F.xxhash64("node"), F.col("k"))
+    own = pairs.join(pivots.drop("_l"), "x").select("x", salt.alias("y"), "node", "label", F.lit(True).alias("left"))
+    each = pivots.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("y"), F.col("x").alias("node"), F.col("_l").alias("label"), F.lit(False).alias("left"))
+    return own.unionByName(each).withColumn("z", F.lit(0).cast("long"))
+
+
+def _blocks(mixed: DataFrame) -> DataFrame:
+    """Tasks in which the members of each bucket outside its largest group meet all members; of buckets with the same
+    members one is taken."""
+    same = mixed.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("_a"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("_b"))
+    once = same.groupBy("n", "_a", "_b").agg(F.min("band").alias("band")).select("band", "n")
+    main = mixed.groupBy("band", "label").agg(F.count("*").alias("k")).groupBy("band").agg(F.max(F.struct("k", "label")).alias("m"))
+    sized = once.join(main, "band").select("band", F.ceil(F.col("n") / F.lit(BLOCK)).alias("_all"), F.ceil((F.col("n") - F.col("m.k")) / F.lit(BLOCK)).alias("_odd"), F.col("m.label").alias("_main"))
+    rows = mixed.select("band", "node", "label").join(sized, "band")
+    up_to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    block = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
+    left = rows.where(F.col("label") != F.col("_main")).select(F.col("band").alias("x"), block("_odd").alias("y"), up_to("_all").alias("z"), "node", "label", F.lit(True).alias("left"))
+    right = rows.select(F.col("band").alias("x"), up_to("_odd").alias("y"), block("_all").alias("z"), "node", "label", F.lit(False).alias("left"))
+    return left.unionByName(right)
+
+
+def linked_groups(docs: DataFrame, nodes: DataFrame, percent: int, size: int, key: str, text: str, n: int) -> DataFrame:
+    """nodes: node, row, keys. node and label (a node of its group) of each node that is linked."""
+    bands = nodes.select("node", F.explode("keys").alias("band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    bands = stored(bands.join(shared, "band"), "bands")
+    sets = stored(packed(docs, nodes.join(bands.select("node").distinct(), "node", "left_semi"), size, key, text), "sets")
+    groups = None
+    for turn in range(STARS + 1):
+        rows = bands.withColumn("label", F.col("node")) if groups is None else bands.join(groups, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+        # the first pivot of a bucket is its smallest node, so that nodes agree on few; later ones are any
+        order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        buckets = rows.groupBy("band").agg(F.min(F.struct(order.alias("order"), "node", "label")).alias("p"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("band", "p")
+        mixed = stored(rows.join(buckets, "band"), "mixed")
+        if mixed.isEmpty():
+            break
+        links = stored(confirmed(_star(mixed) if turn < STARS else _blocks(mixed), sets, percent, n), "links")
+        if links.isEmpty():
+            if turn < STARS:
+                links = stored(confirmed(_blocks(mixed), sets, percent, n), "links")
+            if links.isEmpty():
+                break
+            turn = STARS
+        # from links between nodes to links between groups
+        if groups is None:
+            groups = stored(components(links).toDF("node", "label"), "groups")
+        else:
+            label = lambda c: groups.toDF(c, f"_{c}")
+            met = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+            new = components(met).toDF("_old", "_new")
+            fresh = new.select(F.col("_old").alias("node"), F.col("_new").alias("label")).join(groups, "node", "left_anti")
+            groups = stored(groups.join(new, F.col("label") == F.col("_old"), "left").select("node", F.coalesce("_new", "label").alias("label")).unionByName(fresh), "groups")
+        if turn == STARS:
+            break
+    return groups if groups is not None else nodes.select("node", F.col("node").alias("label")).where("false")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, for links of 100 * intersection >= percent * union."""
+    """doc_id, row (key of number and text), n_shingles, component_id, kept and group_id (null for an empty set), for links
+    of 100 * intersection >= percent * union."""
     n = parts(docs, 8)
     sigs = stored(signatures(docs, key, text, size, percent), "signatures")
-    nodes = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys"))
-    nodes = stored(nodes, "nodes")
-    bands = nodes.select("node", F.explode("keys").alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first")
-    near = stored(bands.join(buckets, "band").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "candidates")
-    clusters = components(near).toDF("node", "cluster")
-    body = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
-    members = stored(body.join(clusters, "node"), "members")
-    links = stored(confirmed(members, percent, size, n), "links")
-    found = components(links)
-    named = nodes.select("set_hash", "node").join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("_c"))
-    # rows of one document number are one node, so the component of any of its sets is that of all
-    out = sigs.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_c")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    nodes = stored(sigs.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("doc"), F.min("row").alias("row"), F.first("keys").alias("keys")), "nodes")
+    # a node's number is its smallest document's; where documents have none, or several texts one number, a hash
+    twice = stored(nodes.where("doc IS NOT NULL").groupBy("doc").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc").alias("_twice")), "twice")
+    odd = not twice.isEmpty() or not nodes.where("doc IS NULL").isEmpty()
+    if odd:
+        own = F.when(F.col("doc").isNull() | F.col("_twice").isNotNull(), F.xxhash64("set_hash")).otherwise(F.col("doc"))
+        nodes = nodes.join(twice, F.col("doc") == F.col("_twice"), "left").withColumn("node", own).drop("_twice")
+    else:
+        nodes = nodes.withColumn("node", F.col("doc"))
+    groups = linked_groups(docs, nodes, percent, size, key, text, n)
+    # a label is the smallest node of its group; with hashes among the nodes it needn't be the smallest number
+    named = nodes.select("set_hash", "node", "doc").join(groups, "node", "left").select("set_hash", "doc", F.coalesce("label", "node").alias("group_id"))
+    if odd:
+        least = named.groupBy("group_id").agg(F.min("doc").alias("_c"))
+        named = named.join(least, "group_id").select("set_hash", "group_id", "_c")
+    else:
+        named = named.select("set_hash", "group_id", F.col("group_id").alias("_c"))
+    out = sigs.select("doc_id", "row", "n_shingles", "set_hash").join(named, "set_hash", "left")
+    out = out.select("doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_c")).otherwise(F.col("doc_id")).alias("component_id"), "group_id")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row", "group_id")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("row", "group_id")
