@@ -11,29 +11,34 @@ other numbers or names has new slot values, but the same old value should always
 one. An item is leaked where hits cover at least SHARE of its windows and at least SHARE of the slot
 positions follow such a mapping.
 
-The hashes of the benchmark's windows filter the documents' windows in the scan if the benchmark's files
+An item of fewer than SIZE words is one window of its own length, and documents are cut into windows of such lengths
+too where items have them; it has to occur word for word, but for case and outer punctuation. Items below LEAST_WORDS
+words are no evidence of a leak in a longer text: they match only documents that hold nothing else.
+
+A window of placeholders alone says nothing, so it is hashed by its values. A document's windows of one hash travel as one row, so a text that repeats a window sends no row for each place. The
+hashes of the benchmark's windows filter the documents' windows in the scan if the benchmark's files
 are no larger than FILTER_BYTES; beyond that, all windows go to the join.
 
-Defined results: null or empty texts, of items too, match nothing; a text shorter than a window is
-one window; null or repeated document numbers are judged row by row (equal rows together); an empty
-table on either side gives no rows; columns other than those named are left out.
+Defined results: null or empty texts, of items too, match nothing; null or repeated document numbers are judged row by
+row (equal rows together); an empty table on either side gives no rows; columns other than those named are left out.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import input_bytes, key_groups, parts, table
 
-SIZE, SHARE, FILTER_BYTES = 5, 0.8, 32 << 20
+SIZE, SHARE, FILTER_BYTES, LEAST_WORDS = 5, 0.8, 8 << 20, 3
 STRETCH, LEAST_STRETCH = 4, 100
 
 #: Words that a number may be written as, and units. Fixed values.
@@ -49,18 +54,21 @@ KINDS = ("", "<num>", "<name>", "<unit>")
 
 
 class Hashes(dict):
-    """Packed 64-bit hashes of words' template and folded forms, started anew when full."""
+    """Packed 64-bit hashes of words' template, folded and own forms, and whether the first two are literals (bits);
+    started anew when full."""
 
     def __missing__(self, word: str) -> bytes:
         form, kind = canonical(word)
+        fold, fold_kind = (form, kind) if kind in (1, 3) or kind == 0 and form.isascii() else canonical(word, True)
         h = xxhash.xxh3_64_digest(form)
-        # the forms differ for names, and for literals beyond ASCII that folding changes
-        both = h + (h if kind in (1, 3) or kind == 0 and form.isascii() else xxhash.xxh3_64_digest(canonical(word, True)[0]))
+        g = h if fold == form else xxhash.xxh3_64_digest(fold)
+        own = g if fold_kind == 0 else xxhash.xxh3_64_digest("=" + value(word))
+        packed = h + g + own + ((kind == 0) + 2 * (fold_kind == 0)).to_bytes(8, "little")
         if len(word) < 100:
             if len(self) >= 300_000:
                 self.clear()
-            self[word] = both
-        return both
+            self[word] = packed
+        return packed
 
 
 _seen = Hashes()
@@ -79,67 +87,78 @@ def canonical(word: str, folded: bool = False) -> tuple[str, int]:
     return core.casefold() if folded else low, 0
 
 
+def value(word: str) -> str:
+    """What a slot holds: values differ by more than case and outer punctuation."""
+    return word.strip(EDGE).casefold()
+
+
 def windows(words: list[str], size: int = SIZE) -> np.ndarray:
     """A 64-bit hash for each window of template words, and one for its folded form (two rows); one
-    window if there are fewer words."""
+    window if there are fewer words. A window of placeholders alone has the hash of its values."""
     if not words:
         return np.zeros((2, 0), "int64")
-    w = np.frombuffer(b"".join(map(_seen.__getitem__, words)), "uint64").reshape(-1, 2).T.copy()
+    w = np.frombuffer(b"".join(map(_seen.__getitem__, words)), "uint64").reshape(-1, 4).T.copy()
     k = min(size, w.shape[1])
     n = w.shape[1] - k + 1
-    h = np.full((2, n), k, "uint64")
+    h, literal = np.full((3, n), k, "uint64"), np.zeros(n, "uint64")
     for j in range(k):
-        h ^= w[:, j : j + n]
+        h ^= w[:3, j : j + n]
         h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
-    return h.view("int64")
+        literal |= w[3, j : j + n]
+    out = [np.where(literal & np.uint64(bit), h[i], h[2]) for i, bit in ((0, 1), (1, 2))]
+    return np.stack(out).view("int64")
 
 
-def _window_rows(rows: DataFrame, size: int, only: np.ndarray | None) -> DataFrame:
-    """id, r (row key), pos, wh, n (windows of the text), words of each window whose hash is in only (sorted);
-    a window has a row for each of its forms that differ."""
+def _window_rows(rows: DataFrame, size: int, only: np.ndarray | None, lengths: Sequence[int] = ()) -> DataFrame:
+    """id, r (row key), wh, size (words of the window), n (windows of the text), pos (its places) and words (those of each
+    place, one behind the other) of each window hash of a text that is in only (sorted); windows have size words, those of
+    a shorter text its own number, and the lengths given besides."""
+    names = ["id", "r", "wh", "size", "n", "pos", "words"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()))
+    batch_of = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if only is not None:
             bits = np.zeros(1 << 20, bool)
             bits[only & ((1 << 20) - 1)] = True
         for batch in batches:
-            out = [[] for _ in range(6)]
+            out, held = [[] for _ in names], 0
             for d, r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = t.as_py().split() if t.is_valid else []
-                h, folded = windows(words, size)
-                for form in (h, folded):
-                    at = np.arange(len(h)) if only is None else np.flatnonzero(bits[form & ((1 << 20) - 1)])
-                    if form is folded and len(at):
-                        at = at[form[at] != h[at]]
-                    if only is not None and len(at):
-                        at = at[only[np.searchsorted(only, form[at]).clip(max=len(only) - 1)] == form[at]]
-                    for p in at.tolist():
-                        for col, v in zip(out, (d, r, p, int(form[p]), len(h), words[p : p + size])):
+                for k in sorted({min(size, len(words)), *(x for x in lengths if x <= len(words))} - {0}):
+                    h, folded = windows(words, k)
+                    found: dict[int, list[int]] = {}
+                    for form in (h, folded):
+                        at = np.arange(len(h)) if only is None else np.flatnonzero(bits[form & ((1 << 20) - 1)])
+                        if form is folded and len(at):
+                            at = at[form[at] != h[at]]
+                        if only is not None and len(at):
+                            at = at[only[np.searchsorted(only, form[at]).clip(max=len(only) - 1)] == form[at]]
+                        for x, p in zip(form[at].tolist(), at.tolist()):
+                            found.setdefault(x, []).append(p)
+                    for x, places in found.items():
+                        for col, v in zip(out, (d, r, x, k, len(h), places, [w for p in places for w in words[p : p + k]])):
                             col.append(v)
-                if len(out[0]) > 20_000:
-                    yield _rows(out)
-                    out = [[] for _ in range(6)]
+                        held += len(places)
+                    if held > 20_000:
+                        yield batch_of(out)
+                        out, held = [[] for _ in names], 0
             if out[0]:
-                yield _rows(out)
-
-    return rows.mapInArrow(run, "id long, r long, pos int, wh long, n int, words array<string>")
-
+                yield batch_of(out)
 
-def _rows(cols: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "r", "pos", "wh", "n", "words"])
+    return rows.mapInArrow(run, "id long, r long, wh long, size int, n int, pos array<int>, words array<string>")
 
 
 def slots(pairs: dict[int, tuple[str, str]]) -> tuple[int, int, int]:
     """Of aligned words (item's, document's) by position: slot positions, those with another value,
-    those that follow the most frequent value for their old one; values differ by more than case."""
+    those that follow the most frequent value for their old one."""
     new = defaultdict(Counter)
     n = changed = 0
     for a, b in pairs.values():
         kind = canonical(a)[1]
         if kind:
-            x, y = a.strip(EDGE).casefold(), b.strip(EDGE).casefold()
+            x, y = value(a), value(b)
             new[kind, x][y] += 1
             n += 1
             changed += x != y
@@ -195,38 +214,42 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share: float
     n_changed (slots with other values than the item's) of each leaked item in each document."""
     items = benchmark.select(F.col(item).cast("long").alias("id"), F.xxhash64(F.col(item).cast("long"), item_text).alias("r"), F.col(item_text).alias("text"))
     theirs = _window_rows(items, size, None)
-    only = None
-    if input_bytes(benchmark) <= FILTER_BYTES:
-        only = np.unique(np.array([x.wh for x in theirs.select("wh").collect()], "int64"))
+    # at most size lengths, and as many hashes as FILTER_BYTES of text have windows
+    lengths = [x.size for x in theirs.where((F.col("size") < size) & (F.col("size") >= LEAST_WORDS)).select("size").distinct().collect()]
+    only = np.unique(theirs.select("wh").toArrow().column(0).to_numpy()) if input_bytes(benchmark) <= FILTER_BYTES else None
     rows = docs.select(F.col(key).cast("long").alias("id"), row_key(key, text).alias("r"), F.col(text).alias("text"))
-    ours = _window_rows(rows, size, only)
+    ours = _window_rows(rows, size, only, lengths)
     theirs = theirs.select(F.col("id").alias("item_id"), F.col("r").alias("q"), "wh", F.col("pos").alias("ipos"), F.col("n").alias("n_windows"), F.col("words").alias("iwords"))
-    hits = ours.select("id", "r", "wh", "pos", "words").join(theirs, "wh")
+    hits = ours.select("id", "r", "wh", "size", "pos", "words").join(theirs, "wh")
 
     def align(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        pos, ipos = group.column("pos").to_numpy(), group.column("ipos").to_numpy()
-        total = group.column("n_windows")[0].as_py()
-        _, once = np.unique(pos.astype("int64") << 32 | ipos, return_index=True)  # both forms may agree
-        if len(once) < share * total:
+        total, k = group.column("n_windows")[0].as_py(), group.column("size")[0].as_py()
+        if len(np.unique(pc.list_flatten(group.column("ipos")).to_numpy())) < share * total:
             return
-        if len(once) < len(pos):
-            pos, ipos, group = pos[once], ipos[once], group.take(once)
-        one = lambda c: group.column(c)[0].as_py()
+        rows = group.select(["pos", "ipos", "words", "iwords"]).to_pylist()
+        # each place of a window in the document meets each place of it in the item: row, and index in either list
+        pairs = np.concatenate([np.stack([np.full(len(x["pos"]) * len(x["ipos"]), i), np.repeat(np.arange(len(x["pos"])), len(x["ipos"])), np.tile(np.arange(len(x["ipos"])), len(x["pos"]))]) for i, x in enumerate(rows)], axis=1)
+        pos = np.concatenate([np.repeat(np.array(x["pos"], "int64"), len(x["ipos"])) for x in rows])
+        ipos = np.concatenate([np.tile(np.array(x["ipos"], "int64"), len(x["pos"])) for x in rows])
+        _, once = np.unique(pos << 32 | ipos, return_index=True)  # both forms may agree
+        pos, ipos, pairs = pos[once], ipos[once], pairs[:, once]
         best = None
-        for near in alignments(pos, ipos, total, size, share):
+        for near in alignments(pos, ipos, total, k, share):
             n_hits = len(np.unique(ipos[near]))
             if best is not None and n_hits <= best[0]:
                 continue
-            pairs = {}
-            for i in near.tolist():
-                for j, (a, b) in enumerate(zip(group.column("iwords")[i].as_py(), group.column("words")[i].as_py())):
-                    pairs[int(ipos[i]) + j] = (a, b)
-            n, changed, follow = slots(pairs)
-            if follow >= share * n:
+            met = {}
+            for i, a, b in pairs[:, near].T.tolist():
+                x = rows[i]
+                for j in range(k):
+                    met[x["ipos"][b] + j] = (x["iwords"][b * k + j], x["words"][a * k + j])
+            n, changed, follow = slots(met)
+            if follow >= share * n and (k == size or not changed):
                 best = n_hits, int(pos[near].min()), n, changed
                 if n_hits == total:
                     break
         if best is not None:
+            one = lambda c: group.column(c)[0].as_py()
             n_hits, start, n, changed = best
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([one("id")], pa.int64()), "r": [one("r")], "item_id": pa.array([one("item_id")], pa.int64()), "start_word": [start], "n_hits": [n_hits], "n_windows": [total], "n_slots": [n], "n_changed": [changed]})
 
