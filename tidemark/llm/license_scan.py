@@ -2,19 +2,23 @@
 
 Base labels come from four phrases whose words stand consecutively. Further labels come from
 templates of license notices, standard headers and passages of full texts, several for a license, and
-from SPDX-License-Identifier lines, whose identifiers are labels in lower case. The index keeps, for each template, its words of highest IDF
-with their positions (chosen once for a template, not for each document). A document with a template's mandatory key phrase looks up those words; each
-occurrence votes for the offset of document position less template position, a word counts for an
-offset within TOLERANCE of its vote, and the offset with the
-largest share of the template's IDF mass gives the score. A license's score is that of its best template. IDF is counted over all documents, for the
-few hundred words of the templates. Only DataFrame functions are used, and nothing is shuffled but
-the sums of the counts.
+from SPDX-License-Identifier lines, whose identifiers are labels in lower case. Templates are rows of label, mandatory key
+phrase and text, in TEMPLATES or given by the caller.
+
+One pass over the texts finds the base columns and each file's license words (words of any template) with their positions,
+written as a table in the shared folder. IDF is counted over all its rows, for the few hundred words of the templates. The
+index holds the postings (template, position) of each template's words of highest IDF, INDEX at most. A file looks
+up its own license words there, highest IDF first, RARE of them for a template; each occurrence votes for the offset of
+file position less template position. The postings are intersected by relative position: votes whose offsets lie within
+SPAN agree, and the largest share of the template's RARE highest weights that agrees is its score. Templates that reach
+SHARE count if the file holds their key phrase word for word. Only DataFrame functions are used, and nothing is shuffled
+but the sums of the counts.
 
 Words are runs of digits, a-z (A-Z are lower-cased first) and characters beyond ASCII.
 
 Defined results: a null or empty text has no words, no places and score 0; null or repeated document
-numbers and equal rows are judged row by row; an empty table gives no rows; columns other than the
-text and those in `carry` are left out.
+numbers and equal rows are judged row by row; of equally rare words the first of the template is rarer; an empty table
+gives no rows; columns other than the text and those in `carry` are left out.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, text_or_empty
+from tidemark.llm.common import stored, table, text_or_empty
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,8 +41,8 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 #: Notices: label, mandatory key phrase, text.
 TEMPLATES = (
     ("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0"),
-    ("gpl-3.0", "general public license version 3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-2.0", "general public license version 2", "this work is licensed under the gnu general public license version 2"),
+    ("gpl-3.0", "gnu general public license version 3", "this work is licensed under the gnu general public license version 3"),
+    ("gpl-2.0", "gnu general public license version 2", "this work is licensed under the gnu general public license version 2"),
     ("mit", "mit license", "released under the mit license"),
     ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-2.0", "mozilla public license v 2 0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
@@ -71,72 +75,88 @@ TEMPLATES = (
 #: The expression after an SPDX tag, and its identifiers (all words but the operators).
 SPDX, SPDX_LINE, SPDX_ID = "spdx-license-identifier", r"(?i)spdx-license-identifier:[ \t]*([A-Za-z0-9.+\- \t()]+)", r"[A-Za-z0-9][A-Za-z0-9.+\-]*"
 
-#: Words of highest IDF that index a template, and the share of their IDF mass that must align.
-RARE, SHARE = 6, 0.8
-#: Words by which a vote may miss the offset, where words were put in or left out.
-TOLERANCE = 3
+#: Postings of a template in the index, those of them that a file looks up, and the share of their weight that must agree.
+INDEX, RARE, SHARE = 8, 6, 0.8
+#: Postings that weigh less than this share of their template's heaviest aren't indexed.
+LIGHT = 0.1
+#: The widest span of offsets that agree, where words were put in or left out.
+SPAN = 6
+
+Templates = Sequence[tuple[str, str, str]]
 
 
 def normal(text: Column) -> Column:
-    """Words, each between two spaces of its own, so that phrases beside each other share none."""
-    bare = F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), GAP, " "))
-    return F.when(bare == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.replace(bare, F.lit(" "), F.lit("  ")), F.lit(" ")))
+    """Words with one space between."""
+    return F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), GAP, " "))
+
+
+def _phrase(p: str) -> str:
+    return " " + p.replace(" ", "  ") + " "
 
 
 def _words(n: Column) -> Column:
     return (F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit("")))) / F.lit(2)
 
 
-def _phrase(p: str) -> str:
-    return " " + p.replace(" ", "  ") + " "
+def idf(words: DataFrame) -> dict[str, float]:
+    """IDF over all rows of column lw (array of struct w, p) of the words there; the rows themselves are counted as ""."""
+    each = words.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct(F.transform("lw", lambda x: x["w"])))).alias("w"))
+    count = {r.w: r["count"] for r in each.groupBy("w").count().collect()}  # as many as the templates have words
+    return {w: math.log((1 + count[""]) / (1 + c)) for w, c in count.items() if w}
 
 
-def idf(normals: DataFrame) -> dict[str, float]:
-    """IDF of the templates' words over all rows of column n; as many values as there are words."""
-    words = sorted({w for _, _, t in TEMPLATES for w in t.split()})
-    own = F.array_intersect(F.split("n", " "), F.array(*map(F.lit, words), F.lit("")))  # each word once; "" counts the rows
-    held = F.when(F.col("n") == "", F.array(F.lit(""))).otherwise(own)
-    count = {r.w: r["count"] for r in normals.select(F.explode(held).alias("w")).groupBy("w").count().collect()}
-    return {w: math.log((1 + count.get("", 0)) / (1 + count.get(w, 0))) for w in words}
+def rare_index(templates: Templates, weights: dict[str, float]) -> tuple[dict[str, list[tuple[int, int, int, float]]], list[float]]:
+    """Postings by word: template, rank, position, weight; and the weight of each template's RARE highest postings. Words
+    that no file holds need no posting, but they weigh as much as the rarest."""
+    most = max(weights.values(), default=1.0)
+    postings: dict[str, list[tuple[int, int, int, float]]] = {}
+    totals = []
+    for t, (_, _, text) in enumerate(templates):
+        places = sorted(((max(weights.get(w, most), 1e-6), i, w) for i, w in enumerate(text.split())), key=lambda x: (-x[0], x[1]))[:INDEX]
+        places = [x for x in places if x[0] >= LIGHT * places[0][0]]
+        totals.append(sum(v for v, _, _ in places[:RARE]))
+        for rank, (v, i, w) in enumerate(places):
+            postings.setdefault(w, []).append((t, rank, i, v))
+    return postings, totals
 
 
-def rare_index(weights: dict[str, float]) -> list[list[tuple[str, int, float]]]:
-    """For each template its postings: word, position, weight; highest IDF first, ties by position."""
-    out = []
-    for _, _, text in TEMPLATES:
-        places = sorted(enumerate(text.split()), key=lambda x: (-weights[x[1]], x[0]))[:RARE]
-        out.append([(w, i, max(weights[w], 1e-6)) for i, w in sorted(places)])
-    return out
-
+def _scores(lw: Column, postings: dict[str, list[tuple[int, int, int, float]]], totals: list[float]) -> Column:
+    """struct t, s: each template that shares indexed words with the file, and the largest share of weight that agrees."""
+    posting = lambda x: F.struct(F.lit(x[0]).alias("t"), F.lit(x[1]).alias("r"), F.lit(x[2]).alias("i"), F.lit(x[3]).alias("v"))
+    table_ = F.create_map(*[c for w, ps in postings.items() for c in (F.lit(w), F.array(*map(posting, ps)))])
+    once = lambda value, then: F.transform(F.array(value), then)[0]  # noqa: E731 a name for a value, so that it is evaluated once
+    found = F.flatten(F.transform(F.filter(lw, lambda x: x["w"].isin(*postings)), lambda x: F.transform(F.element_at(table_, x["w"]), lambda y: F.struct(y["t"].alias("t"), y["r"].alias("r"), (x["p"] - y["i"]).alias("o"), y["v"].alias("v")))))
+    weight = lambda rows: F.aggregate(F.array_distinct(F.transform(rows, lambda x: F.struct(x["r"].alias("r"), x["v"].alias("v")))), F.lit(0.0), lambda a, x: a + x["v"])
 
-def _aligned(n: Column, postings: list[tuple[str, int, float]]) -> Column:
-    """The largest share of the postings' weight that stands near one offset; a posting counts once."""
-    words = F.array_remove(F.split(n, " "), "")
-    total = sum(w for _, _, w in postings)
+    def best(t: Column, votes: Column) -> Column:
+        own = F.filter(votes, lambda x: x["t"] == t)
+        ranks = F.slice(F.array_sort(F.array_distinct(F.transform(own, lambda x: x["r"]))), 1, RARE)
 
-    def votes(ws: Column) -> Column:
-        def of(word: str, place: int, weight: float) -> Column:
-            at = F.transform(ws, lambda x, i: F.when(x == word, i - place))
-            return F.struct(F.filter(at, lambda x: x.isNotNull()).alias("o"), F.lit(weight).alias("v"))
+        def agreed(own: Column, ranks: Column) -> Column:
+            few = F.array_sort(F.transform(F.filter(own, lambda x: F.array_contains(ranks, x["r"])), lambda x: F.struct(x["o"].alias("o"), x["r"].alias("r"), x["v"].alias("v"))))
+            # within a span an offset has a vote for each rank at most
+            near = lambda s: F.transform(s, lambda x, i: weight(F.filter(F.slice(s, i + 1, RARE * (SPAN + 1)), lambda y: y["o"] - x["o"] <= SPAN)))
+            return F.array_max(once(few, near))
 
-        return F.array(*[of(*p) for p in postings])
+        return once(own, lambda own_: once(ranks, lambda ranks_: agreed(own_, ranks_)))
 
-    def best(vs: Column) -> Column:
-        near = lambda o: lambda y: F.exists(y["o"], lambda z: F.abs(z - o) <= TOLERANCE)
-        share = F.transform(F.array_distinct(F.flatten(F.transform(vs, lambda x: x["o"]))), lambda o: F.aggregate(F.filter(vs, near(o)), F.lit(0.0), lambda a, y: a + y["v"]))
-        return F.coalesce(F.array_max(share), F.lit(0.0)) / F.lit(total)
+    def each(votes: Column) -> Column:
+        return F.transform(F.array_distinct(F.transform(votes, lambda x: x["t"])), lambda t: F.struct(t.alias("t"), F.least(F.lit(1.0), best(t, votes) / F.get(F.array(*map(F.lit, totals)), t)).alias("s")))
 
-    once = lambda value, then: F.transform(F.array(value), then)[0]
-    return F.least(F.lit(1.0), once(once(words, votes), best))
+    return F.when(F.exists(lw, lambda x: x["w"].isin(*postings)), once(found, each)).otherwise(F.array().cast("array<struct<t:int,s:double>>"))
 
 
-def scan(docs: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",), weights: dict[str, float] | None = None) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",), weights: dict[str, float] | None = None, templates: Templates = TEMPLATES) -> DataFrame:
     """carry, n_words, n_base, first_word, last_word (long), base_labels, labels, score."""
-    n = F.col("n")
-    tagged = F.when(F.contains(F.lower(text_or_empty(text)), F.lit(SPDX)), F.regexp_extract_all(text_or_empty(text), F.lit(SPDX_LINE), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    words = sorted({w for _, key, t in templates for w in f"{key} {t}".split()})
+    raw = text_or_empty(text)
+    tagged = F.when(F.contains(F.lower(raw), F.lit(SPDX)), F.regexp_extract_all(raw, F.lit(SPDX_LINE), F.lit(1))).otherwise(F.array().cast("array<string>"))
     ids = F.flatten(F.transform(tagged, lambda x: F.regexp_extract_all(F.lower(x), F.lit(SPDX_ID), F.lit(0))))
-    read = docs.select(*carry, normal(text_or_empty(text)).alias("n"), F.filter(ids, lambda x: ~x.isin("and", "or", "with")).alias("_spdx"))
-    index = rare_index(weights or idf(read.select("n")))
+    read = docs.select(*carry, normal(raw).alias("_bare"), F.filter(ids, lambda x: ~x.isin("and", "or", "with")).alias("_spdx"))
+    # for phrases each word stands between two spaces of its own, so that phrases beside each other share none
+    spaced = F.when(F.col("_bare") == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.replace("_bare", F.lit(" "), F.lit("  ")), F.lit(" ")))
+    read = read.select(*carry, "_spdx", F.split("_bare", " ").alias("_w"), spaced.alias("n"))
+    n = F.col("n")
     found, firsts, lasts, base = [], [], [], []
     for p, label in PHRASES.items():
         cut, width, here = F.split(n, _phrase(p)), len(p.split()), F.contains(n, F.lit(_phrase(p)))
@@ -144,20 +164,26 @@ def scan(docs: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",)
         firsts.append(F.when(here, _words(F.get(cut, F.lit(0)))))
         lasts.append(F.when(here, _words(n) - _words(F.element_at(cut, -1)) - width))
         base.append(F.when(here, F.lit(label)))
-    scores = [F.when(F.contains(n, F.lit(_phrase(key))), _aligned(n, postings)).otherwise(0.0) for (_, key, _), postings in zip(TEMPLATES, index)]
-    labels = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
-    some = F.filter(F.array(*base), lambda x: x.isNotNull())
-    out = read.select(
-        *carry,
-        _words(n).cast("long").alias("n_words"), sum(found[1:], found[0]).cast("long").alias("n_base"),
+    own = F.filter(F.transform("_w", lambda x, i: F.when(x.isin(*words), F.struct(x.alias("w"), i.alias("p")))), lambda x: x.isNotNull())
+    read = read.select(
+        *carry, F.when(n == "", 0).otherwise(F.size("_w")).cast("long").alias("n_words"), sum(found[1:], found[0]).cast("long").alias("n_base"),
         F.least(*firsts).cast("long").alias("first_word"), F.greatest(*lasts).cast("long").alias("last_word"),
-        F.concat(some, "_spdx").alias("_all"), some.alias("_b"), F.array(*[F.struct(F.lit(label).alias("l"), s.alias("s")) for (label, _, _), s in zip(TEMPLATES, scores)]).alias("_s"),
+        F.filter(F.array(*base), lambda x: x.isNotNull()).alias("_b"), "_spdx", own.alias("lw"),
     )
-    own = F.transform(F.filter("_s", lambda x: x["s"] >= SHARE), lambda x: x["l"])
-    top = F.array_max(F.transform("_s", lambda x: x["s"]))
+    read = stored(read, "license-words")
+    postings, totals = rare_index(templates, weights or idf(read))
+    out = read.withColumn("_s", F.filter(_scores(F.col("lw"), postings, totals), lambda x: x["s"] > 0))
+    # the license words with a mark where others stand between
+    lines = F.concat(F.array_join(F.transform("lw", lambda x, i: F.when((i > 0) & (x["p"] == F.get(F.col("lw"), i - 1)["p"] + 1), F.concat(F.lit(" "), x["w"])).otherwise(F.concat(F.lit(" | "), x["w"]))), ""), F.lit(" "))
+    out = out.withColumn("_lines", F.when(F.size("_s") > 0, lines).otherwise(F.lit("")))
+    keys = F.array(*[F.lit(f" {key} ") for _, key, _ in templates])
+    out = out.withColumn("_s", F.filter("_s", lambda x: F.contains(F.col("_lines"), F.get(keys, x["t"]))))
+    named = F.array(*[F.lit(label) for label, _, _ in templates])
+    labels = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    more = F.transform(F.filter("_s", lambda x: x["s"] >= SHARE), lambda x: F.get(named, x["t"]))
     return out.select(
         *carry, "n_words", "n_base", "first_word", "last_word",
-        labels(F.col("_b")).alias("base_labels"), labels(F.concat("_all", own)).alias("labels"), top.cast("double").alias("score"),
+        labels(F.col("_b")).alias("base_labels"), labels(F.concat("_b", "_spdx", more)).alias("labels"), F.coalesce(F.array_max(F.transform("_s", lambda x: x["s"])), F.lit(0.0)).alias("score"),
     )
 
 
@@ -174,3 +200,27 @@ def plain_scan(text: str | None) -> tuple:
     ws = plain_words(text)
     at = [(i, label) for p, label in PHRASES.items() for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split()]
     return len(ws), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
+
+
+def plain_labels(texts: list[str | None], templates: Templates = TEMPLATES, weights: dict[str, float] | None = None) -> list[tuple[str, float]]:
+    """labels and score of each text, by plain Python; for tests."""
+    ws = [plain_words(t) for t in texts]
+    known = {w for _, key, t in templates for w in f"{key} {t}".split()}
+    held = {w: sum(w in x for x in ws) for w in known}
+    weights = weights or {w: math.log((1 + len(texts)) / (1 + c)) for w, c in held.items() if c}
+    postings, totals = rare_index(templates, weights)
+    out = []
+    for text, own in zip(texts, ws):
+        names, top = set(plain_scan(text)[4].split(",")), 0.0
+        for line in re.findall(SPDX_LINE, text or ""):
+            names |= set(re.findall(SPDX_ID, line.lower())) - {"and", "or", "with"}
+        for t, (label, key, _) in enumerate(templates):
+            votes = [(p - i, rank, v) for p, w in enumerate(own) for u, rank, i, v in postings.get(w, []) if u == t]
+            ranks = sorted({r for _, r, _ in votes})[:RARE]
+            spans = [sum(dict((r, v) for p, r, v in votes if r in ranks and 0 <= p - o <= SPAN).values()) for o, r, _ in votes if r in ranks]
+            if spans and f" {key} " in f" {' '.join(own)} ":
+                score = min(1.0, max(spans) / totals[t])
+                top = max(top, score)
+                names |= {label} if score >= SHARE else set()
+        out.append((",".join(sorted(names - {""})), top))
+    return out
