@@ -195,7 +195,7 @@ def plain_components(rows, percent):
 
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicates(docs, texts, percent):
-    assert by_id(near_dup.near_duplicates(docs, percent=percent)) == plain_components(list(texts.items()), percent)
+    assert by_id(near_dup.near_duplicates(docs, percent=percent).drop("row", "group_id")) == plain_components(list(texts.items()), percent)
 
 
 def test_bands_follow_the_threshold(spark):
@@ -219,11 +219,35 @@ def test_near_duplicates_in_a_large_group(spark):
             text[r.randrange(150)] = r.choice(vocabulary)
         rows.append((i, " ".join(text)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert by_id(near_dup.near_duplicates(df)) == plain_components(rows, 85)
+    assert by_id(near_dup.near_duplicates(df).drop("row", "group_id")) == plain_components(rows, 85)
+
+
+def test_near_duplicates_that_share_bands_only(spark):
+    """Texts with a common half share many bands but no link, and a few copies among them do link."""
+    r = random.Random(5)
+    vocabulary, common = ["w%d" % i for i in range(5000)], ["c%d" % i for i in range(220)]
+    rows = [(i, " ".join(common + [r.choice(vocabulary) for _ in range(80)])) for i in range(90)]
+    rows += [(100 + i, rows[r.randrange(90)][1] + " end") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (8, 256):
+        old, near_dup.BLOCK = near_dup.BLOCK, block
+        try:
+            got = by_id(near_dup.near_duplicates(df, percent=80).drop("row", "group_id"))
+        finally:
+            near_dup.BLOCK = old
+        assert got == plain_components(rows, 80)
+
+
+def test_near_duplicates_with_repeated_numbers(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (5, a + " end"), (5, b), (5, b), (None, b + " end"), (None, " ".join(f"c{i}" for i in range(60))), (7, a)]
+    got = sorted(map(repr, (tuple(x)[:4] for x in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    want = [(1, 56, 1, True), (5, 57, 1, False), (5, 56, 5, True), (5, 56, 5, True), (None, 57, 5, False), (None, 56, None, True), (7, 56, 1, False)]
+    assert got == sorted(map(repr, want))
 
 
 def test_near_duplicates_awkward(awkward, nothing):
-    rows = [tuple(r) for r in near_dup.near_duplicates(awkward).collect()]
+    rows = [tuple(r)[:4] for r in near_dup.near_duplicates(awkward).collect()]
     assert len(rows) == len(AWKWARD)
     got = {r[0]: r[2] for r in rows if r[0] is not None}
     assert got[7] == 1 and got[2] == 2 and got[3] == 3 and got[4] == 4
@@ -342,6 +366,68 @@ def test_questions_with_new_parameters(spark):
     assert 1 in got and got[1].n_changed > 0 and 3 not in got
 
 
+def test_slots_have_to_follow_a_mapping(spark):
+    item = "Alice gives Bob 5 apples then Bob gives Alice 5 pears then Alice gives Bob 5 plums and Bob gives Alice 5 figs so how many has Alice now"
+    fill = lambda f: " ".join(f(i, w) if w in ("Alice", "Bob", "5") else w for i, w in enumerate(item.split()))
+    same = fill(lambda i, w: {"Alice": "Emil", "Bob": "Fay", "5": "31"}[w])
+    other = fill(lambda i, w: str(100 + i) if w == "5" else "Emil Fay Gus Hal Ida Jon Kai Lou Max".split()[i % 9])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x y {same} z"), (2, f"x y {other} z"), (3, item)], "doc_id long, text string")
+    assert {(r.doc_id, r.n_changed > 0) for r in decontaminate.leaks(docs, bench).collect()} == {(1, True), (3, False)}
+
+
+def test_short_items(spark):
+    bench = spark.createDataFrame([(1, "Who wrote Hamlet ?"), (2, "Paris"), (3, "add 2 and 3"), (4, None), (5, "")], "item_id long, text string")
+    texts = ["one day someone asked who wrote Hamlet ? and nobody knew", "who wrote Faust ?", "the trip to Paris was long", "paris", "please add 2 and 3 now", "please add 4 and 5 now", "who wrote", None, "", "WHO WROTE HAMLET ?"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start_word, r.n_windows) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(0, 1, 4, 1), (3, 2, 0, 1), (4, 3, 1, 1), (9, 1, 0, 1)}
+
+
+def test_leaks_in_awkward_rows(spark):
+    """Findings in rows that repeat, have no number, or repeat one window over and over."""
+    item = "the quick brown fox jumps over the lazy dog at dawn"
+    bench = spark.createDataFrame([(1, item), (None, "seven 1 2 3 4 5 6 7 8 9 10 eight"), (1, item)], "item_id long, text string")
+    numbers = " ".join(str(i) for i in range(3000))
+    rows = [(1, f"so {item} ."), (1, f"so {item} ."), (None, item), (2, numbers), (3, f"{numbers} seven 1 2 3 4 5 6 7 8 9 10 eight"), (4, item.replace("fox", "cat"))]
+    docs = spark.createDataFrame([(*r, 1, "w") for r in rows], "doc_id long, text string, n int, words string")
+    got = [(r.doc_id, r.item_id, r.n_changed) for r in decontaminate.leaks(docs, bench).collect()]
+    assert set(got) == {(1, 1, 0), (None, 1, 0), (3, None, 0)}
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [2, 4]
+
+
+def plain_leaks(text, item):
+    """Whether a document holds an item as a template: canonical words in a row, slots by a mapping."""
+    form = lambda w: decontaminate.canonical(w)
+    a, b = (text or "").split(), item.split()
+    for i in range(len(a) - len(b) + 1):
+        if all(form(x) == form(y) for x, y in zip(a[i:], b)):
+            new = {}
+            if all(new.setdefault(y.strip(decontaminate.EDGE).casefold(), z) == z for x, y in zip(a[i:], b) if form(y)[1] for z in [x.strip(decontaminate.EDGE).casefold()]):
+                return True
+    return False
+
+
+def test_templates_equal_brute_force(spark):
+    r = random.Random(12)
+    names, words = ["Ann", "Bob", "Cid", "Dee"], ["gives", "takes", "apples", "pears", "from", "to", "sees", "then", "loses"]
+    unit = lambda: r.choice(["km", "kg", "hours"])
+    sentence = lambda n: " ".join(r.choice([*r.sample(words, 6), r.choice(names), str(r.randrange(99)), unit()]) for _ in range(n))
+    items = [sentence(r.randrange(10, 18)) for _ in range(12)]
+
+    def renamed(t):
+        new, old = {}, r.choice(items)
+        return " ".join(new.setdefault(w, r.choice(["Eve", "Fay", "Gus", "Hal", "Ida"]) if w in names else str(r.randrange(100, 999)) if w.isdigit() else w) for w in old.split())
+
+    texts = [f"{sentence(20)} {r.choice([renamed(0), sentence(12)])} {sentence(20)}" for _ in range(60)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs, bench).collect()}
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if plain_leaks(t, x)}
+    assert want and want <= got
+    assert {d for d, _ in got - want} <= {d for d, _ in want}  # slots may differ in a fifth of the places
+
+
 def test_leaks_in_other_case(spark):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     items = {r.item_id: r.text for r in bench.collect() if len(r.text.split()) >= decontaminate.SIZE}
@@ -411,8 +497,41 @@ def test_license_texts_and_headers(spark):
     got = {r.doc_id: set(r.labels.split(",")) for r in license_scan.scan(docs, weights=weights).collect()}
     assert got == dict(enumerate(texts.values()))
     words = {w: sum(w in license_scan.plain_words(t) for t in texts) for w in weights}
-    found = license_scan.idf(docs.select(license_scan.normal(docs.text).alias("n")))
-    assert found == {w: math.log((1 + len(texts)) / (1 + c)) for w, c in words.items()}
+    held = F.transform(F.filter(F.split(license_scan.normal(docs.text), " "), lambda x: x.isin(*words)), lambda x: F.struct(x.alias("w"), F.lit(0).alias("p")))
+    found = license_scan.idf(docs.select(held.alias("lw")))
+    assert found == {w: math.log((1 + len(texts)) / (1 + c)) for w, c in words.items() if c}
+
+
+def plain_rows(df):
+    return sorted(repr((r.doc_id, r.labels, round(r.score, 9))) for r in df.select("doc_id", "labels", "score").collect())
+
+
+def test_license_labels_equal_brute_force(spark, docs, texts, awkward):
+    """labels and score: on documents, on awkward rows, and on notices with words put in, left out, changed and repeated."""
+    r = random.Random(6)
+    odd = ["license", "the", "of", "software", "version", "x1", "x2", "gnu", "3", "2"]
+    made = []
+    for _ in range(150):
+        ws = [r.choice(odd) for _ in range(r.randrange(5))]
+        for _, key, t in r.sample(license_scan.TEMPLATES, r.randrange(1, 3)):
+            own = r.choice([t, f"{key} {t}"]).split()
+            for _ in range(r.randrange(4)):
+                at = r.randrange(len(own))
+                own[at : at + r.randrange(2)] = r.choice([[], [r.choice(odd)], own[at : at + 1] * 2])
+            ws += own + [r.choice(odd) for _ in range(r.randrange(30))]
+        made.append(" ".join(ws))
+    made += ["license " * 3000, "apache license version 2 0 " * 500, None, "", "SPDX-License-Identifier: MIT"]
+    mine = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    for df, rows in ((mine, list(enumerate(made))), (docs, list(texts.items())), (awkward, AWKWARD)):
+        want = license_scan.plain_labels([t for _, t in rows])
+        assert plain_rows(license_scan.scan(df)) == sorted(repr((d, x, round(y, 9))) for (d, _), (x, y) in zip(rows, want))
+
+
+def test_license_templates_of_ones_own(spark):
+    mine = [("zap-1.0", "zap public terms", "you may zap and rezap this thing under the zap public terms")]
+    docs = spark.createDataFrame([(1, "Note: you may zap and rezap this thing under the ZAP public terms!"), (2, "you may zap and rezap this thing under the terms"), (3, "MIT License")], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(docs, templates=mine).collect()}
+    assert got == {1: ("zap-1.0", 1.0), 2: ("", 0.0), 3: ("mit", 0.0)}
 
 
 # ---- WARC ----------------------------------------------------------------------------------------
