@@ -5,12 +5,13 @@ written as Parquet in the shared folder and read again as the next one's docs. A
 return the columns of documents.
 
 Defined results: each stage's are those of its operator; a row with a null or repeated document
-number passes or goes like others, and of near duplicates the row of the smallest number stays.
+number passes or goes like others. Of near duplicates the row of the smallest number stays (a null number comes last; of
+equal numbers the smaller key of the text), and of rows equal in number and text one; texts without words all stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, near_dup, quality_rules, secret_scan
@@ -25,9 +26,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: shingles of five words, similarity 0.8 or more."""
-    found = near_dup.near_duplicates(docs, percent=80)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    found = near_dup.near_duplicates(docs, percent=80).where("group_id IS NOT NULL")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
+    first = found.groupBy("group_id").agg(F.min(place).alias("f"), F.count("*").alias("k")).where("k > 1")
+    gone = found.join(first, "group_id").where(place != F.col("f")).select(F.col("row").alias("_gone")).distinct()
+    rows = docs.withColumn("_row", near_dup.row_key()).join(gone, F.col("_row") == F.col("_gone"), "left_anti")
+    # rows that repeat number and text have one key, by which the rows are dealt already
+    again = F.row_number().over(Window.partitionBy("_row").orderBy("_row")) > 1
+    return rows.withColumn("_again", again & F.col("text").rlike(r"[^\x20\x09-\x0D]")).where(~F.coalesce("_again", F.lit(False))).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
