@@ -82,6 +82,16 @@ def edits(a: list[str], b: list[str]) -> int:
     return sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in SequenceMatcher(None, list(a), list(b)).get_opcodes() if tag != "equal")
 
 
+def translated(a: list[str], b: list[str], gap: float = 0.25) -> bool:
+    """Whether the shares of French words among those that aren't empty are so far apart."""
+
+    def share(words: list[str]) -> float:
+        full = [w for w in words if w]
+        return sum(w in FRENCH_WORDS for w in full) / len(full) if full else 0.0
+
+    return abs(share(a) - share(b)) >= gap
+
+
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similar(x, y) for x, y in zip(a, b)])
 
@@ -128,8 +138,8 @@ def bracket_title(folder: Column, name: Column) -> Column:
     return F.coalesce(full(F.regexp_extract(F.coalesce(folder, F.lit("")), r"\((.*)\)", 1)), full(folder), stem(name))
 
 
-def safe_name(name: Column, default: str = "boost") -> Column:
-    """Letters, digits, space, - and _ only."""
+def safe_name(name: Column, default: str) -> Column:
+    """Letters, digits, space, - and _ only; default if nothing is left."""
     return F.coalesce(F.nullif(F.trim(F.regexp_replace(name, r"[^\p{L}\p{N} _-]", "")), F.lit("")), F.lit(default))
 
 

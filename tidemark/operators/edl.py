@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
 from tidemark.operators import intervals as I
 
 MEDIA = ("media_id",)
@@ -112,6 +113,42 @@ def active_overlays(points: DataFrame, overlays: DataFrame, key: str, bucket_us:
     return out.select(key, F.coalesce(F.size("_a"), F.lit(0)).cast("long").alias("n_active"), F.coalesce(F.array_join(F.col("_a").cast("array<string>"), ","), F.lit("")).alias("active"))
 
 
+def with_assets(items: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """items: media_id, id, ...; assets: id, path. The items whose asset exists, with its path, and for each media how many
+    have none (n_missing): they are left out without an error, but counted."""
+    known = assets.select("id", "path").dropDuplicates(["id"])
+    found = items.join(known, "id", "left")
+    missing = found.groupBy("media_id").agg(F.count_if(F.col("path").isNull()).alias("n_missing"))
+    return found.where("path IS NOT NULL"), missing
+
+
+def branches(specs: DataFrame) -> DataFrame:
+    """specs: media_id, texts, images, audios (arrays), mute_original. Which steps of an edit run: overlays, and inserts where
+    the specification has some."""
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    mute = F.coalesce("mute_original", F.lit(False))
+    return specs.select("media_id", (some("texts") | some("images") | some("audios") | mute).alias("overlays"), (some("audios") | mute).alias("new_sound"))
+
+
+def ranges_by_action(found: DataFrame, gap_us: int = 0, keys: Sequence[str] = MEDIA) -> DataFrame:
+    """found: keys, start_us, end_us, label. Ranges of disfluencies by action (cut or mute), touching ones of an action merged."""
+    return I.merge_intervals(found.withColumn("action", T.action(F.col("label"))), [*keys, "action"], slack_us=gap_us)
+
+
+def cleanup(keep: DataFrame, found: DataFrame, speech: DataFrame, bounds: DataFrame, margin_us: int = 120_000, slack_us: int = 300_000, keys: Sequence[str] = MEDIA, bucket_us: int = 3600 * I.SECOND) -> DataFrame:
+    """The plan of a cleaning pass: keep (ranges of speech, or what silences leave) less the cuts among the disfluencies found,
+    with the mutes inside each kept range relative to its start, clear of speech. keys, kind (keep or mute), seg_no, start_us,
+    end_us; a media whose keep list is its whole length has no rows."""
+    actions = ranges_by_action(found, keys=keys)
+    kept = I.subtract(keep, actions.where("action = 'cut'").drop("action"), keys, 50_000, bucket_us)
+    idle = no_op(kept, bounds, slack_us, keys).where("no_op").select(*keys)
+    segments = I.rebase(kept.join(idle, list(keys), "left_anti"), keys)
+    mutes = protected_mutes(actions.where("action = 'mute'").drop("action"), speech, margin_us, keys, bucket_us)
+    inside = segment_mutes(segments, mutes, keys, bucket_us=bucket_us)
+    row = lambda rows, kind: rows.select(*keys, F.lit(kind).alias("kind"), "seg_no", "start_us", "end_us")
+    return row(segments, "keep").unionByName(row(inside, "mute"))
+
+
 def case_between(t: Column, table: Sequence[tuple[float, float, float]], default: float) -> Column:
     """The value of the first range that holds t, both ends included, as one expression."""
     out = F.lit(default)

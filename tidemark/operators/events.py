@@ -1,7 +1,8 @@
 """Detection over sampled series: runs, islands, hysteresis, cooldown, phases, change points.
 
 Windows over (keys, order) express everything that looks at neighbours. What depends on earlier
-decisions (cooldown, phases, skipping ahead) is a fold over the few rows that fired, per media.
+decisions (cooldown, skipping ahead, acceptance) is a stream of a media's rows in order with a state of one or two
+numbers; phases are a fold over a slide's samples.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.groups import decided
+
 
 def _w(keys: Sequence[str], order: Sequence[str]) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -87,7 +90,7 @@ def persistent(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: C
 
 
 def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """step over the rows of each key in order. For rows that fired, a small share of a media's samples."""
+    """step over the rows of each key in order. For keys whose rows fit a task: a slide's samples, a media's candidates."""
     order = list(order)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -100,30 +103,36 @@ def cooldown(df: DataFrame, keys: Sequence[str], t: str, wait: int) -> DataFrame
     """Of fired rows those that stand: after one, rows up to t + wait are silent. Counters that made
     them fire are not reset."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep, until = [], None
-        for x in pdf[t].tolist():
-            fires = until is None or x > until
-            keep.append(fires)
-            until = x + wait if fires else until
-        return pdf[keep]
+    def start():
+        until = None
+
+        def fires(x) -> bool:
+            nonlocal until
+            ok = until is None or x > until
+            until = x + wait if ok else until
+            return ok
 
-    return fold(df, keys, [t], step, df.schema.simpleString()[7:-1].replace(":", " "))
+        return fires
+
+    return decided(df, keys, [t], [t], start)
 
 
 def skip_ahead(df: DataFrame, keys: Sequence[str], at: str, resume: str) -> DataFrame:
     """Of candidates in order of `at` those that a scan takes: each one resumes at `resume`, and
     candidates before that are passed over."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep, now = [], None
-        for a, b in zip(pdf[at].tolist(), pdf[resume].tolist()):
+    def start():
+        now = None
+
+        def taken(a, b) -> bool:
+            nonlocal now
             ok = now is None or a >= now
-            keep.append(ok)
             now = b if ok else now
-        return pdf[keep]
+            return ok
 
-    return fold(df, keys, [at], step, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields))
+        return taken
+
+    return decided(df, keys, [at], [at, resume], start)
 
 
 def segment_on_change(df: DataFrame, keys: Sequence[str], order: Sequence[str], changed: Column, name: str = "slide") -> DataFrame:
@@ -191,18 +200,22 @@ def onset_settle(diffs: DataFrame, keys: Sequence[str], t: str = "t", value: str
 
 
 def accepted_apart(df: DataFrame, keys: Sequence[str], start: str = "start_us", end: str = "end_us", slack: int = 400_000, most: int | None = None) -> DataFrame:
-    """In order of start, rows that no row accepted before holds within slack at both ends; at most
-    `most` for each key."""
+    """In order of start, rows that no row accepted before holds within slack at both ends; at most `most` for each key.
+    Those before start no later, so the latest of their ends decides."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep: list[int] = []
-        s, e = pdf[start].tolist(), pdf[end].tolist()
-        for i in range(len(pdf)):
-            if (most is None or len(keep) < most) and not any(s[j] - slack <= s[i] and e[i] <= e[j] + slack for j in keep):
-                keep.append(i)
-        return pdf.iloc[keep]
-
-    return fold(df, keys, [start, end], step, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields))
+    def fresh():
+        last, n = None, 0
+
+        def accepted(s, e) -> bool:
+            nonlocal last, n
+            if (most is not None and n >= most) or (last is not None and e <= last + slack):
+                return False
+            last, n = e if last is None else max(last, e), n + 1
+            return True
+
+        return accepted
+
+    return decided(df, keys, [start, end], [start, end], fresh)
 
 
 def pinned_edges(spans: DataFrame, matches: DataFrame, keys: Sequence[str], reach: int = 1_000_000) -> DataFrame:

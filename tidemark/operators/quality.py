@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import events as E
+from tidemark.operators import events as E, intervals as I
 
 FINDING = ("media_id", "level", "kind", "t", "msg")
 K = ["media_id"]
@@ -71,6 +71,13 @@ def bottom_missing(slides: DataFrame, limit: int = 1088) -> DataFrame:
     return finding(rows, F.when(over, "fail").otherwise("warn"), "bottom-missing", F.col("t"), "the bottom of a slide is missing")
 
 
+def slide_ink(slides: DataFrame, frames: DataFrame) -> DataFrame:
+    """slides: media_id, slide, t0, t1; frames: media_id, t, top, bottom (ink of the output). The ink of the frame shown late in
+    each slide, at the later of its middle and 1.5 seconds before its end; null where no frame came before."""
+    at = slides.withColumn("t", F.greatest((F.col("t0") + F.col("t1")) / 2, F.col("t1") - 1.5))
+    return I.as_of(at, frames, K, "t", ["top", "bottom"])
+
+
 def content_missing(cells: DataFrame, least: int = 120, cells_needed: int = 4) -> DataFrame:
     """cells: media_id, slide, t, src, out (ink of a grid cell). Ratios of inked cells against their slide's median."""
     inked = cells.where(F.col("src") >= least).withColumn("ratio", F.col("out") / F.col("src"))
@@ -151,6 +158,30 @@ def face_rules(faces: DataFrame, least: int = 4, off: float = 45, tight: float =
     return a.unionByName(finding(m.where(F.col("size") > tight), "warn", "webcam-tight", None, "the face fills the webcam"))
 
 
+#: Each rule with the input that it reads.
+RULES: dict[str, tuple[Callable[[DataFrame], DataFrame], tuple[str, ...]]] = {
+    "top-cut": (top_cut, ("features",)), "bottom-cut": (bottom_cut, ("features",)), "webcam-overlap": (webcam_overlap, ("features",)),
+    "corner-speck": (corner_speck, ("features",)), "ui-panel": (ui_panel, ("features",)), "corner-badge": (corner_badge, ("features",)),
+    "corner-strip": (corner_strip, ("columns",)), "bottom-missing": (bottom_missing, ("slides",)), "content-missing": (content_missing, ("cells",)),
+    "slide-not-centred": (not_centred, ("spans",)), "av-sync": (av_sync, ("streams",)), "audio-dip": (audio_dip, ("loudness",)),
+    "freeze": (freeze, ("features", "levels")), "webcam-static": (webcam_static, ("features",)), "bridge-too-long": (bridge_too_long, ("pairs",)),
+    "transition-junk": (transition_junk, ("bars",)), "ui-popup": (ui_popup, ("popups",)), "cursor-visible": (cursor_visible, ("cursors",)),
+    "webcam-crop-gap": (crop_gap, ("sectors",)), "webcam-faces": (face_rules, ("faces",)),
+}
+
+
+def check(media: DataFrame, inputs: Mapping[str, DataFrame], rules: Sequence[str] = tuple(RULES)) -> DataFrame:
+    """Findings of all rules over their inputs, by name. A rule whose input is missing, or can't be planned over it, is a
+    qa-error for every media; a rule that fails while it runs fails the job, so that no finding is lost unseen."""
+
+    def run(name: str) -> DataFrame:
+        rule, needs = RULES[name]
+        missing = [x for x in needs if x not in inputs]
+        return finding(media, "warn", "qa-error", None, f"{name}: no {missing[0]}") if missing else rule(*(inputs[x] for x in needs))
+
+    return united({name: (lambda name=name: run(name)) for name in rules}, media)
+
+
 def united(rules: Mapping[str, Callable[[], DataFrame]], media: DataFrame) -> DataFrame:
     """Findings of all rules. One that can't be planned over its input is a qa-error for every media."""
     out = None

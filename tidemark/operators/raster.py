@@ -3,13 +3,16 @@ filters and aggregates; components are a small fold for each frame."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.groups import key_groups
+from tidemark.operators.signal import median_mad
+
 FRAME = ("media_id", "frame_no")
 
 
@@ -67,15 +70,9 @@ def content_bounds(rows: DataFrame, least: int = 15) -> DataFrame:
     return f.groupBy("media_id").agg(F.percentile("top", 0.02).alias("top"), F.percentile("bottom", 0.98).alias("bottom"))
 
 
-def plate(pixels: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Median and MAD of a cell over samples, for repairs where a sample strays and the cell is steady."""
-    from tidemark.operators.signal import median_mad
-
-    return median_mad(pixels, keys, value)
-
-
 def repairs(pixels: DataFrame, keys: Sequence[str], value: str, stray: float = 26, steady: float = 12) -> DataFrame:
-    p = plate(pixels, keys, value)
+    """Samples that stray from the median of their cell where the cell is steady."""
+    p = median_mad(pixels, keys, value)
     return pixels.join(p, list(keys)).where((F.abs(F.col(value) - F.col("median")) > stray) & (F.col("mad") < steady))
 
 
@@ -101,14 +98,17 @@ def panel_view(faces: DataFrame, diameter: float, share: float = 0.55) -> DataFr
 
 
 def components(pixels: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame:
-    """8-connected components of the pixels of each frame: label, n and box. A frame's pixels are bounded by its size."""
+    """8-connected components of the pixels of each frame: label (place of its first pixel, by y and x, from 0), n and box. A
+    frame's pixels are bounded by its size; a call takes several frames."""
     head = ", ".join(f"`{k}` {pixels.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        pdf = rows.to_pandas()
+        frame = pdf.groupby(list(keys), sort=False).ngroup().to_numpy()
         y, x = pdf["y"].to_numpy("int64"), pdf["x"].to_numpy("int64")
-        place = {(int(a), int(b)): i for i, (a, b) in enumerate(zip(y, x))}
+        place = dict(zip(zip(frame.tolist(), y.tolist(), x.tolist()), range(len(y))))
+        pairs = [(i, place[q]) for (f, a, b), i in place.items() for q in ((f, a, b + 1), (f, a + 1, b - 1), (f, a + 1, b), (f, a + 1, b + 1)) if q in place]
         label = np.arange(len(y))
-        pairs = [(i, place[q]) for (a, b), i in place.items() for q in ((a, b + 1), (a + 1, b - 1), (a + 1, b), (a + 1, b + 1)) if q in place]
         if pairs:
             u, v = np.array(pairs).T
             while True:
@@ -120,12 +120,12 @@ def components(pixels: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame:
                 if (new == label).all():
                     break
                 label = new
-        out = pd.DataFrame({"y": y, "x": x, "label": label}).groupby("label", as_index=False).agg(n=("x", "size"), x0=("x", "min"), x1=("x", "max"), y0=("y", "min"), y1=("y", "max"))
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "label", "n", "x0", "x1", "y0", "y1"]]
+        first = np.flatnonzero(np.append(True, frame[1:] != frame[:-1]))
+        pdf["label"] = label - first[frame]
+        out = pdf.groupby([*keys, "label"], as_index=False, sort=False).agg(n=("x", "size"), x0=("x", "min"), x1=("x", "max"), y0=("y", "min"), y1=("y", "max"))
+        yield pa.RecordBatch.from_pandas(out.astype({c: "int64" for c in ("label", "n", "x0", "x1", "y0", "y1")}), preserve_index=False)
 
-    return pixels.groupBy(*keys).applyInPandas(run, f"{head}, label long, n long, x0 long, x1 long, y0 long, y1 long")
+    return key_groups(pixels.select(*keys, "y", "x").distinct(), keys, ["y", "x"], run, f"{head}, label long, n long, x0 long, x1 long, y0 long, y1 long", least=20_000)
 
 
 def bubble_shifts(runs: DataFrame, min_len: int = 800_000, min_shift: int = 6) -> DataFrame:
@@ -140,3 +140,59 @@ def cursor_like(blobs: DataFrame) -> DataFrame:
     """Blobs (n, x0..y1, near: other pixels around, halo: white share of the ring, sat) that look like a cursor."""
     w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
     return blobs.where(F.col("n").between(25, 400) & (h >= 1.25 * w) & (F.col("near") <= 25) & (F.col("halo") >= 0.9) & (F.col("sat") <= 60))
+
+
+def nearest(candidates: DataFrame, keys: Sequence[str], x: float, y: float) -> DataFrame:
+    """Of each key's circles (cx, cy, cr) the one nearest to x, y by the sum of distances; of equal ones the first by cx, cy."""
+    d = F.abs(F.col("cx") - x) + F.abs(F.col("cy") - y)
+    best = candidates.groupBy(*keys).agg(F.min(F.struct(d.alias("d"), "cx", "cy", "cr")).alias("m"))
+    return best.select(*keys, "m.cx", "m.cy", "m.cr")
+
+
+def largest(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of each key's boxes (x, y, w, h) the one of largest area; of equal ones the first by y, x."""
+    best = boxes.groupBy(*keys).agg(F.max(F.struct((F.col("w") * F.col("h")).alias("a"), (-F.col("y")).alias("_y"), (-F.col("x")).alias("_x"), "w", "h")).alias("m"))
+    return best.select(*keys, (-F.col("m._x")).alias("x"), (-F.col("m._y")).alias("y"), "m.w", "m.h")
+
+
+def panel_rows(pixels: DataFrame, width: int, height: int, busy: int = 3, top: int = 130, share: tuple[float, float] = (0.20, 0.45)) -> DataFrame:
+    """A tool panel in the upper left corner: rows of the corner (share of width and height) with at least `busy` coloured
+    pixels, where the first of them is no lower than top: keys, y0, y1, n."""
+    corner = pixels.where((F.col("x") < share[0] * width) & (F.col("y") < share[1] * height) & (saturation() > 45))
+    rows = corner.groupBy(*FRAME, "y").agg(F.count("*").alias("_c")).where(F.col("_c") >= busy)
+    return rows.groupBy(*FRAME).agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n")).where(F.col("y0") <= top)
+
+
+def whitened(pixels: DataFrame, strip: int = 52) -> DataFrame:
+    """Pixels with the top strip white."""
+    return pixels.withColumns({c: F.when(F.col("y") < strip, F.lit(255)).otherwise(F.col(c)) for c in ("b", "g", "r")})
+
+
+def dark_rows(pixels: DataFrame, width: int, share: float = 0.40, below: int = 90, most: int = 4) -> DataFrame:
+    """Frames in which a thin bar crosses: between one and `most` rows whose share of dark pixels exceeds share."""
+    rows = pixels.groupBy(*FRAME, "y").agg(F.count_if(grey() < below).alias("_d")).where(F.col("_d") > share * width)
+    return rows.groupBy(*FRAME).agg(F.count("*").alias("n_rows"), F.min("y").alias("y0"), F.max("y").alias("y1")).where(F.col("n_rows") <= most)
+
+
+def padded_box(boxes: DataFrame, scale: float, pad_x: int, pad_y: int, width: int, height: int) -> DataFrame:
+    """Boxes (x0, y0, x1, y1) of a scaled picture in full size, padded and clipped to the frame."""
+    up = lambda c, d, hi: F.greatest(F.lit(0), F.least(F.lit(hi), F.floor(F.col(c) / scale).cast("long") + d))
+    return boxes.withColumns({"x0": up("x0", -pad_x, width), "y0": up("y0", -pad_y, height), "x1": up("x1", pad_x, width), "y1": up("y1", pad_y, height)})
+
+
+def still_geometry(slides: DataFrame, width: int = 1920, height: int = 1080) -> DataFrame:
+    """slides: slide, w, h (source), scale, cx, cy (where its centre goes). Scaled size, and the part that lies on the canvas:
+    out_w, out_h, x, y (upper left corner on the canvas), crop_x, crop_y (first column and row used), use_w, use_h."""
+    s = slides.withColumns({"out_w": F.bround(F.col("w") * F.col("scale")).cast("long"), "out_h": F.bround(F.col("h") * F.col("scale")).cast("long")})
+    s = s.withColumns({"_x": F.col("cx") - F.floor(F.col("out_w") / 2), "_y": F.col("cy") - F.floor(F.col("out_h") / 2)})
+    zero = F.lit(0)
+    s = s.withColumns({"x": F.greatest(zero, F.col("_x")), "y": F.greatest(zero, F.col("_y")), "crop_x": F.greatest(zero, -F.col("_x")), "crop_y": F.greatest(zero, -F.col("_y"))})
+    use = lambda c, crop, at, size: F.greatest(zero, F.least(F.col(c) - F.col(crop), F.lit(size) - F.col(at)))
+    return s.select("slide", "out_w", "out_h", "x", "y", "crop_x", "crop_y", use("out_w", "crop_x", "x", width).alias("use_w"), use("out_h", "crop_y", "y", height).alias("use_h"))
+
+
+def recenters(phases: DataFrame, home: float, least: float = 24, min_len: float = 2_500_000) -> DataFrame:
+    """phases: media_id, slide, start, end, top, bottom. Shifts that bring a phase's middle to home, where the phase lasts and
+    the shift is more than least: media_id, slide, start, end, dy."""
+    dy = F.lit(home) - (F.col("top") + F.col("bottom")) / 2
+    return phases.where((F.col("end") - F.col("start") >= min_len) & (F.abs(dy) > least)).select("media_id", "slide", "start", "end", dy.alias("dy"))

@@ -1,21 +1,27 @@
 """Transcript mining: repeated phrases, near repeats, false starts and self-corrections.
 
-A transcript is rows media_id, pos (dense from 0), norm, raw, start_us, end_us. Each detector first
-finds all places where its pattern holds, with windows over a media's words (lagged equality
-instead of a nested search), and then takes them in order, resuming behind each one taken: a
-fold over the few candidates.
+A transcript is rows media_id, pos (dense from 0), norm, raw, start_us, end_us. Verbatim and near repeats are found in
+one pass over the words of many media at a time: for each lag, equality with the word so far ahead is an array, and
+run lengths and mismatch counts are prefix sums over it. Corrections and false starts are windows over a media's
+words. Each detector then takes its candidates in order, resuming behind each one taken.
 
 Candidates: media_id, start_us, end_us, text, keep_text, type, confidence.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators.events import fold, skip_ahead
+from tidemark.operators.groups import key_groups
+from tidemark.shared import stored
 
 COLUMNS = ("media_id", "start_us", "end_us", "text", "keep_text", "type", "confidence")
 
@@ -34,16 +40,17 @@ def word_stream(segments: DataFrame) -> DataFrame:
     return flat.select("media_id", pos.alias("pos"), T.first_token(F.col("w.word")).alias("norm"), F.trim("w.word").alias("raw"), us("w.start").alias("start_us"), us("w.end").alias("end_us"))
 
 
+def slim(segments: DataFrame) -> DataFrame:
+    """A transcript's rows for review: trimmed text, and words as word, start and end with times to two decimals."""
+    times = lambda x: F.struct(x["word"].alias("word"), F.bround(x["start"], 2).alias("start"), F.bround(x["end"], 2).alias("end"))
+    return segments.select("media_id", "seg_no", F.trim("text").alias("text"), F.transform("words", times).alias("words"))
+
+
 def _at(c: str, n: int) -> Column:
     """Column c, n rows ahead."""
     return F.lead(c, n).over(_words_in_order()) if n >= 0 else F.lag(c, -n).over(_words_in_order())
 
 
-def _content_ahead(n: int) -> Column:
-    """Content words among this and the next n - 1."""
-    return F.sum(((F.col("norm") != "") & ~T.is_stop(F.col("norm"))).cast("int")).over(_words_in_order().rowsBetween(0, n - 1))
-
-
 def snapped(words: DataFrame, min_pause_us: int = 450_000, max_back_us: int = 5_000_000) -> DataFrame:
     """snap: the place to which a cut at pos moves back: the last pause before it, no further than
     max_back_us of starts. snap_us is its start."""
@@ -54,83 +61,149 @@ def snapped(words: DataFrame, min_pause_us: int = 450_000, max_back_us: int = 5_
     return marked.drop("_p")
 
 
-def _finish(words: DataFrame, found: DataFrame, kind: str, end: str = "start_us") -> DataFrame:
-    """found: media_id, a, b, keep_to, confidence. Texts and times of cuts [a, b) (or through b - 1,
-    if end is end_us) that keep [b, keep_to)."""
+def _finish(words: DataFrame, found: DataFrame) -> DataFrame:
+    """found: media_id, a, b, keep_to, type, confidence. Texts and times of cuts [a, b) that keep [b, keep_to). A
+    correction's cut ends with its last word, others where the next begins."""
     spans = found.withColumn("_at", F.explode(F.sequence("a", F.col("keep_to"))))
     rows = spans.join(words.select("media_id", F.col("pos").alias("_at"), "raw", "start_us", "end_us"), ["media_id", "_at"], "left")
     piece = lambda lo, hi: F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("_at") >= lo) & (F.col("_at") < hi), F.struct("_at", "raw")))), lambda x: x["raw"]), " ")
-    got = rows.groupBy("media_id", "a", "b", "confidence").agg(
+    with_last = F.col("type") == "correction"
+    got = rows.groupBy("media_id", "a", "b", "type", "confidence").agg(
         F.min(F.when(F.col("_at") == F.col("a"), F.col("start_us"))).alias("start_us"),
-        F.min(F.when(F.col("_at") == (F.col("b") if end == "start_us" else F.col("b") - 1), F.col(end))).alias("_end"),
+        F.min(F.when(with_last & (F.col("_at") == F.col("b") - 1), F.col("end_us")).when(~with_last & (F.col("_at") == F.col("b")), F.col("start_us"))).alias("end_us"),
         piece(F.col("a"), F.col("b")).alias("text"), piece(F.col("b"), F.col("keep_to")).alias("keep_text"),
     )
-    return got.select("media_id", "start_us", F.col("_end").alias("end_us"), F.trim("text").alias("text"), F.trim("keep_text").alias("keep_text"), F.lit(kind).alias("type"), "confidence")
+    return got.select("media_id", "start_us", "end_us", F.trim("text").alias("text"), F.trim("keep_text").alias("keep_text"), "type", "confidence")
 
 
 def _confidence(c: Column) -> Column:
     return F.bround(c, 2).cast("double")
 
 
-def repeated_runs(words: DataFrame, min_run: int = 3, max_run: int = 14, max_gap: int = 4, min_content: int = 2) -> DataFrame:
-    """Every place where a run is followed by itself: media_id, pos, length (longest), b (start of the
-    repeat with the smallest gap). Equality with the word d ahead is counted for each lag d."""
-    steps = []
-    rows = words
-    for d in range(min_run, max_run + max_gap + 1):
-        same = F.coalesce(F.col("norm") == _at("norm", d), F.lit(False))
-        rows = rows.withColumn(f"_e{d}", same)
+class _Words:
+    """The words of several media, one behind the other: ids of equal words, media, place, and the end of each one's media."""
+
+    def __init__(self, rows: pa.Table):
+        coded = rows.column("norm").combine_chunks().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        self.ids = coded.indices.to_numpy(zero_copy_only=False)
+        self.names = names
+        media = rows.column("media_id").to_pylist()
+        new = np.array([i == 0 or m != media[i - 1] for i, m in enumerate(media)])
+        self.media, starts = media, np.flatnonzero(new)
+        self.n = len(media)
+        self.pos = rows.column("pos").to_numpy()
+        self.end = np.append(starts[1:], self.n)[np.cumsum(new) - 1]
+        plain = np.array([w != "" for w in names])[self.ids]
+        self.plain = plain
+        self.content = plain & ~np.array([w in T.STOP_WORDS for w in names])[self.ids]
+        self.contents = np.append(0, np.cumsum(self.content))  # before each place
+
+    def differs(self, lag: int) -> np.ndarray:
+        """Whether a word isn't that so far ahead in its media."""
+        out = np.ones(self.n, bool)
+        if lag < self.n:
+            out[: self.n - lag] = (self.ids[lag:] != self.ids[: self.n - lag]) | (np.arange(lag, self.n) >= self.end[: self.n - lag])
+        return out
+
+    def texts(self, a: int, b: int) -> list[str]:
+        return [self.names[i] for i in self.ids[a:b]]
+
+    def taken(self, at: list[int], b: list[int]) -> list[int]:
+        """Indexes of the candidates that a scan of each media takes, resuming at b."""
+        out, now, end = [], 0, -1
+        for k, (i, j) in enumerate(zip(at, b)):
+            if i >= end:
+                now, end = i, int(self.end[i])
+            if i >= now:
+                out.append(k)
+                now = j
+        return out
+
+
+def _exact(w: _Words, min_run: int, max_run: int, max_gap: int, min_content: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places where a run is followed by itself: place, length (the longest), lag (the smallest of those)."""
+    places = np.arange(w.n)
+    length, lag = np.zeros(w.n, "int64"), np.zeros(w.n, "int64")
     for d in range(min_run, max_run + max_gap + 1):
-        wrong = F.min(F.when(~F.col(f"_e{d}"), F.col("pos"))).over(_words_in_order().rowsBetween(0, max_run - 1))
-        reach = F.least(F.coalesce(wrong - F.col("pos"), F.lit(max_run)), F.lit(min(d, max_run)))
-        steps.append(F.when(reach >= max(min_run, d - max_gap), F.struct(reach.cast("long").alias("length"), F.lit(-d).alias("near"))))
-    best = F.array_max(F.filter(F.array(*steps), lambda x: x.isNotNull()))
-    ahead = F.collect_list("norm").over(_words_in_order().rowsBetween(0, max_run - 1))
-    got = rows.select("media_id", "pos", "norm", best.alias("_b"), ahead.alias("_ahead")).where("_b IS NOT NULL AND norm <> ''")
-    got = got.where(F.size(T.content(F.slice("_ahead", F.lit(1), F.col("_b.length").cast("int")))) >= min_content)
-    return got.select("media_id", "pos", F.col("_b.length").alias("length"), (F.col("pos") - F.col("_b.near")).cast("int").alias("b"))
+        breaks = np.where(w.differs(d), places, w.n)
+        reach = np.minimum(np.minimum.accumulate(breaks[::-1])[::-1] - places, min(d, max_run))
+        better = (reach >= max(min_run, d - max_gap)) & (reach > length)
+        length[better], lag[better] = reach[better], d
+    at = np.flatnonzero((length > 0) & w.plain)
+    at = at[w.contents[at + length[at]] - w.contents[at] >= min_content]
+    return at, length[at], lag[at]
+
+
+def _nearly(w: _Words, min_run: int, max_run: int, max_gap: int, min_content: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places where a run comes again with one word changed: equal lengths within one edit differ in one place, so
+    mismatches at each lag are counted, longest runs and smallest gaps first; difflib confirms."""
+    places, open_ = np.arange(w.n), w.content.copy()
+    missed = {d: np.append(0, np.cumsum(w.differs(d))) for d in range(min_run + 1, max_run + max_gap + 1)}
+    tries = []
+    for n in range(max_run, min_run - 1, -1):
+        for g in range(1, max_gap + 1):
+            at = places[open_ & (places + 2 * n + g <= w.end)]
+            at = at[(missed[n + g][at + n] - missed[n + g][at] == 1) & (w.contents[at + n] - w.contents[at] >= min_content)]
+            for i in at.tolist():
+                x, y = w.texts(i, i + n), w.texts(i + n + g, i + 2 * n + g)
+                if T.edits(x, y) <= 1:
+                    open_[i] = False  # the first that fits decides
+                    if not T.translated(x, y):
+                        tries.append((i, n, n + g))
+    tries.sort()
+    return tuple(np.array(c, "int64") for c in zip(*tries)) if tries else (np.zeros(0, "int64"),) * 3
+
+
+FOUND = "media_id {}, pos int, length long, b int, type string"
+
+
+def _repeats(words: DataFrame, exact: dict | None, near: dict | None) -> DataFrame:
+    """media_id, pos, length, b (start of the repeat), type: the repeats that a scan of each media takes."""
+
+    def find(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        w = _Words(rows)
+        for kind, options, search in (("verbatim_repeat", exact, _exact), ("near_repeat", near, _nearly)):
+            if options is None:
+                continue
+            at, length, lag = search(w, **options)
+            keep = np.array(w.taken(at.tolist(), (at + lag).tolist()), "int64")
+            at, length, lag = at[keep], length[keep], lag[keep]
+            pos = w.pos[at]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w.media[i] for i in at.tolist()], rows.schema.field("media_id").type), pa.array(pos, pa.int32()), pa.array(length), pa.array(pos + lag, pa.int32()), pa.array([kind] * len(at), pa.string())],
+                ["media_id", "pos", "length", "b", "type"],
+            )
+
+    # a call takes several media, together at least so many words; a media's words fit a task
+    return key_groups(words.select("media_id", "pos", "norm"), ["media_id"], ["pos"], find, FOUND.format(words.schema["media_id"].dataType.simpleString()), least=50_000)
+
+
+EXACT = {"min_run": 3, "max_run": 14, "max_gap": 4, "min_content": 2}
+NEAR = {"min_run": 4, "max_run": 12, "max_gap": 5, "min_content": 3}
 
 
 def _total(words: DataFrame) -> DataFrame:
     return words.groupBy("media_id").agg(F.count("*").cast("int").alias("_n"))
 
 
-def verbatim_repeats(words: DataFrame, **options) -> DataFrame:
-    found = skip_ahead(repeated_runs(words, **options), ["media_id"], "pos", "b")
-    at = snapped(words).select("media_id", "pos", F.col("snap").alias("a"))
-    found = found.join(at, ["media_id", "pos"]).join(_total(words), "media_id")
-    keep = F.least(F.col("b") + F.col("length") + 5, F.col("_n")).cast("int")
-    conf = _confidence(F.least(F.lit(1.0), 0.55 + 0.08 * F.col("length")))
-    return _finish(words, found.select("media_id", "a", "b", keep.alias("keep_to"), conf.alias("confidence")), "verbatim_repeat")
-
-
-def near_repeats(words: DataFrame, min_run: int = 4, max_run: int = 12, max_gap: int = 5, min_content: int = 3) -> DataFrame:
-    """Runs that come again with one word changed. Equal lengths within one edit differ in exactly one
-    place, so mismatches at each lag are counted by windows, and difflib confirms what remains."""
-    rows = words
-    lags = range(min_run + 1, max_run + max_gap + 1)
-    for d in lags:
-        rows = rows.withColumn(f"_m{d}", F.coalesce((F.col("norm") != _at("norm", d)).cast("int"), F.lit(99)))
-    tries = [
-        F.when(F.sum(f"_m{n + g}").over(_words_in_order().rowsBetween(0, n - 1)) == 1, F.struct(F.lit(n).alias("length"), F.lit(n + g).alias("d")))
-        for n in range(max_run, min_run - 1, -1) for g in range(1, max_gap + 1)
-    ]
-    ahead = F.collect_list("norm").over(_words_in_order().rowsBetween(0, max_run * 2 + max_gap - 1))
-    left = F.count("*").over(_words_in_order().rowsBetween(0, max_run * 2 + max_gap))
-    rows = rows.select("media_id", "pos", "norm", F.filter(F.array(*tries), lambda x: x.isNotNull()).alias("_t"), ahead.alias("_w"), left.alias("_left"))
-    rows = rows.where((F.size("_t") > 0) & (F.col("norm") != "") & ~T.is_stop(F.col("norm")))
-    each = rows.select("media_id", "pos", "_w", "_left", F.posexplode("_t").alias("_i", "_c")).where(F.col("_c.d") + F.col("_c.length") <= F.col("_left"))
-    first = F.slice("_w", F.lit(1), F.col("_c.length"))
-    again = F.slice("_w", F.col("_c.d") + 1, F.col("_c.length"))
-    each = each.select("media_id", "pos", "_i", "_c", first.alias("x"), again.alias("y")).where(F.size(T.content(F.col("x"))) >= min_content)
-    fit = each.where(T.n_edits("x", "y") <= 1).groupBy("media_id", "pos").agg(F.min_by(F.struct("_c", "x", "y"), "_i").alias("f"))
-    fit = fit.where(~T.is_translation(F.col("f.x"), F.col("f.y"))).select("media_id", "pos", F.col("f._c.length").alias("length"), (F.col("pos") + F.col("f._c.d")).alias("b"))
-    found = skip_ahead(fit, ["media_id"], "pos", "b")
+def _repeat_cuts(words: DataFrame, exact: dict | None, near: dict | None) -> DataFrame:
+    """media_id, a, b, keep_to, type, confidence of repeats; cuts begin where a pause allows."""
+    found = _repeats(words, exact, near)
     at = snapped(words).select("media_id", "pos", F.col("snap").alias("a"))
     found = found.join(at, ["media_id", "pos"]).join(_total(words), "media_id")
     keep = F.least(F.col("b") + F.col("length") + 5, F.col("_n")).cast("int")
-    conf = _confidence(F.least(F.lit(0.9), 0.5 + 0.06 * F.col("length")))
-    return _finish(words, found.select("media_id", "a", "b", keep.alias("keep_to"), conf.alias("confidence")), "near_repeat")
+    whole = F.col("type") == "verbatim_repeat"
+    conf = F.when(whole, F.least(F.lit(1.0), 0.55 + 0.08 * F.col("length"))).otherwise(F.least(F.lit(0.9), 0.5 + 0.06 * F.col("length")))
+    return found.select("media_id", "a", "b", keep.alias("keep_to"), "type", _confidence(conf).alias("confidence"))
+
+
+def verbatim_repeats(words: DataFrame, **options) -> DataFrame:
+    return _finish(words, _repeat_cuts(words, EXACT | options, None))
+
+
+def near_repeats(words: DataFrame, **options) -> DataFrame:
+    return _finish(words, _repeat_cuts(words, None, NEAR | options))
 
 
 def marker_places(words: DataFrame, slips: tuple[str, ...] = T.SLIP_MARKERS, retakes: tuple[str, ...] = T.RETAKE_MARKERS) -> DataFrame:
@@ -146,20 +219,22 @@ def marker_places(words: DataFrame, slips: tuple[str, ...] = T.SLIP_MARKERS, ret
     return words.select("media_id", F.col("pos").alias("m0"), size.alias("_n"), retake.alias("retake")).where("_n IS NOT NULL").select("media_id", "m0", (F.col("m0") + F.col("_n")).alias("m1"), "retake")
 
 
-def corrections(words: DataFrame, look_back: int = 2, retake_look_back: int = 10, long_pause_us: int = 900_000, **markers) -> DataFrame:
-    """Self-corrections: the words before a marker, back to a long pause, and the marker are cut."""
+def _correction_cuts(words: DataFrame, look_back: int = 2, retake_look_back: int = 10, long_pause_us: int = 900_000, **markers) -> DataFrame:
     marks = skip_ahead(marker_places(words, **markers), ["media_id"], "m0", "m1")
     pause = F.col("start_us") - F.lag("end_us").over(_words_in_order()) > long_pause_us
     last = words.select("media_id", F.col("pos").alias("m0"), F.coalesce(F.max(F.when(pause, F.col("pos"))).over(_words_in_order().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("_p"))
     found = marks.join(last, ["media_id", "m0"]).join(_total(words), "media_id")
     a = F.greatest(F.col("m0") - F.when(F.col("retake"), retake_look_back).otherwise(look_back), F.col("_p"), F.lit(0)).cast("int")
     keep = F.least(F.col("m1") + 8, F.col("_n")).cast("int")
-    return _finish(words, found.select("media_id", a.alias("a"), F.col("m1").alias("b"), keep.alias("keep_to"), F.lit(0.7).alias("confidence")), "correction", "end_us")
+    return found.select("media_id", a.alias("a"), F.col("m1").alias("b"), keep.alias("keep_to"), F.lit("correction").alias("type"), F.lit(0.7).alias("confidence"))
 
 
-def false_starts(words: DataFrame, head: int = 3, min_pause_us: int = 350_000, max_attempt: int = 12) -> DataFrame:
-    """A sentence that breaks off at a pause and begins again with the same content words, or one
-    of them changed."""
+def corrections(words: DataFrame, **options) -> DataFrame:
+    """Self-corrections: the words before a marker, back to a long pause, and the marker are cut."""
+    return _finish(words, _correction_cuts(words, **options))
+
+
+def _false_start_cuts(words: DataFrame, head: int = 3, min_pause_us: int = 350_000, max_attempt: int = 12) -> DataFrame:
     pause = F.when(F.col("start_us") - F.lag("end_us").over(_words_in_order()) >= min_pause_us, F.col("pos"))
     rows = words.withColumn("_pause", pause)
     n = F.max("pos").over(Window.partitionBy("media_id")) + 1
@@ -179,7 +254,13 @@ def false_starts(words: DataFrame, head: int = 3, min_pause_us: int = 350_000, m
     at = snapped(words).select("media_id", "pos", F.col("snap").alias("a"))
     pairs = pairs.select("media_id", "pos", "b", "n").join(at, ["media_id", "pos"]).where(F.col("b") - F.col("a") >= 2)
     found = skip_ahead(pairs, ["media_id"], "pos", "b")
-    return _finish(words, found.select("media_id", "a", "b", F.least(F.col("b") + 12, F.col("n")).cast("int").alias("keep_to"), F.lit(0.72).alias("confidence")), "false_start")
+    return found.select("media_id", "a", "b", F.least(F.col("b") + 12, F.col("n")).cast("int").alias("keep_to"), F.lit("false_start").alias("type"), F.lit(0.72).alias("confidence"))
+
+
+def false_starts(words: DataFrame, **options) -> DataFrame:
+    """A sentence that breaks off at a pause and begins again with the same content words, or one
+    of them changed."""
+    return _finish(words, _false_start_cuts(words, **options))
 
 
 def similar_segments(segments: DataFrame, threshold: float = 0.65, reach: int = 6, least: int = 4) -> DataFrame:
@@ -191,7 +272,13 @@ def similar_segments(segments: DataFrame, threshold: float = 0.65, reach: int =
     right = s.alias("y")
     pairs = left.join(right, (F.col("x.media_id") == F.col("y.media_id")) & (F.col("x._j") == F.col("y.seg_no")))
     side = lambda a: F.struct(*[F.col(f"{a}.{c}") for c in ("seg_no", "start_us", "end_us", "text", "toks")]).alias(a)
-    pairs = pairs.select(F.col("x.media_id").alias("media_id"), side("x"), side("y")).withColumn("sim", T.similarity("x.toks", "y.toks")).where(F.col("sim") > 0)
+    pairs = pairs.select(F.col("x.media_id").alias("media_id"), side("x"), side("y"))
+    # matching words are shared words, so neither measure can reach the threshold without enough of those
+    distinct = lambda c: F.size(F.array_distinct(c))
+    both, a, b = F.size(F.array_intersect("x.toks", "y.toks")), F.size("x.toks"), F.size("y.toks")
+    spare = F.greatest(a - distinct("x.toks"), b - distinct("y.toks"))  # repeats of a word may match as well
+    pairs = pairs.where((2 * (both + spare) >= threshold * (a + b)) | (both + spare >= 0.7 * F.least(a, b)))
+    pairs = pairs.withColumn("sim", T.similarity("x.toks", "y.toks")).where(F.col("sim") > 0)
     best = pairs.groupBy("media_id", F.col("x.seg_no").alias("_i")).agg(F.max_by(F.struct("x", "y", "sim"), F.struct("sim", -F.col("y.seg_no"))).alias("m")).select("media_id", "m.*").where(F.col("sim") >= threshold)
     x_short = F.size("x.toks") <= F.size("y.toks")
     short, long = F.when(x_short, F.col("x")).otherwise(F.col("y")), F.when(x_short, F.col("y")).otherwise(F.col("x"))
@@ -202,22 +289,26 @@ def similar_segments(segments: DataFrame, threshold: float = 0.65, reach: int =
     return best.select("media_id", "cut.start_us", "cut.end_us", "cut.text", F.col("keep.text").alias("keep_text"), kind.alias("type"), _confidence(F.col("sim")).alias("confidence"))
 
 
+def near_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """left, right: id, t (distinct tokens). Pairs a, b that may have a Jaccard similarity of threshold or more: those that
+    share a token among each side's rarest, so many that a pair at the threshold shares one. An equi-join on
+    rare tokens, not on all."""
+    df = right.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+
+    def prefix(rows: DataFrame, key: str) -> DataFrame:
+        each = rows.select(F.col("id").alias(key), F.explode("t").alias("w"), F.size("t").alias("n")).join(df, "w", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+        r = F.row_number().over(Window.partitionBy(key).orderBy("df", "w"))
+        return each.withColumn("r", r).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select(key, "w")
+
+    return prefix(left, "a").join(prefix(right, "b"), "w").select("a", "b").distinct()
+
+
 def rerank(candidates: DataFrame, history: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Candidates after past decisions (history: text, approved). Pairs of Jaccard >= threshold share a
-    token, so pairs come from an equi-join on tokens of the history's rarer prefix, not all pairs.
-    Dropped: rejected at least twice and more than twice as often as approved. Raised by 0.15, to 0.99 at most:
-    approved at least twice and more than twice as often as rejected."""
+    """Candidates after past decisions (history: text, approved). Dropped: rejected at least twice and more than twice as
+    often as approved. Raised by 0.15, to 0.99 at most: approved at least twice and more than twice as often as rejected."""
     c = candidates.withColumn("_id", F.xxhash64(*candidates.columns)).withColumn("_tok", T.accent_tokens(F.col("text")))
     h = history.where("text IS NOT NULL AND text <> ''").select(F.xxhash64("text").alias("_hid"), T.accent_tokens(F.col("text")).alias("_htok"), F.coalesce("approved", F.lit(False)).alias("approved")).groupBy("_hid").agg(F.first("_htok").alias("_htok"), F.count_if("approved").alias("_yes"), F.count_if(~F.col("approved")).alias("_no"))
-    df = h.select(F.explode("_htok").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-
-    def prefix(rows: DataFrame, key: str, toks: str) -> DataFrame:
-        """The rarest tokens of each row, enough that two rows of the threshold share one."""
-        each = rows.select(key, F.explode(toks).alias("t"), F.size(toks).alias("n")).join(df, "t", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-        w = Window.partitionBy(key).orderBy("df", "t")
-        return each.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select(key, "t")
-
-    near = prefix(c, "_id", "_tok").join(prefix(h, "_hid", "_htok"), "t").select("_id", "_hid").distinct()
+    near = near_sets(c.select(F.col("_id").alias("id"), F.col("_tok").alias("t")), h.select(F.col("_hid").alias("id"), F.col("_htok").alias("t")), threshold).toDF("_id", "_hid")
     votes = near.join(c.select("_id", "_tok").distinct(), "_id").join(h, "_hid").where(T.jaccard(F.col("_tok"), F.col("_htok")) >= threshold)
     votes = votes.groupBy("_id").agg(F.sum("_yes").alias("_yes"), F.sum("_no").alias("_no"))
     got = c.drop("_tok").join(votes, "_id", "left").withColumns({"_yes": F.coalesce("_yes", F.lit(0)), "_no": F.coalesce("_no", F.lit(0))})
@@ -245,10 +336,12 @@ def suppress_overlaps(candidates: DataFrame, slack_us: int = 50_000) -> DataFram
 
 def find_repeats(words: DataFrame, history: DataFrame | None = None, min_confidence: float = 0.0) -> DataFrame:
     """All detectors, the confidence filter, past decisions, and overlap suppression."""
-    words = words.persist()
-    found = verbatim_repeats(words).unionByName(corrections(words)).unionByName(false_starts(words)).unionByName(near_repeats(words))
-    found = found.where(F.col("confidence") >= min_confidence)
-    return suppress_overlaps(rerank(found, history) if history is not None else found)
+    words = stored(words, "words")
+    cuts = _repeat_cuts(words, EXACT, NEAR).unionByName(_correction_cuts(words)).unionByName(_false_start_cuts(words))
+    found = _finish(words, cuts.where(F.col("confidence") >= min_confidence))
+    if history is not None:
+        found = rerank(stored(found, "repeats"), history)
+    return suppress_overlaps(found)
 
 
 def review(candidates: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import quality as Q
-from tidemark.plans.base import EV, events, query, table, with_
+from tidemark.plans.base import EV, SQL, events, query, table, with_
 
 S = with_(EV) + ", s AS (SELECT media_id, event_id, event_type, value, (t - min(t) OVER (PARTITION BY media_id)) // 3600000000 + (event_id % 1000) / 1000.0::DOUBLE AS t FROM ev)"
 
@@ -21,32 +21,43 @@ def _msg(level, kind, msg, src):
     return f"SELECT media_id, {level} AS level, '{kind}' AS kind, t::DOUBLE AS t, '{msg}' AS msg FROM ({src})"
 
 
-@query("rule_top_cut")
+def _held(flag: str, least: int, kind: str, msg: str, wait: float, back: float = 0.0) -> str:
+    """A flag held for `least` samples fires; fired ones stand unless within wait of the last that stands."""
+    return S.replace("WITH", "WITH RECURSIVE", 1) + f""",
+ r0 AS (SELECT *, coalesce({flag}, false) AS on_ FROM s), r1 AS (SELECT *, lag(on_) OVER (PARTITION BY media_id ORDER BY t) AS p FROM r0),
+ r2 AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> on_ THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM r1),
+ fired AS (SELECT media_id, t FROM (SELECT *, row_number() OVER (PARTITION BY media_id, g ORDER BY t) AS n FROM r2) WHERE on_ AND n >= {least}),
+ stand AS (SELECT media_id, min(t) AS t FROM fired GROUP BY media_id UNION ALL
+           SELECT x.media_id, min(f.t) FROM stand x JOIN fired f ON f.media_id = x.media_id AND f.t > x.t + {wait} GROUP BY x.media_id)
+ SELECT media_id, 'warn' AS level, '{kind}' AS kind, (t - {back})::DOUBLE AS t, '{msg}' AS msg FROM stand"""
+
+
+@query("rule_top_cut", _held("value > 12", 2, "top-cut", "content is cut off at the top edge", 8, 0.5))
 def rule_top_cut(spark, d):
     return Q.top_cut(features(spark, d).withColumn("top_ink", F.col("value")))
 
 
-@query("rule_bottom_cut")
+@query("rule_bottom_cut", _held("value > 12", 4, "bottom-cut", "content touches the bottom edge", 8, 1.5))
 def rule_bottom_cut(spark, d):
     return Q.bottom_cut(features(spark, d).withColumn("bottom_ink", F.col("value")))
 
 
-@query("rule_webcam_overlap")
+@query("rule_webcam_overlap", _held("value > 6", 2, "webcam-overlap", "content runs into the webcam", 8, 0.5))
 def rule_webcam_overlap(spark, d):
     return Q.webcam_overlap(features(spark, d).withColumn("overlap_ink", F.col("value")))
 
 
-@query("rule_corner_speck")
+@query("rule_corner_speck", _held("floor(value) BETWEEN 1 AND 60", 16, "corner-speck", "a small mark stays in the corner", 20, 8.0))
 def rule_corner_speck(spark, d):
     return Q.corner_speck(features(spark, d).withColumn("speck_px", F.floor("value")))
 
 
-@query("rule_ui_panel")
+@query("rule_ui_panel", _held("value > 25", 1, "ui-panel", "a tool panel is visible", 8, 0.0))
 def rule_ui_panel(spark, d):
     return Q.ui_panel(features(spark, d).withColumn("panel_px", F.col("value")))
 
 
-@query("rule_corner_badge")
+@query("rule_corner_badge", _held("value > 15", 1, "corner-junk", "a red badge is in the corner", 8, 0.0))
 def rule_corner_badge(spark, d):
     return Q.corner_badge(features(spark, d).withColumn("red_px", F.col("value")))
 
@@ -69,9 +80,13 @@ def rule_content_missing(spark, d):
  SELECT media_id, t0 AS t FROM (SELECT *, lead(t0) OVER w AS n0, lead(top) OVER w AS ntop, lead(bottom) OVER w AS nbot FROM (SELECT media_id, t AS t0, t + 1 AS t1, floor(value)::BIGINT AS top, floor(value)::BIGINT * 2 + 100 AS bottom FROM s) WINDOW w AS (PARTITION BY media_id ORDER BY t0))
  WHERE NOT coalesce(n0 - t1 < 3 AND abs(ntop - top) < 30 AND nbot > bottom + 80, false) AND bottom - top < 700 AND abs((1080 - bottom) - top) > 170""").replace("SELECT media_id", S + " SELECT media_id", 1))
 def rule_not_centred(spark, d):
+    return Q.not_centred(centred_spans(spark, d))
+
+
+def centred_spans(spark, d):
     f = features(spark, d)
     v = F.floor("value")
-    return Q.not_centred(f.select("media_id", F.col("t").alias("t0"), (F.col("t") + 1).alias("t1"), v.alias("top"), (v * 2 + 100).alias("bottom"), F.lit(1080).alias("height")))
+    return (f.select("media_id", F.col("t").alias("t0"), (F.col("t") + 1).alias("t1"), v.alias("top"), (v * 2 + 100).alias("bottom"), F.lit(1080).alias("height")))
 
 
 @query("rule_av_sync", "SELECT o_custkey AS media_id, 'fail' AS level, 'av-sync' AS kind, NULL::DOUBLE AS t, 'audio and video differ in length' AS msg FROM orders GROUP BY 1 HAVING abs(max(o_totalprice) FILTER (o_orderstatus = 'F') - max(o_totalprice) FILTER (o_orderstatus = 'O')) > 0.5")
@@ -88,8 +103,11 @@ def rule_av_sync(spark, d):
  r3 AS (SELECT *, max(enter::INT) OVER (PARTITION BY media_id, g ORDER BY win_no ROWS UNBOUNDED PRECEDING) AS on_ FROM r2 WHERE stay)
  SELECT media_id, 'warn' AS level, 'audio-dip' AS kind, (min(win_no) * 0.5)::DOUBLE AS t, 'speech drops in level' AS msg FROM r3 WHERE on_ = 1 GROUP BY media_id, g HAVING count(*) >= 3""")
 def rule_audio_dip(spark, d):
-    e = events(spark, d).select("media_id", F.col("event_id").alias("win_no"), F.col("value").alias("db"), (F.col("event_type") != "error").alias("speech"))
-    return Q.audio_dip(e)
+    return Q.audio_dip(loudness(spark, d))
+
+
+def loudness(spark, d):
+    return events(spark, d).select("media_id", F.col("event_id").alias("win_no"), F.col("value").alias("db"), (F.col("event_type") != "error").alias("speech"))
 
 
 def _runs(flag: str, src: str = "s") -> str:
@@ -112,8 +130,11 @@ def rule_webcam_static(spark, d):
 
 @query("rule_bridge_too_long", S + _runs("value < 30 AND event_type <> 'error'") + " SELECT media_id, 'warn' AS level, 'bridge-too-long' AS kind, start::DOUBLE AS t, 'the output holds still over a moving source' AS msg FROM rn WHERE last - start >= 3.0")
 def rule_bridge_too_long(spark, d):
-    f = features(spark, d)
-    return Q.bridge_too_long(f.select("media_id", "t", (F.col("value") / 50).alias("out_diff"), F.when(F.col("event_type") != "error", 4.0).otherwise(0.0).alias("src_diff")))
+    return Q.bridge_too_long(frame_pairs(spark, d))
+
+
+def frame_pairs(spark, d):
+    return features(spark, d).select("media_id", "t", (F.col("value") / 50).alias("out_diff"), F.when(F.col("event_type") != "error", 4.0).otherwise(0.0).alias("src_diff"))
 
 
 def _islands(where: str, gap: float, most: float | None, level: str, kind: str, msg: str) -> str:
@@ -138,10 +159,19 @@ def rule_cursor_visible(spark, d):
     return Q.cursor_visible(features(spark, d).where("event_type = 'view'"))
 
 
-@query("rule_crop_gap")
+@query("rule_crop_gap", """
+ WITH x AS (SELECT DISTINCT l_suppkey AS media_id, l_orderkey::DOUBLE AS t, l_linenumber AS s FROM lineitem WHERE l_quantity > 20),
+ c AS (SELECT media_id, t, s - row_number() OVER (PARTITION BY media_id, t ORDER BY s) AS g FROM x),
+ a AS (SELECT media_id, t FROM (SELECT media_id, t, count(*) AS n FROM c GROUP BY media_id, t, g) GROUP BY 1, 2 HAVING max(n) * 20 >= 40),
+ d AS (SELECT *, t - lag(t) OVER (PARTITION BY media_id ORDER BY t) AS d FROM a),
+ g AS (SELECT *, sum(CASE WHEN d IS NULL OR d > 8.0 THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM d)
+ SELECT media_id, 'fail' AS level, 'webcam-crop-gap' AS kind, min(t) AS t, 'the webcam''s edge shows' AS msg FROM g GROUP BY media_id, g""")
 def rule_crop_gap(spark, d):
-    f = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("media_id"), F.col("l_orderkey").cast("double").alias("t"), F.col("l_linenumber").alias("s"), (F.col("l_quantity") > 20).alias("clear"))
-    return Q.crop_gap(f)
+    return Q.crop_gap(sectors(spark, d))
+
+
+def sectors(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("media_id"), F.col("l_orderkey").cast("double").alias("t"), F.col("l_linenumber").alias("s"), (F.col("l_quantity") > 20).alias("clear"))
 
 
 @query("rule_faces", """
@@ -152,21 +182,54 @@ def rule_faces(spark, d):
     return Q.face_rules(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("media_id"), F.col("l_quantity").alias("dx"), (F.col("l_linenumber") * 12).alias("dy"), (F.col("l_discount") * 14).alias("size")))
 
 
+@query("rule_corner_strip", """
+ WITH RECURSIVE c AS (SELECT l_suppkey % 10 AS media_id, floor(l_orderkey / 400)::DOUBLE AS t, l_partkey % 480 AS x, l_quantity::BIGINT AS n FROM lineitem WHERE l_quantity > 2),
+ q AS (SELECT *, x - lag(x) OVER (PARTITION BY media_id, t ORDER BY x) AS gap FROM c),
+ r AS (SELECT media_id, t, sum(n) AS n, count(*) AS c, min(x) AS lo, max(x) AS hi, count(*) FILTER (gap > 3) AS gaps FROM q GROUP BY 1, 2),
+ fired AS (SELECT media_id, t FROM r WHERE n <= 14 * 420 * 0.30 AND ((c > 30 AND lo < 480 * 0.2 - 60 AND hi > 480 * 0.8 - 60) OR (n > 12 AND c > 12 AND hi - lo > 480 * 0.3 AND gaps >= 4))),
+ stand AS (SELECT media_id, min(t) AS t FROM fired GROUP BY media_id UNION ALL
+           SELECT x.media_id, min(f.t) FROM stand x JOIN fired f ON f.media_id = x.media_id AND f.t > x.t + 8 GROUP BY x.media_id)
+ SELECT media_id, 'warn' AS level, 'corner-junk' AS kind, t, 'a strip of icons is along the bottom' AS msg FROM stand""")
+def rule_corner_strip(spark, d):
+    return Q.corner_strip(strip_columns(spark, d))
+
+
+def strip_columns(spark, d):
+    li = table(spark, d, "lineitem").where("l_quantity > 2")
+    return li.select((F.col("l_suppkey") % 10).alias("media_id"), F.floor(F.col("l_orderkey") / 400).cast("double").alias("t"), (F.col("l_partkey") % 480).alias("x"), F.col("l_quantity").cast("long").alias("n"))
+
+
 def report(spark, d):
+    """All rules over one set of inputs; the one whose input isn't there becomes a finding itself."""
     f = features(spark, d)
-    rules = {
-        "top-cut": lambda: Q.top_cut(f.withColumn("top_ink", F.col("value"))), "ui-popup": lambda: rule_ui_popup(spark, d), "audio-dip": lambda: rule_audio_dip(spark, d),
-        "webcam-static": lambda: rule_webcam_static(spark, d), "bottom-cut": lambda: Q.bottom_cut(f),
+    v = F.col("value")
+    e = f.select(
+        "media_id", "t", "event_type", *[v.alias(c) for c in ("top_ink", "bottom_ink", "overlap_ink", "panel_px", "red_px")],
+        F.floor(v).alias("speck_px"), (v / 15).alias("diff_max"), (v / 50).alias("cam_diff"),
+    )
+    inputs = {
+        "features": e, "columns": strip_columns(spark, d), "spans": centred_spans(spark, d), "loudness": loudness(spark, d), "pairs": frame_pairs(spark, d),
+        "bars": f.where("event_type = 'error'"), "popups": f.where("event_type = 'click'"), "cursors": f.where("event_type = 'view'"), "sectors": sectors(spark, d),
     }
-    return Q.united(rules, f.select("media_id").distinct())
+    rules = ("top-cut", "bottom-cut", "webcam-overlap", "corner-speck", "ui-panel", "corner-badge", "corner-strip", "slide-not-centred", "audio-dip", "webcam-static", "bridge-too-long", "transition-junk", "ui-popup", "cursor-visible", "webcam-crop-gap", "av-sync")
+    return Q.check(f.select("media_id").distinct(), inputs, rules)
+
+
+def _report_sql() -> str:
+    parts = ("top_cut", "bottom_cut", "webcam_overlap", "corner_speck", "ui_panel", "corner_badge", "corner_strip", "not_centred", "audio_dip", "bridge_too_long", "transition_junk", "ui_popup", "cursor_visible", "crop_gap")
+    static = S + _runs("value < 20") + " SELECT media_id, 'warn' AS level, 'webcam-static' AS kind, start::DOUBLE AS t, 'the webcam stands still' AS msg FROM rn WHERE n >= 8 AND NOT open_"
+    error = "SELECT DISTINCT user_id AS media_id, 'warn' AS level, 'qa-error' AS kind, NULL::DOUBLE AS t, 'av-sync: no streams' AS msg FROM events"
+    return " UNION ALL ".join(f"SELECT media_id, level, kind, t, msg FROM ({x})" for x in [*(SQL[f"rule_{p}"] for p in parts), static, error])
 
 
-@query("findings_report")
+@query("findings_report", _report_sql())
 def findings_report(spark, d):
     return report(spark, d)
 
 
-@query("findings_summary")
+@query("findings_summary", f"""
+ WITH f AS ({_report_sql()}), r AS (SELECT media_id, kind, coalesce(t, -1) AS t, row_number() OVER (PARTITION BY media_id ORDER BY coalesce(t, -1), kind) AS i FROM f WHERE kind <> 'audio-dip')
+ SELECT media_id, string_agg(kind, '; ' ORDER BY i) AS text FROM r WHERE i <= 6 GROUP BY 1""")
 def findings_summary(spark, d):
     return Q.summary(report(spark, d))
 
@@ -177,3 +240,14 @@ def verdict(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("media_id"), "l_quantity")
     found = Q.finding(li.where("l_quantity > 40"), F.when(F.col("l_quantity") > 48, "fail").otherwise("warn"), "k", None, "m")
     return Q.verdict(found, li)
+
+
+@query("slide_ink", S + """
+ , f AS (SELECT media_id, t, floor(value)::BIGINT AS top, floor(value)::BIGINT * 2 AS bottom FROM s WHERE event_type = 'view'),
+ x AS (SELECT media_id, event_id AS slide, t AS t0, t + 9 AS t1, greatest((t + t + 9) / 2, t + 9 - 1.5) AS t FROM s WHERE event_type = 'click')
+ SELECT x.media_id, slide, t0, t1, x.t, (SELECT arg_max(top, f.t) FROM f WHERE f.media_id = x.media_id AND f.t <= x.t) AS top, (SELECT arg_max(bottom, f.t) FROM f WHERE f.media_id = x.media_id AND f.t <= x.t) AS bottom FROM x""")
+def slide_ink(spark, d):
+    f, v = features(spark, d), F.floor("value")
+    frames = f.where("event_type = 'view'").select("media_id", "t", v.alias("top"), (v * 2).alias("bottom"))
+    slides = f.where("event_type = 'click'").select("media_id", F.col("event_id").alias("slide"), F.col("t").alias("t0"), (F.col("t") + 9).alias("t1"))
+    return Q.slide_ink(slides, frames)

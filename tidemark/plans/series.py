@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import events as E
-from tidemark.plans.base import ER, EV, HOUR, IV, events, hits, query, with_
+from tidemark.plans.base import BD, ER, EV, HOUR, IV, events, hits, query, with_
 
 K = ["media_id"]
 O = ["t_us", "event_id"]  # noqa: E741
@@ -44,7 +44,13 @@ def hit_islands(spark, d):
     return E.hit_islands(hits(spark, d), K, "t_us", 24 * HOUR)
 
 
-@query("widening_islands")
+@query("widening_islands", with_(EV).replace("WITH", "WITH RECURSIVE", 1) + """
+ , h AS (SELECT media_id, t, row_number() OVER (PARTITION BY media_id ORDER BY t) AS i FROM ev WHERE event_type = 'error'),
+ w AS (SELECT media_id, i, t, 1 AS g, true AS first FROM h WHERE i = 1 UNION ALL
+       SELECT h.media_id, h.i, h.t, CASE WHEN h.t - w.t <= 86400000000 + CASE WHEN w.first THEN 10800000000 ELSE 0 END THEN w.g ELSE w.g + 1 END,
+              h.t - w.t > 86400000000 + CASE WHEN w.first THEN 10800000000 ELSE 0 END FROM w JOIN h ON h.media_id = w.media_id AND h.i = w.i + 1),
+ g AS (SELECT media_id, greatest(min(t) - 3600000000, 0) AS start, greatest(max(t) + 14400000000, min(t) + 25200000000) AS e FROM w GROUP BY media_id, g)
+ SELECT media_id, start, e + 3600000000 AS "end" FROM g WHERE e - start <= 720000000000""")
 def widening_islands(spark, d):
     return E.widening_islands(hits(spark, d), K, "t_us", gap=20 * HOUR, step=4 * HOUR, first_extra=3 * HOUR, before=HOUR, max_len=200 * HOUR, after=HOUR)
 
@@ -71,7 +77,13 @@ def persistent(spark, d):
     return p.select("event_id", "media_id", "t_us", F.col("_n").cast("long").alias("n_run"))
 
 
-@query("cooldown")
+@query("cooldown", with_(EV).replace("WITH", "WITH RECURSIVE", 1) + """
+ , r1 AS (SELECT *, value > 20 AS on_, lag(value > 20) OVER (PARTITION BY media_id ORDER BY t, event_id) AS p FROM ev),
+ r2 AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> on_ THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS g FROM r1),
+ fired AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY media_id, g ORDER BY t, event_id) AS n FROM r2 WHERE on_) WHERE n >= 2),
+ stand AS (SELECT media_id, min(t) AS t FROM fired GROUP BY media_id UNION ALL
+           SELECT x.media_id, min(f.t) FROM stand x JOIN fired f ON f.media_id = x.media_id AND f.t > x.t + 172800000000 GROUP BY x.media_id)
+ SELECT media_id, t AS t_us, event_id FROM stand JOIN fired USING (media_id, t)""")
 def cooldown(spark, d):
     p = E.persistent(events(spark, d), K, O, F.col("value") > 20, 2).select("media_id", "t_us", "event_id")
     return E.cooldown(p, K, "t_us", 48 * HOUR)
@@ -105,7 +117,14 @@ def rle_locf(spark, d):
     return E.rle_locf(e, K, O, ["value"], grid=20)
 
 
-@query("phases")
+@query("phases", with_(EV, BD).replace("WITH", "WITH RECURSIVE", 1) + """
+ , r AS (SELECT media_id, t, value AS v, row_number() OVER (PARTITION BY media_id ORDER BY t) AS i FROM ev),
+ p AS (SELECT media_id, i, t, v, v AS f, 1 AS k FROM r WHERE i = 1 UNION ALL
+       SELECT r.media_id, r.i, r.t, r.v, CASE WHEN abs(r.v - p.f) > 25 THEN r.v ELSE p.f END, CASE WHEN abs(r.v - p.f) > 25 THEN p.k + 1 ELSE p.k END FROM p JOIN r ON r.media_id = p.media_id AND r.i = p.i + 1),
+ q AS (SELECT media_id, k, min(t) AS a, max(t) AS z, any_value(f) AS f, max(v) AS low, count(*) AS n FROM p GROUP BY media_id, k),
+ m AS (SELECT *, sum(CASE WHEN k = 1 OR z - a >= 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS g FROM q),
+ o AS (SELECT media_id, g, min(a) AS a, arg_min(f, k) AS f, max(low) AS low, sum(n)::BIGINT AS n FROM m GROUP BY media_id, g)
+ SELECT media_id, CASE WHEN g = 1 THEN lo ELSE a END AS start, coalesce(lead(a) OVER (PARTITION BY media_id ORDER BY g), hi) AS "end", f AS first, low, n FROM o JOIN bd USING (media_id)""")
 def phases(spark, d):
     e = events(spark, d)
     w = Window.partitionBy(*K)
@@ -186,7 +205,12 @@ def session_windows(spark, d):
     return sessions(events(spark, d), 8 * HOUR)
 
 
-@query("accepted_apart")
+@query("accepted_apart", with_(EV, IV).replace("WITH", "WITH RECURSIVE", 1) + """
+ , r AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY s, e) AS i FROM iv),
+ a AS (SELECT media_id, i, event_id, true AS ok, e AS last, 1 AS n FROM r WHERE i = 1 UNION ALL
+       SELECT r.media_id, r.i, r.event_id, a.n < 48 AND r.e > a.last + 400000, CASE WHEN a.n < 48 AND r.e > a.last + 400000 THEN r.e ELSE a.last END, a.n + CASE WHEN a.n < 48 AND r.e > a.last + 400000 THEN 1 ELSE 0 END
+       FROM a JOIN r ON r.media_id = a.media_id AND r.i = a.i + 1)
+ SELECT media_id, s AS start_us, e AS end_us, event_id FROM r WHERE EXISTS (SELECT 1 FROM a WHERE a.ok AND a.media_id = r.media_id AND a.i = r.i)""")
 def accepted_apart(spark, d):
     from tidemark.plans.base import spans
 
@@ -203,7 +227,13 @@ def pinned_edges(spark, d):
     return E.pinned_edges(s, hits(spark, d).select("media_id", F.col("t_us").alias("t")), K, HOUR)
 
 
-@query("bubble_shifts")
+@query("bubble_shifts", with_(EV) + """
+ , v AS (SELECT *, (20 * round_even(value / 20, 0))::BIGINT AS x, (20 * round_even(value / 2 / 20, 0))::BIGINT AS y FROM ev),
+ r1 AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, row_number() OVER w AS i FROM v WINDOW w AS (PARTITION BY media_id ORDER BY t, event_id)),
+ r2 AS (SELECT *, sum(CASE WHEN i = 1 OR px <> x OR py <> y THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS g FROM r1),
+ r AS (SELECT media_id, any_value(x) AS x, any_value(y) AS y, min(t) AS t0, max(t) AS t1 FROM r2 GROUP BY media_id, g),
+ h AS (SELECT media_id, median(x) AS hx, median(y) AS hy FROM r GROUP BY 1)
+ SELECT media_id, t0, t1, x - hx AS dx, y - hy AS dy FROM r JOIN h USING (media_id) WHERE greatest(abs(x - hx), abs(y - hy)) >= 20""")
 def bubble_shifts(spark, d):
     from tidemark.operators.raster import bubble_shifts as shifts
 

@@ -49,10 +49,10 @@ def first_argmax(spark, d):
     return S.first_argmax(o, ["k"], "score", "ord", "id")
 
 
-@query("vote", "SELECT l_suppkey AS k, count(*) AS n, count(*) FILTER (abs(l_linenumber - 3) <= 2.5 AND abs(l_tax * 100 - 4) <= 2.5) AS agree FROM lineitem GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (abs(l_linenumber - 3) <= 2.5 AND abs(l_tax * 100 - 4) <= 2.5) >= 0.5 * count(*)")
+@query("vote", "SELECT l_suppkey AS k, count(*) AS n, count(*) FILTER (abs(l_linenumber - 3) <= 2.5 AND abs(l_tax * 100 - 4) <= 2.5) AS agree FROM lineitem GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (abs(l_linenumber - 3) <= 2.5 AND abs(l_tax * 100 - 4) <= 2.5) >= 0.38 * count(*)")
 def vote(spark, d):
     p = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("x"), (F.col("l_tax") * 100).alias("y"), F.lit(3).alias("px"), F.lit(4).alias("py"))
-    return S.vote(p, ["k"], "x", "y", share=0.5)
+    return S.vote(p, ["k"], "x", "y", share=0.38)
 
 
 @query("sliding_energy", with_(EV) + ", i AS (SELECT media_id, event_id, floor(value)::BIGINT AS x, row_number() OVER (PARTITION BY media_id ORDER BY event_id DESC) AS back FROM ev) SELECT media_id, event_id, x, sum(x * x) OVER (PARTITION BY media_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)::BIGINT AS energy FROM i QUALIFY back >= 4")
@@ -66,18 +66,28 @@ def window_starts(spark, d):
     return S.window_starts(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", 600, 400).select("doc_id", "start")
 
 
+def sounds(spark, d):
+    """Fifty embeddings in a row are a raw sound of 3,200 samples; the edited one leaves 200 out, or 300 and 400."""
+    v = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("media_id"), "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    raw = v.groupBy("media_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])).alias("raw"))
+    part = lambda a, b: F.slice("raw", F.lit(a + 1), F.lit(b - a))
+    cut = F.when(F.col("media_id") % 2 == 0, F.concat(part(0, 400), part(600, 3200))).otherwise(F.concat(part(0, 700), part(1000, 1900), part(2300, 3200)))
+    return raw.withColumn("edited", cut)
+
+
 @query("audio_anchors")
 def audio_anchors(spark, d):
-    """Embeddings in a row are a raw sound; the edited one leaves a stretch of it out."""
-    v = table(spark, d, "embeddings").select((F.col("vec_id") % 20).alias("media_id"), "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    raw = v.groupBy("media_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])).alias("raw"))
-    cut = F.concat(F.slice("raw", F.lit(1), F.lit(400)), F.slice("raw", F.lit(601), F.size("raw") - 600))
-    return S.anchors(raw.withColumn("edited", cut), rate=100)
+    return S.anchors(sounds(spark, d), rate=100)
+
+
+@query("offset_segments")
+def offset_segments(spark, d):
+    return S.offset_segments(audio_anchors(spark, d), 12)
 
 
 @query("recovered_keep")
 def recovered_keep(spark, d):
-    return S.recovered_keep(S.offset_segments(audio_anchors(spark, d), 12), 75)
+    return S.recovered_keep(sounds(spark, d), rate=100)
 
 
 @query("greedy_clusters")
@@ -89,18 +99,14 @@ def greedy_clusters(spark, d):
 @query("kept_time", "SELECT o_custkey AS media_id, sum(o_orderkey % 97)::BIGINT AS kept, count(*) AS n FROM orders GROUP BY 1")
 def kept_time(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("media_id"), F.lit(0).alias("s"), (F.col("o_orderkey") % 97).alias("e"))
-    return o.groupBy("media_id").agg(F.sum(F.col("e") - F.col("s")).alias("kept"), F.count("*").alias("n"))
+    return S.kept_time(o, ["media_id"], "s", "e")
 
 
 @query("fraction_true", "SELECT l_returnflag, count(*) FILTER (l_quantity > 25)::DOUBLE / count(*) AS share FROM lineitem GROUP BY 1")
 def fraction_true(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg((F.count_if(F.col("l_quantity") > 25) / F.count("*")).alias("share"))
+    return S.fraction_true(table(spark, d, "lineitem"), ["l_returnflag"], F.col("l_quantity") > 25)
 
 
 @query("grown_ink", "SELECT l_orderkey, bool_or(l_quantity > 1.06 * f) AS grew FROM (SELECT *, first_value(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS f FROM lineitem) GROUP BY 1")
 def grown_ink(spark, d):
-    from pyspark.sql import Window
-
-    first = F.first("l_quantity").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", first.alias("f"))
-    return li.groupBy("l_orderkey").agg(F.bool_or(F.col("l_quantity") > 1.06 * F.col("f")).alias("grew"))
+    return S.grown(table(spark, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_quantity")

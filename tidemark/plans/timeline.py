@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
 from tidemark.operators import edl, intervals as I
 from tidemark.plans.base import BD, CL, ER, EV, HOUR, IV, bounds, events, hits, query, spans, table, with_
 
@@ -162,7 +163,16 @@ def as_of_forward(spark, d):
     return I.as_of(hits(spark, d).select("event_id", "media_id", "t_us"), hits(spark, d, "view"), ["media_id"], "t_us", ["value"], forward=True)
 
 
-@query("segment_plan")
+@query("segment_plan", with_(EV, IV, ER, MERGE.format(src="iv", op=">", slack=0)) + """
+ , i0 AS (SELECT er.media_id, er.t AS ask, (er.event_id % 7)::VARCHAR AS clip, er.event_id AS ord, (SELECT min(s) FROM mg WHERE mg.media_id = er.media_id AND mg.e >= er.t) AS rs FROM er),
+ ins AS (SELECT *, greatest(ask, rs) AS p FROM i0),
+ pts AS (SELECT media_id, s AS rs, s AS p FROM mg UNION SELECT media_id, rs, p FROM ins WHERE rs IS NOT NULL),
+ pc AS (SELECT pts.media_id, rs, p, coalesce(lead(p) OVER (PARTITION BY pts.media_id, rs ORDER BY p), mg.e) AS nx FROM pts JOIN mg ON mg.media_id = pts.media_id AND mg.s = rs),
+ al AS (SELECT media_id, rs AS a, p AS b, 1 AS c, NULL::BIGINT AS d, NULL::BIGINT AS ord, NULL::VARCHAR AS clip, p AS start_us, nx AS end_us FROM pc WHERE nx > p
+        UNION ALL SELECT media_id, coalesce(rs, 4611686018427387904), CASE WHEN rs IS NULL THEN 4611686018427387904 ELSE p END, 0, ask, ord, clip, NULL, NULL FROM ins),
+ n AS (SELECT *, (row_number() OVER (PARTITION BY media_id ORDER BY a, b, c, d, ord) - 1)::INTEGER AS seg_no FROM al),
+ f AS (SELECT media_id, clip, row_number() OVER (PARTITION BY media_id ORDER BY min(seg_no))::INTEGER AS input FROM n WHERE clip IS NOT NULL GROUP BY media_id, clip)
+ SELECT n.media_id, seg_no, coalesce(f.input, 0) AS input, n.clip, start_us, end_us FROM n LEFT JOIN f ON f.media_id = n.media_id AND f.clip = n.clip""")
 def segment_plan(spark, d):
     keep = I.merge_intervals(spans(spark, d))
     ins = hits(spark, d).select("media_id", F.col("t_us").alias("at_us"), (F.col("event_id") % 7).cast("string").alias("clip"), F.col("event_id").alias("ord"))
@@ -204,3 +214,82 @@ def crossfade_offsets(spark, d):
 def overlay_active(spark, d):
     p = hits(spark, d).select("media_id", F.col("event_id").alias("at_id"), "t_us")
     return edl.active_overlays(p, spans(spark, d).withColumnRenamed("event_id", "overlay_id"), "at_id", bucket_us=24 * HOUR)
+
+
+def _less(k: str, c: str, o: str) -> str:
+    return f"""
+ {o}k AS (SELECT DISTINCT media_id, s AS lo, e AS hi FROM {k}),
+ {o}0 AS (SELECT k.media_id, lo, hi, greatest(lo, c.s) AS s, least(hi, c.e) AS e FROM {o}k k JOIN {c} c ON k.media_id = c.media_id AND hi > c.s AND lo < c.e UNION ALL SELECT media_id, lo, hi, hi, hi FROM {o}k),
+ {o}1 AS (SELECT media_id, coalesce(max(e) OVER (PARTITION BY media_id, lo, hi ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lo) AS s, s AS e FROM {o}0),
+ {o} AS (SELECT * FROM {o}1 WHERE e - s > 50000)"""
+
+
+def _merged(src: str, name: str) -> str:
+    return MERGE.format(src=src, op=">", slack=0).replace("m0", f"{name}0").replace("m1", f"{name}1").replace("mg", name)
+
+
+_ACTIONS = (
+    "d AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'cut' ELSE 'mute' END AS action FROM cl), dc AS (SELECT * FROM d WHERE action = 'cut'), dm AS (SELECT * FROM d WHERE action = 'mute')",
+    _merged("dc", "cut_"), _merged("dm", "mute_"),
+)
+
+
+def disfluencies(spark, d):
+    return spans(spark, d, "click").withColumn("label", F.when(F.col("event_id") % 2 == 0, "CUT_FILLER_SOUND").otherwise("MUTE_BREATH"))
+
+
+@query("disfluency_ranges", with_(EV, CL, *_ACTIONS) + "SELECT media_id, 'cut' AS action, s AS start_us, e AS end_us FROM cut_ UNION ALL SELECT media_id, 'mute', s, e FROM mute_")
+def disfluency_ranges(spark, d):
+    return edl.ranges_by_action(disfluencies(spark, d))
+
+
+@query("cleanup_plan", with_(EV, IV, CL, BD, "sp AS (SELECT media_id, t - 120000 AS s, t + floor(value)::BIGINT * 3600000000 + 120000 AS e FROM ev WHERE event_type = 'purchase')",
+       *_ACTIONS, _merged("iv", "keep_"), _less("keep_", "cut_", "kept"), _less("mute_", "sp", "mutes")) + """
+ , idle AS (SELECT n.media_id FROM (SELECT media_id, count(*) AS n, min(s) AS s, max(e) AS e FROM kept GROUP BY 1) n JOIN bd USING (media_id) WHERE n = 1 AND s < lo + 300000 AND e > hi - 300000),
+ sg AS (SELECT media_id, s, e, (row_number() OVER (PARTITION BY media_id ORDER BY s, e) - 1)::INTEGER AS seg_no FROM kept WHERE media_id NOT IN (SELECT media_id FROM idle))
+ SELECT media_id, 'keep' AS kind, seg_no, s AS start_us, e AS end_us FROM sg UNION ALL
+ SELECT sg.media_id, 'mute', seg_no, greatest(sg.s, m.s) - sg.s, least(sg.e, m.e) - sg.s FROM sg JOIN mutes m ON m.media_id = sg.media_id AND sg.e > m.s AND sg.s < m.e WHERE least(sg.e, m.e) - greatest(sg.s, m.s) > 20000""")
+def cleanup_plan(spark, d):
+    return edl.cleanup(I.merge_intervals(spans(spark, d)), disfluencies(spark, d), spans(spark, d, "purchase"), bounds(spark, d), bucket_us=24 * HOUR)
+
+
+def overlays(spark, d):
+    return hits(spark, d, "view").select("media_id", (F.col("event_id") % 60).alias("id"), F.col("event_id").alias("ord"))
+
+
+def clip_assets(spark, d):
+    return table(spark, d, "part").where("p_partkey % 3 > 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("path"))
+
+
+@query("overlay_assets", with_(EV) + "SELECT media_id, event_id % 60 AS id, event_id AS ord, p_name AS path FROM ev JOIN part ON p_partkey = event_id % 60 WHERE event_type = 'view' AND p_partkey % 3 > 0")
+def overlay_assets(spark, d):
+    return edl.with_assets(overlays(spark, d), clip_assets(spark, d))[0].select("media_id", "id", "ord", "path")
+
+
+@query("missing_assets", with_(EV) + "SELECT media_id, count(*) FILTER (p_partkey IS NULL) AS n_missing FROM ev LEFT JOIN (SELECT p_partkey FROM part WHERE p_partkey % 3 > 0) ON p_partkey = event_id % 60 WHERE event_type = 'view' GROUP BY 1")
+def missing_assets(spark, d):
+    return edl.with_assets(overlays(spark, d), clip_assets(spark, d))[1]
+
+
+@query("spec_branches", "SELECT o_orderkey AS media_id, o_orderkey % 4 IN (1, 2, 3) AS overlays, o_orderkey % 4 = 2 OR o_orderkey % 4 = 3 AS new_sound FROM orders")
+def spec_branches(spark, d):
+    o, k = table(spark, d, "orders"), F.col("o_orderkey") % 4
+    full = lambda c: F.when(c, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    s = o.select(F.col("o_orderkey").alias("media_id"), full(k == 1).alias("texts"), F.lit(None).cast("array<string>").alias("images"), full(k == 2).alias("audios"), F.when(k == 3, True).alias("mute_original"))
+    return edl.branches(s)
+
+
+@query("overlay_looks", r"""
+ SELECT p_partkey, (CASE WHEN p_size BETWEEN 1 AND 10 THEN 2.5 WHEN p_size BETWEEN 10 AND 20 THEN 4.0 ELSE 1.0 END)::DOUBLE AS gain,
+ (CASE WHEN length(p_name) <= 10 THEN 96 ELSE greatest(54, floor(96 * 10 / length(p_name))) END)::INTEGER AS font,
+ replace(replace(replace(replace(p_name || '\it''s 5%: x', '\', '\\'), ':', '\:'), '''', chr(8217)), '%', '\%') AS label,
+ (['60', '(W-w)/2', 'W-w-60'])[p_partkey % 3 + 1] AS x, (['60', '(H-h)/2', 'H-h-60'])[p_partkey // 3 % 3 + 1] AS y FROM part""")
+def overlay_looks(spark, d):
+    """Gain by size, title size, escaped label and preset position of each part's overlay."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    preset = F.concat(F.get(F.array(*map(F.lit, "tmb")), F.floor(k / 3).cast("int") % 3), F.get(F.array(*map(F.lit, "lcr")), (k % 3).cast("int")))
+    at = T.position_xy(preset)
+    return p.select(
+        "p_partkey", edl.case_between(F.col("p_size"), [(1, 10, 2.5), (10, 20, 4.0)], 1.0).alias("gain"), edl.font_size(F.col("p_name"), fits=10).alias("font"),
+        T.overlay_escape(F.concat("p_name", F.lit("\\it's 5%: x"))).alias("label"), at["x"].alias("x"), at["y"].alias("y"),
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import repeats as R
-from tidemark.plans.base import query, table
+from tidemark.plans.base import EV, IV, query, spans, table, with_
 
 
 def segments(spark, d) -> DataFrame:
@@ -38,10 +38,13 @@ def word_stream(spark, d):
     return words(spark, d)
 
 
-@query("slim_transcript", "SELECT conv_id AS media_id, turn AS seg_no, length(text)::INTEGER AS n_chars, lower(substr(text, 1, 40)) AS head FROM conversations WHERE length(text) > 20")
+@query("slim_transcript", """
+ WITH c AS (SELECT conv_id, turn, text, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM conversations)
+ SELECT conv_id AS media_id, turn AS seg_no, trim(text) AS text, len(w)::INTEGER AS n_words, w[1] AS first_word, w[-1] AS last_word FROM c WHERE length(text) > 20""")
 def slim_transcript(spark, d):
-    s = segments(spark, d).where(F.length("text") > 20)
-    return s.select("media_id", "seg_no", F.length("text").alias("n_chars"), F.lower(F.substring("text", 1, 40)).alias("head"))
+    return R.slim(segments(spark, d).where(F.length("text") > 20)).select(
+        "media_id", "seg_no", "text", F.size("words").alias("n_words"), F.element_at("words", 1)["word"].alias("first_word"), F.element_at("words", -1)["word"].alias("last_word")
+    )
 
 
 @query("repeats_set", r"""
@@ -58,17 +61,16 @@ def repeats_set(spark, d):
     return g.select("doc_id", "gram", n.alias("n")).where("n > 0").groupBy("doc_id", "gram").agg(F.sum("n").alias("n"))
 
 
-@query("jaccard_documents", r"""
+@query("jaccard_items", r"""
  WITH t AS (SELECT item_id AS id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zà-ÿ0-9'']+'), lambda x: length(x) > 1)) AS t FROM benchmark)
  SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS common FROM t a JOIN t b ON a.id < b.id
  WHERE len(a.t) > 0 AND len(b.t) > 0 AND len(list_intersect(a.t, b.t)) * 20 >= len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))""")
-def jaccard_documents(spark, d):
-    """Benchmark items whose token sets overlap by 0.05 or more, through shared tokens."""
+def jaccard_items(spark, d):
+    """Benchmark items whose token sets overlap by a twentieth or more, through shared rare tokens."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), T.accent_tokens(F.col("text")).alias("t"))
-    e = b.select("id", F.size("t").alias("n"), F.explode("t").alias("w"))
-    pairs = e.alias("x").join(e.alias("y"), (F.col("x.w") == F.col("y.w")) & (F.col("x.id") < F.col("y.id")))
-    got = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("common"))
-    return got.where(F.col("common") * 20 >= F.col("na") + F.col("nb") - F.col("common")).select("a", "b", "common")
+    pairs = R.near_sets(b, b, 0.05).where("a < b").join(b.toDF("a", "_x"), "a").join(b.toDF("b", "_y"), "b")
+    got = pairs.withColumn("common", F.size(F.array_intersect("_x", "_y")))
+    return got.where(F.col("common") * 20 >= F.size("_x") + F.size("_y") - F.col("common")).select("a", "b", "common")
 
 
 @query("corrections_marked", "WITH " + WORDS + r""",
@@ -101,19 +103,37 @@ def _history(spark, d) -> DataFrame:
     return c.where("turn % 2 = 0").select("text", (F.col("conv_id") % 3 == 0).alias("approved"))
 
 
+def stutters(spark, d) -> DataFrame:
+    """words, with speech that stutters: of every four turns one begins with its first five words twice, one with its first
+    six twice of which the second time the third is another, and one breaks off after four and begins again."""
+    s = segments(spark, d)
+    plain = F.transform("words", lambda x: x["word"])
+    w = F.filter(plain, lambda x: F.length(F.regexp_replace(x, "[^A-Za-z]", "")) > 1)
+    head = lambda n: F.slice(w, 1, n)
+    other = F.concat(F.slice(w, 1, 2), F.array(F.lit("instead")), F.slice(w, 4, 3))
+    kind = (F.col("media_id") + F.col("seg_no")) % 4
+    text = F.when(kind == 1, F.concat(head(5), w)).when(kind == 2, F.concat(other, w)).when(kind == 3, F.concat(head(4), F.array(F.lit("-")), w)).otherwise(w)
+    s = s.select("media_id", "seg_no", text.alias("t"), (kind == 3).alias("cut"))
+    k = F.coalesce(F.sum(F.size("t") + 6).over(Window.partitionBy("media_id").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = s.withColumn("k", k)
+    # a second's pause before each turn, and where it breaks off
+    at = lambda i: (F.col("k") + i + F.when(F.col("cut") & (i > 3), 2).otherwise(0)) * 0.4
+    return R.word_stream(s.select("media_id", "seg_no", F.transform("t", lambda x, i: F.struct(x.alias("word"), at(i).alias("start"), (at(i) + 0.3).alias("end"))).alias("words")))
+
+
 @query("repeats_exact")
 def repeats_exact(spark, d):
-    return R.verbatim_repeats(words(spark, d))
+    return R.verbatim_repeats(stutters(spark, d))
 
 
 @query("near_repeats")
 def near_repeats(spark, d):
-    return R.near_repeats(words(spark, d))
+    return R.near_repeats(stutters(spark, d))
 
 
 @query("false_starts")
 def false_starts(spark, d):
-    return R.false_starts(words(spark, d))
+    return R.false_starts(stutters(spark, d))
 
 
 @query("similar_segments")
@@ -126,7 +146,7 @@ def similar_segments(spark, d):
 @query("repeat_candidates")
 def repeat_candidates(spark, d):
     """The whole chain: words, detectors, past decisions, suppression."""
-    return R.find_repeats(words(spark, d), _history(spark, d))
+    return R.find_repeats(stutters(spark, d), _history(spark, d))
 
 
 @query("rerank", r"""
@@ -142,10 +162,15 @@ def rerank(spark, d):
     return R.rerank(b.select(F.col("item_id").alias("media_id"), F.lit(0.5).alias("confidence"), "text"), h)
 
 
-@query("suppress_overlaps")
+@query("suppress_overlaps", with_(EV, IV).replace("WITH", "WITH RECURSIVE", 1) + """
+ , r AS (SELECT *, (event_id % 10) / 10 AS c, row_number() OVER (PARTITION BY media_id ORDER BY s, e) AS i FROM iv),
+ k AS (SELECT media_id, i, i AS cur, e AS last, c, 1 AS slot FROM r WHERE i = 1 UNION ALL
+       SELECT r.media_id, r.i, CASE WHEN r.s >= k.last - 50000 OR r.c > k.c THEN r.i ELSE k.cur END, CASE WHEN r.s >= k.last - 50000 OR r.c > k.c THEN r.e ELSE k.last END,
+              CASE WHEN r.s >= k.last - 50000 OR r.c > k.c THEN r.c ELSE k.c END, k.slot + CASE WHEN r.s >= k.last - 50000 THEN 1 ELSE 0 END
+       FROM k JOIN r ON r.media_id = k.media_id AND r.i = k.i + 1),
+ z AS (SELECT media_id, arg_max(cur, i) AS i FROM k GROUP BY media_id, slot)
+ SELECT media_id, s AS start_us, e AS end_us, 'x' AS type, c AS confidence FROM z JOIN r USING (media_id, i)""")
 def suppress_overlaps(spark, d):
-    from tidemark.plans.base import spans
-
     s = spans(spark, d).select("media_id", "start_us", "end_us", F.lit("x").alias("type"), ((F.col("event_id") % 10) / 10).alias("confidence"))
     return R.suppress_overlaps(s)
 

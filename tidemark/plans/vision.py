@@ -70,6 +70,77 @@ def panel_view(spark, d):
     return P.panel_view(f, 200.0).select("media_id", *[F.round(c, 6).alias(c) for c in ("x", "y", "size")])
 
 
-@query("components")
+@query("components", f"""
+ WITH RECURSIVE {PX}, q AS (SELECT media_id, frame_no, x // 8 AS x, y % 20 AS y FROM px GROUP BY ALL),
+ p AS (SELECT *, row_number() OVER (PARTITION BY media_id, frame_no ORDER BY y, x) - 1 AS i FROM q),
+ nb AS (SELECT a.media_id, a.frame_no, a.i, b.i AS j FROM p a JOIN p b ON a.media_id = b.media_id AND a.frame_no = b.frame_no AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.i <> b.i),
+ r AS (SELECT media_id, frame_no, i, i AS j FROM p UNION SELECT r.media_id, r.frame_no, r.i, nb.j FROM r JOIN nb ON nb.media_id = r.media_id AND nb.frame_no = r.frame_no AND nb.i = r.j),
+ l AS (SELECT media_id, frame_no, i, min(j) AS label FROM r GROUP BY ALL)
+ SELECT media_id, frame_no, label, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM l JOIN p USING (media_id, frame_no, i) GROUP BY media_id, frame_no, label""")
 def components(spark, d):
     return P.components(pixels(spark, d).select("media_id", "frame_no", (F.col("x") / 8).cast("long").alias("x"), (F.col("y") % 20).alias("y")).distinct())
+
+
+def boxes(spark, d):
+    return table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("k"), (F.col("l_partkey") % 97).alias("x"), (F.col("l_orderkey") % 89).alias("y"), F.col("l_quantity").cast("long").alias("w"), F.col("l_linenumber").cast("long").alias("h"))
+
+
+BX = "bx AS (SELECT l_suppkey % 50 AS k, l_partkey % 97 AS x, l_orderkey % 89 AS y, l_quantity::BIGINT AS w, l_linenumber::BIGINT AS h FROM lineitem)"
+
+
+@query("nearest_circle", f"WITH {BX} SELECT k, cx, cy, cr FROM (SELECT k, x AS cx, y AS cy, w AS cr, row_number() OVER (PARTITION BY k ORDER BY abs(x - 50) + abs(y - 40), x, y, w) AS i FROM bx) WHERE i = 1")
+def nearest_circle(spark, d):
+    return P.nearest(boxes(spark, d).select("k", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("w").alias("cr")), ["k"], 50, 40)
+
+
+@query("largest_box", f"WITH {BX} SELECT k, x, y, w, h FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY w * h DESC, y, x, w DESC) AS i FROM bx) WHERE i = 1")
+def largest_box(spark, d):
+    return P.largest(boxes(spark, d), ["k"])
+
+
+@query("panel_rows", f"WITH {PX}, r AS (SELECT media_id, frame_no, y, count(*) AS c FROM px WHERE x < 0.20 * 1200 AND y < 0.45 * 300 AND greatest(b, g, r) - least(b, g, r) > 45 GROUP BY 1, 2, 3 HAVING count(*) >= 1) SELECT media_id, frame_no, min(y) AS y0, max(y) AS y1, count(*) AS n FROM r GROUP BY 1, 2 HAVING min(y) <= 20")
+def panel_rows(spark, d):
+    return P.panel_rows(pixels(spark, d), 1200, 300, busy=1, top=20)
+
+
+@query("whitened_top", f"WITH {PX} SELECT media_id, sum(CASE WHEN y < 52 THEN 255 ELSE b END)::BIGINT AS b, sum(CASE WHEN y < 52 THEN 255 ELSE g END)::BIGINT AS g, sum(CASE WHEN y < 52 THEN 255 ELSE r END)::BIGINT AS r FROM px GROUP BY 1")
+def whitened_top(spark, d):
+    return P.whitened(pixels(spark, d)).groupBy("media_id").agg(*[F.sum(c).alias(c) for c in "bgr"])
+
+
+@query("dark_rows", f"WITH {PX}, r AS (SELECT media_id, frame_no, y, count(*) FILTER ((b + g + r) / 3 < 90) AS d FROM px GROUP BY 1, 2, 3) SELECT media_id, frame_no, count(*) AS n_rows, min(y) AS y0, max(y) AS y1 FROM r WHERE d > 0.4 * 2 GROUP BY 1, 2 HAVING count(*) <= 4")
+def dark_rows(spark, d):
+    return P.dark_rows(pixels(spark, d), 2)
+
+
+@query("padded_boxes", f"WITH {BX} SELECT k, w, h, least(480, greatest(0, x * 4 - 24)) AS x0, least(270, greatest(0, y * 4 - 48)) AS y0, least(480, greatest(0, (x + w) * 4 + 24)) AS x1, least(270, greatest(0, (y + h) * 4 + 48)) AS y1 FROM bx")
+def padded_boxes(spark, d):
+    b = boxes(spark, d).select("k", "w", "h", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
+    return P.padded_box(b, 0.25, 24, 48, 480, 270)
+
+
+@query("still_geometry", """
+ WITH s AS (SELECT p_partkey AS slide, p_size * 40 AS w, p_size * 20 AS h, p_partkey % 1920 AS cx, p_partkey * 7 % 1080 AS cy FROM part),
+ o AS (SELECT *, round_even(w * 0.75, 0)::BIGINT AS out_w, round_even(h * 0.75, 0)::BIGINT AS out_h FROM s), c AS (SELECT *, cx - out_w // 2 AS ax, cy - out_h // 2 AS ay FROM o)
+ SELECT slide, out_w, out_h, greatest(0, ax) AS x, greatest(0, ay) AS y, greatest(0, -ax) AS crop_x, greatest(0, -ay) AS crop_y,
+ greatest(0, least(out_w - greatest(0, -ax), 1920 - greatest(0, ax))) AS use_w, greatest(0, least(out_h - greatest(0, -ay), 1080 - greatest(0, ay))) AS use_h FROM c""")
+def still_geometry(spark, d):
+    p = F.col("p_partkey")
+    s = table(spark, d, "part").select(p.alias("slide"), (F.col("p_size") * 40).alias("w"), (F.col("p_size") * 20).alias("h"), F.lit(0.75).alias("scale"), (p % 1920).alias("cx"), (p * 7 % 1080).alias("cy"))
+    return P.still_geometry(s)
+
+
+@query("recenters", 'SELECT o_custkey AS media_id, o_orderkey AS slide, 0 AS start, o_orderkey % 50 * 250001 AS "end", (540 - (o_orderkey % 700 + 400) / 2)::DOUBLE AS dy FROM orders WHERE o_orderkey % 50 > 9 AND abs(540 - (o_orderkey % 700 + 400) / 2) > 24')
+def recenters(spark, d):
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("media_id"), k.alias("slide"), F.lit(0).alias("start"), (k % 50 * 250001).alias("end"), (k % 700).alias("top"), F.lit(400).alias("bottom"))
+    return P.recenters(o, 540.0)
+
+
+@query("cursor_blobs", "SELECT l_orderkey, l_linenumber, l_quantity::BIGINT * 8 AS n FROM lineitem WHERE l_quantity::BIGINT * 8 BETWEEN 25 AND 400 AND l_linenumber * 6 + 1 >= 1.25 * 13 AND l_partkey % 60 <= 25 AND l_discount * 10 >= 0.9 AND l_suppkey % 90 <= 60")
+def cursor_blobs(spark, d):
+    li = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_quantity").cast("long") * 8).alias("n"), F.lit(0).alias("x0"), F.lit(12).alias("x1"), F.lit(0).alias("y0"), (F.col("l_linenumber") * 6).alias("y1"),
+        (F.col("l_partkey") % 60).alias("near"), (F.col("l_discount") * 10).alias("halo"), (F.col("l_suppkey") % 90).alias("sat"),
+    )
+    return P.cursor_like(li).select("l_orderkey", "l_linenumber", "n")
