@@ -587,3 +587,21 @@ def test_warc(spark):
     want = [(p, len(body(h)), hashlib.sha256(body(h)).hexdigest(), "revisit" if p in first else "response", first.get(p)) for p, _, h in rows]
     assert got == sorted(map(repr, want))
     assert warc.read(warc.merged(warc.write(pages.where("false"), scratch(spark, "w")))).count() == 0
+
+
+def test_warc_awkward(spark):
+    """Very long payloads, one page with two payloads, clashing columns, and a busy host over many runs and ranges."""
+    rows = [(1, "http://a.example/1", "x" * 400_000), (2, "http://a.example/1", "x" * 400_000), (2, "http://a.example/2", "y" * 150), (3, None, "y" * 150)]
+    rows += [(100 + i, f"http://busy.example/{i % 7}", f"page {i % 90} " * 20) for i in range(400)]
+    names = "page_id long, url string, html string, payload_bytes int, record_type string, run int, urlkey string, p int"
+    pages = spark.createDataFrame([(*r, 1, "x", 2, "k", 3) for r in rows], names).repartition(6)
+    index = warc.merged(warc.write(pages, scratch(spark, "w")))
+    order = [(r.urlkey, r.ts, r.page_id) for r in index.collect()]
+    assert order == sorted(order, key=lambda x: (x[0], x[1], x[2])) and len(order) == len(rows)
+    first = {}
+    for p, _, h in sorted(rows, key=lambda r: r[0]):
+        first.setdefault(h, p)
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or -1) for r in warc.read(index).collect())
+    assert got == sorted((p, len(h), "response" if first[h] == p else "revisit", -1 if first[h] == p else first[h]) for p, _, h in rows)
+    seen = {r.urlkey: (r.n_captures, r.n_revisits) for r in warc.histories(index).collect()}
+    assert sum(n for n, _ in seen.values()) == len(rows) and sum(n for _, n in seen.values()) == sum(first[h] != p for p, _, h in rows)

@@ -39,3 +39,21 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DATA)
         assert docs.count() == 0
+
+
+def test_awkward_rows(spark):
+    """Nulls, empty and long texts, repeated rows and numbers, near copies without a number, and clashing columns."""
+    good = lambda k: " ".join(f"word{k}x{i}" for i in range(80))
+    texts = [(1, good(1)), (2, good(1) + " end"), (2, good(2)), (2, good(2)), (None, good(2) + " end"), (None, good(3)), (None, good(3)), (3, None), (4, ""), (5, "few words"), (6, good(4) + " " * 5000 + "z" * 30_000), (None, None)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, _t string, _w int, n_words int, row string, kept string, _row string, fail_bits int, words string, r int"
+    docs = spark.createDataFrame([(d, t, "en", None, None if t is None else len(t), "a", 1, 2, "b", "c", "d", 3, "e", 4) for d, t in texts], names)
+    left = []
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        left.append(sorted((repr((r.doc_id, (r.text or "")[:9])) for r in docs.collect())))
+    assert left[0] == sorted(repr((d, t[:9])) for d, t in texts if t and len(t.split()) >= 50 and d != 6)  # a word of 30,000 letters is no good
+    assert left[1] == left[2] == left[3] == sorted(repr((d, good(k)[:9])) for d, k in ((1, 1), (2, 2), (None, 3)))
+    ids = corpus_pipeline.STAGES[4][1](spark, docs, DATA).collect()
+    assert sorted(r.n_tokens for r in ids) == sorted(len(bpe.encoder(bpe.default_path()).encode(r.text)) for r in docs.collect())

@@ -1,11 +1,7 @@
-"""What the operators of this subpackage share: tables, scratch space in the shared folder, and
-streams of key groups inside a task."""
+"""What the operators of this subpackage share: tables, sizes, and streams of key groups inside a task."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.shared import scratch, shared_dir, stored  # noqa: F401
+
 #: White space that separates words.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -25,31 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where none is named and all
-    run in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df as a table written in the shared folder: its lineage ends there, so a lost executor costs
-    a read and not the work before it."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files below df, as the optimizer knows them."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -263,8 +263,8 @@ def row_key(key: str = "doc_id", text: str = "text"):
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents without a leaked item."""
-    bad = leaks(docs, benchmark, key=key, text=text, **options).select("r").distinct().withColumnRenamed("r", "_bad")
-    return docs.join(bad, row_key(key, text) == F.col("_bad"), "left_anti")
+    bad = leaks(docs, benchmark, key=key, text=text, **options).select("r").distinct().withColumnRenamed("r", "__leaked")
+    return docs.join(bad, row_key(key, text) == F.col("__leaked"), "left_anti")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 Pages are written as WARC 1.1 records, one archive a task. Beside its archive a task writes a run: its captures (URL key,
 time, page, place in the archive) in order. An external merge turns the runs into a global order by
 URL key and time: captures are dealt out by ranges of the key, and in each range the runs' slices,
-sorted already, meet in a k-way loser tree. Ranges split on time and page too, so one busy host
-spans many tasks.
+sorted already, meet in a k-way loser tree. A task holds its slices packed as Arrow batches of a few megabytes in all, and
+reads a few rows of each at a time. Ranges split on time and page too, so one busy host spans many tasks.
 
 Of records with equal payloads of at least MIN_PAYLOAD bytes the one of smallest page is the
 response and the others are revisits, which carry the HTTP header, the digest and the reference but
@@ -50,15 +50,15 @@ def url_key(url: str | None) -> str:
 def record(page: int | None, url: str | None, stamp: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One record, gzipped as a member of its own."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    name = "null" if page is None else page
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Date: {stamp}"]
+    name = lambda p: f"<urn:page:{'null' if p is None else p}:{digest[:16]}>"  # noqa: E731 so that a page of two payloads has two
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page)}", f"WARC-Date: {stamp}"]
     if url:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20]", lambda c: f"%{ord(c[0]):02X}", url))
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if refers_to is None:
         block += payload
     else:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {name(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 1, mtime=0)
 
@@ -170,23 +170,26 @@ def merged(runs: DataFrame) -> DataFrame:
     """The captures in global order by URL key, time and page: partitions are ranges in order, and
     each is merged from the runs' slices."""
     order = ["urlkey", "ts", F.col("page_id").asc_nulls_last()]
-    dealt = runs.repartitionByRange(parts(runs, 8), *order)
+    dealt = runs.repartitionByRange(parts(runs, 8), *order)  # 8 MB of captures to a task
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[int, list[tuple]] = {}
+        pieces: list[list[pa.RecordBatch]] = []
+        last = None
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(8)]
-            for r in zip(*cols):
-                slices.setdefault(r[0], []).append(r[1:])
-        each = []
-        for k in sorted(slices):
-            own, key = slices[k], [_order(x) for x in slices[k]]
-            # blocks of a run arrive in its order, but a run that was read in several pieces is several runs
-            cuts = [0, *(i for i in range(1, len(own)) if key[i] < key[i - 1]), len(own)]
-            each += [(k, own[a:b]) for a, b in zip(cuts, cuts[1:])]
-        tree = LoserTree([iter([(k, *x) for x in rows]) for k, rows in each], lambda r: _order(r[1:]))
+            # rows of a run arrive in its order, but a run that was read in several pieces is several runs
+            keys = [(r, _order(x)) for r, *x in zip(*(batch.column(i).to_pylist() for i in range(4)))]
+            begin = 0
+            for i, key in enumerate(keys):
+                if last is None or key[0] != last[0] or key[1] < last[1]:
+                    if i > begin:
+                        pieces[-1].append(batch.slice(begin, i - begin))
+                    pieces.append([])
+                    begin = i
+                last = key
+            if batch.num_rows > begin:
+                pieces[-1].append(batch.slice(begin))
         held = []
-        for r in tree:
+        for r in LoserTree([_rows(p) for p in pieces], lambda r: _order(r[1:])):
             held.append(r)
             if len(held) == 10_000:
                 yield _captures(held)
@@ -197,6 +200,13 @@ def merged(runs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(merge, RUN_SCHEMA)
 
 
+def _rows(piece: list[pa.RecordBatch], some: int = 64) -> Iterator[tuple]:
+    """The rows of a slice of a run, unpacked a few at a time."""
+    for batch in piece:
+        for at in range(0, batch.num_rows, some):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, some).columns))
+
+
 def _captures(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], RUN_FIELDS)
@@ -230,9 +240,8 @@ def read(index: DataFrame) -> DataFrame:
                 digest = got["warc-payload-digest"].removeprefix("sha256:")
                 if kind == "response" and (len(got["payload"]) != n or hashlib.sha256(got["payload"]).hexdigest() != digest):
                     raise ValueError(f"damaged record at {r['at']} of {path}")
-                page = got["warc-record-id"][10:-1]
-                ref = got.get("warc-refers-to")
-                out[i] = (None if page == "null" else int(page), r["urlkey"], r["ts"], n, digest, kind, int(ref[10:-1]) if ref else None)
+                page, ref = (got[h].split(":")[2] if h in got else None for h in ("warc-record-id", "warc-refers-to"))
+                out[i] = (None if page == "null" else int(page), r["urlkey"], r["ts"], n, digest, kind, int(ref) if ref else None)
             if f:
                 f.close()
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
