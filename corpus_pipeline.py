@@ -20,8 +20,8 @@ from tidemark.llm.common import scratch, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the current quality policy."""
-    rows = quality_rules.ledger(docs, carry=docs.columns)
-    return quality_rules.kept(rows).select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), "text")  # so that no column's name meets the ledger's
+    return quality_rules.kept(quality_rules.ledger(packed, carry=("doc",))).select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +29,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = near_dup.near_duplicates(docs, percent=80).where("group_id IS NOT NULL")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
     first = found.groupBy("group_id").agg(F.min(place).alias("f"), F.count("*").alias("k")).where("k > 1")
-    gone = found.join(first, "group_id").where(place != F.col("f")).select(F.col("row").alias("_gone")).distinct()
-    rows = docs.withColumn("_row", near_dup.row_key()).join(gone, F.col("_row") == F.col("_gone"), "left_anti")
+    gone = found.join(first, "group_id").where(place != F.col("f")).select(F.col("row").alias("__gone")).distinct()
+    rows = docs.withColumn("__row", near_dup.row_key()).join(gone, F.col("__row") == F.col("__gone"), "left_anti")
     # rows that repeat number and text have one key, by which the rows are dealt already
-    again = F.row_number().over(Window.partitionBy("_row").orderBy("_row")) > 1
-    return rows.withColumn("_again", again & F.col("text").rlike(r"[^\x20\x09-\x0D]")).where(~F.coalesce("_again", F.lit(False))).select(*docs.columns)
+    again = F.row_number().over(Window.partitionBy("__row").orderBy("__row")) > 1
+    return rows.withColumn("__again", again & F.col("text").rlike(r"[^\x20\x09-\x0D]")).where(~F.coalesce("__again", F.lit(False))).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
