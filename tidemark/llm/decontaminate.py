@@ -53,22 +53,49 @@ NUMBER = re.compile(r"[+\-$€£]?\d[\d.,/:\-]*[%°]?[a-zA-Z]{0,3}$")
 KINDS = ("", "<num>", "<name>", "<unit>")
 
 
+SPECIAL = NUMBER_WORDS | UNITS
+#: The hash of a name's placeholder.
+NAME = xxhash.xxh3_64_intdigest(KINDS[2])
+
+
 class Hashes(dict):
-    """Packed 64-bit hashes of words' template, folded and own forms, and whether the first two are literals (bits);
-    started anew when full."""
-
-    def __missing__(self, word: str) -> bytes:
-        form, kind = canonical(word)
-        fold, fold_kind = (form, kind) if kind in (1, 3) or kind == 0 and form.isascii() else canonical(word, True)
-        h = xxhash.xxh3_64_digest(form)
-        g = h if fold == form else xxhash.xxh3_64_digest(fold)
-        own = g if fold_kind == 0 else xxhash.xxh3_64_digest("=" + value(word))
-        packed = h + g + own + ((kind == 0) + 2 * (fold_kind == 0)).to_bytes(8, "little")
+    """Columns of a table by word: 64-bit hashes of its template, folded and own forms, and whether the first two are literals
+    (bits)."""
+
+    def __init__(self, most: int = 300_000):
+        self.most = most
+        self.table = np.empty((4, 1 << 16), "uint64")
+        self.n = 0
+
+    def columns(self, words: list[str]) -> np.ndarray:
+        """The table's columns of the words; it starts anew when it was full before."""
+        if self.n >= self.most:
+            self.clear()
+            self.n = 0
+        at = np.fromiter(map(self.__getitem__, words), "int64", len(words))
+        return self.table[:, at]
+
+    def __missing__(self, word: str) -> int:
+        core = word.strip(EDGE) or word
+        low = core.lower()
+        if core.isalpha() and core.isascii() and low not in SPECIAL and (core == low or core[0].isupper() and not core.isupper()):
+            # plain words and names, as below
+            h = xxhash.xxh3_64_intdigest(low)
+            row = (h, h, h, 3) if core == low else (NAME, h, h, 2)
+        else:
+            form, kind = canonical(word)
+            fold, fold_kind = canonical(word, True)
+            h, g = xxhash.xxh3_64_intdigest(form), xxhash.xxh3_64_intdigest(fold)
+            own = g if fold_kind == 0 else xxhash.xxh3_64_intdigest("=" + value(word))
+            row = (h, g, own, (kind == 0) + 2 * (fold_kind == 0))
+        if self.n == self.table.shape[1]:
+            self.table = np.concatenate([self.table, np.empty_like(self.table)], axis=1)
+        i = self.n
+        self.table[:, i] = row
+        self.n += 1
         if len(word) < 100:
-            if len(self) >= 300_000:
-                self.clear()
-            self[word] = packed
-        return packed
+            self[word] = i
+        return i
 
 
 _seen = Hashes()
@@ -97,17 +124,18 @@ def windows(words: list[str], size: int = SIZE) -> np.ndarray:
     window if there are fewer words. A window of placeholders alone has the hash of its values."""
     if not words:
         return np.zeros((2, 0), "int64")
-    w = np.frombuffer(b"".join(map(_seen.__getitem__, words)), "uint64").reshape(-1, 4).T.copy()
-    k = min(size, w.shape[1])
-    n = w.shape[1] - k + 1
-    h, literal = np.full((3, n), k, "uint64"), np.zeros(n, "uint64")
+    columns, k = _seen.columns(words), min(size, len(words))
+    n = len(words) - k + 1
+    h, literal = [np.full(n, k, "uint64") for _ in range(3)], np.zeros(n, "uint64")
     for j in range(k):
-        h ^= w[:3, j : j + n]
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        literal |= w[3, j : j + n]
-    out = [np.where(literal & np.uint64(bit), h[i], h[2]) for i, bit in ((0, 1), (1, 2))]
-    return np.stack(out).view("int64")
+        for x, c in zip(h, columns):
+            x ^= c[j : j + n]
+            x *= np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(32)
+        literal |= columns[3, j : j + n]
+    for bit, x in ((1, h[0]), (2, h[1])):
+        np.copyto(x, h[2], where=(literal & np.uint64(bit)) == 0)
+    return np.stack(h[:2]).view("int64")
 
 
 def _window_rows(rows: DataFrame, size: int, only: np.ndarray | None, lengths: Sequence[int] = ()) -> DataFrame:
@@ -118,34 +146,56 @@ def _window_rows(rows: DataFrame, size: int, only: np.ndarray | None, lengths: S
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()))
     batch_of = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
+    def hits(form: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
+        if only is None:
+            return np.arange(len(form))
+        at = np.flatnonzero(bits[form & ((1 << 20) - 1)])
+        return at[only[np.searchsorted(only, form[at]).clip(max=len(only) - 1)] == form[at]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None
         if only is not None:
+            if not len(only):
+                return
             bits = np.zeros(1 << 20, bool)
             bits[only & ((1 << 20) - 1)] = True
         for batch in batches:
-            out, held = [[] for _ in names], 0
-            for d, r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                words = t.as_py().split() if t.is_valid else []
-                for k in sorted({min(size, len(words)), *(x for x in lengths if x <= len(words))} - {0}):
+            for begin in range(0, batch.num_rows, 200):
+                part = batch.slice(begin, 200)
+                texts = [(t.as_py() or "").split() for t in part.column(2)]
+                ends = np.cumsum([0, *map(len, texts)])
+                words = [w for t in texts for w in t]
+                found: dict[tuple[int, int, int], list[int]] = {}  # text, length, hash: places
+                # the windows of many texts at a time, without those that reach into the next one
+                for k in sorted({size, *lengths}):
+                    if k > len(words):
+                        continue
                     h, folded = windows(words, k)
-                    found: dict[int, list[int]] = {}
                     for form in (h, folded):
-                        at = np.arange(len(h)) if only is None else np.flatnonzero(bits[form & ((1 << 20) - 1)])
-                        if form is folded and len(at):
+                        at = hits(form, bits)
+                        if form is folded:
                             at = at[form[at] != h[at]]
-                        if only is not None and len(at):
-                            at = at[only[np.searchsorted(only, form[at]).clip(max=len(only) - 1)] == form[at]]
-                        for x, p in zip(form[at].tolist(), at.tolist()):
-                            found.setdefault(x, []).append(p)
-                    for x, places in found.items():
-                        for col, v in zip(out, (d, r, x, k, len(h), places, [w for p in places for w in words[p : p + k]])):
-                            col.append(v)
-                        held += len(places)
+                        text = np.searchsorted(ends, at, "right") - 1
+                        inside = at + k <= ends[text + 1]
+                        at, text = at[inside], text[inside]
+                        for i, x, p in zip(text.tolist(), form[at].tolist(), (at - ends[text]).tolist()):
+                            found.setdefault((i, k, x), []).append(p)
+                for i, t in enumerate(texts):
+                    if 0 < len(t) < size and len(t) not in lengths:
+                        h, folded = windows(t, len(t))
+                        for x in {int(form[0]) for form in (h, folded) if len(hits(form, bits))}:
+                            found[i, len(t), x] = [0]
+                out, held = [[] for _ in names], 0
+                ids, keys = part.column(0).to_pylist(), part.column(1).to_pylist()
+                for (i, k, x), places in found.items():
+                    for col, v in zip(out, (ids[i], keys[i], x, k, len(texts[i]) - k + 1, places, [w for p in places for w in texts[i][p : p + k]])):
+                        col.append(v)
+                    held += len(places)
                     if held > 20_000:
                         yield batch_of(out)
                         out, held = [[] for _ in names], 0
-            if out[0]:
-                yield batch_of(out)
+                if out[0]:
+                    yield batch_of(out)
 
     return rows.mapInArrow(run, "id long, r long, wh long, size int, n int, pos array<int>, words array<string>")
 
