@@ -6,8 +6,8 @@ ranks positions, and coordinate k of a signature is the smallest rank after a ci
 banded; documents that agree in a band are candidates. For a pair at the threshold the chance that no band
 agrees is below one in a million: bands and their coordinates are chosen for that.
 
-Documents with equal sets are one node from the start. Links are confirmed on full sets, packed once for each node that
-shares a band. In STARS rounds each node meets one pivot, a member of one of its buckets; what is linked
+Documents with equal sets are one node from the start, and only nodes get signatures. Links are confirmed on full sets,
+packed once for each node. In STARS rounds each node meets one pivot, a member of one of its buckets; what is linked
 becomes one group, and buckets within one group are done. So near copies cost a few comparisons each, however
 many there are. In buckets that still hold several groups each member outside the largest one meets all
 others, dealt into blocks of BLOCK members: a task compares two blocks, counting common shingles by a product of incidence
@@ -97,28 +97,38 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h.view("int64")
 
 
-def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
-    """doc_id, row (key of number and text), n_shingles, set_hash (binary; null for an empty set) and keys (array of long)."""
-    bands, rows_each = banding(percent)
+def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
+    """doc_id, row (key of number and text), n_shingles and set_hash (binary; null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
-                n, sets, keys, seen = [], [], [], {}
-                for t in part.column(2).to_pylist():
-                    if t not in seen:
-                        s = shingles(t, size)
-                        seen[t] = (len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(signature(s, bands * rows_each), bands)) if len(s) else (0, None, np.zeros(0, "int64"))
-                    a, b, c = seen[t]
-                    n.append(a)
-                    sets.append(b)
-                    keys.append(c)
-                ends = np.cumsum([0, *map(len, keys)]).astype("int32")
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], ["doc_id", "row", "n_shingles", "set_hash", "keys"])
+            n, sets = [], []
+            for t in batch.column(2):
+                s = shingles(t.as_py(), size)
+                n.append(len(s))
+                sets.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "row", "n_shingles", "set_hash"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), row_key(key, text).alias("row"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row long, n_shingles long, set_hash binary, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, row long, n_shingles long, set_hash binary")
+
+
+def signed(docs: DataFrame, nodes: DataFrame, percent: int, size: int, key: str, text: str) -> DataFrame:
+    """nodes: node, row. node, keys (array of long, one a band) and set (its sorted hashes as bytes) of each node, from the
+    text of its row."""
+    bands, rows_each = banding(percent)
+    body = docs.select(row_key(key, text).alias("row"), F.col(text).alias("text"))
+    rows = body.join(nodes.select("node", "row"), "row").dropDuplicates(["row"]).select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = [shingles(t.as_py(), size) for t in part.column(1)]
+                keys = np.concatenate([band_keys(signature(s, bands * rows_each), bands) for s in sets])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype="int32") * bands), pa.array(keys)), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "keys", "set"])
+
+    return rows.mapInArrow(run, "node long, keys array<long>, set binary")
 
 
 def row_key(key: str = "doc_id", text: str = "text"):
@@ -167,20 +177,6 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.
     return 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
 
 
-def packed(docs: DataFrame, nodes: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """node and set (its sorted hashes as bytes) of each node, from the text of its row."""
-    body = docs.select(row_key(key, text).alias("row"), F.col(text).alias("text"))
-    rows = body.join(nodes.select("node", "row"), "row").dropDuplicates(["row"]).select("node", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, size).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["node", "set"])
-
-    return rows.mapInArrow(run, "node long, set binary")
-
-
 def confirmed(tasks: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
     """tasks: x, y, z (key of a task), node, label (group so far), left. Links a, b between left and right nodes of a
     task in different groups: a spanning forest of each task's."""
@@ -228,12 +224,11 @@ def _blocks(mixed: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
-def linked_groups(docs: DataFrame, nodes: DataFrame, percent: int, size: int, key: str, text: str, n: int) -> DataFrame:
-    """nodes: node, row, keys. node and label (a node of its group) of each node that is linked."""
+def linked_groups(nodes: DataFrame, percent: int, n: int) -> DataFrame:
+    """nodes: node, keys, set. node and label (a node of its group) of each node that is linked."""
     bands = nodes.select("node", F.explode("keys").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    bands = stored(bands.join(shared, "band"), "bands")
-    sets = stored(packed(docs, nodes.join(bands.select("node").distinct(), "node", "left_semi"), size, key, text), "sets")
+    bands, sets = stored(bands.join(shared, "band"), "bands"), nodes.select("node", "set")
     groups = None
     for turn in range(STARS + 1):
         rows = bands.withColumn("label", F.col("node")) if groups is None else bands.join(groups, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
@@ -268,8 +263,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, key: str
     """doc_id, row (key of number and text), n_shingles, component_id, kept and group_id (null for an empty set), for links
     of 100 * intersection >= percent * union."""
     n = parts(docs, 8)
-    sigs = stored(signatures(docs, key, text, size, percent), "signatures")
-    nodes = stored(sigs.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("doc"), F.min("row").alias("row"), F.first("keys").alias("keys")), "nodes")
+    sigs = stored(digests(docs, key, text, size), "digests")
+    nodes = stored(sigs.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("doc"), F.min("row").alias("row")), "nodes")
     # a node's number is its smallest document's; where documents have none, or several texts one number, a hash
     twice = stored(nodes.where("doc IS NOT NULL").groupBy("doc").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc").alias("_twice")), "twice")
     odd = not twice.isEmpty() or not nodes.where("doc IS NULL").isEmpty()
@@ -278,7 +273,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, key: str
         nodes = nodes.join(twice, F.col("doc") == F.col("_twice"), "left").withColumn("node", own).drop("_twice")
     else:
         nodes = nodes.withColumn("node", F.col("doc"))
-    groups = linked_groups(docs, nodes, percent, size, key, text, n)
+    groups = linked_groups(stored(signed(docs, nodes, percent, size, key, text), "signed"), percent, n)
     # a label is the smallest node of its group; with hashes among the nodes it needn't be the smallest number
     named = nodes.select("set_hash", "node", "doc").join(groups, "node", "left").select("set_hash", "doc", F.coalesce("label", "node").alias("group_id"))
     if odd:
@@ -293,3 +288,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, key: str
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("row", "group_id")
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+e AS (SELECT DISTINCT doc_id, md5_number(list_aggregate(list_slice(w, i, i + 4), 'string_agg', ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM e GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT DISTINCT a AS i, a AS j FROM u UNION SELECT r.i, u.b FROM r JOIN u ON u.a = r.j),
+c AS (SELECT i AS doc_id, min(j) AS c FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, w.doc_id) AS component_id, coalesce(c.c, w.doc_id) = w.doc_id AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
