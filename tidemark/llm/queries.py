@@ -19,5 +19,8 @@ QUERIES = {
 
 SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
+    "op3_suffix_dedup": suffix_dedup.OP3_SQL,
+    "op4_near_dup": near_dup.OP4_SQL,
+    "op6_sharding": sharding.OP6_SQL,
     "op10_warc": warc.OP10_SQL,
 }

@@ -129,3 +129,20 @@ def shards(docs: DataFrame, n: int = 24, key: str = "doc_id", text: str = "text"
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+OP6_SQL = r"""
+WITH RECURSIVE tb AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x::BIGINT, range(8)::BIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, coalesce(text, '') AS x, strlen(coalesce(text, ''))::BIGINT + 8 AS size, md5(coalesce(text, '')) AS g FROM documents),
+b AS (SELECT g, list_transform(range(0, strlen(x)), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b FROM (SELECT g, any_value(x) AS x, hex(encode(any_value(x))) AS h FROM d GROUP BY g)),
+c AS (SELECT g, xor(list_reduce(list_prepend(4294967295, b), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) AS crc FROM b, tb),
+gr AS (SELECT g, z, sum(z) OVER (ORDER BY g) AS pre FROM (SELECT g, sum(size)::BIGINT AS z FROM d GROUP BY g)),
+pf AS (SELECT list(pre::BIGINT ORDER BY pre) AS ps, max(pre)::BIGINT AS total, max(z) AS big FROM gr),
+st AS (SELECT greatest(big, (total + 23) // 24) AS lo, (total + 23) // 24 + big AS hi, 0 AS k, 0::BIGINT AS base FROM pf UNION ALL
+       SELECT CASE WHEN nb < total AND k = 23 THEN mid + 1 ELSE lo END, CASE WHEN nb = total THEN mid ELSE hi END,
+              CASE WHEN nb = total OR k = 23 THEN 0 ELSE k + 1 END, CASE WHEN nb = total OR k = 23 THEN 0 ELSE nb END
+       FROM (SELECT *, (lo + hi) // 2 AS mid, list_max(list_filter(ps, lambda x: x <= base + (lo + hi) // 2)) AS nb FROM st, pf WHERE lo < hi)),
+cap AS (SELECT lo AS cap FROM st WHERE lo = hi LIMIT 1),
+cu AS (SELECT 0::BIGINT AS base UNION ALL SELECT list_max(list_filter(ps, lambda x: x <= base + cap)) FROM cu, pf, cap WHERE base < total),
+sh AS (SELECT g, (SELECT count(*) - 1 FROM cu WHERE base < pre)::INTEGER AS shard FROM gr)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY g, doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard FROM d JOIN c USING (g) JOIN sh USING (g)
+"""

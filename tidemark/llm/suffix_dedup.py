@@ -453,6 +453,21 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+x AS (SELECT doc_id, o, substr(h, 2 * o + 1, 1198) AS h, least(500, n - 99 - o) AS k FROM (SELECT *, unnest(range(0, n - 99, 500)) AS o FROM d WHERE n >= 100)),
+w AS (SELECT doc_id, o + i AS p, md5_number(substr(h, 2 * i + 1, 200)) AS m FROM (SELECT *, unnest(range(0, k)) AS i FROM x)),
+f AS (SELECT m, min(doc_id * 4294967296 + p) AS first FROM w GROUP BY m HAVING count(*) > 1),
+l AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM w JOIN f USING (m) WHERE doc_id * 4294967296 + p > first),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (SELECT *, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS g FROM l) GROUP BY doc_id, g),
+k AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS b FROM s
+      UNION ALL SELECT doc_id, coalesce(max(s.b), 0), any_value(n) FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+t AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS t FROM k JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(b - a)::BIGINT AS n, count(*) AS k FROM s GROUP BY doc_id)
+SELECT doc_id, d.n AS n_bytes, coalesce(c.n, 0) AS n_removed, coalesce(c.k, 0) AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256 FROM d JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 
 def plain(rows: list[tuple[int, str | None]], width: int = 100) -> dict[int, tuple[int, int, int, str]]:
     """The result by brute force, for distinct document numbers; for tests."""
