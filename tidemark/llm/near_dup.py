@@ -6,8 +6,8 @@ ranks positions, and coordinate k of a signature is the smallest rank after a ci
 banded; documents that agree in a band are candidates. For a pair at the threshold the chance that no band
 agrees is below one in a million: bands and their coordinates are chosen for that.
 
-Documents with equal sets are one node from the start, and only nodes get signatures. Links are confirmed on full sets,
-packed once for each node. In STARS rounds each node meets one pivot, a member of one of its buckets; what is linked
+Documents with equal sets are one node from the start. Links are confirmed on full sets, packed once for each node that
+shares a band. In STARS rounds each node meets one pivot, a member of one of its buckets; what is linked
 becomes one group, and buckets within one group are done. So near copies cost a few comparisons each, however
 many there are. In buckets that still hold several groups each member outside the largest one meets all
 others, dealt into blocks of BLOCK members: a task compares two blocks, counting common shingles by a product of incidence
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import key_groups, parts, stored, table
+from tidemark.llm.common import key_groups, parts, scratch, stored, table
 from tidemark.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 #: Positions of the permutations, bands and coordinates in a band at 85 percent, members of a block, rounds with pivots.
-D, BANDS, ROWS, BLOCK, STARS = 1 << 20, 64, 10, 256, 3
+D, BANDS, ROWS, BLOCK, STARS = 1 << 20, 64, 10, 256, 2
 SEED = 20250101
 
 _ranks: dict[int, np.ndarray] = {}
@@ -97,38 +98,28 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h.view("int64")
 
 
-def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
-    """doc_id, row (key of number and text), n_shingles and set_hash (binary; null for an empty set)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, sets = [], []
-            for t in batch.column(2):
-                s = shingles(t.as_py(), size)
-                n.append(len(s))
-                sets.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "row", "n_shingles", "set_hash"])
-
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), row_key(key, text).alias("row"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row long, n_shingles long, set_hash binary")
-
-
-def signed(docs: DataFrame, nodes: DataFrame, percent: int, size: int, key: str, text: str) -> DataFrame:
-    """nodes: node, row. node, keys (array of long, one a band) and set (its sorted hashes as bytes) of each node, from the
-    text of its row."""
+def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
+    """doc_id, row (key of number and text), n_shingles, set_hash (binary; null for an empty set) and keys (array of long)."""
     bands, rows_each = banding(percent)
-    body = docs.select(row_key(key, text).alias("row"), F.col(text).alias("text"))
-    rows = body.join(nodes.select("node", "row"), "row").dropDuplicates(["row"]).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                sets = [shingles(t.as_py(), size) for t in part.column(1)]
-                keys = np.concatenate([band_keys(signature(s, bands * rows_each), bands) for s in sets])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype="int32") * bands), pa.array(keys)), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "keys", "set"])
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                n, sets, keys, seen = [], [], [], {}
+                for t in part.column(2).to_pylist():
+                    if t not in seen:
+                        s = shingles(t, size)
+                        seen[t] = (len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(signature(s, bands * rows_each), bands)) if len(s) else (0, None, np.zeros(0, "int64"))
+                    a, b, c = seen[t]
+                    n.append(a)
+                    sets.append(b)
+                    keys.append(c)
+                ends = np.cumsum([0, *map(len, keys)]).astype("int32")
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], ["doc_id", "row", "n_shingles", "set_hash", "keys"])
 
-    return rows.mapInArrow(run, "node long, keys array<long>, set binary")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), row_key(key, text).alias("row"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row long, n_shingles long, set_hash binary, keys array<long>")
 
 
 def row_key(key: str = "doc_id", text: str = "text"):
@@ -177,6 +168,20 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.
     return 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
 
 
+def packed(docs: DataFrame, nodes: DataFrame, size: int, key: str, text: str) -> DataFrame:
+    """node and set (its sorted hashes as bytes) of each node, from the text of its row."""
+    body = docs.select(row_key(key, text).alias("row"), F.col(text).alias("text"))
+    rows = body.join(nodes.select("node", "row"), "row").dropDuplicates(["row"]).select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, size).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["node", "set"])
+
+    return rows.mapInArrow(run, "node long, set binary")
+
+
 def confirmed(tasks: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
     """tasks: x, y, z (key of a task), node, label (group so far), left. Links a, b between left and right nodes of a
     task in different groups: a spanning forest of each task's."""
@@ -197,15 +202,18 @@ def confirmed(tasks: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFr
     return key_groups(tasks.join(sets, "node").select("x", "y", "z", "node", "label", "left", "set"), ["x", "y", "z"], compare, "a long, b long", n)
 
 
-def _star(mixed: DataFrame) -> DataFrame:
-    """mixed: band, node, label, p (the bucket's pivot: node, label). Tasks in which each node outside its pivot's group
-    meets one pivot; a pivot of many nodes has many tasks."""
+def _pairs(mixed: DataFrame) -> DataFrame:
+    """mixed: band, node, label, p (the bucket's pivot: order, node, label). node, label, x, x_label: one pivot in another
+    group for each node that has one."""
     pairs = mixed.where(F.col("label") != F.col("p.label")).groupBy("node", "label").agg(F.min_by("p", F.struct("p.order", "p.node")).alias("p"))
-    pairs = pairs.select("node", "label", F.col("p.node").alias("x"), F.col("p.label").alias("_l"))
-    pivots = pairs.groupBy("x", "_l").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("k"))
-    salt = F.pmod(F.xxhash64("node"), F.col("k"))
-    own = pairs.join(pivots.drop("_l"), "x").select("x", salt.alias("y"), "node", "label", F.lit(True).alias("left"))
-    each = pivots.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("y"), F.col("x").alias("node"), F.col("_l").alias("label"), F.lit(False).alias("left"))
+    return pairs.select("node", "label", F.col("p.node").alias("x"), F.col("p.label").alias("x_label"))
+
+
+def _star(pairs: DataFrame) -> DataFrame:
+    """Tasks in which each node meets its pivot; a pivot of many nodes has many tasks."""
+    pivots = pairs.groupBy("x", "x_label").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("k"))
+    own = pairs.join(pivots.drop("x_label"), "x").select("x", F.pmod(F.xxhash64("node"), F.col("k")).alias("y"), "node", "label", F.lit(True).alias("left"))
+    each = pivots.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("y"), F.col("x").alias("node"), F.col("x_label").alias("label"), F.lit(False).alias("left"))
     return own.unionByName(each).withColumn("z", F.lit(0).cast("long"))
 
 
@@ -224,27 +232,36 @@ def _blocks(mixed: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
-def linked_groups(nodes: DataFrame, percent: int, n: int) -> DataFrame:
-    """nodes: node, keys, set. node and label (a node of its group) of each node that is linked."""
+def linked_groups(docs: DataFrame, nodes: DataFrame, percent: int, size: int, key: str, text: str, n: int) -> DataFrame:
+    """nodes: node, row, keys. node and label (a node of its group) of each node that is linked."""
     bands = nodes.select("node", F.explode("keys").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    bands, sets = stored(bands.join(shared, "band"), "bands"), nodes.select("node", "set")
+    bands = stored(bands.join(shared, "band"), "bands")
+    # sets are looked up by node in each round; a bucketed table saves shuffling them each time
+    name = f"near_dup_{uuid.uuid4().hex}"
+    rows = packed(docs, nodes.join(bands.select("node").distinct(), "node", "left_semi"), size, key, text)
+    rows.repartition(n, "node").write.bucketBy(n, "node").format("parquet").option("path", scratch(docs.sparkSession, "sets")).saveAsTable(name)
+    sets = docs.sparkSession.table(name)
     groups = None
-    for turn in range(STARS + 1):
+
+    def mixed(turn: int) -> DataFrame:
+        """The buckets that hold several groups; their pivot is the smallest node at first, so that nodes agree on few."""
         rows = bands.withColumn("label", F.col("node")) if groups is None else bands.join(groups, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        # the first pivot of a bucket is its smallest node, so that nodes agree on few; later ones are any
         order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
         buckets = rows.groupBy("band").agg(F.min(F.struct(order.alias("order"), "node", "label")).alias("p"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("band", "p")
-        mixed = stored(rows.join(buckets, "band"), "mixed")
-        if mixed.isEmpty():
-            break
-        links = stored(confirmed(_star(mixed) if turn < STARS else _blocks(mixed), sets, percent, n), "links")
-        if links.isEmpty():
-            if turn < STARS:
-                links = stored(confirmed(_blocks(mixed), sets, percent, n), "links")
-            if links.isEmpty():
+        return rows.join(buckets, "band")
+
+    for turn in range(STARS + 1):
+        if turn < STARS:
+            pairs = stored(_pairs(mixed(turn)), "pairs")
+            if pairs.isEmpty():  # no bucket holds several groups
                 break
-            turn = STARS
+            tasks = _star(pairs)
+        else:
+            tasks = _blocks(stored(mixed(turn).select("band", "node", "label"), "mixed"))
+        links = stored(confirmed(tasks, sets, percent, n), "links")
+        if links.isEmpty():
+            continue
         # from links between nodes to links between groups
         if groups is None:
             groups = stored(components(links).toDF("node", "label"), "groups")
@@ -254,8 +271,6 @@ def linked_groups(nodes: DataFrame, percent: int, n: int) -> DataFrame:
             new = components(met).toDF("_old", "_new")
             fresh = new.select(F.col("_old").alias("node"), F.col("_new").alias("label")).join(groups, "node", "left_anti")
             groups = stored(groups.join(new, F.col("label") == F.col("_old"), "left").select("node", F.coalesce("_new", "label").alias("label")).unionByName(fresh), "groups")
-        if turn == STARS:
-            break
     return groups if groups is not None else nodes.select("node", F.col("node").alias("label")).where("false")
 
 
@@ -263,8 +278,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, key: str
     """doc_id, row (key of number and text), n_shingles, component_id, kept and group_id (null for an empty set), for links
     of 100 * intersection >= percent * union."""
     n = parts(docs, 8)
-    sigs = stored(digests(docs, key, text, size), "digests")
-    nodes = stored(sigs.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("doc"), F.min("row").alias("row")), "nodes")
+    sigs = stored(signatures(docs, key, text, size, percent), "signatures")
+    nodes = stored(sigs.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("doc"), F.min("row").alias("row"), F.first("keys").alias("keys")), "nodes")
     # a node's number is its smallest document's; where documents have none, or several texts one number, a hash
     twice = stored(nodes.where("doc IS NOT NULL").groupBy("doc").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc").alias("_twice")), "twice")
     odd = not twice.isEmpty() or not nodes.where("doc IS NULL").isEmpty()
@@ -273,7 +288,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, key: str
         nodes = nodes.join(twice, F.col("doc") == F.col("_twice"), "left").withColumn("node", own).drop("_twice")
     else:
         nodes = nodes.withColumn("node", F.col("doc"))
-    groups = linked_groups(stored(signed(docs, nodes, percent, size, key, text), "signed"), percent, n)
+    groups = linked_groups(docs, nodes, percent, size, key, text, n)
     # a label is the smallest node of its group; with hashes among the nodes it needn't be the smallest number
     named = nodes.select("set_hash", "node", "doc").join(groups, "node", "left").select("set_hash", "doc", F.coalesce("label", "node").alias("group_id"))
     if odd:
