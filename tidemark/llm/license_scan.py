@@ -188,7 +188,36 @@ def scan(docs: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    # sums of weights differ in their last digits by the order of adding
+    return scan(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 9))
+
+
+_text = lambda x: "'" + x.replace("'", "''") + "'"
+OP9_SQL = rf"""
+WITH ph(words, label) AS (VALUES {", ".join(f"(string_split({_text(p)}, ' '), {_text(label)})" for p, label in PHRASES.items())}),
+tm(t, label, key, words) AS (VALUES {", ".join(f"({i}, {_text(label)}, {_text(key)}, string_split({_text(t)}, ' '))" for i, (label, key, t) in enumerate(TEMPLATES))}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS (SELECT r, unnest(w) AS w, unnest(range(len(w))) AS p FROM d),
+b AS (SELECT x.r, x.p, ph.label FROM x JOIN ph ON x.w = ph.words[1] JOIN d ON d.r = x.r WHERE list_slice(d.w, x.p + 1, x.p + len(ph.words)) = ph.words),
+ba AS (SELECT r, count(*) AS n, min(p) AS a, max(p) AS z, list(DISTINCT label) AS ls FROM b GROUP BY r),
+vo AS (SELECT DISTINCT unnest(list_concat(words, string_split(key, ' '))) AS w FROM tm),
+c AS (SELECT x.w, ln((1 + (SELECT count(*) FROM d)) / (1 + count(DISTINCT r))) AS v FROM x JOIN vo ON vo.w = x.w GROUP BY x.w),
+tp AS (SELECT t, i, w, greatest(coalesce(c.v, (SELECT coalesce(max(v), 1.0) FROM c)), 0.000001) AS v FROM (SELECT t, unnest(words) AS w, unnest(range(len(words))) AS i FROM tm) LEFT JOIN c USING (w)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY v DESC, i) - 1 AS k, max(v) OVER (PARTITION BY t) AS top FROM tp),
+ix AS (SELECT * FROM rk WHERE k < {INDEX} AND v >= {LIGHT} * top),
+tt AS (SELECT t, sum(v) AS total FROM ix WHERE k < {RARE} GROUP BY t),
+v0 AS (SELECT x.r, ix.t, ix.k, x.p - ix.i AS o, ix.v, dense_rank() OVER (PARTITION BY x.r, ix.t ORDER BY ix.k) AS n FROM x JOIN ix ON ix.w = x.w),
+v AS (SELECT DISTINCT r, t, k, o, v FROM v0 WHERE n <= {RARE}),
+sp AS (SELECT r, t, o, sum(v) AS s FROM (SELECT DISTINCT a.r, a.t, a.o, y.k, y.v FROM v a JOIN v y ON a.r = y.r AND a.t = y.t AND y.o BETWEEN a.o AND a.o + {SPAN}) GROUP BY r, t, o),
+sc AS (SELECT sp.r, sp.t, least(1.0, max(s / total)) AS s FROM sp JOIN tt ON tt.t = sp.t GROUP BY sp.r, sp.t),
+ok AS (SELECT sc.r, sc.s, tm.label FROM sc JOIN tm ON tm.t = sc.t JOIN d ON d.r = sc.r WHERE contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || tm.key || ' ')),
+ow AS (SELECT r, max(s) AS s, list(DISTINCT label) FILTER (s >= {SHARE}) AS ls FROM ok GROUP BY r),
+sx AS (SELECT r, list_filter(flatten(list_transform(regexp_extract_all(x, '{SPDX_LINE}', 1), lambda y: regexp_extract_all(lower(y), '{SPDX_ID}'))), lambda y: y NOT IN ('and', 'or', 'with')) AS ls FROM d)
+SELECT doc_id, len(d.w)::BIGINT AS n_words, coalesce(ba.n, 0) AS n_base, ba.a AS first_word, ba.z AS last_word,
+ coalesce(array_to_string(list_sort(ba.ls), ','), '') AS base_labels,
+ array_to_string(list_sort(list_distinct(list_concat(list_concat(coalesce(ba.ls, []), coalesce(ow.ls, [])), coalesce(sx.ls, [])))), ',') AS labels, coalesce(round(ow.s, 9), 0.0)::DOUBLE AS score
+FROM d LEFT JOIN ba USING (r) LEFT JOIN ow USING (r) LEFT JOIN sx USING (r)
+"""
 
 
 def plain_words(text: str | None) -> list[str]:

@@ -22,5 +22,6 @@ SQL = {
     "op3_suffix_dedup": suffix_dedup.OP3_SQL,
     "op4_near_dup": near_dup.OP4_SQL,
     "op6_sharding": sharding.OP6_SQL,
+    "op9_license_scan": license_scan.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
 }
