@@ -121,7 +121,30 @@ def stutters(spark, d) -> DataFrame:
     return R.word_stream(s.select("media_id", "seg_no", F.transform("t", lambda x, i: F.struct(x.alias("word"), at(i).alias("start"), (at(i) + 0.3).alias("end"))).alias("words")))
 
 
-@query("repeats_exact")
+#: The words of stutters, with n (words of the media), c (content words so far), a (where a cut here begins).
+STUTTERS = r"""
+ c AS (SELECT conv_id AS m, turn, (conv_id + turn) % 4 AS kind, list_filter(string_split(text, ' '), lambda x: x <> '' AND length(regexp_replace(x, '[^A-Za-z]', '', 'g')) > 1) AS w FROM conversations),
+ t AS (SELECT m, turn, kind = 3 AS cut, CASE kind WHEN 1 THEN list_concat(w[1:5], w) WHEN 2 THEN list_concat(list_concat(list_append(w[1:2], 'instead'), w[4:6]), w) WHEN 3 THEN list_concat(list_append(w[1:4], '-'), w) ELSE w END AS t FROM c),
+ k AS (SELECT *, coalesce(sum(len(t) + 6) OVER (PARTITION BY m ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM t),
+ f AS (SELECT m, turn, i, raw, (k + i + CASE WHEN cut AND i > 3 THEN 2 ELSE 0 END)::DOUBLE * 0.4 AS at_ FROM (SELECT m, turn, cut, k, unnest(t) AS raw, unnest(range(len(t))) AS i FROM k)),
+ w0 AS (SELECT m, row_number() OVER (PARTITION BY m ORDER BY turn, i) - 1 AS pos, trim(raw) AS raw, regexp_extract(lower(raw), '[a-z0-9'']+') AS norm, round(at_ * 1e6)::BIGINT AS s, round((at_ + 0.3) * 1e6)::BIGINT AS e FROM f),
+ w1 AS (SELECT *, count(*) OVER (PARTITION BY m) AS n, sum(CASE WHEN norm <> '' AND norm NOT IN ({stop}) THEN 1 ELSE 0 END) OVER (PARTITION BY m ORDER BY pos) AS c,
+        s - lag(e) OVER (PARTITION BY m ORDER BY pos) AS gap, min(pos) OVER (PARTITION BY m ORDER BY s RANGE BETWEEN 5000000 PRECEDING AND CURRENT ROW) AS near FROM w0),
+ w AS (SELECT *, greatest(near, coalesce(max(CASE WHEN gap >= 450000 THEN pos END) OVER (PARTITION BY m ORDER BY pos ROWS UNBOUNDED PRECEDING), 0)) AS a FROM w1)""".format(stop=", ".join(f"'{x}'" for x in T.STOP_WORDS))
+
+
+@query("repeats_exact", "WITH RECURSIVE " + STUTTERS + """,
+ q AS (SELECT x.m, y.pos - x.pos AS d, x.pos FROM w x JOIN w y ON x.m = y.m AND x.norm = y.norm AND y.pos BETWEEN x.pos + 3 AND x.pos + 18),
+ r AS (SELECT m, d, pos, max(pos) OVER (PARTITION BY m, d, g) - pos + 1 AS run FROM (SELECT *, pos - row_number() OVER (PARTITION BY m, d ORDER BY pos) AS g FROM q)),
+ b AS (SELECT m, pos, max(least(run, d, 14)) AS len, arg_min(d, (-least(run, d, 14), d)) AS d FROM r WHERE least(run, d, 14) >= greatest(3, d - 4) GROUP BY m, pos),
+ z AS (SELECT b.m, b.pos, b.len, b.pos + b.d AS b FROM b JOIN w x ON x.m = b.m AND x.pos = b.pos JOIN w y ON y.m = b.m AND y.pos = b.pos + b.len - 1
+       WHERE x.norm <> '' AND y.c - x.c + CASE WHEN x.norm NOT IN ({stop}) THEN 1 ELSE 0 END >= 2),
+ nx AS (SELECT z.*, y.pos AS nx FROM z ASOF LEFT JOIN z y ON z.m = y.m AND z.b <= y.pos),
+ k_ AS (SELECT * FROM nx WHERE pos = (SELECT min(pos) FROM z WHERE z.m = nx.m) UNION ALL SELECT nx.* FROM k_ JOIN nx ON nx.m = k_.m AND nx.pos = k_.nx),
+ o AS (SELECT k_.m, w.a, k_.b, least(k_.b + k_.len + 5, w.n) AS z, round(least(1.0, 0.55 + 0.08 * k_.len), 2)::DOUBLE AS conf FROM k_ JOIN w ON w.m = k_.m AND w.pos = k_.pos)
+ SELECT o.m AS media_id, min(CASE WHEN w.pos = o.a THEN w.s END) AS start_us, min(CASE WHEN w.pos = o.b THEN w.s END) AS end_us,
+ trim(string_agg(w.raw, ' ' ORDER BY w.pos) FILTER (w.pos < o.b)) AS text, trim(coalesce(string_agg(w.raw, ' ' ORDER BY w.pos) FILTER (w.pos >= o.b), '')) AS keep_text, 'verbatim_repeat' AS type, conf AS confidence
+ FROM o JOIN w ON w.m = o.m AND w.pos >= o.a AND w.pos < o.z GROUP BY o.m, o.a, o.b, o.z, conf""".format(stop=", ".join(f"'{x}'" for x in T.STOP_WORDS)))
 def repeats_exact(spark, d):
     return R.verbatim_repeats(stutters(spark, d))
 
