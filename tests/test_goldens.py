@@ -1,5 +1,6 @@
 """Results derived by hand for small inputs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
@@ -156,8 +157,11 @@ def test_titles_and_labels(spark):
 
 
 def test_queue_position(spark):
-    jobs = spark.createDataFrame([("a", "done", 0), ("b", "running", 1), ("c", "queued", 2), ("x", "queued", 3)], "id string, status string, seq long")
-    assert {r.id: r.position for r in G.queue_position(jobs).collect()}["x"] == 2
+    jobs = spark.createDataFrame([("a", "done", 0, 1), ("b", "running", 1, 1), ("c", "queued", 2, 1), ("x", "queued", 3, 1), ("y", "queued", 4, 2)], "id string, status string, seq long, queue int")
+    got = {r.id: r.position for r in G.queue_position(jobs, ["queue"]).collect()}
+    assert (got["x"], got["y"], got["a"]) == (2, 0, None)
+    with pytest.raises(ValueError):
+        G.queue_position(jobs, [])
 
 
 def test_merged_length(spark):

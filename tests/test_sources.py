@@ -1,7 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
+from tidemark.operators import registry
 from tidemark.sources import readers, sinks
 
 
@@ -63,3 +66,43 @@ def test_sample_times(spark):
     m = spark.createDataFrame([(1, 10.0)], "media_id long, duration double")
     assert [r.t for r in readers.sample_times(m, 2).orderBy("i").collect()] == [2.5, 7.5]
     assert [r.t for r in readers.sample_times(m, 4, "inner").orderBy("i").collect()] == [2.0, 4.0, 6.0, 8.0]
+
+
+def test_json_tables(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": "x", "n": 1}, {"id": "y", "n": null}]')
+    (tmp_path / "b.json").write_text("no json at all {")
+    read = lambda name: sorted((r.id, r.n) for r in readers.json_table(spark, str(tmp_path / name), "id string, n long").collect())
+    assert read("a.json") == [("x", 1), ("y", None)]
+    assert read("b.json") == [] and read("missing.json") == []
+
+
+def test_listing_and_names(spark, tmp_path):
+    for name in ("b.mp4", "a.mp4", "skip.mp4", "c.txt"):
+        (tmp_path / name).write_bytes(b"1")
+    assert [r.path.rsplit("/", 1)[1] for r in readers.listing(spark, str(tmp_path), but="skip.mp4").collect()] == ["a.mp4", "b.mp4"]
+    df = spark.createDataFrame([("A.MOV", None), ("a.txt", "video/mp4"), ("a.txt", None), ("x.mp4.bak", "text/plain")], "name string, mime string")
+    assert [r.v for r in df.select(readers.is_video(F.col("name"), F.col("mime")).alias("v")).collect()] == [True, True, False, False]
+    names = spark.createDataFrame([("a/b: c?é_1",), ("?!",)], "n string")
+    assert [r.s for r in names.select(T.safe_name(F.col("n"), "clip").alias("s")).collect()] == ["ab cé_1", "clip"]
+    urls = spark.createDataFrame([("https://x.example/file/d/AbC-1_2/view",), ("https://x.example/drive/folders/Zz9?usp=1",), ("https://x.example/open?a=1&id=Q7",), ("https://x.example/",)], "u string")
+    assert [r.i for r in urls.select(T.link_id(F.col("u")).alias("i")).collect()] == ["AbC-1_2", "Zz9", "Q7", None]
+    words = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],)], "w array<string>")
+    assert [r.g for r in words.select(T.ngrams(F.col("w"), 2).alias("g")).collect()] == [["a b", "b c"], [], []]
+
+
+def test_registry_files(spark, tmp_path):
+    disk = spark.createDataFrame([("a", "done", "render"), ("b", "queued", "render")], "id string, status string, kind string")
+    memory = spark.createDataFrame([("b", "running", "render"), ("c", "queued", "edit")], "id string, status string, kind string")
+    sinks.save_registry(disk, memory, str(tmp_path / "reg"))
+    assert {(r.id, r.status) for r in spark.read.parquet(str(tmp_path / "reg")).collect()} == {("a", "done"), ("b", "running"), ("c", "queued")}
+    sinks.write_sidecars(spark.createDataFrame([(1, "x"), (2, "y")], "job_id long, title string"), str(tmp_path / "side"))
+    assert {(r.job_id, r.title) for r in spark.read.json(str(tmp_path / "side")).collect()} == {(1, "x"), (2, "y")}
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "cache_key string")
+    assert {r.cache_key for r in sinks.uncached(keys("p", "q", "r"), keys("q", "q")).collect()} == {"p", "r"}
+    entries = spark.createDataFrame([(3, "n", "f"), (2, "n", "f"), (1, "it's", "f"), (4, "n", "g")], "id long, name string, parent string")
+    wanted = spark.createDataFrame([("f", "n"), ("f", "it's"), ("g", "none")], "parent string, name string")
+    assert {(r.parent, r.name, r.id) for r in registry.find_in_folder(entries, wanted).collect()} == {("f", "n", 2), ("f", "it's", 1)}
+    asked = spark.createDataFrame([(1, True), (2, False)], "request_id long, ok boolean")
+    assert registry.require(asked.where("ok")).count() == 1
+    with pytest.raises(Exception, match="a part is not finished: 2"):
+        registry.require(asked).collect()

@@ -38,8 +38,10 @@ def newest(files: DataFrame, folder: str = "folder", time: str = "mtime", path:
     return files.groupBy(folder).agg(F.max_by(path, F.struct(time, path)).alias(path), F.max(time).alias(time))
 
 
-def queue_position(jobs: DataFrame, order: str = "seq", shard: Sequence[str] = ()) -> DataFrame:
-    """How many jobs before a queued one wait or run; a queue is a shard of jobs."""
+def queue_position(jobs: DataFrame, shard: Sequence[str], order: str = "seq") -> DataFrame:
+    """How many jobs before a queued one wait or run; a queue is a shard of jobs, and a window of its own."""
+    if not shard:
+        raise ValueError("name the columns that tell queues apart")
     w = Window.partitionBy(*shard).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     busy = F.coalesce(F.sum(F.col("status").isin("queued", "running").cast("long")).over(w), F.lit(0).cast("long"))
     return jobs.withColumn("position", F.when(F.col("status") == "queued", busy))
@@ -108,6 +110,11 @@ def pick_folder(folders: DataFrame, names: Sequence[str], fallback: str = "final
     return folders.withColumn("_r", rank).where("_r IS NOT NULL").groupBy(key).agg(F.min_by("id", F.struct("_r", "id")).alias("id"))
 
 
+def find_in_folder(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """entries: id, name, parent; wanted: parent, name. The first entry (by id) of each wanted name in its folder."""
+    return entries.join(wanted, ["parent", "name"], "left_semi").groupBy("parent", "name").agg(F.min("id").alias("id"))
+
+
 def cache_key(content: Column, config: dict) -> Column:
     """md5 over content and the sorted configuration."""
     import json

@@ -49,7 +49,7 @@ def newest_file(spark, d):
 
 @query("queue_position", f"WITH {J}, w AS (SELECT *, count(*) FILTER (status IN ('queued', 'running')) OVER (PARTITION BY owner ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM j) SELECT id, CASE WHEN status = 'queued' THEN n END AS position FROM w")
 def queue_position(spark, d):
-    return G.queue_position(jobs(spark, d), "id", ["owner"]).select("id", "position")
+    return G.queue_position(jobs(spark, d), ["owner"], "id").select("id", "position")
 
 
 @query("relink", r"""

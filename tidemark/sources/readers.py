@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -24,8 +25,13 @@ VIDEO = ".*\\.(mp4|mov|mkv|webm|m4v|avi)$"
 
 
 def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array or object file; malformed rows become null, a missing file is an error of Spark's."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    """A JSON array or object file; a file that is missing or holds no JSON gives no rows, malformed fields become null."""
+    try:
+        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def probes(raw: DataFrame, column: str = "json") -> DataFrame:
