@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.events import segment_on_change, trimmed_segments
 from tidemark.operators.groups import key_groups
-from tidemark.operators.signal import median_mad
+from tidemark.operators.signal import median_mad, saturating_count, seen_often
 
 FRAME = ("media_id", "frame_no")
 
@@ -196,3 +197,17 @@ def recenters(phases: DataFrame, home: float, least: float = 24, min_len: float
     the shift is more than least: media_id, slide, start, end, dy."""
     dy = F.lit(home) - (F.col("top") + F.col("bottom")) / 2
     return phases.where((F.col("end") - F.col("start") >= min_len) & (F.abs(dy) > least)).select("media_id", "slide", "start", "end", dy.alias("dy"))
+
+
+def slide_scan(frames: DataFrame, pixels: DataFrame, jump: float, least: int = 3) -> DataFrame:
+    """Slides of sampled frames and what stands on them. frames: media_id, frame_no, diff (from the frame before); a new slide
+    begins where diff exceeds jump. Frames at either end of a slide are left out, slides with fewer than `least` samples
+    too, and ink counts where it is seen in enough of the samples: media_id, slide, samples, first_frame, last_frame, box, n_cells."""
+    own = ["media_id", "slide"]
+    kept = trimmed_segments(segment_on_change(frames, ["media_id"], ["frame_no"], F.col("diff") > jump), own, ["frame_no"])
+    slides = kept.groupBy(*own).agg(F.count("*").alias("samples"), F.min("frame_no").alias("first_frame"), F.max("frame_no").alias("last_frame")).where(F.col("samples") >= least)
+    ink = pixels.where(grey() < 200).select(*FRAME, "y", "x").distinct().join(kept.select(*FRAME, "slide"), list(FRAME))
+    cells = ink.groupBy(*own, "y", "x").agg(saturating_count(F.lit(True)).alias("seen")).join(slides.select(*own, "samples"), own)
+    often = cells.where(seen_often(F.col("seen"), F.col("samples")))
+    box = often.groupBy(*own).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n_cells"))
+    return slides.join(box, own, "left").withColumn("n_cells", F.coalesce("n_cells", F.lit(0).cast("long")))

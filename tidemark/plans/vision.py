@@ -144,3 +144,17 @@ def cursor_blobs(spark, d):
         (F.col("l_partkey") % 60).alias("near"), (F.col("l_discount") * 10).alias("halo"), (F.col("l_suppkey") % 90).alias("sat"),
     )
     return P.cursor_like(li).select("l_orderkey", "l_linenumber", "n")
+
+
+@query("slide_scan", f"""
+ WITH {PX}, fr AS (SELECT media_id, frame_no, sum(x) % 100 AS diff FROM px GROUP BY 1, 2),
+ s AS (SELECT *, sum(CASE WHEN diff > 95 THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY frame_no) AS slide FROM fr),
+ t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY media_id, slide ORDER BY frame_no) AS i, count(*) OVER (PARTITION BY media_id, slide) AS m FROM s) WHERE i > 1 AND i <= m - 3),
+ n AS (SELECT media_id, slide, count(*) AS samples, min(frame_no) AS first_frame, max(frame_no) AS last_frame FROM t GROUP BY 1, 2 HAVING count(*) >= 3),
+ c AS (SELECT media_id, slide, y, x, least(255, count(*)) AS seen FROM (SELECT DISTINCT media_id, frame_no, y % 5 AS y, x // 80 AS x FROM px WHERE (b + g + r) / 3 < 200) JOIN t USING (media_id, frame_no) GROUP BY ALL)
+ SELECT n.media_id, n.slide::BIGINT AS slide, samples, first_frame, last_frame, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, count(x) AS n_cells
+ FROM n LEFT JOIN c ON c.media_id = n.media_id AND c.slide = n.slide AND seen >= least(3, greatest(1, samples - 1)) GROUP BY n.media_id, n.slide, samples, first_frame, last_frame""")
+def slide_scan(spark, d):
+    p = pixels(spark, d)
+    frames = p.groupBy("media_id", "frame_no").agg((F.sum("x") % 100).alias("diff"))
+    return P.slide_scan(frames, p.withColumns({"y": F.col("y") % 5, "x": F.floor(F.col("x") / 80)}), 95)
