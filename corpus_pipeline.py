@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, near_dup, quality_rules, secret_scan
-from tidemark.llm.common import scratch, table
+from tidemark.llm.common import scratch, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near duplicates: shingles of five words, similarity 0.8 or more."""
     found = near_dup.near_duplicates(docs, percent=80).where("group_id IS NOT NULL")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
-    first = found.groupBy("group_id").agg(F.min(place).alias("f"), F.count("*").alias("k")).where("k > 1")
+    # as a table of its own, so that the join on a large group can be split
+    first = stored(found.groupBy("group_id").agg(F.min(place).alias("f"), F.count("*").alias("k")).where("k > 1"), "group-firsts")
     gone = found.join(first, "group_id").where(place != F.col("f")).select(F.col("row").alias("__gone")).distinct()
     rows = docs.withColumn("__row", near_dup.row_key()).join(gone, F.col("__row") == F.col("__gone"), "left_anti")
     # rows that repeat number and text have one key, by which the rows are dealt already
