@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontaminate, license_scan, near_dup, quality_rules, secret_scan, sharding, suffix_dedup, token_files, warc
+from tidemark.llm import bpe, decontaminate, license_scan, near_dup, quality_rules, secret_scan, sharding, source_divergence, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8,
     "op9_license_scan": license_scan.op9,
     "op10_warc": warc.op10,
+    "op11_source_divergence": source_divergence.op11,
 }
 
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op6_sharding": sharding.OP6_SQL,
     "op9_license_scan": license_scan.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op11_source_divergence": source_divergence.OP11_SQL,
 }
