@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontaminate, license_scan, near_dup, quality_rules, secret_scan, sharding, source_divergence, suffix_dedup, token_files, warc
+from tidemark.llm import bpe, compression_quality, decontaminate, license_scan, near_dup, quality_rules, secret_scan, sharding, source_divergence, spelling, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_license_scan": license_scan.op9,
     "op10_warc": warc.op10,
     "op11_source_divergence": source_divergence.op11,
+    "op12_compression_quality": compression_quality.op12,
+    "op13_spelling": spelling.op13,
 }
 
 SQL = {
@@ -26,4 +28,5 @@ SQL = {
     "op9_license_scan": license_scan.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
     "op11_source_divergence": source_divergence.OP11_SQL,
+    "op13_spelling": spelling.OP13_SQL,
 }
