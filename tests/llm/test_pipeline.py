@@ -57,3 +57,17 @@ def test_awkward_rows(spark):
     assert left[1] == left[2] == left[3] == sorted(repr((d, good(k)[:9])) for d, k in ((1, 1), (2, 2), (None, 3)))
     ids = corpus_pipeline.STAGES[4][1](spark, docs, DATA).collect()
     assert sorted(r.n_tokens for r in ids) == sorted(len(bpe.encoder(bpe.default_path()).encode(r.text)) for r in docs.collect())
+
+
+def test_secrets_are_redacted_whole(spark):
+    """What the stage leaves in texts: quoted values with blanks, passwords of URLs and tokens of letters alone are gone."""
+    name, stage = corpus_pipeline.STAGES[3]
+    assert name == "secrets"
+    secrets = ["k9 Vx2q Lm4w Tz8p", "s3cretPassw0rd", "abcDEFghiJKLmnoPQRstu", "qwmzkxjvbnplrtyaskdjfhgqpwoeiruz", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"]
+    texts = [f'before password = "{secrets[0]}" after', f"see postgres://user:{secrets[1]}@host/db for it", f"Authorization: Bearer {secrets[2]} sent", f"my key {secrets[3]} ok", f'a token = "{secrets[4]}" b', "a clean text about the secret garden stays as it is", None]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t) if t else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in stage(spark, docs, DATA).collect()}
+    marks = ["assigned", "url", "assigned", "assigned", "assigned"]
+    assert [got[i].text for i in range(5)] == [t.replace(s, f"<secret:{m}>") for t, s, m in zip(texts, secrets, marks)]
+    assert all(got[i].n_chars == len(got[i].text) for i in range(6))
+    assert got[5].text == texts[5] and got[6].text is None
