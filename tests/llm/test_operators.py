@@ -563,6 +563,22 @@ def test_license_texts_and_headers(spark):
     assert found == {w: math.log((1 + len(texts)) / (1 + c)) for w, c in words.items() if c}
 
 
+def test_spdx_lines(spark):
+    """Labels by hand: an expression ends where its grammar breaks, and only known identifiers count."""
+    tag = "SPDX-License-Identifier:"
+    lines = {
+        f"{tag} Apache-2.0 see the file for details": "apache-2.0", f"Add an {tag} line to each file": "", f"{tag} GPL-2.0-only WITH Classpath-exception-2.0": "gpl-2.0-only",
+        f"# {tag} (MIT OR Apache-2.0) AND BSD-3-Clause": "apache-2.0,bsd-3-clause,mit", f"// {tag.lower()}\tmit": "mit", f"/* {tag} MIT */": "mit", f"{tag} MIT.": "mit",
+        f"{tag} GPL-2.0+ or MIT or later": "gpl-2.0+,mit", f"{tag} MIT\nOR Apache-2.0": "mit", f"{tag} MIT and then Apache-2.0": "mit", f"{tag} LicenseRef-Mine OR nosuch-1.0": "licenseref-mine",
+        f"{tag} MIT_like": "", f"{tag} MIT Or Zlib": "mit", f"{tag}": "", f"{tag} , MIT": "", f"{tag} ISC {tag} Zlib": "isc,zlib", f"{tag} GPL-3.0-or-later WITH GCC-exception-3.1 AND MIT": "gpl-3.0-or-later,mit",
+    }
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    weights = {w: 1.0 for _, _, t in license_scan.TEMPLATES for w in t.split()}
+    got = {r.doc_id: set(r.labels.split(",")) - set(r.base_labels.split(",")) for r in license_scan.scan(docs, weights=weights).collect()}
+    assert {t: ",".join(sorted(got[i])) for i, t in enumerate(lines)} == lines
+    assert {t: ",".join(sorted(license_scan.plain_spdx(t))) for t in lines} == lines
+
+
 def plain_rows(df):
     return sorted(repr((r.doc_id, r.labels, round(r.score, 9))) for r in df.select("doc_id", "labels", "score").collect())
 

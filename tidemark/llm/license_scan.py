@@ -2,7 +2,7 @@
 
 Base labels come from four phrases whose words stand consecutively. Further labels come from
 templates of license notices, standard headers and passages of full texts, several for a license, and
-from SPDX-License-Identifier lines, whose identifiers are labels in lower case. Templates are rows of label, mandatory key
+from the expressions in SPDX-License-Identifier lines, whose known identifiers are labels in lower case. Templates are rows of label, mandatory key
 phrase and text, in TEMPLATES or given by the caller.
 
 One pass over the texts finds the base columns and each file's license words (words of any template) with their positions,
@@ -17,7 +17,8 @@ but the sums of the counts.
 Words are runs of digits, a-z (A-Z are lower-cased first) and characters beyond ASCII.
 
 Defined results: a null or empty text has no words, no places and score 0; null or repeated document
-numbers and equal rows are judged row by row; of equally rare words the first of the template is rarer; an empty table
+numbers and equal rows are judged row by row; an SPDX expression ends at the first word that its grammar doesn't await,
+unknown identifiers and exceptions after `WITH` are no labels; of equally rare words the first of the template is rarer; an empty table
 gives no rows; columns other than the text and those in `carry` are left out.
 """
 
@@ -72,8 +73,23 @@ TEMPLATES = (
     ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose"),
 )
 
-#: The expression after an SPDX tag, and its identifiers (all words but the operators).
-SPDX, SPDX_LINE, SPDX_ID = "spdx-license-identifier", r"(?i)spdx-license-identifier:[ \t]*([A-Za-z0-9.+\- \t()]+)", r"[A-Za-z0-9][A-Za-z0-9.+\-]*"
+#: An SPDX tag and the expression after it: identifiers in parentheses or without, joined by operators in one case, on one line. It
+#: ends before the first word that isn't due.
+SPDX, SPDX_ID, SPDX_OF = "spdx-license-identifier", r"[A-Za-z0-9_.+:\-]+", r"(?:\([ \t]*)*[A-Za-z0-9_.+:\-]+(?:[ \t]*\))*"
+SPDX_LINE = rf"(?i:{SPDX}):[ \t]*({SPDX_OF}(?:[ \t]+(?:AND|OR|WITH|and|or|with)[ \t]+{SPDX_OF})*)"
+#: An exception, which is no license, and what ends a sentence behind an identifier.
+SPDX_WITH, SPDX_END = r"[ \t]with[ \t]+[a-z0-9_.+:\-]+", r"[.:\-]+$"
+#: Identifiers that become labels, in lower case, besides those that begin with licenseref-; a `+` may follow. Fixed values.
+SPDX_KNOWN = (
+    "0bsd", "afl-3.0", "agpl-1.0-only", "agpl-1.0-or-later", "agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later", "apache-1.0", "apache-1.1", "apache-2.0", "artistic-1.0", "artistic-2.0",
+    "blueoak-1.0.0", "bsd-1-clause", "bsd-2-clause", "bsd-2-clause-patent", "bsd-3-clause", "bsd-3-clause-clear", "bsd-3-clause-lbnl", "bsd-4-clause", "bsl-1.0", "bzip2-1.0.6",
+    "cc-by-1.0", "cc-by-2.0", "cc-by-2.5", "cc-by-3.0", "cc-by-4.0", "cc-by-nc-3.0", "cc-by-nc-4.0", "cc-by-nc-nd-4.0", "cc-by-nc-sa-3.0", "cc-by-nc-sa-4.0", "cc-by-nd-4.0", "cc-by-sa-2.0", "cc-by-sa-2.5", "cc-by-sa-3.0", "cc-by-sa-4.0", "cc0-1.0",
+    "cddl-1.0", "cddl-1.1", "cecill-2.1", "cecill-b", "cecill-c", "cpl-1.0", "curl", "ecl-2.0", "epl-1.0", "epl-2.0", "eupl-1.1", "eupl-1.2",
+    "ftl", "gfdl-1.2-only", "gfdl-1.2-or-later", "gfdl-1.3-only", "gfdl-1.3-or-later", "gpl-1.0-only", "gpl-1.0-or-later", "gpl-2.0", "gpl-2.0-only", "gpl-2.0-or-later", "gpl-3.0", "gpl-3.0-only", "gpl-3.0-or-later",
+    "hpnd", "icu", "ijg", "ipl-1.0", "isc", "lgpl-2.0-only", "lgpl-2.0-or-later", "lgpl-2.1", "lgpl-2.1-only", "lgpl-2.1-or-later", "lgpl-3.0", "lgpl-3.0-only", "lgpl-3.0-or-later", "libpng", "libpng-2.0", "lppl-1.3c",
+    "mit", "mit-0", "mpl-1.1", "mpl-2.0", "mpl-2.0-no-copyleft-exception", "ms-pl", "ms-rl", "mulanpsl-2.0", "ncsa", "odbl-1.0", "odc-by-1.0", "ofl-1.0", "ofl-1.1", "openssl", "osl-3.0",
+    "php-3.01", "postgresql", "psf-2.0", "python-2.0", "qpl-1.0", "ruby", "sleepycat", "sspl-1.0", "tcl", "unicode-3.0", "unicode-dfs-2016", "unlicense", "upl-1.0", "vim", "w3c", "wtfpl", "x11", "zlib", "zpl-2.1",
+)
 
 #: Postings of a template in the index, those of them that a file looks up, and the share of their weight that must agree.
 INDEX, RARE, SHARE = 8, 6, 0.8
@@ -151,8 +167,10 @@ def scan(docs: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",)
     words = sorted({w for _, key, t in templates for w in f"{key} {t}".split()})
     raw = text_or_empty(text)
     tagged = F.when(F.contains(F.lower(raw), F.lit(SPDX)), F.regexp_extract_all(raw, F.lit(SPDX_LINE), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    ids = F.flatten(F.transform(tagged, lambda x: F.regexp_extract_all(F.lower(x), F.lit(SPDX_ID), F.lit(0))))
-    read = docs.select(*carry, normal(raw).alias("_bare"), F.filter(ids, lambda x: ~x.isin("and", "or", "with")).alias("_spdx"))
+    ids = F.flatten(F.transform(tagged, lambda x: F.regexp_extract_all(F.regexp_replace(F.lower(x), SPDX_WITH, ""), F.lit(SPDX_ID), F.lit(0))))
+    ids = F.transform(ids, lambda x: F.regexp_replace(x, SPDX_END, ""))
+    known_id = lambda x: F.regexp_replace(x, r"\+$", "").isin(*SPDX_KNOWN) | x.startswith("licenseref-")
+    read = docs.select(*carry, normal(raw).alias("_bare"), F.when(F.size(ids) > 0, F.filter(ids, known_id)).otherwise(F.array().cast("array<string>")).alias("_spdx"))
     # for phrases each word stands between two spaces of its own, so that phrases beside each other share none
     spaced = F.when(F.col("_bare") == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.replace("_bare", F.lit(" "), F.lit("  ")), F.lit(" ")))
     read = read.select(*carry, "_spdx", F.split("_bare", " ").alias("_w"), spaced.alias("n"))
@@ -212,7 +230,8 @@ sp AS (SELECT r, t, o, sum(v) AS s FROM (SELECT DISTINCT a.r, a.t, a.o, y.k, y.v
 sc AS (SELECT sp.r, sp.t, least(1.0, max(s / total)) AS s FROM sp JOIN tt ON tt.t = sp.t GROUP BY sp.r, sp.t),
 ok AS (SELECT sc.r, sc.s, tm.label FROM sc JOIN tm ON tm.t = sc.t JOIN d ON d.r = sc.r WHERE contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || tm.key || ' ')),
 ow AS (SELECT r, max(s) AS s, list(DISTINCT label) FILTER (s >= {SHARE}) AS ls FROM ok GROUP BY r),
-sx AS (SELECT r, list_filter(flatten(list_transform(regexp_extract_all(x, '{SPDX_LINE}', 1), lambda y: regexp_extract_all(lower(y), '{SPDX_ID}'))), lambda y: y NOT IN ('and', 'or', 'with')) AS ls FROM d)
+si AS (SELECT r, list_transform(flatten(list_transform(regexp_extract_all(x, '{SPDX_LINE}', 1), lambda y: regexp_extract_all(regexp_replace(lower(y), '{SPDX_WITH}', '', 'g'), '{SPDX_ID}'))), lambda y: regexp_replace(y, '{SPDX_END}', '')) AS ls FROM d),
+sx AS (SELECT r, list_filter(ls, lambda y: list_contains([{", ".join(map(_text, SPDX_KNOWN))}], regexp_replace(y, '\+$', '')) OR starts_with(y, 'licenseref-')) AS ls FROM si)
 SELECT doc_id, len(d.w)::BIGINT AS n_words, coalesce(ba.n, 0) AS n_base, ba.a AS first_word, ba.z AS last_word,
  coalesce(array_to_string(list_sort(ba.ls), ','), '') AS base_labels,
  array_to_string(list_sort(list_distinct(list_concat(list_concat(coalesce(ba.ls, []), coalesce(ow.ls, [])), coalesce(sx.ls, [])))), ',') AS labels, coalesce(round(ow.s, 9), 0.0)::DOUBLE AS score
@@ -231,6 +250,29 @@ def plain_scan(text: str | None) -> tuple:
     return len(ws), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
 
 
+def plain_spdx(text: str | None) -> set[str]:
+    """Labels of a text's SPDX lines, word by word; for tests."""
+    out: set[str] = set()
+    for line in re.split(r"(?i)spdx-license-identifier:", text or "")[1:]:
+        words = re.findall(r"[()]|[A-Za-z0-9_.+:\-]+|[^\x00-\x20()A-Za-z0-9_.+:\-]+", line.split("\n")[0].split("\r")[0])
+        due, exception = True, False
+        for w in words:
+            if w in ("(", ")"):
+                continue
+            if due:
+                if not re.fullmatch(r"[A-Za-z0-9_.+:\-]+", w):
+                    break
+                name = w.lower().rstrip(".:-")
+                if not exception and (name.removesuffix("+") in SPDX_KNOWN or name.startswith("licenseref-")):
+                    out.add(name)
+                due = False
+            elif w in ("AND", "OR", "and", "or", "WITH", "with"):
+                due, exception = True, w in ("WITH", "with")
+            else:
+                break
+    return out
+
+
 def plain_labels(texts: list[str | None], templates: Templates = TEMPLATES, weights: dict[str, float] | None = None) -> list[tuple[str, float]]:
     """labels and score of each text, by plain Python; for tests."""
     ws = [plain_words(t) for t in texts]
@@ -241,8 +283,7 @@ def plain_labels(texts: list[str | None], templates: Templates = TEMPLATES, weig
     out = []
     for text, own in zip(texts, ws):
         names, top = set(plain_scan(text)[4].split(",")), 0.0
-        for line in re.findall(SPDX_LINE, text or ""):
-            names |= set(re.findall(SPDX_ID, line.lower())) - {"and", "or", "with"}
+        names |= plain_spdx(text)
         for t, (label, key, _) in enumerate(templates):
             votes = [(p - i, rank, v) for p, w in enumerate(own) for u, rank, i, v in postings.get(w, []) if u == t]
             ranks = sorted({r for _, r, _ in votes})[:RARE]
