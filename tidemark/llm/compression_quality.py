@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     some = marks.where(F.pmod(F.xxhash64("k"), F.lit(1 << 32)) < int((1 << 32) * min(1.0, sample / max(1, n))))
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("text")).join(some, "k")
     rows = stored(rows.select("y", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("f")), "labelled")
-    lines = rows.select("y", "f", F.explode(F.split("text", "\n")).alias("line"))
+    lines = rows.select("y", "f", F.explode(F.split("text", "\n")).alias("line")).distinct()
     own = lines.join(lines.groupBy("line").agg((F.min("y") == F.max("y")).alias("own")).where("own").select("line"), "line")
     starts = F.sequence(F.lit(1), F.greatest(F.length("line"), F.lit(1)), F.lit(PIECE))
     cut = own.select("y", "f", F.explode(F.transform(starts, lambda i: F.substr("line", i, F.lit(PIECE)))).alias("piece")).where(F.length("piece") >= 8).distinct()
