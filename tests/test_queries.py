@@ -39,4 +39,4 @@ def test_equals_sql(spark, duck, name):
 
 def test_few_queries_lack_sql():
     rest = set(catalogue.QUERIES) - set(catalogue.SQL)
-    assert rest == {"near_repeats", "false_starts", "similar_segments", "repeat_candidates", "audio_anchors", "offset_segments", "recovered_keep", "greedy_clusters"}
+    assert rest == {"near_repeats", "false_starts", "similar_segments", "repeat_candidates", "audio_anchors", "offset_segments", "recovered_keep", "greedy_clusters", "cleaned_pages", "filled_holes"}

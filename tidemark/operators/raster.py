@@ -137,10 +137,10 @@ def bubble_shifts(runs: DataFrame, min_len: int = 800_000, min_shift: int = 6) -
     return d.where((F.col("t1") - F.col("t0") >= min_len) & (F.greatest(F.abs("dx"), F.abs("dy")) >= min_shift))
 
 
-def cursor_like(blobs: DataFrame) -> DataFrame:
+def cursor_like(blobs: DataFrame, area: tuple[int, int] = (25, 400), near: int = 25, halo: float = 0.9, sat: float = 60) -> DataFrame:
     """Blobs (n, x0..y1, near: other pixels around, halo: white share of the ring, sat) that look like a cursor."""
     w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
-    return blobs.where(F.col("n").between(25, 400) & (h >= 1.25 * w) & (F.col("near") <= 25) & (F.col("halo") >= 0.9) & (F.col("sat") <= 60))
+    return blobs.where(F.col("n").between(*area) & (h >= 1.25 * w) & (F.col("near") <= near) & (F.col("halo") >= halo) & (F.col("sat") <= sat))
 
 
 def nearest(candidates: DataFrame, keys: Sequence[str], x: float, y: float) -> DataFrame:

@@ -3,7 +3,7 @@ own; importing this one gathers them."""
 
 from __future__ import annotations
 
-from tidemark.plans import registry, rules, series, signals, timeline, transcript, vision
+from tidemark.plans import composite, pixels, registry, rules, series, signals, timeline, transcript, vision
 from tidemark.plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "registry", "rules", "series", "signals", "timeline", "transcript", "vision"]
+__all__ = ["QUERIES", "SQL", "composite", "pixels", "registry", "rules", "series", "signals", "timeline", "transcript", "vision"]

@@ -40,11 +40,6 @@ def icon_rows(spark, d):
     return P.icon_rows(pixels(spark, d), height=30)
 
 
-@query("swatch_frames", f"WITH {PX}, w AS (SELECT *, lead(y, 2) OVER (PARTITION BY media_id, frame_no ORDER BY y, x) - y AS h FROM px WHERE r > 128) SELECT DISTINCT media_id, frame_no FROM w WHERE h < 30")
-def swatch_frames(spark, d):
-    return P.swatch_frames(pixels(spark, d).withColumn("compact", F.col("r") > 128))
-
-
 @query("content_bounds", f"WITH {PX}, n AS (SELECT media_id, frame_no, y, count(*) * 10 AS n FROM px GROUP BY 1, 2, 3), f AS (SELECT media_id, frame_no, min(y) AS t, max(y) AS b FROM n WHERE n > 5 GROUP BY 1, 2) SELECT media_id, round(quantile_cont(t, 0.02), 6) AS top, round(quantile_cont(b, 0.98), 6) AS bottom FROM f GROUP BY 1")
 def content_bounds(spark, d):
     rows = pixels(spark, d).groupBy("media_id", "frame_no", "y").agg((F.count("*") * 10).alias("n"))
