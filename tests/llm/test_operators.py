@@ -652,3 +652,20 @@ def test_warc_awkward(spark):
     assert got == sorted((p, len(h), "response" if first[h] == p else "revisit", -1 if first[h] == p else first[h]) for p, _, h in rows)
     seen = {r.urlkey: (r.n_captures, r.n_revisits) for r in warc.histories(index).collect()}
     assert sum(n for n, _ in seen.values()) == len(rows) and sum(n for _, n in seen.values()) == sum(first[h] != p for p, _, h in rows)
+
+
+def test_archives_of_two_attempts(spark):
+    """A second writing below the same folder (as by a task that runs twice) leaves the first one's archives as its index knows them."""
+    names = "page_id long, url string, html string"
+    rows = [(i, f"http://a.example/{i % 9}", f"page {i} " * 20) for i in range(60)]
+    out = scratch(spark, "w")
+    first = warc.write(spark.createDataFrame(rows, names).repartition(3), out)
+    warc.write(spark.createDataFrame(rows[::-1], names).repartition(2), out)
+    assert sorted(r.page_id for r in warc.read(warc.merged(first)).collect()) == list(range(60))
+
+
+def test_tables_leave_the_catalogue(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    near_dup.near_duplicates(docs).count()
+    suffix_dedup.op3(spark, DATA).count()
+    assert {t.name for t in spark.catalog.listTables()} == before

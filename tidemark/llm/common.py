@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -70,5 +72,15 @@ def key_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterat
     return dealt.mapInArrow(run, schema)
 
 
+def bucketed(df: DataFrame, n: int, keys: list[str], what: str) -> DataFrame:
+    """df as a table in the shared folder, in n buckets by keys, so that joins on them needn't shuffle it again. The catalogue
+    knows it for a moment only: its entry goes, its files stay with the others of the folder."""
+    spark, name = df.sparkSession, f"{re.sub(r'\W', '_', what)}_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).format("parquet").option("path", scratch(spark, what)).saveAsTable(name)
+    held = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the table is external
+    return held
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))

@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import key_groups, parts, scratch, stored, table
+from tidemark.llm.common import bucketed, key_groups, parts, stored, table
 from tidemark.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -238,10 +237,8 @@ def linked_groups(docs: DataFrame, nodes: DataFrame, percent: int, size: int, ke
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     bands = stored(bands.join(shared, "band"), "bands")
     # sets are looked up by node in each round; a bucketed table saves shuffling them each time
-    name = f"near_dup_{uuid.uuid4().hex}"
     rows = packed(docs, nodes.join(bands.select("node").distinct(), "node", "left_semi"), size, key, text)
-    rows.repartition(n, "node").write.bucketBy(n, "node").format("parquet").option("path", scratch(docs.sparkSession, "sets")).saveAsTable(name)
-    sets = docs.sparkSession.table(name)
+    sets = bucketed(rows, n, ["node"], "sets")
     groups = None
 
     def mixed(turn: int) -> DataFrame:

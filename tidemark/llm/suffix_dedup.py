@@ -29,7 +29,6 @@ comes after all others. An empty table gives no rows; columns other than the two
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -38,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import key_groups, parts, scratch, stored, table
+from tidemark.llm.common import bucketed, key_groups, parts, stored, table
 
 #: Bytes of an anchor; shallow depth in bytes; bytes of a slice of a long text, and places in a slice.
 K, SHALLOW, SLICE, PLACES = 32, 32, 1 << 20, 1 << 21
@@ -421,9 +420,7 @@ def dedup(docs: DataFrame, width: int = 100, key: str = "doc_id", text: str = "t
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(body).alias("e"), body.alias("text"))
     # texts are looked up twice by document; a bucketed table saves shuffling them each time
-    name = f"suffix_dedup_{uuid.uuid4().hex}"
-    rows.repartition(n, "d", "e").write.bucketBy(n, "d", "e").format("parquet").option("path", scratch(spark, "suffix-texts")).saveAsTable(name)
-    texts = spark.table(name)
+    texts = bucketed(rows, n, ["d", "e"], "suffix-texts")
     buckets = max(n, parts(docs, 4))
     met = stored(_met(_packed(texts, width, int(buckets), hot), n, hot), "suffix-met")
     segs = stored(_texts(met.where("kind = 1"), texts, width), "suffix-segments")

@@ -97,7 +97,8 @@ def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", ht
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         store, base = place(out)
-        name, own = f"{task.partitionId():07d}.warc.gz", f".{task.partitionId():07d}-{task.taskAttemptId()}"
+        # two attempts of a task needn't see its rows in one order: each has an archive of its own, and the index names the one that counts
+        name, own = f"{task.partitionId():07d}-{task.taskAttemptId()}.warc.gz", f".{task.partitionId():07d}-{task.taskAttemptId()}"
         stream, at, run = None, 0, []
         for batch in batches:
             if stream is None:
