@@ -3,9 +3,11 @@ mostly grey; a place that several rows share takes the smallest of their colours
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import morphology as M
+from tidemark.operators import webcam as W
 from tidemark.plans.base import query, table
 from tidemark.plans.vision import pixels
 from tidemark.shared import stored
@@ -171,3 +173,30 @@ def filled_holes(spark, d):
     hole = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in disc]))
     holes = p.select("media_id", "frame_no").distinct().select("media_id", "frame_no", hole.alias("s")).select("media_id", "frame_no", "s.y", "s.x")
     return M.filled(p, holes, WIDTH, HEIGHT)
+
+
+TR = """ev AS (SELECT user_id % 40 AS media_id, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) - 1 AS frame_no, event_id FROM events),
+ pl AS (SELECT media_id, frame_no, frame_no * 500000 AS t, CASE WHEN event_id % 11 > 0 THEN (frame_no // 9) % 4 // 3 * 8 END AS x, CASE WHEN event_id % 11 > 0 THEN (frame_no // 9) % 5 // 4 * -10 END AS y FROM ev)"""
+
+
+def discs(spark, d):
+    """A frame for each event: a dark disc that jumps by the frame's number, and is lost in every eleventh event's."""
+    e = table(spark, d, "events").select((F.col("user_id") % 40).alias("media_id"), "event_id")
+    e = e.withColumn("frame_no", F.row_number().over(Window.partitionBy("media_id").orderBy("event_id")).cast("long") - 1)
+    ninth = F.floor(F.col("frame_no") / 9)
+    return e.select("media_id", "frame_no", (F.col("frame_no") * 500_000).alias("t_us"), (F.floor(ninth % 4 / 3) * 8 + 40).alias("_x"), (40 - F.floor(ninth % 5 / 4) * 10).alias("_y"), (F.col("event_id") % 11 > 0).alias("_seen"))
+
+
+@query("webcam_track", f"""WITH {TR}, h AS (SELECT media_id, median(x) AS hx, median(y) AS hy FROM pl GROUP BY 1 HAVING count(*) >= 8 AND count(x) >= 0.5 * count(*)),
+ o AS (SELECT media_id, t, x - hx AS dx, y - hy AS dy FROM pl JOIN h USING (media_id)),
+ c AS (SELECT media_id, t, dx, round_even(coalesce(last_value(dx IGNORE NULLS) OVER w, 0) / 2, 0) * 2 AS px, round_even(coalesce(last_value(dy IGNORE NULLS) OVER w, 0) / 2, 0) * 2 AS py FROM o WINDOW w AS (PARTITION BY media_id ORDER BY t ROWS UNBOUNDED PRECEDING)),
+ r AS (SELECT *, sum(CASE WHEN px = lag_x AND py = lag_y THEN 0 ELSE 1 END) OVER (PARTITION BY media_id ORDER BY t) AS k FROM (SELECT *, lag(px) OVER (PARTITION BY media_id ORDER BY t) AS lag_x, lag(py) OVER (PARTITION BY media_id ORDER BY t) AS lag_y FROM c)),
+ s AS (SELECT media_id, px, py, min(t) AS a, max(t) + 500000 AS b FROM r GROUP BY media_id, k, px, py HAVING max(t) + 500000 - min(t) >= 800000 AND greatest(abs(px), abs(py)) >= 6),
+ v AS (SELECT s.media_id, a, b, px, py, count(*) AS n, count(*) FILTER (WHERE abs(o.dx - px) <= 2.5 AND abs(o.dy - py) <= 2.5) AS ok FROM s JOIN o ON o.media_id = s.media_id AND o.t >= a AND o.t < b AND o.dx IS NOT NULL GROUP BY 1, 2, 3, 4, 5)
+ SELECT media_id, a AS t0, b AS t1, px::BIGINT AS dx, py::BIGINT AS dy FROM v WHERE n >= 2 AND ok >= 0.8 * n""")
+def webcam_track(spark, d):
+    f = stored(discs(spark, d), "discs")
+    spots = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in range(-6, 7) for x in range(-6, 7) if x * x + y * y <= 38]))
+    px = f.where("_seen").select("media_id", "frame_no", "_x", "_y", spots.alias("s")).select("media_id", "frame_no", (F.col("_y") + F.col("s.y")).alias("y"), (F.col("_x") + F.col("s.x")).alias("x"), F.lit(90).alias("v"))
+    home = f.select("media_id").distinct().select("media_id", F.lit(40).alias("cx"), F.lit(40).alias("cy"), F.lit(6).alias("r"))
+    return W.track(f.select("media_id", "frame_no", "t_us"), W.disc_places(px, home, 100, 100, opening=1, pad=30))
