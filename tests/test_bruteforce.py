@@ -194,3 +194,29 @@ def test_greedy_clusters(spark):
     assert {k: [tuple(map(float, g)) for g in v] for k, v in got.items()} == {k: [tuple(map(float, g)) for g in plain(v)] for k, v in points.items()}
     ties = spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0), (1, 2, 60.0, 0.0, 1.0), (1, 3, 59.9, 0.0, 1.0)], "k long, ord long, cx double, cy double, cr double")
     assert sorted((r.n, r.cx) for r in S.greedy_clusters(ties, ["k"], "ord").collect()) == [(1, 60.0), (2, 29.95)]
+
+
+def test_positions_and_zips(spark):
+    """Keys of one row to thousands, null keys, equal rows, partners of unlike length, clashing columns."""
+    import random
+
+    from tidemark.operators.positions import positions, zipped
+
+    r = random.Random(5)
+    rows = lambda n: [(r.choice([1, 1, 1, 1, 1, 2, 3, None]), r.randrange(500), i, "x") for i in range(n)] + [(9, 1, -1, "y")] * 3
+    a, b = rows(3000), rows(1500)
+    names = "media_id long, t long, i long, pos_ string"
+    da, db = (spark.createDataFrame(x, names).repartition(5) for x in (a, b))
+    got = sorted((repr(x.media_id), x.pos, x.t, x.i) for x in positions(da, ["media_id"], ["t", "i"]).collect())
+    want = []
+    for k in {x[0] for x in a}:
+        want += [(repr(k), n, t, i) for n, (_, t, i, _) in enumerate(sorted((x for x in a if x[0] == k), key=lambda x: x[1:3]))]
+    assert got == sorted(want)
+    pairs = [(repr(x.media_id), x.pos, x.t, x.b_t) for x in zipped(da, db, ["media_id"], ["t", "i"], ["t", "i"]).collect()]
+    expect = []
+    for k in {x[0] for x in a} & {x[0] for x in b}:
+        side = [sorted((x for x in y if x[0] == k), key=lambda x: x[1:3]) for y in (a, b)]
+        expect += [(repr(k), n, x[1], y[1]) for n, (x, y) in enumerate(zip(*side))]
+    assert sorted(pairs) == sorted(expect)
+    none = spark.createDataFrame([], names)
+    assert positions(none, ["media_id"], ["t"]).count() == 0 and zipped(da, none, ["media_id"], ["t"], ["t"]).count() == 0

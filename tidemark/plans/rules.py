@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import quality as Q
+from tidemark.operators.positions import zipped
 from tidemark.plans.base import EV, SQL, events, query, table, with_
 
 S = with_(EV) + ", s AS (SELECT media_id, event_id, event_type, value, (t - min(t) OVER (PARTITION BY media_id)) // 3600000000 + (event_id % 1000) / 1000.0::DOUBLE AS t FROM ev)"
@@ -133,6 +134,33 @@ def rule_bridge_too_long(spark, d):
     return Q.bridge_too_long(frame_pairs(spark, d))
 
 
+ZIP = """, fo AS (SELECT media_id, t, value, row_number() OVER (PARTITION BY media_id ORDER BY t, event_id) - 1 AS i, value - lag(value) OVER (PARTITION BY media_id ORDER BY t, event_id) AS dv FROM s WHERE event_type IN ('click', 'error')),
+ fs AS (SELECT media_id, value, row_number() OVER (PARTITION BY media_id ORDER BY t, event_id) - 1 AS i, value - lag(value) OVER (PARTITION BY media_id ORDER BY t, event_id) AS dv FROM s WHERE event_type NOT IN ('click', 'error')),
+ zp AS (SELECT fo.media_id, fo.t, fo.i, abs(fo.dv) / 100 AS out_diff, abs(fs.dv) AS src_diff FROM fo JOIN fs ON fs.media_id = fo.media_id AND fs.i = fo.i)"""
+
+
+def two_streams(spark, d):
+    """Frames of an output and of its source, which are of unlike length: t, value and the difference from the frame before."""
+    f = features(spark, d)
+    moved = F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("media_id").orderBy("t", "event_id")))
+    of = lambda which: f.where(which).select("media_id", "event_id", "t", "value", moved.alias("diff"))
+    out = F.col("event_type").isin("click", "error")
+    return of(out), of(~out)
+
+
+@query("zipped_frames", S + ZIP + " SELECT media_id, i AS pos, t, round(out_diff, 9) AS out_diff, round(src_diff, 9) AS src_diff FROM zp")
+def zipped_frames(spark, d):
+    z = zipped(*two_streams(spark, d), ["media_id"], ["t", "event_id"], ["t", "event_id"])
+    return z.select("media_id", "pos", "t", F.round(F.col("diff") / 100, 9).alias("out_diff"), F.round("b_diff", 9).alias("src_diff"))
+
+
+@query("rule_bridge_two_streams", S + ZIP + """, g AS (SELECT media_id, t, coalesce(out_diff < 0.6 AND src_diff > 3.0, false) AS h, row_number() OVER (PARTITION BY media_id ORDER BY t) - row_number() OVER (PARTITION BY media_id, coalesce(out_diff < 0.6 AND src_diff > 3.0, false) ORDER BY t) AS k FROM zp)
+ SELECT media_id, 'warn' AS level, 'bridge-too-long' AS kind, min(t)::DOUBLE AS t, 'the output holds still over a moving source' AS msg FROM g WHERE h GROUP BY media_id, k HAVING max(t) - min(t) >= 3.0""")
+def rule_bridge_two_streams(spark, d):
+    z = zipped(*two_streams(spark, d), ["media_id"], ["t", "event_id"], ["t", "event_id"])
+    return Q.bridge_too_long(z.select("media_id", "t", (F.col("diff") / 100).alias("out_diff"), F.col("b_diff").alias("src_diff")))
+
+
 def frame_pairs(spark, d):
     return features(spark, d).select("media_id", "t", (F.col("value") / 50).alias("out_diff"), F.when(F.col("event_type") != "error", 4.0).otherwise(0.0).alias("src_diff"))
 
