@@ -251,3 +251,18 @@ def test_query_of_holes(spark):
     page = frames_of(pixels.page(spark, DATA).collect())
     hole = {(y, x) for y in range(20) for x in range(51) if (y - 10) ** 2 + (x - 44) ** 2 <= 20}
     assert frames_of(catalogue.QUERIES["filled_holes"](spark, DATA).collect()) == {k: plain_filled(f, hole, 51, 20) for k, f in page.items()}
+
+
+def test_ruled_lines_are_no_content(spark):
+    """A page border and a ruled line don't set a slide's box; a line that is seen once belongs to the union alone."""
+    from tidemark.operators import raster
+
+    ink, frames = [], []
+    for f in range(12):
+        frames.append((1, f, 0.0))
+        ink += [(1, f, y, 3) for y in range(20)] + [(1, f, 1, x) for x in range(30)]  # border and rule
+        ink += [(1, f, y, x) for y in range(6, 10) for x in range(8, 14)]
+        ink += [(1, f, 15, x) for x in range(8, 14)] if f == 5 else []
+    px = spark.createDataFrame([(*r, 0, 0, 0) for r in ink], "media_id long, frame_no long, y long, x long, b int, g int, r int")
+    got = raster.slide_extents(spark.createDataFrame(frames, "media_id long, frame_no long, diff double"), px, 50, 30, 20).collect()
+    assert [tuple(r) for r in got] == [(1, 0, 8, 1, 8, 6, 9, 1, 15)]

@@ -211,3 +211,25 @@ def slide_scan(frames: DataFrame, pixels: DataFrame, jump: float, least: int = 3
     often = cells.where(seen_often(F.col("seen"), F.col("samples")))
     box = often.groupBy(*own).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n_cells"))
     return slides.join(box, own, "left").withColumn("n_cells", F.coalesce("n_cells", F.lit(0).cast("long")))
+
+
+def slide_extents(frames: DataFrame, pixels: DataFrame, jump: float, width: int, height: int, least: int = 3, row: int = 3, most: float = 0.5) -> DataFrame:
+    """Slides as in slide_scan, with two boxes of rows. top, bottom: the rows with more than `row` cells of lasting ink, once columns and
+    then rows that are inked over more than `most` of the picture are left out, since ruled lines and page borders aren't content.
+    union_top, union_bottom: what was ever visible in one of the slide's frames but its first, faint ink too. Slides without lasting ink
+    have no row here: media_id, slide, samples, first_frame, last_frame, top, bottom, union_top, union_bottom."""
+    own = ["media_id", "slide"]
+    numbered = segment_on_change(frames, ["media_id"], ["frame_no"], F.col("diff") > jump)
+    kept = trimmed_segments(numbered, own, ["frame_no"])
+    slides = kept.groupBy(*own).agg(F.count("*").alias("samples"), F.min("frame_no").alias("first_frame"), F.max("frame_no").alias("last_frame")).where(F.col("samples") >= least)
+    ink = pixels.where(grey() < 200).select(*FRAME, "y", "x").distinct().join(kept.select(*FRAME, "slide"), list(FRAME))
+    cells = ink.groupBy(*own, "y", "x").agg(saturating_count(F.lit(True)).alias("seen")).join(slides.select(*own, "samples"), own)
+    often = cells.where(seen_often(F.col("seen"), F.col("samples"))).select(*own, "y", "x")
+    ruled = often.groupBy(*own, "x").agg(F.count("*").alias("_n")).where(F.col("_n") > most * height).select(*own, "x")
+    rows = often.join(ruled, [*own, "x"], "left_anti").groupBy(*own, "y").agg(F.count("*").alias("_n")).where((F.col("_n") <= most * width) & (F.col("_n") > row))
+    box = rows.groupBy(*own).agg(F.min("y").alias("top"), F.max("y").alias("bottom"))
+    seen = trimmed_segments(numbered, own, ["frame_no"], tail=0).select(*FRAME, "slide")
+    faint = pixels.where(grey() < 238).select(*FRAME, "y", "x").distinct().groupBy(*FRAME, "y").agg(F.count("*").alias("_n")).where(F.col("_n") > row)
+    ever = faint.join(seen, list(FRAME)).groupBy(*own).agg(F.min("y").alias("_t"), F.max("y").alias("_b"))
+    out = slides.join(box, own).join(ever, own, "left")
+    return out.select(*own, "samples", "first_frame", "last_frame", "top", "bottom", F.least("top", "_t").alias("union_top"), F.greatest("bottom", "_b").alias("union_bottom"))

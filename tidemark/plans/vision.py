@@ -153,3 +153,21 @@ def slide_scan(spark, d):
     p = pixels(spark, d)
     frames = p.groupBy("media_id", "frame_no").agg((F.sum("x") % 100).alias("diff"))
     return P.slide_scan(frames, p.withColumns({"y": F.col("y") % 5, "x": F.floor(F.col("x") / 80)}), 95)
+
+
+@query("slide_extents", f"""
+ WITH {PX}, fr AS (SELECT media_id, frame_no, sum(x) % 100 AS diff FROM px GROUP BY 1, 2),
+ s AS (SELECT *, sum(CASE WHEN diff > 95 THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY frame_no) AS slide FROM fr),
+ a AS (SELECT *, row_number() OVER (PARTITION BY media_id, slide ORDER BY frame_no) AS i, count(*) OVER (PARTITION BY media_id, slide) AS m FROM s),
+ n AS (SELECT media_id, slide, count(*) AS samples, min(frame_no) AS first_frame, max(frame_no) AS last_frame FROM a WHERE i > 1 AND i <= m - 3 GROUP BY 1, 2 HAVING count(*) >= 3),
+ q AS (SELECT DISTINCT media_id, frame_no, y % 12 AS y, x // 40 AS x, (b + g + r) / 3 AS v FROM px),
+ c AS (SELECT media_id, slide, y, x, least(255, count(*)) AS seen FROM (SELECT DISTINCT media_id, frame_no, y, x FROM q WHERE v < 200) JOIN a USING (media_id, frame_no) WHERE i > 1 AND i <= m - 3 GROUP BY ALL),
+ o AS (SELECT c.* FROM c JOIN n USING (media_id, slide) WHERE seen >= least(3, greatest(1, samples - 1))),
+ k AS (SELECT media_id, slide, y, count(*) AS w FROM o ANTI JOIN (SELECT media_id, slide, x FROM o GROUP BY ALL HAVING count(*) > 0.75 * 12) USING (media_id, slide, x) GROUP BY ALL HAVING count(*) <= 0.75 * 11 AND count(*) > 1),
+ b AS (SELECT media_id, slide, min(y) AS t, max(y) AS e FROM k GROUP BY ALL),
+ u AS (SELECT media_id, slide, min(y) AS t, max(y) AS e FROM (SELECT media_id, frame_no, y FROM q WHERE v < 238 GROUP BY ALL HAVING count(DISTINCT x) > 1) JOIN a USING (media_id, frame_no) WHERE i > 1 GROUP BY ALL)
+ SELECT media_id, slide::BIGINT AS slide, samples, first_frame, last_frame, b.t AS top, b.e AS bottom, least(b.t, u.t) AS union_top, greatest(b.e, u.e) AS union_bottom FROM n JOIN b USING (media_id, slide) LEFT JOIN u USING (media_id, slide)""")
+def slide_extents(spark, d):
+    p = pixels(spark, d)
+    frames = p.groupBy("media_id", "frame_no").agg((F.sum("x") % 100).alias("diff"))
+    return P.slide_extents(frames, p.withColumns({"y": F.col("y") % 12, "x": F.floor(F.col("x") / 40)}), 95, 11, 12, row=1, most=0.75)
