@@ -198,6 +198,37 @@ def test_near_duplicates(docs, texts, percent):
     assert by_id(near_dup.near_duplicates(docs, percent=percent).drop("row", "group_id")) == plain_components(list(texts.items()), percent)
 
 
+def test_unlike_members_of_one_bucket_are_not_compared(spark, monkeypatch):
+    """5,000 documents that are half boilerplate, and a few near copies among them, all in one bucket: few pairs are compared, and none is
+    missed."""
+    r = random.Random(7)
+    common = [f"b{i}" for i in range(40)]
+    rows = [(i, " ".join([*common, *(f"w{i}x{j}" for j in range(r.randrange(30, 50)))])) for i in range(5000)]
+    rows += [(10_000 + i, " ".join([*rows[i * 37][1].split()[:-1], f"end{i}"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = spark.createDataFrame([(d, near_dup.shingles(t).tobytes()) for d, t in rows], "node long, set binary")
+    met = near_dup.prefixes(sets.select("node"), sets, 85).withColumn("label", F.col("node"))
+    tasks = near_dup._blocks(met, 85).groupBy("x", "y", "z").agg(F.count_if("left").alias("a"), F.count_if(~F.col("left")).alias("b"))
+    compared = tasks.agg(F.sum(F.col("a") * F.col("b"))).first()[0]
+    assert 0 < compared < 60 * 200  # of 12.8 million pairs
+    monkeypatch.setattr(near_dup, "STARS", 0)  # the last round alone
+    want = {d: d for d, _ in rows} | {10_000 + i: i * 37 for i in range(60)}
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()} == want
+
+
+def test_prefixes_lose_no_pair():
+    """Sets at the threshold share one of the rarest, in any order of rarity."""
+    r = random.Random(3)
+    for _ in range(300):
+        a = set(r.sample(range(60), r.randrange(1, 50)))
+        b = (a - set(r.sample(sorted(a), min(len(a) - 1, r.randrange(4))))) | set(r.sample(range(60), r.randrange(4)))
+        order = r.sample(range(60), 60)
+        for percent in (80, 85, 95):
+            if 100 * len(a & b) >= percent * len(a | b):
+                few = [set(sorted(s, key=order.index)[: len(s) - math.ceil(len(s) * percent / 100) + 1]) for s in (a, b)]
+                assert few[0] & few[1]
+
+
 def test_bands_follow_the_threshold(spark):
     assert near_dup.banding(85) == (64, 10) and near_dup.banding(80) == (80, 8)
     for percent in (1, 30, 50, 70, 80, 85, 90, 100):
@@ -413,6 +444,115 @@ def test_leaks(spark, docs, texts, awkward, nothing):
     assert decontaminate.leaks(docs, bench.where("false")).count() == 0
 
 
+def plain_windows(words, size):
+    """Own and folded form of each window as tuples, and its places: what hashes stand for."""
+    k = min(size, len(words))
+    out = {}
+    for i in range(len(words) - k + 1 if words else 0):
+        for folded in (False, True):
+            forms = [decontaminate.canonical(w, folded) for w in words[i : i + k]]
+            # a window of placeholders alone has its values: literals' own forms, else values
+            own = [decontaminate.canonical(w, True)[0] if decontaminate.canonical(w, True)[1] == 0 else "=" + decontaminate.value(w) for w in words[i : i + k]]
+            out.setdefault((k, *(f for f, _ in forms)) if any(kind == 0 for _, kind in forms) else (k, *own), []).append(i)
+    return {w: sorted(set(p)) for w, p in out.items()}
+
+
+def plain_leaks_of(texts, items, least_words=decontaminate.LEAST_WORDS, stretch=decontaminate.STRETCH, size=decontaminate.SIZE, share=decontaminate.SHARE):
+    """Every document against every item, window by window, without hashes, joins or counting first."""
+    out = set()
+    for d, t in texts:
+        words = (t or "").split()
+        held = {n: plain_windows(words, n) for n in range(1, size + 1)}
+        for i, x in items:
+            own = (x or "").split()
+            if not own:
+                continue
+            k = min(size, len(own))
+            if k < size and k < least_words and len(words) != k:
+                continue
+            theirs = plain_windows(own, size)
+            rows = [{"pos": held[k][w], "ipos": p, "words": [y for q in held[k][w] for y in words[q : q + k]], "iwords": [y for q in p for y in own[q : q + k]]} for w, p in theirs.items() if w in held[k]]
+            total = len(own) - k + 1
+            if rows and len({q for r in rows for q in r["ipos"]}) >= share * total:
+                best = decontaminate.decided(rows, total, k, size, share, stretch)
+                if best is not None:
+                    out.add((d, i, best[1], best[0], total, best[2], best[3]))
+    return out
+
+
+def leak_rows(df):
+    return {tuple(r) for r in df.select("doc_id", "item_id", "start_word", "n_hits", "n_windows", "n_slots", "n_changed").collect()}
+
+
+def leaky_corpus(seed, n_items=25, n_docs=70):
+    """Items that share sentences, in documents as they are, cut, interrupted, in other case, re-parameterised, or with words changed."""
+    r = random.Random(seed)
+    names, words = ["Ann", "Bob", "Cid", "Dee"], "gives takes apples pears from to sees then loses buys more for each how many does keep of the and km 12 7 30".split()
+    sentence = lambda n: [r.choice([r.choice(words), r.choice(words), r.choice(names)]) for _ in range(n)]
+    stock = [sentence(6) for _ in range(4)]
+    items = [sum((r.choice(stock) if r.random() < 0.3 else sentence(r.randrange(1, 9)) for _ in range(r.randrange(1, 4))), []) for _ in range(n_items)] + [["Paris"], ["is", "it"], ["Who", "wrote", "Hamlet", "?"], []]
+
+    def altered(x):
+        x = list(x)
+        kind = r.randrange(7)
+        if kind == 1:
+            new = {}
+            x = [new.setdefault(w, r.choice(["Eve", "Fay", "Gus"]) if w in names else str(r.randrange(100, 999)) if w.isdigit() else w) for w in x]
+        elif kind == 2 and x:
+            at = r.randrange(len(x))
+            x[at:at] = [f"note{r.randrange(99)}x"] * r.choice([1, 8, 150, 700])
+        elif kind == 3:
+            x = [r.choice([str.lower, str.upper])(w) for w in x]
+        elif kind == 4 and x:
+            x[r.randrange(len(x))] = r.choice(words)
+        elif kind == 5:
+            x = x[: r.randrange(len(x) + 1)]
+        return x
+
+    texts = []
+    for d in range(n_docs):
+        parts = [altered(r.choice(items)) if r.random() < 0.6 else sentence(r.randrange(30)) for _ in range(r.randrange(1, 5))]
+        texts.append((d, " ".join(sum(parts, []))))
+    texts += [(1000 + i, " ".join(x)) for i, x in enumerate(items)] + [(2000, None), (2001, ""), (2002, "paris")]
+    return texts, [(i, " ".join(x)) for i, x in enumerate(items)]
+
+
+@pytest.mark.parametrize("seed, filter_bytes", [(1, 8 << 20), (2, 8 << 20), (1, 0), (2, 0)])
+def test_leaks_equal_brute_force(spark, monkeypatch, seed, filter_bytes):
+    """Both ways: nothing is missed and nothing is made up, with the filter of hashes and with the join of all windows."""
+    monkeypatch.setattr(decontaminate, "FILTER_BYTES", filter_bytes)
+    texts, items = leaky_corpus(seed)
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    if filter_bytes:  # frames from memory have no known size
+        monkeypatch.setattr(decontaminate, "input_bytes", lambda df: 1000)
+    want = plain_leaks_of(texts, items)
+    assert len(want) > 40 and any(r[-1] for r in want)
+    assert leak_rows(decontaminate.leaks(docs, bench)) == want
+
+
+def test_leaks_without_limits(spark):
+    """Items of one and two words inside longer texts, and items interrupted by any number of words, where the limits are off."""
+    texts, items = leaky_corpus(3)
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = plain_leaks_of(texts, items, least_words=1, stretch=None)
+    usual = plain_leaks_of(texts, items)
+    assert {(d, i) for d, i, *_ in want} > {(d, i) for d, i, *_ in usual}
+    assert leak_rows(decontaminate.leaks(docs, bench, least_words=1, stretch=None)) == want
+
+
+def test_hot_windows_make_no_pairs(spark):
+    """One window in 2,000 items and 2,000 documents: pairs below the share are neither counted one by one nor get words."""
+    hot = "what is the total of"
+    items = [(i, f"{hot} q{i}a q{i}b q{i}c q{i}d q{i}e q{i}f q{i}g") for i in range(2000)]
+    docs = [(d, f"once {hot} d{d}x and so on") for d in range(2000)] + [(5000, f"see {items[7][1]} end")]
+    bench, rows = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    theirs = decontaminate._window_rows(bench.select(F.col("item_id").alias("id"), decontaminate.row_key("item_id").alias("r"), "text"), 5, None).select(F.col("r").alias("q"), "wh", F.col("pos").alias("ipos"), F.col("n").alias("n_windows"))
+    ours = decontaminate._window_rows(rows.select(F.col("doc_id").alias("id"), decontaminate.row_key().alias("r"), "text"), 5, None)
+    assert ours.join(decontaminate.probes(theirs, 0.8), "wh").select("r", "q").distinct().count() == 1
+    assert decontaminate.possible(ours, theirs, 0.8).count() == 1
+    assert leak_rows(decontaminate.leaks(rows, bench)) == {(5000, 7, 1, 8, 8, 0, 0)}
+
+
 def test_questions_with_new_parameters(spark):
     bench = spark.createDataFrame([(1, "Alice has 12 apples and gives Bob 5 of them while Carol buys 12 more for 3 dollars each how many does Alice keep")], "item_id long, text string")
     docs = spark.createDataFrame(

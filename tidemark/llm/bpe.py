@@ -22,6 +22,7 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import table
 
 #: Entries of each cache, of chunks and of words; beyond them it starts anew.
-CACHE = 300_000
+CACHE = 400_000
 
 SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -40,7 +41,12 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 # Printable ASCII and Latin letters with one spelling only, whose classes all libraries agree on.
 LETTERS = "a-z\u00df-\u00f6\u00f8-\u017f"
 PLAIN = re.compile("[!-~\u00df-\u00f6\u00f8-\u017f]*")
+#: The same for whole lines, with blanks between the words; blanks are part of no word.
+PLAIN_LINES = re.compile("[!-~\u00df-\u00f6\u00f8-\u017f\t-\r ]*")
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+LINE_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9\t-\r ]+")
+#: Characters of a text that are looked at together: one odd character costs the quick way for its piece alone.
+PIECE = 1 << 12
 
 _printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Byte-level BPE's character for each byte: printable ones stand for themselves, the rest follow from 256 on.
@@ -69,6 +75,18 @@ class Cache(dict):
         return value
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A text in pieces of at least PIECE characters that end before a blank, so that no word is cut."""
+    at = 0
+    while len(text) - at > 2 * PIECE:
+        to = text.find(" ", at + PIECE)
+        if to < 0:
+            break
+        yield text[at:to]
+        at = to
+    yield text[at:] if at else text
+
+
 class Encoder:
     """Encodes and decodes as the library does for the tokenizer file, without adding special tokens."""
 
@@ -94,7 +112,8 @@ class Encoder:
         for t in ranks:
             for a, b in zip(t, t[1:]):
                 self.inside[a][b] = 1
-        self.words, self.chunks = Cache(self.word), Cache(self.chunk)  # packed ids
+        self.joins = np.array([list(row) for row in self.inside], bool)
+        self.words, self.chunks, self.plain = Cache(self.word), Cache(self.chunk), Cache(lambda w: self.word(w.encode()))  # packed ids
 
     @staticmethod
     def bytes(chars: str) -> bytes:
@@ -112,6 +131,20 @@ class Encoder:
         found = self.fragments(word)
         return array("i", self.merge(found[0]) if len(found) == 1 else [i for f in found for i in self.merge(f)]).tobytes()
 
+    def learn(self, words: list[str]) -> None:
+        """Puts the packed ids of words that aren't cached into the cache: all their fragments are cut in one look."""
+        body = "\0".join(words).encode().replace(b"\0", END) + END  # a plain word holds no NUL
+        codes = np.frombuffer(body, "uint8")
+        cuts = np.flatnonzero(~self.joins[codes[:-1], codes[1:]]) + 1  # behind a word's end no pair is inside a token
+        bounds = [0, *cuts.tolist(), len(body)]
+        found = list(map(self.merge, [body[a:b] for a, b in zip(bounds, bounds[1:])]))
+        flat = array("i", chain.from_iterable(found)).tobytes()
+        after = 4 * np.cumsum(np.fromiter(map(len, found), "int64", len(found)))
+        ends = [0, *after[codes[np.array(bounds[1:]) - 1] == END[0]].tolist()]
+        if len(self.plain) + len(words) > CACHE:
+            self.plain.clear()
+        self.plain.update((w, flat[a:b]) for w, a, b in zip(words, ends, ends[1:]) if len(w) < 100)
+
     def split_words(self, chunk: str) -> list[bytes]:
         """Words of a run without white space. Where lower-casing leaves only ASCII and common Latin
         letters, a plain pattern cuts as the library's pre-tokenizer does; else that one does."""
@@ -132,8 +165,19 @@ class Encoder:
             if part in self.special:
                 out.append(array("i", [self.special[part]]).tobytes())
             else:
-                # no token reaches across white space; str.split also takes the separators FS to US for it
-                out += map(self.chunks.__getitem__, SPACES.split(part) if SEPARATORS.search(part) else part.split())
+                for piece in pieces(part):
+                    low = piece.lower()
+                    if PLAIN_LINES.fullmatch(low):
+                        words = LINE_WORDS.findall(low)
+                        found = list(map(self.plain.get, words))
+                        new = [w for w, ids in zip(words, found) if ids is None]
+                        if new:
+                            self.learn(list(set(new)))
+                            found = [self.plain[w] if ids is None else ids for w, ids in zip(words, found)]
+                        out += found
+                    else:
+                        # no token reaches across white space; str.split also takes the separators FS to US for it
+                        out += map(self.chunks.__getitem__, SPACES.split(piece) if SEPARATORS.search(piece) else piece.split())
         return np.frombuffer(b"".join(out), "int32")
 
     def decode(self, ids: Iterable[int]) -> str:

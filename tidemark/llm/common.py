@@ -82,5 +82,11 @@ def bucketed(df: DataFrame, n: int, keys: list[str], what: str) -> DataFrame:
     return held
 
 
+def row_key(key: str = "doc_id", text: str = "text"):
+    """128 bits that tell rows of other number or text apart."""
+    number, body = F.col(key).cast("long"), F.col(text)
+    return F.struct(F.xxhash64(number, body).alias("a"), F.xxhash64(body, F.lit(7), number).alias("b"))
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))

@@ -17,10 +17,14 @@ words are no evidence of a leak in a longer text: they match only documents that
 
 A window of placeholders alone says nothing, so it is hashed by its values. A document's windows of one hash travel as one row, so a text that repeats a window sends no row for each place. The
 hashes of the benchmark's windows filter the documents' windows in the scan if the benchmark's files
-are no larger than FILTER_BYTES; beyond that, all windows go to the join.
+are no larger than FILTER_BYTES; beyond that, all windows go to the join, without words.
+
+Pairs of document and item are counted before any words meet: an item finds its documents by its rarest windows, so many of them that no
+leak misses all, then the pairs' common windows are counted, and words are joined for those that reach the share. A window that many
+items and documents share thus makes no pairs, as long as the items have others.
 
 Defined results: null or empty texts, of items too, match nothing; null or repeated document numbers are judged row by
-row (equal rows together); an empty table on either side gives no rows; columns other than those named are left out.
+row (equal rows together, told apart by 128-bit keys of number and text); an empty table on either side gives no rows; columns other than those named are left out.
 """
 
 from __future__ import annotations
@@ -33,10 +37,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import input_bytes, key_groups, parts, table
+from tidemark.llm.common import input_bytes, key_groups, parts, row_key, stored, table
 
 SIZE, SHARE, FILTER_BYTES, LEAST_WORDS = 5, 0.8, 8 << 20, 3
 STRETCH, LEAST_STRETCH = 4, 100
@@ -138,12 +142,13 @@ def windows(words: list[str], size: int = SIZE) -> np.ndarray:
     return np.stack(h[:2]).view("int64")
 
 
-def _window_rows(rows: DataFrame, size: int, only: np.ndarray | None, lengths: Sequence[int] = ()) -> DataFrame:
+def _window_rows(rows: DataFrame, size: int, only: np.ndarray | None, lengths: Sequence[int] = (), words: bool = True) -> DataFrame:
     """id, r (row key), wh, size (words of the window), n (windows of the text), pos (its places) and words (those of each
     place, one behind the other) of each window hash of a text that is in only (sorted); windows have size words, those of
-    a shorter text its own number, and the lengths given besides."""
+    a shorter text its own number, and the lengths given besides. Without `words` pos and words are empty."""
     names = ["id", "r", "wh", "size", "n", "pos", "words"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()))
+    key = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+    kinds = (pa.int64(), key, pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()))
     batch_of = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     def hits(form: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
@@ -164,13 +169,13 @@ def _window_rows(rows: DataFrame, size: int, only: np.ndarray | None, lengths: S
                 part = batch.slice(begin, 200)
                 texts = [(t.as_py() or "").split() for t in part.column(2)]
                 ends = np.cumsum([0, *map(len, texts)])
-                words = [w for t in texts for w in t]
+                flat = [w for t in texts for w in t]
                 found: dict[tuple[int, int, int], list[int]] = {}  # text, length, hash: places
                 # the windows of many texts at a time, without those that reach into the next one
                 for k in sorted({size, *lengths}):
-                    if k > len(words):
+                    if k > len(flat):
                         continue
-                    h, folded = windows(words, k)
+                    h, folded = windows(flat, k)
                     for form in (h, folded):
                         at = hits(form, bits)
                         if form is folded:
@@ -188,16 +193,17 @@ def _window_rows(rows: DataFrame, size: int, only: np.ndarray | None, lengths: S
                 out, held = [[] for _ in names], 0
                 ids, keys = part.column(0).to_pylist(), part.column(1).to_pylist()
                 for (i, k, x), places in found.items():
+                    n_places, places = len(places), places if words else []
                     for col, v in zip(out, (ids[i], keys[i], x, k, len(texts[i]) - k + 1, places, [w for p in places for w in texts[i][p : p + k]])):
                         col.append(v)
-                    held += len(places)
+                    held += n_places
                     if held > 20_000:
                         yield batch_of(out)
                         out, held = [[] for _ in names], 0
                 if out[0]:
                     yield batch_of(out)
 
-    return rows.mapInArrow(run, "id long, r long, wh long, size int, n int, pos array<int>, words array<string>")
+    return rows.mapInArrow(run, "id long, r struct<a:long,b:long>, wh long, size int, n int, pos array<int>, words array<string>")
 
 
 def slots(pairs: dict[int, tuple[str, str]]) -> tuple[int, int, int]:
@@ -233,8 +239,9 @@ def chain(pos: np.ndarray, ipos: np.ndarray) -> np.ndarray:
     return order[out[::-1]]
 
 
-def alignments(pos: np.ndarray, ipos: np.ndarray, total: int, size: int, share: float) -> Iterator[np.ndarray]:
-    """Indexes of the hits near the most frequent offset, then of chains of hits, where they cover the share of the item's windows."""
+def alignments(pos: np.ndarray, ipos: np.ndarray, total: int, size: int, share: float, stretch: int | None = STRETCH) -> Iterator[np.ndarray]:
+    """Indexes of the hits near the most frequent offset, then of chains of hits, where they cover the share of the item's windows.
+    A chain lies within `stretch` words of the document for each of the item's, or with None anywhere in it."""
     need = share * total
     if len(np.unique(ipos)) < need:
         return
@@ -245,7 +252,7 @@ def alignments(pos: np.ndarray, ipos: np.ndarray, total: int, size: int, share:
         yield near
     order = np.argsort(pos, kind="stable")
     at = pos[order]
-    reach = max(LEAST_STRETCH, STRETCH * (total + size - 1))
+    reach = max(LEAST_STRETCH, stretch * (total + size - 1)) if stretch is not None else int(at[-1]) + 1
     last = -1
     # a chain that covers enough begins among the item's first windows
     for p in np.unique(pos[ipos <= total - need]).tolist():
@@ -259,56 +266,87 @@ def alignments(pos: np.ndarray, ipos: np.ndarray, total: int, size: int, share:
             last = int(pos[found[0]])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share: float = SHARE, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def probes(theirs: DataFrame, share: float) -> DataFrame:
+    """q and wh of the windows by which an item finds its documents. A leak hits all but total - need of an item's places, so among
+    any total - need + 1 of them one is hit: the rarest in the benchmark are taken, whatever the documents hold often."""
+    places = theirs.select("q", "n_windows", "wh", F.explode("ipos").alias("i"))
+    held = theirs.groupBy("wh").agg(F.count("*").alias("_f"))
+    rare = places.join(held, "wh").groupBy("q", "i", "n_windows").agg(F.sum("_f").alias("_f"), F.collect_set("wh").alias("_whs"))  # two forms at most
+    order = F.row_number().over(Window.partitionBy("q").orderBy("_f", "i"))
+    few = F.col("n_windows") - F.ceil(F.col("n_windows") * share - 1e-9) + 1
+    return rare.withColumn("_o", order).where(F.col("_o") <= few).select("q", F.explode("_whs").alias("wh")).distinct()
+
+
+def possible(slim: DataFrame, theirs: DataFrame, share: float) -> DataFrame:
+    """slim: r, wh of the documents' windows; theirs: q, wh, ipos, n_windows. r and q of the pairs whose common windows cover the share
+    of the item's places, counted without words: pairs that meet in a probe are joined to the item's windows, and those to the
+    document's."""
+    met = slim.join(probes(theirs, share), "wh").select("r", "q").distinct()
+    full = met.join(theirs.select("q", "wh", F.size("ipos").alias("_n"), "n_windows"), "q").join(slim.select("r", "wh").distinct(), ["r", "wh"])
+    return full.groupBy("r", "q").agg(F.sum("_n").alias("_n"), F.first("n_windows").alias("_t")).where(F.col("_n") >= F.col("_t") * share).select("r", "q")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share: float = SHARE, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least_words: int = LEAST_WORDS, stretch: int | None = STRETCH) -> DataFrame:
     """doc_id, r (row key of document and text), item_id, start_word, n_hits, n_windows, n_slots,
-    n_changed (slots with other values than the item's) of each leaked item in each document."""
-    items = benchmark.select(F.col(item).cast("long").alias("id"), F.xxhash64(F.col(item).cast("long"), item_text).alias("r"), F.col(item_text).alias("text"))
+    n_changed (slots with other values than the item's) of each leaked item in each document. least_words 1 finds items of any
+    length inside longer texts, stretch None items that are interrupted by any number of words."""
+    items = benchmark.select(F.col(item).cast("long").alias("id"), row_key(item, item_text).alias("r"), F.col(item_text).alias("text")).distinct()
     theirs = _window_rows(items, size, None)
+    theirs = stored(theirs.select(F.col("id").alias("item_id"), F.col("r").alias("q"), "wh", "size", F.col("pos").alias("ipos"), F.col("n").alias("n_windows"), F.col("words").alias("iwords")), "item-windows")
     # at most size lengths, and as many hashes as FILTER_BYTES of text have windows
-    lengths = [x.size for x in theirs.where((F.col("size") < size) & (F.col("size") >= LEAST_WORDS)).select("size").distinct().collect()]
+    lengths = [x.size for x in theirs.where((F.col("size") < size) & (F.col("size") >= least_words)).select("size").distinct().collect()]
     only = np.unique(theirs.select("wh").toArrow().column(0).to_numpy()) if input_bytes(benchmark) <= FILTER_BYTES else None
     rows = docs.select(F.col(key).cast("long").alias("id"), row_key(key, text).alias("r"), F.col(text).alias("text"))
-    ours = _window_rows(rows, size, only, lengths)
-    theirs = theirs.select(F.col("id").alias("item_id"), F.col("r").alias("q"), "wh", F.col("pos").alias("ipos"), F.col("n").alias("n_windows"), F.col("words").alias("iwords"))
-    hits = ours.select("id", "r", "wh", "size", "pos", "words").join(theirs, "wh")
+    if only is not None:  # few windows are left: they're kept with their words
+        ours = stored(_window_rows(rows, size, only, lengths), "windows")
+        pairs = stored(possible(ours, theirs, share), "leak-pairs")
+    else:  # each window goes to the join, so words follow only where a pair is possible
+        slim = _window_rows(rows, size, None, lengths, words=False).join(theirs.select("wh").distinct(), "wh", "left_semi")
+        pairs = stored(possible(stored(slim.select("r", "wh"), "windows"), theirs, share), "leak-pairs")
+        ours = _window_rows(rows.join(pairs.select("r").distinct(), "r", "left_semi").select("id", "r", "text"), size, None, lengths)
+    hits = ours.select("id", "r", "wh", "pos", "words").join(pairs, "r").join(theirs, ["q", "wh"])
+    hits = hits.select("id", F.col("r.a").alias("ra"), F.col("r.b").alias("rb"), F.col("q.a").alias("qa"), F.col("q.b").alias("qb"), "item_id", "size", "n_windows", "pos", "ipos", "words", "iwords")
 
     def align(group: pa.Table) -> Iterator[pa.RecordBatch]:
         total, k = group.column("n_windows")[0].as_py(), group.column("size")[0].as_py()
         if len(np.unique(pc.list_flatten(group.column("ipos")).to_numpy())) < share * total:
             return
-        rows = group.select(["pos", "ipos", "words", "iwords"]).to_pylist()
-        # each place of a window in the document meets each place of it in the item: row, and index in either list
-        pairs = np.concatenate([np.stack([np.full(len(x["pos"]) * len(x["ipos"]), i), np.repeat(np.arange(len(x["pos"])), len(x["ipos"])), np.tile(np.arange(len(x["ipos"])), len(x["pos"]))]) for i, x in enumerate(rows)], axis=1)
-        pos = np.concatenate([np.repeat(np.array(x["pos"], "int64"), len(x["ipos"])) for x in rows])
-        ipos = np.concatenate([np.tile(np.array(x["ipos"], "int64"), len(x["pos"])) for x in rows])
-        _, once = np.unique(pos << 32 | ipos, return_index=True)  # both forms may agree
-        pos, ipos, pairs = pos[once], ipos[once], pairs[:, once]
-        best = None
-        for near in alignments(pos, ipos, total, k, share):
-            n_hits = len(np.unique(ipos[near]))
-            if best is not None and n_hits <= best[0]:
-                continue
-            met = {}
-            for i, a, b in pairs[:, near].T.tolist():
-                x = rows[i]
-                for j in range(k):
-                    met[x["ipos"][b] + j] = (x["iwords"][b * k + j], x["words"][a * k + j])
-            n, changed, follow = slots(met)
-            if follow >= share * n and (k == size or not changed):
-                best = n_hits, int(pos[near].min()), n, changed
-                if n_hits == total:
-                    break
+        best = decided(group.select(["pos", "ipos", "words", "iwords"]).to_pylist(), total, k, size, share, stretch)
         if best is not None:
             one = lambda c: group.column(c)[0].as_py()
             n_hits, start, n, changed = best
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([one("id")], pa.int64()), "r": [one("r")], "item_id": pa.array([one("item_id")], pa.int64()), "start_word": [start], "n_hits": [n_hits], "n_windows": [total], "n_slots": [n], "n_changed": [changed]})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([one("id")], pa.int64()), "ra": [one("ra")], "rb": [one("rb")], "item_id": pa.array([one("item_id")], pa.int64()), "start_word": [start], "n_hits": [n_hits], "n_windows": [total], "n_slots": [n], "n_changed": [changed]})
 
     # a group holds the hits of one document in one item, bounded by the document
-    return key_groups(hits, ["r", "q"], align, "doc_id long, r long, item_id long, start_word long, n_hits long, n_windows long, n_slots long, n_changed long", parts(docs, 64))
-
-
-def row_key(key: str = "doc_id", text: str = "text"):
-    return F.xxhash64(F.col(key).cast("long"), F.col(text))
+    found = key_groups(hits, ["ra", "rb", "qa", "qb"], align, "doc_id long, ra long, rb long, item_id long, start_word long, n_hits long, n_windows long, n_slots long, n_changed long", parts(docs, 64))
+    return found.select("doc_id", F.struct(F.col("ra").alias("a"), F.col("rb").alias("b")).alias("r"), "item_id", "start_word", "n_hits", "n_windows", "n_slots", "n_changed")
+
+
+def decided(rows: list[dict], total: int, k: int, size: int, share: float, stretch: int | None) -> tuple[int, int, int, int] | None:
+    """rows: the windows that a document and an item have in common, with their places and words (pos, words, ipos, iwords). n_hits, start,
+    slots and changed slots of the best alignment that counts."""
+    # each place of a window in the document meets each place of it in the item: row, and index in either list
+    pairs = np.concatenate([np.stack([np.full(len(x["pos"]) * len(x["ipos"]), i), np.repeat(np.arange(len(x["pos"])), len(x["ipos"])), np.tile(np.arange(len(x["ipos"])), len(x["pos"]))]) for i, x in enumerate(rows)], axis=1)
+    pos = np.concatenate([np.repeat(np.array(x["pos"], "int64"), len(x["ipos"])) for x in rows])
+    ipos = np.concatenate([np.tile(np.array(x["ipos"], "int64"), len(x["pos"])) for x in rows])
+    _, once = np.unique(pos << 32 | ipos, return_index=True)  # both forms may agree
+    pos, ipos, pairs = pos[once], ipos[once], pairs[:, once]
+    best = None
+    for near in alignments(pos, ipos, total, k, share, stretch):
+        n_hits = len(np.unique(ipos[near]))
+        if best is not None and n_hits <= best[0]:
+            continue
+        met = {}
+        for i, a, b in pairs[:, near].T.tolist():
+            x = rows[i]
+            for j in range(k):
+                met[x["ipos"][b] + j] = (x["iwords"][b * k + j], x["words"][a * k + j])
+        n, changed, follow = slots(met)
+        if follow >= share * n and (k == size or not changed):
+            best = n_hits, int(pos[near].min()), n, changed
+            if n_hits == total:
+                break
+    return best
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

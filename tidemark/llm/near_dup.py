@@ -9,15 +9,16 @@ agrees is below one in a million: bands and their coordinates are chosen for tha
 Documents with equal sets are one node from the start. Links are confirmed on full sets, packed once for each node that
 shares a band. In STARS rounds each node meets one pivot, a member of one of its buckets; what is linked
 becomes one group, and buckets within one group are done. So near copies cost a few comparisons each, however
-many there are. In buckets that still hold several groups each member outside the largest one meets all
-others, dealt into blocks of BLOCK members: a task compares two blocks, counting common shingles by a product of incidence
-matrices, in slices of columns. Tasks emit a spanning forest of the links that they confirm, never the
+many there are. The members of buckets that still hold several groups are met anew by their rarest shingles: two sets at the
+threshold have one among the first size - threshold * size + 1 in common, so boilerplate that fills a bucket makes no pairs.
+Members of a rare shingle outside its largest group meet all others whose sizes allow a link, dealt into blocks of BLOCK members by size: a task compares
+two blocks, counting common shingles by a product of incidence matrices, in slices of columns. Tasks emit a spanning forest of the links that they confirm, never the
 pairs they compared, and each pair that shares a band is either in one group by then or compared.
 
 Defined results: without words or with a null or empty text the set is empty, n_shingles is 0 and
 the document is linked with nothing; with fewer words than a shingle the whole sequence is the one
 shingle; rows that repeat a document number are judged each by its own text; a null number is linked like others, its
-component is the smallest number in its group, or null where there is none, and then it is kept; an empty table gives no
+component is the smallest number in its group, or null where there is none, and then it is kept; rows are told apart by 128-bit keys; an empty table gives no
 rows; columns other than the two named are left out.
 """
 
@@ -30,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bucketed, key_groups, parts, stored, table
+from tidemark.llm.common import bucketed, key_groups, parts, row_key, stored, table
 from tidemark.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -118,11 +119,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], ["doc_id", "row", "n_shingles", "set_hash", "keys"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), row_key(key, text).alias("row"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row long, n_shingles long, set_hash binary, keys array<long>")
-
-
-def row_key(key: str = "doc_id", text: str = "text"):
-    return F.xxhash64(F.col(key).cast("long"), F.col(text))
+    return rows.mapInArrow(run, "doc_id long, row struct<a:long,b:long>, n_shingles long, set_hash binary, keys array<long>")
 
 
 def _forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -216,19 +213,41 @@ def _star(pairs: DataFrame) -> DataFrame:
     return own.unionByName(each).withColumn("z", F.lit(0).cast("long"))
 
 
-def _blocks(mixed: DataFrame) -> DataFrame:
-    """Tasks in which the members of each bucket outside its largest group meet all members; of buckets with the same
-    members one is taken."""
-    same = mixed.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("_a"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("_b"))
-    once = same.groupBy("n", "_a", "_b").agg(F.min("band").alias("band")).select("band", "n")
-    main = mixed.groupBy("band", "label").agg(F.count("*").alias("k")).groupBy("band").agg(F.max(F.struct("k", "label")).alias("m"))
-    sized = once.join(main, "band").select("band", F.ceil(F.col("n") / F.lit(BLOCK)).alias("_all"), F.ceil((F.col("n") - F.col("m.k")) / F.lit(BLOCK)).alias("_odd"), F.col("m.label").alias("_main"))
-    rows = mixed.select("band", "node", "label").join(sized, "band")
-    up_to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    block = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
-    left = rows.where(F.col("label") != F.col("_main")).select(F.col("band").alias("x"), block("_odd").alias("y"), up_to("_all").alias("z"), "node", "label", F.lit(True).alias("left"))
-    right = rows.select(F.col("band").alias("x"), up_to("_odd").alias("y"), block("_all").alias("z"), "node", "label", F.lit(False).alias("left"))
-    return left.unionByName(right)
+def prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members: node. node, size (of its set) and x: the rarest shingles of each set, so many that two sets at the threshold have one
+    of them in common. Rarity is counted over the members; what one member alone has leads to nobody and is left out."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_numpy()
+            for at in range(0, batch.num_rows, 200):
+                held = [np.frombuffer(b.as_py(), "int64") for b in batch.column(1).slice(at, 200)]
+                n = np.array([len(h) for h in held], "int64")
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[at : at + 200], n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(held))], ["node", "size", "x"])
+
+    each = stored(sets.join(members, "node", "left_semi").select("node", "set").mapInArrow(spread, "node long, size long, x long"), "shingles")
+    held = each.groupBy("x").agg(F.count("*").alias("_f"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("_f", "x"))
+    few = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    return each.join(held, "x").withColumn("_i", place).where((F.col("_i") <= few) & (F.col("_f") > 1)).select("node", "size", "x")
+
+
+def _blocks(met: DataFrame, percent: int) -> DataFrame:
+    """met: x (a group), node, label, size. Tasks in which the members of each group outside its largest label meet all members, in
+    blocks by size: only blocks whose sizes allow a link meet. Of groups with the same members one is taken, and groups
+    of one label are done."""
+    same = met.groupBy("x").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("_a"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("_b"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi")
+    once = same.groupBy("n", "_a", "_b").agg(F.min("x").alias("x")).select("x")
+    main = met.groupBy("x", "label").agg(F.count("*").alias("k")).groupBy("x").agg(F.max(F.struct("k", "label")).alias("m")).select("x", F.col("m.label").alias("_main"))
+    place = F.row_number().over(Window.partitionBy("x").orderBy("size", "node")) - 1
+    rows = met.join(once, "x").join(main, "x").select("x", "node", "label", "size", (F.col("label") != F.col("_main")).alias("odd"), F.floor(place / F.lit(BLOCK)).alias("b"))
+    rows = stored(rows, "members")
+    spans = rows.groupBy("x", "b").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.bool_or("odd").alias("odd"))
+    left, right = spans.where("odd").select("x", F.col("b").alias("y"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), spans.select("x", F.col("b").alias("z"), "lo", "hi")
+    meet = left.join(right, "x").where((F.col("_hi") * 100 >= F.col("lo") * percent) & (F.col("hi") * 100 >= F.col("_lo") * percent)).select("x", "y", "z")
+    a = rows.where("odd").join(meet.withColumnRenamed("y", "b"), ["x", "b"]).select("x", F.col("b").alias("y"), "z", "node", "label", F.lit(True).alias("left"))
+    b = rows.join(meet.withColumnRenamed("z", "b"), ["x", "b"]).select("x", "y", F.col("b").alias("z"), "node", "label", F.lit(False).alias("left"))
+    return a.unionByName(b)
 
 
 def linked_groups(docs: DataFrame, nodes: DataFrame, percent: int, size: int, key: str, text: str, n: int) -> DataFrame:
@@ -255,7 +274,8 @@ def linked_groups(docs: DataFrame, nodes: DataFrame, percent: int, size: int, ke
                 break
             tasks = _star(pairs)
         else:
-            tasks = _blocks(stored(mixed(turn).select("band", "node", "label"), "mixed"))
+            left = stored(mixed(turn).select("node", "label").distinct(), "mixed")
+            tasks = _blocks(prefixes(left.select("node"), sets, percent).join(left, "node"), percent)
         links = stored(confirmed(tasks, sets, percent, n), "links")
         if links.isEmpty():
             continue
@@ -293,8 +313,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, key: str
         named = named.join(least, "group_id").select("set_hash", "group_id", "_c")
     else:
         named = named.select("set_hash", "group_id", F.col("group_id").alias("_c"))
-    out = sigs.select("doc_id", "row", "n_shingles", "set_hash").join(named, "set_hash", "left")
-    out = out.select("doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_c")).otherwise(F.col("doc_id")).alias("component_id"), "group_id")
+    out = sigs.where("n_shingles > 0").select("doc_id", "row", "n_shingles", "set_hash").join(named, "set_hash").select("doc_id", "row", "n_shingles", F.col("_c").alias("component_id"), "group_id")
+    # empty sets have no hash to join by
+    empty = sigs.where("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group_id"))
+    out = out.unionByName(empty)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row", "group_id")
 
 
