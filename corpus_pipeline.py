@@ -11,11 +11,11 @@ equal numbers the smaller key of the text), and of rows equal in number and text
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, near_dup, quality_rules, secret_scan
-from tidemark.llm.common import scratch, stored, table
+from tidemark.llm.common import row_key, scratch, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +31,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # as a table of its own, so that the join on a large group can be split
     first = stored(found.groupBy("group_id").agg(F.min(place).alias("f"), F.count("*").alias("k")).where("k > 1"), "group-firsts")
     gone = found.join(first, "group_id").where(place != F.col("f")).select(F.col("row").alias("__gone")).distinct()
-    rows = docs.withColumn("__row", near_dup.row_key()).join(gone, F.col("__row") == F.col("__gone"), "left_anti")
-    # rows that repeat number and text have one key, by which the rows are dealt already
-    again = F.row_number().over(Window.partitionBy("__row").orderBy("__row")) > 1
-    return rows.withColumn("__again", again & F.col("text").rlike(r"[^\x20\x09-\x0D]")).where(~F.coalesce("__again", F.lit(False))).select(*docs.columns)
+    rows = docs.withColumn("__row", row_key()).join(gone, F.col("__row") == F.col("__gone"), "left_anti")
+    # of rows that repeat number and text one stays, whichever; keys alone are counted, so that a row repeated without end gathers nowhere
+    twice = found.groupBy("row").agg(F.count("*").alias("k")).where("k > 1").select(F.col("row").alias("__twice"))
+    rows = rows.join(twice, F.col("__row") == F.col("__twice"), "left")
+    alone = rows.where("__twice IS NULL").select(*docs.columns)
+    again = rows.where("__twice IS NOT NULL").select(F.struct(*docs.columns).alias("__doc"), "__row").groupBy("__row").agg(F.first("__doc").alias("__doc"))
+    return alone.unionByName(again.select("__doc.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
