@@ -106,3 +106,15 @@ def test_registry_files(spark, tmp_path):
     assert registry.require(asked.where("ok")).count() == 1
     with pytest.raises(Exception, match="a part is not finished: 2"):
         registry.require(asked).collect()
+
+
+def test_specs_are_nested_both_ways(spark, tmp_path):
+    cut = "array<struct<start: double, end: double>>"
+    rows = [("a", (1.0, None), [(2.0, 3.0), (4.0, 5.5)], True, "It's \"x\""), ("b", None, None, None, None), ("c", (0.0, 9.0), [], False, "é")]
+    specs = spark.createDataFrame(rows, f"job_id string, trim struct<start: double, end: double>, cuts {cut}, mute_original boolean, title string")
+    sinks.write_specs(specs, str(tmp_path / "specs"))
+    got = {r.job_id: r.spec for r in sinks.read_specs(spark, str(tmp_path / "specs")).collect()}
+    assert (got["a"].trim.start, got["a"].trim.end, [tuple(c) for c in got["a"].cuts], got["a"].mute_original, got["a"].title) == (1.0, None, [(2.0, 3.0), (4.0, 5.5)], True, 'It\'s "x"')
+    assert got["a"].texts is None and (got["b"] is None or got["b"].cuts is None) and got["c"].cuts == [] and got["c"].mute_original is False
+    text = spark.createDataFrame([('{"cuts": [{"start": 1}], "texts": [{"text": "t", "size": 9}]}',), ("no json",), (None,)], "t string").select(sinks.parsed_spec(F.col("t")).alias("s")).collect()
+    assert text[0].s.cuts[0].start == 1.0 and text[0].s.texts[0].size == 9 and (text[1].s is None or text[1].s.cuts is None) and text[2].s is None

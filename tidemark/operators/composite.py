@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import intervals as I
+from tidemark.operators.raster import fit_scale
 
 MEDIA = ("media_id",)
 SECOND = 1_000_000
@@ -59,7 +60,7 @@ def overrides(slides: DataFrame, ink: DataFrame, stage: Stage = Stage(), min_len
     At scale s a place of ink lies at the centre plus s times its offset, so its squared distance from the webcam is a
     parabola in s. Its roots bound the steps at which this place collides; only these are rows, never all places times all steps."""
     s = slides.where(F.col("end_us") - F.col("start_us") >= min_len).select(*MEDIA, "slide", "start_us", "end_us", F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom"))
-    s = s.withColumn("_s0", F.least(F.lit(stage.scale), F.lit(stage.out_h - stage.margins) / F.greatest(F.lit(1.0), F.col("bottom") - F.col("top"))))
+    s = s.withColumn("_s0", fit_scale(F.col("top"), F.col("bottom"), stage.out_h - stage.margins, stage.scale, 0.0))
     p = ink.select(*MEDIA, "slide", F.col("y").cast("double").alias("_y"), F.col("x").cast("double").alias("_x")).join(s, [*MEDIA, "slide"])
     off = (stage.y + F.col("bottom") * stage.scale > stage.out_h - 6) | (stage.y + F.col("top") * stage.scale < 2)
     broken = p.groupBy(*MEDIA, "slide").agg(F.bool_or(stage.under(stage.x + F.col("_x") * stage.scale, stage.y + F.col("_y") * stage.scale) | off).alias("_b")).where("_b").select(*MEDIA, "slide")

@@ -115,8 +115,8 @@ def active_overlays(points: DataFrame, overlays: DataFrame, key: str, bucket_us:
 
 def with_assets(items: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """items: media_id, id, ...; assets: id, path. The items whose asset exists, with its path, and for each media how many
-    have none (n_missing): they are left out without an error, but counted."""
-    known = assets.select("id", "path").dropDuplicates(["id"])
+    have none (n_missing): they are left out without an error, but counted. Of an id's paths the first in order counts."""
+    known = assets.groupBy("id").agg(F.min("path").alias("path"))
     found = items.join(known, "id", "left")
     missing = found.groupBy("media_id").agg(F.count_if(F.col("path").isNull()).alias("n_missing"))
     return found.where("path IS NOT NULL"), missing

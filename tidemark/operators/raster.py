@@ -59,12 +59,6 @@ def icon_rows(blobs: DataFrame, height: int = 14, spread: int = 250) -> DataFram
     return first.where(F.array_max("_x") - F.array_min("_x") > spread).select(*FRAME)
 
 
-def swatch_frames(blobs: DataFrame, band: int = 30, least: int = 3) -> DataFrame:
-    """Frames with at least three compact saturated blobs within a band of y."""
-    w = Window.partitionBy(*FRAME).orderBy("y", "x")
-    return blobs.where("compact").withColumn("_h", F.lead("y", least - 1).over(w) - F.col("y")).where(F.col("_h") < band).select(*FRAME).distinct()
-
-
 def content_bounds(rows: DataFrame, least: int = 15) -> DataFrame:
     """rows: media_id, frame_no, y, n (inked pixels). Second and 98th percentile of the first and last inked row."""
     f = rows.where(F.col("n") > least).groupBy(*FRAME).agg(F.min("y").alias("top"), F.max("y").alias("bottom"))
@@ -78,8 +72,8 @@ def repairs(pixels: DataFrame, keys: Sequence[str], value: str, stray: float = 2
 
 
 def fit_scale(top: Column, bottom: Column, available: float, spec: float, floor: float) -> Column:
-    """The slide's scale: as specified, or as large as fits, not below the floor."""
-    return F.greatest(F.lit(floor), F.least(F.lit(spec), F.lit(available) / (bottom - top)))
+    """The slide's scale: as specified, or as large as fits, not below the floor. A slide of no height counts as one pixel."""
+    return F.greatest(F.lit(floor), F.least(F.lit(spec), F.lit(available) / F.greatest(F.lit(1.0), bottom - top)))
 
 
 def slide_overrides(slides: DataFrame, cx: float, cy: float, radius: float, spec: float = 1.0, floor: float = 0.6, step: float = 0.01) -> DataFrame:

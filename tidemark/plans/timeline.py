@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import edl, intervals as I
 from tidemark.plans.base import BD, CL, ER, EV, HOUR, IV, bounds, events, hits, query, spans, table, with_
+from tidemark.sources.sinks import parsed_spec, spec_json
 
 MERGE = """
  m0 AS (SELECT media_id, s, e, max(e) OVER (PARTITION BY media_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM {src}),
@@ -293,3 +294,19 @@ def overlay_looks(spark, d):
         "p_partkey", edl.case_between(F.col("p_size"), [(1, 10, 2.5), (10, 20, 4.0)], 1.0).alias("gain"), edl.font_size(F.col("p_name"), fits=10).alias("font"),
         T.overlay_escape(F.concat("p_name", F.lit("\\it's 5%: x"))).alias("label"), at["x"].alias("x"), at["y"].alias("y"),
     )
+
+
+@query("spec_roundtrip", """
+ WITH c AS (SELECT l_orderkey AS media_id, l_linenumber AS i, l_linenumber * 10.5::DOUBLE AS s, l_linenumber * 10.5 + l_quantity AS e FROM lineitem),
+ g AS (SELECT media_id, count(*)::INTEGER AS n_cuts, arg_min(s, i) AS first_start, arg_max(e, i) AS last_end FROM c GROUP BY 1)
+ SELECT media_id, n_cuts, first_start, last_end::DOUBLE AS last_end, o_orderpriority AS title, o_orderkey % 3 = 0 AS muted, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS trim_start, 0 AS n_texts FROM g JOIN orders ON o_orderkey = media_id""")
+def spec_roundtrip(spark, d):
+    """Nested edit specifications as JSON text and back."""
+    li = table(spark, d, "lineitem")
+    start = F.col("l_linenumber") * 10.5
+    cut = F.struct(F.col("l_linenumber").alias("i"), start.alias("start"), (start + F.col("l_quantity")).alias("end"))
+    cuts = li.groupBy(F.col("l_orderkey").alias("media_id")).agg(F.transform(F.sort_array(F.collect_list(cut)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("cuts"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("media_id"), F.col("o_orderpriority").alias("title"), (F.col("o_orderkey") % 3 == 0).alias("mute_original"), F.when(F.col("o_orderkey") % 2 == 0, F.struct(F.col("o_totalprice").alias("start"))).alias("trim"))
+    text = cuts.join(o, "media_id").select("media_id", spec_json("trim", "cuts", "mute_original", "title").alias("text"))
+    s = text.select("media_id", parsed_spec(F.col("text")).alias("s"))
+    return s.select("media_id", F.size("s.cuts").alias("n_cuts"), F.col("s.cuts")[0]["start"].alias("first_start"), F.element_at("s.cuts", -1)["end"].alias("last_end"), "s.title", F.col("s.mute_original").alias("muted"), F.col("s.trim.start").alias("trim_start"), F.coalesce(F.size("s.texts"), F.lit(0)).alias("n_texts"))

@@ -40,10 +40,10 @@ def word_stream(spark, d):
 
 @query("slim_transcript", """
  WITH c AS (SELECT conv_id, turn, text, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM conversations)
- SELECT conv_id AS media_id, turn AS seg_no, trim(text) AS text, len(w)::INTEGER AS n_words, w[1] AS first_word, w[-1] AS last_word FROM c WHERE length(text) > 20""")
+ SELECT conv_id AS media_id, turn AS seg_no, trim(text) AS text, len(w)::INTEGER AS n_words, w[1] AS first_word, w[-1] AS last_word FROM c""")
 def slim_transcript(spark, d):
-    return R.slim(segments(spark, d).where(F.length("text") > 20)).select(
-        "media_id", "seg_no", "text", F.size("words").alias("n_words"), F.element_at("words", 1)["word"].alias("first_word"), F.element_at("words", -1)["word"].alias("last_word")
+    return R.slim(segments(spark, d)).select(
+        "media_id", "seg_no", "text", F.size("words").alias("n_words"), F.get("words", F.lit(0))["word"].alias("first_word"), F.get("words", F.size("words") - 1)["word"].alias("last_word")
     )
 
 

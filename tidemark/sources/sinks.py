@@ -3,11 +3,12 @@ table is never read and replaced at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import registry, repeats
-from tidemark.sources.readers import FEEDBACK
+from tidemark.sources.readers import FEEDBACK, SPEC
 
 
 def write_review(candidates: DataFrame, path: str) -> None:
@@ -39,6 +40,26 @@ def write_sidecars(rows: DataFrame, path: str, key: str = "job_id") -> None:
     rows.repartition(key).write.mode("overwrite").partitionBy(key).json(path)
 
 
+def spec_json(*columns: str):
+    """An edit specification as JSON text from columns named like its fields; fields that are null are left out."""
+    return F.to_json(F.struct(*columns))
+
+
+def parsed_spec(text: Column) -> Column:
+    """JSON text as a nested specification; fields that it lacks or that are malformed are null."""
+    return F.from_json(text, SPEC)
+
+
+def write_specs(specs: DataFrame, path: str, key: str = "job_id") -> None:
+    """A JSON line for each job: its key and its specification, nested as the editor writes it."""
+    fields = [c for c in specs.columns if c != key]
+    specs.select(key, F.struct(*fields).alias("spec")).write.mode("overwrite").json(path)
+
+
+def read_specs(spark: SparkSession, path: str, key: str = "job_id") -> DataFrame:
+    return spark.read.schema(T.StructType([T.StructField(key, T.StringType()), T.StructField("spec", T.StructType.fromDDL(SPEC))])).json(path)
+
+
 def uncached(wanted: DataFrame, cache: DataFrame, key: str = "cache_key") -> DataFrame:
     """What a result cache doesn't hold yet."""
     return wanted.join(cache.select(key).distinct(), key, "left_anti")
