@@ -112,25 +112,67 @@ def test_false_starts(spark, media):
     assert found(catalogue.QUERIES["false_starts"](spark, DATA)) == want and want
 
 
-def test_similar_segments(spark):
-    rows = [
-        (1, i, i * 1_000_000, i * 1_000_000 + 900_000, t)
-        for i, t in enumerate(["the river flows north here", "the river flows north here today again", "nothing at all alike in this", "the river flows south here", "one two", "the the the river river flows"])
-    ]
-    got = found(R.similar_segments(spark.createDataFrame(rows, "media_id long, seg_no int, start_us long, end_us long, text string"), threshold=0.5))
+def plain_similar(rows, threshold):
+    """rows: media_id, seg_no, start, end, text, tokens of one media in order."""
     want = set()
-    toks = [t.split() for *_, t in rows]
+    toks = [r[5] for r in rows]
     for i in range(len(rows)):
         tries = [(T.similar(toks[i], toks[j]), -j) for j in range(i + 1, min(len(rows), i + 7)) if len(toks[i]) >= 4 and len(toks[j]) >= 4]
-        if tries and max(tries)[0] >= 0.5:
+        if tries and max(tries)[0] >= threshold:
             sim, j = max(tries)[0], -max(tries)[1]
             short, long = (i, j) if len(toks[i]) <= len(toks[j]) else (j, i)
             block = T.SequenceMatcher(None, toks[short], toks[long]).find_longest_match()
             c, k = (short, long) if block.a == 0 and block.size >= 0.8 * len(toks[short]) else (i, j)
-            want.add((1, rows[c][2], rows[c][3], rows[c][4], rows[k][4], "verbatim_repeat" if sim >= 0.8 else "near_repeat", round(sim, 2)))
+            want.add((rows[i][0], rows[c][2], rows[c][3], rows[c][4], rows[k][4], "verbatim_repeat" if sim >= 0.8 else "near_repeat", round(sim, 2)))
+    return want
+
+
+def test_similar_segments(spark):
+    rows = [
+        (1, i, i * 1_000_000, i * 1_000_000 + 900_000, t)
+        for i, t in enumerate(["the river flows north here", "the river flows north here today again", "nothing at all alike in this", "the river flows south here", "one two", "the the the river river flows"])
+    ]
+    got = found(R.similar_segments(spark.createDataFrame(rows, "media_id long, seg_no int, start_us long, end_us long, text string"), threshold=0.5))
+    want = plain_similar([(*r, r[4].split()) for r in rows], 0.5)
     assert got == want and len(want) > 2
 
 
+def test_similar_segments_of_conversations(spark):
+    rows = defaultdict(list)
+    for r in transcript.retold(spark, DATA).withColumn("toks", T.tokens(F.col("text"))).orderBy("media_id", "seg_no").collect():
+        rows[r.media_id].append((r.media_id, r.seg_no, r.start_us, r.end_us, r.text, r.toks))
+    want = set().union(*(plain_similar(x, 0.65) for x in rows.values()))
+    rounded = lambda rs: {(*r[:6], round(r[6], 2)) for r in rs}
+    assert rounded(found(catalogue.QUERIES["similar_segments"](spark, DATA))) == rounded(want) and len(want) >= 25
+
+
+def plain_suppressed(rows):
+    """rows: media_id, start, end, ..., confidence last, of one media: overlapping ones leave the surest, of equals the first."""
+    out = []
+    for r in sorted(rows, key=lambda r: r[1:3]):
+        if not out or r[1] >= out[-1][2] - 50_000:
+            out.append(r)
+        elif r[-1] > out[-1][-1]:
+            out[-1] = r
+    return out
+
+
+def test_repeat_candidates_equal_their_steps(spark):
+    """The chain, which snaps and finishes all detectors' cuts at once, equals the detectors one by one, reranked together and suppressed by a
+    plain loop."""
+    words, names = transcript.stutters(spark, DATA), ("media_id", "start_us", "end_us", "text", "keep_text", "type", "confidence")
+    parts = None
+    for f in (R.verbatim_repeats, R.near_repeats, R.false_starts, R.corrections):
+        one = f(words).select(*names)
+        parts = one if parts is None else parts.unionByName(one)
+    by = defaultdict(list)
+    for r in R.rerank(parts, transcript._history(spark, DATA)).select(*names).collect():
+        by[r.media_id].append(tuple(r))
+    want = [r[:3] for rows in by.values() for r in plain_suppressed(rows)]
+    got = catalogue.QUERIES["repeat_candidates"](spark, DATA).select(*names[:3]).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 50
+
+
 def test_repeat_candidates(spark):
     """The chain keeps only what the detectors found, at most one cut at a time, with confidence raised or as it was."""
     got = found(catalogue.QUERIES["repeat_candidates"](spark, DATA))

@@ -159,11 +159,21 @@ def false_starts(spark, d):
     return R.false_starts(stutters(spark, d))
 
 
+def retold(spark, d):
+    """The turns of conversations as segments without word times; every third one is told again, shortened or with other words."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.array_remove(F.split("text", " "), "").alias("w"))
+    n = F.size("w")
+    short = F.slice("w", F.lit(1), F.greatest(F.lit(1), F.floor(n * 0.8).cast("int")))
+    other = F.transform("w", lambda x, i: F.when(i % 5 == 4, F.concat(x, F.lit("x"))).otherwise(x))
+    again = F.when(F.col("turn") % 2 == 0, short).otherwise(other)
+    rows = c.select("conv_id", (F.col("turn") * 2).alias("o"), "w").unionByName(c.where("turn % 3 = 0").select("conv_id", (F.col("turn") * 2 + 1).alias("o"), again.alias("w")))
+    no = F.row_number().over(Window.partitionBy("conv_id").orderBy("o")).cast("long")
+    return rows.select(F.col("conv_id").alias("media_id"), no.alias("seg_no"), (no * 10_000_000).alias("start_us"), (no * 10_000_000 + 9_000_000).alias("end_us"), F.array_join("w", " ").alias("text"))
+
+
 @query("similar_segments")
 def similar_segments(spark, d):
-    s = segments(spark, d).select("media_id", "seg_no", F.element_at("words", 1)["start"].alias("s"), F.element_at("words", -1)["end"].alias("e"), "text")
-    us = lambda c: F.round(F.col(c) * 1e6).cast("long")
-    return R.similar_segments(s.select("media_id", "seg_no", us("s").alias("start_us"), us("e").alias("end_us"), "text"), threshold=0.2)
+    return R.similar_segments(retold(spark, d))
 
 
 @query("repeat_candidates")
