@@ -211,7 +211,7 @@ def rule_faces(spark, d):
 
 
 @query("rule_corner_strip", """
- WITH RECURSIVE c AS (SELECT l_suppkey % 10 AS media_id, floor(l_orderkey / 400)::DOUBLE AS t, l_partkey % 480 AS x, l_quantity::BIGINT AS n FROM lineitem WHERE l_quantity > 2),
+ WITH RECURSIVE c AS (SELECT l_suppkey % 10 AS media_id, floor(l_orderkey / 100)::DOUBLE AS t, l_partkey % 480 AS x, l_quantity::BIGINT AS n FROM lineitem WHERE l_quantity > 2),
  q AS (SELECT *, x - lag(x) OVER (PARTITION BY media_id, t ORDER BY x) AS gap FROM c),
  r AS (SELECT media_id, t, sum(n) AS n, count(*) AS c, min(x) AS lo, max(x) AS hi, count(*) FILTER (gap > 3) AS gaps FROM q GROUP BY 1, 2),
  fired AS (SELECT media_id, t FROM r WHERE n <= 14 * 420 * 0.30 AND ((c > 30 AND lo < 480 * 0.2 - 60 AND hi > 480 * 0.8 - 60) OR (n > 12 AND c > 12 AND hi - lo > 480 * 0.3 AND gaps >= 4))),
@@ -224,7 +224,7 @@ def rule_corner_strip(spark, d):
 
 def strip_columns(spark, d):
     li = table(spark, d, "lineitem").where("l_quantity > 2")
-    return li.select((F.col("l_suppkey") % 10).alias("media_id"), F.floor(F.col("l_orderkey") / 400).cast("double").alias("t"), (F.col("l_partkey") % 480).alias("x"), F.col("l_quantity").cast("long").alias("n"))
+    return li.select((F.col("l_suppkey") % 10).alias("media_id"), F.floor(F.col("l_orderkey") / 100).cast("double").alias("t"), (F.col("l_partkey") % 480).alias("x"), F.col("l_quantity").cast("long").alias("n"))
 
 
 def report(spark, d):

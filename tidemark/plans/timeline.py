@@ -297,8 +297,8 @@ def overlay_looks(spark, d):
 
 
 @query("spec_roundtrip", """
- WITH c AS (SELECT l_orderkey AS media_id, l_linenumber AS i, l_linenumber * 10.5::DOUBLE AS s, l_linenumber * 10.5 + l_quantity AS e FROM lineitem),
- g AS (SELECT media_id, count(*)::INTEGER AS n_cuts, arg_min(s, i) AS first_start, arg_max(e, i) AS last_end FROM c GROUP BY 1)
+ WITH c AS (SELECT l_orderkey AS media_id, l_linenumber AS i, l_linenumber * 10.5::DOUBLE AS s, l_linenumber * 10.5 + l_quantity AS e, l_linenumber * 1000 + l_quantity AS o FROM lineitem),
+ g AS (SELECT media_id, count(*)::INTEGER AS n_cuts, arg_min(s, i) AS first_start, arg_max(e, o) AS last_end FROM c GROUP BY 1)
  SELECT media_id, n_cuts, first_start, last_end::DOUBLE AS last_end, o_orderpriority AS title, o_orderkey % 3 = 0 AS muted, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS trim_start, 0 AS n_texts FROM g JOIN orders ON o_orderkey = media_id""")
 def spec_roundtrip(spark, d):
     """Nested edit specifications as JSON text and back."""
