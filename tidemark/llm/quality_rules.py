@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, table, text_or_empty
+from tidemark.llm.common import SPACE, stored, table, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 
@@ -125,6 +125,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def policy_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ablations of every policy from one stored ledger: texts are read once, whatever is asked of the ledger later."""
+    held = stored(ledger(table(spark, sf_dir, "documents")), "ledger")
+    out = None
+    for version in POLICIES:
+        one = ablations(held, version).select(F.lit(version).alias("policy"), "rule", "n_failed", "n_only", "n_rejected")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 OP1_SQL = r"""
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
@@ -150,3 +160,9 @@ b AS (
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
+
+_ROWS = ", ".join(f"('{version}', '{rule}', {1 << RULES[rule]}, {mask(version)})" for version, rules in POLICIES.items() for rule in rules)
+ABLATIONS_SQL = f"""
+SELECT policy, rule, count(*) FILTER ((fail_bits & bit) <> 0) AS n_failed, count(*) FILTER ((fail_bits & m) = bit) AS n_only, count(*) FILTER ((fail_bits & m) <> 0) AS n_rejected
+FROM ({OP1_SQL}), (VALUES {_ROWS}) AS p(policy, rule, bit, m) GROUP BY 1, 2
+"""

@@ -18,6 +18,7 @@ QUERIES = {
     "op11_source_divergence": source_divergence.op11,
     "op12_compression_quality": compression_quality.op12,
     "op13_spelling": spelling.op13,
+    "quality_ablations": quality_rules.policy_ablations,
 }
 
 SQL = {
@@ -29,4 +30,5 @@ SQL = {
     "op10_warc": warc.OP10_SQL,
     "op11_source_divergence": source_divergence.OP11_SQL,
     "op13_spelling": spelling.OP13_SQL,
+    "quality_ablations": quality_rules.ABLATIONS_SQL,
 }
