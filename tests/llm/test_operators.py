@@ -809,3 +809,19 @@ def test_tables_leave_the_catalogue(spark, docs):
     near_dup.near_duplicates(docs).count()
     suffix_dedup.op3(spark, DATA).count()
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_texts_encoded_together_equal_the_library(tokenizer):
+    """Plain and odd texts, in one batch and in any order, with white space at the ends, contractions, special tokens and long words."""
+    import pyarrow as pa
+
+    r = random.Random(11)
+    rows = ["", None, " ", "\n lead and trail \t", "''s'''t'sx 's I'LL", "x" * 150 + " y", "a <|endoftext|> b", "ÀÉ ß ſ İK Σ 🙂", "a\x1cb\x85c d", "9 1st 22nd.", "plain text's end " * 2000]
+    rows += ["".join(r.choice("ab' \n\tÀéK9_.-sdtĳſ÷×Ÿ") for _ in range(r.randrange(300))) for _ in range(400)]
+    rows += ["".join(r.choice("ab' \tÀéK9_.-Σ’🙂") for _ in range(r.randrange(300))) for _ in range(60)]
+    r.shuffle(rows)
+    e = bpe.encoder(bpe.default_path())
+    for some in (rows, rows[:1], [], [None], rows[5:90]):
+        flat, ends = e.encode_batch(pa.array(some, pa.string()))
+        assert len(ends) == len(some) + 1 and ends[-1] == len(flat)
+        assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:])] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]

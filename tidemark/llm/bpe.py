@@ -2,7 +2,8 @@
 
 A pair of bytes that occurs inside no vocabulary token can never be merged, so a cut between the two
 is certain. A text is cut at special tokens, at white space, where the pre-tokenizer cuts, and inside
-each word at such pairs; the fragments are encoded independently, and their ids concatenated. The
+each word at such pairs; the fragments are encoded independently, and their ids concatenated. Words of plain texts are cut
+and told apart for many texts at a time, so that each distinct word is looked up once. The
 last fragment of a word is encoded with the word-end suffix, the others without. Since fragments
 don't see each other, a bounded cache holds the ids of those met before, and a text of any length
 is encoded piece by piece.
@@ -26,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +35,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import table
 
 #: Entries of each cache, of chunks and of words; beyond them it starts anew.
-CACHE = 400_000
+CACHE = 600_000
 
 SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -47,6 +49,10 @@ WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+
 LINE_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9\t-\r ]+")
 #: Characters of a text that are looked at together: one odd character costs the quick way for its piece alone.
 PIECE = 1 << 12
+#: Texts of such characters alone, which in lower case are as above, are cut many at a time; so many bytes together.
+PLAIN_TEXT = "^[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\t-\r ]*$"
+NO_LETTERS = f"('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^{LETTERS}0-9\t-\r ]+)"
+TOGETHER = 6 << 20
 
 _printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Byte-level BPE's character for each byte: printable ones stand for themselves, the rest follow from 256 on.
@@ -131,8 +137,8 @@ class Encoder:
         found = self.fragments(word)
         return array("i", self.merge(found[0]) if len(found) == 1 else [i for f in found for i in self.merge(f)]).tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Puts the packed ids of words that aren't cached into the cache: all their fragments are cut in one look."""
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of plain words that aren't cached, which they are then: all their fragments are cut in one look."""
         body = "\0".join(words).encode().replace(b"\0", END) + END  # a plain word holds no NUL
         codes = np.frombuffer(body, "uint8")
         cuts = np.flatnonzero(~self.joins[codes[:-1], codes[1:]]) + 1  # behind a word's end no pair is inside a token
@@ -143,7 +149,18 @@ class Encoder:
         ends = [0, *after[codes[np.array(bounds[1:]) - 1] == END[0]].tolist()]
         if len(self.plain) + len(words) > CACHE:
             self.plain.clear()
-        self.plain.update((w, flat[a:b]) for w, a, b in zip(words, ends, ends[1:]) if len(w) < 100)
+        new = {w: flat[a:b] for w, a, b in zip(words, ends, ends[1:])}
+        self.plain.update((w, ids) for w, ids in new.items() if len(w) < 100)
+        return new
+
+    def packed(self, words: list[str]) -> list[bytes]:
+        """Packed ids of plain words."""
+        found = list(map(self.plain.get, words))
+        missing = {w for w, ids in zip(words, found) if ids is None}
+        if missing:
+            new = self.learn(list(missing))
+            found = [new[w] if ids is None else ids for w, ids in zip(words, found)]
+        return found
 
     def split_words(self, chunk: str) -> list[bytes]:
         """Words of a run without white space. Where lower-casing leaves only ASCII and common Latin
@@ -168,18 +185,66 @@ class Encoder:
                 for piece in pieces(part):
                     low = piece.lower()
                     if PLAIN_LINES.fullmatch(low):
-                        words = LINE_WORDS.findall(low)
-                        found = list(map(self.plain.get, words))
-                        new = [w for w, ids in zip(words, found) if ids is None]
-                        if new:
-                            self.learn(list(set(new)))
-                            found = [self.plain[w] if ids is None else ids for w, ids in zip(words, found)]
-                        out += found
+                        out += self.packed(LINE_WORDS.findall(low))
                     else:
                         # no token reaches across white space; str.split also takes the separators FS to US for it
                         out += map(self.chunks.__getitem__, SPACES.split(piece) if SEPARATORS.search(piece) else piece.split())
         return np.frombuffer(b"".join(out), "int32")
 
+    def encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain texts, one behind the other, and where each text begins and the last one ends. Words are cut and
+        told apart by Arrow, so that each distinct one of the texts is looked up once."""
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), NO_LETTERS, r" \1 "))
+        words = pc.dictionary_encode(cut.flatten())
+        each = words.dictionary.to_pylist()
+        known = self.packed([w for w in each if w])
+        if len(known) < len(each):  # white space at a text's ends leaves an empty word
+            known.insert(each.index(""), b"")
+        size = np.fromiter(map(len, known), "int64", len(known)) // 4
+        ids, first, at = np.frombuffer(b"".join(known), "int32"), (np.cumsum(size) - size).astype("int32"), words.indices.to_numpy()
+        count = size.astype("int32")[at]
+        after = np.cumsum(count, dtype="int32")  # texts that are looked at together have far fewer ids
+        where = np.repeat(first[at] - after + count, count) + np.arange(int(after[-1]) if len(after) else 0, dtype="int32")
+        ends = np.concatenate([[0], after])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return ids[where], ends
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts (null: empty), one behind the other (int32), and where each text begins and the last one ends."""
+        texts = pc.fill_null(texts, "")
+        plain = pc.match_substring_regex(texts, PLAIN_TEXT)
+        if self.special_at:
+            plain = pc.and_(plain, pc.invert(pc.match_substring_regex(texts, self.special_at.pattern)))
+        plain = plain.to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(texts).to_numpy()
+        parts: list[np.ndarray] = []
+        counts = np.zeros(len(texts), "int64")
+        places: list[np.ndarray] = []  # rows of each part
+        some = np.flatnonzero(plain & (sizes <= TOGETHER))
+        group = np.cumsum(sizes[some]) // TOGETHER
+        for g in np.unique(group):
+            rows = some[group == g]
+            ids, ends = self.encode_plain(texts.take(pa.array(rows)))
+            counts[rows] = np.diff(ends)
+            parts.append(ids)
+            places.append(rows)
+        for i in np.flatnonzero(~plain | (sizes > TOGETHER)).tolist():
+            ids = self.encode(texts[i].as_py())
+            counts[i] = len(ids)
+            parts.append(ids)
+            places.append(np.array([i]))
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        if not parts:
+            return np.zeros(0, "int32"), ends
+        flat, order = np.concatenate(parts), np.concatenate(places)
+        if (np.diff(order) > 0).all():
+            return flat, ends
+        # back into the order of rows
+        have = counts[order]
+        to = np.repeat(ends[order] - np.cumsum(have) + have, have) + np.arange(len(flat))
+        out = np.empty(len(flat), "int32")
+        out[to] = flat
+        return out, ends
+
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
 
@@ -203,11 +268,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", carry: Sequence[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
-                each = [e.encode(t.as_py() or "") for t in part.column(part.num_columns - 1)]
-                ends = np.cumsum([0, *map(len, each)]).astype("int32")
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))
+            for begin in range(0, batch.num_rows, 2000):
+                part = batch.slice(begin, 2000)
+                flat, ends = e.encode_batch(part.column(part.num_columns - 1))
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], schema.names)
 
     # a mapped stream, not a column function: Spark would keep the rows beside one on disk meanwhile
