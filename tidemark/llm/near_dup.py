@@ -9,7 +9,8 @@ agrees is below one in a million: bands and their coordinates are chosen for tha
 Documents with equal sets are one node from the start. Links are confirmed on full sets, packed once for each node that
 shares a band. In STARS rounds each node meets one pivot, a member of one of its buckets; what is linked
 becomes one group, and buckets within one group are done. So near copies cost a few comparisons each, however
-many there are. The members of buckets that still hold several groups are met anew by their rarest shingles: two sets at the
+many there are. In buckets of BLOCK members at most that still hold several groups, the members outside the largest one meet all others.
+The members of larger ones are met anew by their rarest shingles: two sets at the
 threshold have one among the first size - threshold * size + 1 in common, so boilerplate that fills a bucket makes no pairs.
 Members of a rare shingle outside its largest group meet all others whose sizes allow a link, dealt into blocks of BLOCK members by size: a task compares
 two blocks, counting common shingles by a product of incidence matrices, in slices of columns. Tasks emit a spanning forest of the links that they confirm, never the
@@ -225,11 +226,25 @@ def prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 n = np.array([len(h) for h in held], "int64")
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[at : at + 200], n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(held))], ["node", "size", "x"])
 
-    each = stored(sets.join(members, "node", "left_semi").select("node", "set").mapInArrow(spread, "node long, size long, x long"), "shingles")
-    held = each.groupBy("x").agg(F.count("*").alias("_f"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("_f", "x"))
-    few = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    return each.join(held, "x").withColumn("_i", place).where((F.col("_i") <= few) & (F.col("_f") > 1)).select("node", "size", "x")
+    each = sets.join(members, "node", "left_semi").select("node", "set").mapInArrow(spread, "node long, size long, x long")
+    held = each.groupBy("x").agg(F.count("*").alias("_f")).where("_f > 1")
+    own = Window.partitionBy("node")
+    shared = each.join(held, "x").withColumns({"_i": F.row_number().over(own.orderBy("_f", "x")), "_n": F.count("*").over(own)})
+    # the shingles of one member alone come first in its order
+    few = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.col("_n"))
+    return shared.where(F.col("_i") <= few).select("node", "size", "x")
+
+
+def _within(mixed: DataFrame) -> DataFrame:
+    """Tasks in which the members of each small bucket outside its largest group meet all of them; of buckets with the same members
+    one is taken."""
+    same = mixed.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("_a"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("_b"))
+    once = same.groupBy("n", "_a", "_b").agg(F.min("band").alias("band")).select("band")
+    main = mixed.groupBy("band", "label").agg(F.count("*").alias("k")).groupBy("band").agg(F.max(F.struct("k", "label")).alias("m")).select("band", F.col("m.label").alias("_main"))
+    rows = mixed.join(once, "band").join(main, "band")
+    sides = F.when(F.col("label") != F.col("_main"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    at = F.lit(-1).cast("long")  # so that no bucket meets a shingle's task
+    return rows.select(F.col("band").alias("x"), at.alias("y"), at.alias("z"), "node", "label", F.explode(sides).alias("left"))
 
 
 def _blocks(met: DataFrame, percent: int) -> DataFrame:
@@ -274,8 +289,12 @@ def linked_groups(docs: DataFrame, nodes: DataFrame, percent: int, size: int, ke
                 break
             tasks = _star(pairs)
         else:
-            left = stored(mixed(turn).select("node", "label").distinct(), "mixed")
-            tasks = _blocks(prefixes(left.select("node"), sets, percent).join(left, "node"), percent)
+            held = stored(mixed(turn).select("band", "node", "label"), "mixed")
+            sized = held.groupBy("band").agg(F.count("*").alias("n"))
+            tasks = _within(held.join(sized.where(F.col("n") <= BLOCK), "band").select("band", "node", "label"))
+            crowd = stored(held.join(sized.where(F.col("n") > BLOCK), "band").select("node", "label").distinct(), "crowd")
+            if not crowd.isEmpty():
+                tasks = tasks.unionByName(_blocks(prefixes(crowd.select("node"), sets, percent).join(crowd, "node"), percent))
         links = stored(confirmed(tasks, sets, percent, n), "links")
         if links.isEmpty():
             continue
