@@ -213,7 +213,9 @@ def test_unlike_members_of_one_bucket_are_not_compared(spark, monkeypatch):
     assert 0 < compared < 60 * 200  # of 12.8 million pairs
     monkeypatch.setattr(near_dup, "STARS", 0)  # the last round alone
     want = {d: d for d, _ in rows} | {10_000 + i: i * 37 for i in range(60)}
-    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()} == want
+    for crowd in (1, 4096):  # by rare shingles alone, and in blocks
+        monkeypatch.setattr(near_dup, "CROWD", crowd)
+        assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()} == want
 
 
 def test_prefixes_lose_no_pair():

@@ -9,8 +9,8 @@ agrees is below one in a million: bands and their coordinates are chosen for tha
 Documents with equal sets are one node from the start. Links are confirmed on full sets, packed once for each node that
 shares a band. In STARS rounds each node meets one pivot, a member of one of its buckets; what is linked
 becomes one group, and buckets within one group are done. So near copies cost a few comparisons each, however
-many there are. In buckets of BLOCK members at most that still hold several groups, the members outside the largest one meet all others.
-The members of larger ones are met anew by their rarest shingles: two sets at the
+many there are. In buckets of CROWD members at most that still hold several groups, the members outside the largest one meet all others,
+in blocks of BLOCK. The members of larger ones are met anew by their rarest shingles: two sets at the
 threshold have one among the first size - threshold * size + 1 in common, so boilerplate that fills a bucket makes no pairs.
 Members of a rare shingle outside its largest group meet all others whose sizes allow a link, dealt into blocks of BLOCK members by size: a task compares
 two blocks, counting common shingles by a product of incidence matrices, in slices of columns. Tasks emit a spanning forest of the links that they confirm, never the
@@ -41,8 +41,9 @@ from tidemark.llm.components import components
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-#: Positions of the permutations, bands and coordinates in a band at 85 percent, members of a block, rounds with pivots.
-D, BANDS, ROWS, BLOCK, STARS = 1 << 20, 64, 10, 256, 2
+#: Positions of the permutations, bands and coordinates in a band at 85 percent, members of a block, rounds with pivots, and members
+#: of a bucket beyond which they meet by their rarest shingles.
+D, BANDS, ROWS, BLOCK, STARS, CROWD = 1 << 20, 64, 10, 256, 2, 4096
 SEED = 20250101
 
 _ranks: dict[int, np.ndarray] = {}
@@ -236,15 +237,19 @@ def prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _within(mixed: DataFrame) -> DataFrame:
-    """Tasks in which the members of each small bucket outside its largest group meet all of them; of buckets with the same members
-    one is taken."""
+    """Tasks in which the members of each bucket outside its largest group meet all of them, in blocks; of buckets with the same
+    members one is taken. Buckets have at most CROWD members, so a member is sent to CROWD / BLOCK tasks of a bucket at most."""
     same = mixed.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("_a"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("_b"))
-    once = same.groupBy("n", "_a", "_b").agg(F.min("band").alias("band")).select("band")
-    main = mixed.groupBy("band", "label").agg(F.count("*").alias("k")).groupBy("band").agg(F.max(F.struct("k", "label")).alias("m")).select("band", F.col("m.label").alias("_main"))
-    rows = mixed.join(once, "band").join(main, "band")
-    sides = F.when(F.col("label") != F.col("_main"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
-    at = F.lit(-1).cast("long")  # so that no bucket meets a shingle's task
-    return rows.select(F.col("band").alias("x"), at.alias("y"), at.alias("z"), "node", "label", F.explode(sides).alias("left"))
+    once = same.groupBy("n", "_a", "_b").agg(F.min("band").alias("band")).select("band", "n")
+    main = mixed.groupBy("band", "label").agg(F.count("*").alias("k")).groupBy("band").agg(F.max(F.struct("k", "label")).alias("m"))
+    sized = once.join(main, "band").select("band", F.ceil(F.col("n") / F.lit(BLOCK)).alias("_all"), F.ceil((F.col("n") - F.col("m.k")) / F.lit(BLOCK)).alias("_odd"), F.col("m.label").alias("_main"))
+    rows = mixed.join(sized, "band")
+    up_to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    block = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
+    left = rows.where(F.col("label") != F.col("_main")).select(F.col("band").alias("x"), block("_odd").alias("y"), up_to("_all").alias("z"), "node", "label", F.lit(True).alias("left"))
+    right = rows.select(F.col("band").alias("x"), up_to("_odd").alias("y"), block("_all").alias("z"), "node", "label", F.lit(False).alias("left"))
+    # numbers below 0, so that no bucket meets a shingle's task
+    return left.unionByName(right).withColumn("y", -1 - F.col("y"))
 
 
 def _blocks(met: DataFrame, percent: int) -> DataFrame:
@@ -291,8 +296,8 @@ def linked_groups(docs: DataFrame, nodes: DataFrame, percent: int, size: int, ke
         else:
             held = stored(mixed(turn).select("band", "node", "label"), "mixed")
             sized = held.groupBy("band").agg(F.count("*").alias("n"))
-            tasks = _within(held.join(sized.where(F.col("n") <= BLOCK), "band").select("band", "node", "label"))
-            crowd = stored(held.join(sized.where(F.col("n") > BLOCK), "band").select("node", "label").distinct(), "crowd")
+            tasks = _within(held.join(sized.where(F.col("n") <= CROWD), "band").select("band", "node", "label"))
+            crowd = stored(held.join(sized.where(F.col("n") > CROWD), "band").select("node", "label").distinct(), "crowd")
             if not crowd.isEmpty():
                 tasks = tasks.unionByName(_blocks(prefixes(crowd.select("node"), sets, percent).join(crowd, "node"), percent))
         links = stored(confirmed(tasks, sets, percent, n), "links")
