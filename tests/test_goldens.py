@@ -108,6 +108,13 @@ def test_false_start(spark):
     assert [(x.start_us, x.end_us, x.type) for x in r] == [(0, 3_000_000, "false_start")]
 
 
+def test_review_rounds_halves_away_from_zero(spark):
+    rows = [(1, 1_704_067_200_005_000, 1_704_067_201_005_000, "x", 0.5, "t", "k"), (2, 1_704_067_200_015_000, 1_704_067_201_015_000, "x", 0.5, "t", "k")]
+    c = spark.createDataFrame(rows, "media_id long, start_us long, end_us long, type string, confidence double, text string, keep_text string")
+    got = R.approved_cuts(R.review(c).withColumn("approve", F.lit(True))).collect()
+    assert sorted((r.media_id, r.start_us % S, r.end_us % S) for r in got) == [(1, 10_000, 10_000), (2, 20_000, 20_000)]
+
+
 def history(spark, *votes):
     return spark.createDataFrame([("push factors leave home", v) for v in votes], "text string, approved boolean")
 

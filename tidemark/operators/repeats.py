@@ -345,8 +345,8 @@ def find_repeats(words: DataFrame, history: DataFrame | None = None, min_confide
 
 
 def review(candidates: DataFrame) -> DataFrame:
-    """Rows of a review file: nothing approved yet, times in seconds to two decimals."""
-    s = lambda c: F.bround(F.col(c) / 1e6, 2)
+    """Rows of a review file: nothing approved yet, times in seconds to two decimals, halves away from zero."""
+    s = lambda c: F.round(F.col(c) / 1e6, 2)
     return candidates.select(F.lit(False).alias("approve"), "media_id", s("start_us").alias("start"), s("end_us").alias("end"), "type", "confidence", F.col("text").alias("cut_text"), "keep_text")
 
 
