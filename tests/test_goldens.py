@@ -145,6 +145,16 @@ def test_cooldown(spark):
     assert sorted(r.t for r in Q.top_cut(f).collect()) == [0.0, 8.5]
 
 
+def test_samples_of_equal_times_go_by_event(spark):
+    value = {1: 20, 3: 20, 2: 0, 4: 0, 5: 20}
+    for order in ([1, 2, 3, 4, 5], [1, 3, 2, 4, 5], [5, 4, 3, 2, 1]):
+        rows = spark.createDataFrame([(1, 2.0, k, value[k]) for k in order], "media_id long, t double, event_id long, top_ink int").coalesce(1)
+        assert Q.top_cut(rows).count() == 0
+        frames = rows.select("media_id", "t", "event_id", F.col("event_id").alias("top"), F.col("event_id").alias("bottom"))
+        slides = spark.createDataFrame([(1, 7, 0.0, 9.0)], "media_id long, slide long, t0 double, t1 double")
+        assert [(r.top, r.bottom) for r in Q.slide_ink(slides, frames).collect()] == [(1, 1)]
+
+
 def test_short_phases_are_one(spark):
     rows = [(1, i * S, v, 0, 4 * S) for i, v in enumerate([100.0, 150.0, 175.0, 180.0])]
     got = E.phases(spark.createDataFrame(rows, "media_id long, t_us long, bottom double, slide_start long, slide_end long"), ["media_id"], "t_us", "bottom").collect()

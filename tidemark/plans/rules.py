@@ -158,11 +158,11 @@ def zipped_frames(spark, d):
  SELECT media_id, 'warn' AS level, 'bridge-too-long' AS kind, min(t)::DOUBLE AS t, 'the output holds still over a moving source' AS msg FROM g WHERE h GROUP BY media_id, k HAVING max(t) - min(t) >= 3.0""")
 def rule_bridge_two_streams(spark, d):
     z = zipped(*two_streams(spark, d), ["media_id"], ["t", "event_id"], ["t", "event_id"])
-    return Q.bridge_too_long(z.select("media_id", "t", (F.col("diff") / 100).alias("out_diff"), F.col("b_diff").alias("src_diff")))
+    return Q.bridge_too_long(z.select("media_id", "t", "event_id", (F.col("diff") / 100).alias("out_diff"), F.col("b_diff").alias("src_diff")))
 
 
 def frame_pairs(spark, d):
-    return features(spark, d).select("media_id", "t", (F.col("value") / 50).alias("out_diff"), F.when(F.col("event_type") != "error", 4.0).otherwise(0.0).alias("src_diff"))
+    return features(spark, d).select("media_id", "t", "event_id", (F.col("value") / 50).alias("out_diff"), F.when(F.col("event_type") != "error", 4.0).otherwise(0.0).alias("src_diff"))
 
 
 def _islands(where: str, gap: float, most: float | None, level: str, kind: str, msg: str) -> str:
@@ -232,7 +232,7 @@ def report(spark, d):
     f = features(spark, d)
     v = F.col("value")
     e = f.select(
-        "media_id", "t", "event_type", *[v.alias(c) for c in ("top_ink", "bottom_ink", "overlap_ink", "panel_px", "red_px")],
+        "media_id", "t", "event_id", "event_type", *[v.alias(c) for c in ("top_ink", "bottom_ink", "overlap_ink", "panel_px", "red_px")],
         F.floor(v).alias("speck_px"), (v / 15).alias("diff_max"), (v / 50).alias("cam_diff"),
     )
     inputs = {
@@ -276,6 +276,6 @@ def verdict(spark, d):
  SELECT x.media_id, slide, t0, t1, x.t, (SELECT arg_max(top, f.t) FROM f WHERE f.media_id = x.media_id AND f.t <= x.t) AS top, (SELECT arg_max(bottom, f.t) FROM f WHERE f.media_id = x.media_id AND f.t <= x.t) AS bottom FROM x""")
 def slide_ink(spark, d):
     f, v = features(spark, d), F.floor("value")
-    frames = f.where("event_type = 'view'").select("media_id", "t", v.alias("top"), (v * 2).alias("bottom"))
+    frames = f.where("event_type = 'view'").select("media_id", "t", "event_id", v.alias("top"), (v * 2).alias("bottom"))
     slides = f.where("event_type = 'click'").select("media_id", F.col("event_id").alias("slide"), F.col("t").alias("t0"), (F.col("t") + 9).alias("t1"))
     return Q.slide_ink(slides, frames)
