@@ -108,6 +108,14 @@ def test_false_start(spark):
     assert [(x.start_us, x.end_us, x.type) for x in r] == [(0, 3_000_000, "false_start")]
 
 
+def test_detectors_deal_words_out_once(spark):
+    rows = [(m, i, w, w, t, t + 300_000) for m in (1, 2) for i, (w, t) in enumerate(zip("gaza strip covers uh gaza strip covers forty one kilometres today friends".split(), [0, 400_000, 800_000, 1_200_000] + [3_000_000 + 400_000 * k for k in range(8)]))]
+    found = R.false_starts(spark.createDataFrame(rows, "media_id long, pos int, norm string, raw string, start_us long, end_us long"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "BroadcastExchange" not in plan
+    assert sorted((r.media_id, r.text, r.keep_text, r.confidence) for r in found.collect()) == [(m, "gaza strip covers uh", "gaza strip covers forty one kilometres today friends", 0.72) for m in (1, 2)]
+
+
 def test_review_rounds_halves_away_from_zero(spark):
     rows = [(1, 1_704_067_200_005_000, 1_704_067_201_005_000, "x", 0.5, "t", "k"), (2, 1_704_067_200_015_000, 1_704_067_201_015_000, "x", 0.5, "t", "k")]
     c = spark.createDataFrame(rows, "media_id long, start_us long, end_us long, type string, confidence double, text string, keep_text string")

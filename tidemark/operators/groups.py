@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
@@ -20,6 +22,17 @@ def _marks(batch: pa.RecordBatch, columns: Sequence[str]) -> list[tuple]:
     return list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns)))
 
 
+def new_keys(rows: pa.RecordBatch | pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Whether a row's keys aren't those of the row before; the first row counts as new."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for k in keys if rows.num_rows > 1 else ():
+        a, b = rows.column(k).slice(1), rows.column(k).slice(0, rows.num_rows - 1)
+        unlike = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        new[1:] |= unlike.to_numpy(zero_copy_only=False) if isinstance(unlike, pa.Array) else unlike.to_numpy()
+    return new
+
+
 def key_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema, n: int | None = None, least: int = 1) -> DataFrame:
     """work() on whole groups of equal keys in order: one group at a time, or several of at least `least` rows together.
     The caller bounds the size of a group."""
@@ -28,16 +41,18 @@ def key_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], work: C
         held: list[pa.RecordBatch] = []
         rows, last = 0, None
         for batch in batches:
-            begin = 0
-            for i, key in enumerate(_marks(batch, keys)):
-                if key != last:
-                    if rows + i - begin >= least:
-                        if i > begin:
-                            held.append(batch.slice(begin, i - begin))
-                        if held:
-                            yield from work(pa.Table.from_batches(held))
-                        held, rows, begin = [], 0, i
-                    last = key
+            if not batch.num_rows:
+                continue
+            begin, heads = 0, _marks(batch.slice(0, 1), keys)[0]
+            at = np.flatnonzero(new_keys(batch, keys))
+            for i in at[1:].tolist() if heads == last else at.tolist():
+                if rows + i - begin >= least:
+                    if i > begin:
+                        held.append(batch.slice(begin, i - begin))
+                    if held:
+                        yield from work(pa.Table.from_batches(held))
+                    held, rows, begin = [], 0, i
+            last = _marks(batch.slice(batch.num_rows - 1), keys)[0]
             held.append(batch.slice(begin))
             rows += batch.num_rows - begin
         if rows:

@@ -1,9 +1,9 @@
 """Transcript mining: repeated phrases, near repeats, false starts and self-corrections.
 
-A transcript is rows media_id, pos (dense from 0), norm, raw, start_us, end_us. Verbatim and near repeats are found in
-one pass over the words of many media at a time: for each lag, equality with the word so far ahead is an array, and
-run lengths and mismatch counts are prefix sums over it. Corrections and false starts are windows over a media's
-words. Each detector then takes its candidates in order, resuming behind each one taken.
+A transcript is rows media_id, pos (dense from 0), norm, raw, start_us, end_us. Windows over a media's words mark pauses, places
+of cuts and markers; all detectors then run in one pass over the marked words of many media at a time, so that words are dealt out once
+and neither joined nor broadcast. For each lag, equality with the word so far ahead is an array, and run lengths and mismatch counts are prefix
+sums over it. Each detector takes its candidates in order, resuming behind each one taken.
 
 Candidates: media_id, start_us, end_us, text, keep_text, type, confidence.
 """
@@ -13,14 +13,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators.events import fold, skip_ahead
-from tidemark.operators.groups import key_groups
+from tidemark.operators.groups import key_groups, new_keys
 from tidemark.shared import stored
 
 COLUMNS = ("media_id", "start_us", "end_us", "text", "keep_text", "type", "confidence")
@@ -61,25 +59,6 @@ def snapped(words: DataFrame, min_pause_us: int = 450_000, max_back_us: int = 5_
     return marked.drop("_p")
 
 
-def _finish(words: DataFrame, found: DataFrame) -> DataFrame:
-    """found: media_id, a, b, keep_to, type, confidence. Texts and times of cuts [a, b) that keep [b, keep_to). A
-    correction's cut ends with its last word, others where the next begins."""
-    spans = found.withColumn("_at", F.explode(F.sequence("a", F.col("keep_to"))))
-    rows = spans.join(words.select("media_id", F.col("pos").alias("_at"), "raw", "start_us", "end_us"), ["media_id", "_at"], "left")
-    piece = lambda lo, hi: F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("_at") >= lo) & (F.col("_at") < hi), F.struct("_at", "raw")))), lambda x: x["raw"]), " ")
-    with_last = F.col("type") == "correction"
-    got = rows.groupBy("media_id", "a", "b", "type", "confidence").agg(
-        F.min(F.when(F.col("_at") == F.col("a"), F.col("start_us"))).alias("start_us"),
-        F.min(F.when(with_last & (F.col("_at") == F.col("b") - 1), F.col("end_us")).when(~with_last & (F.col("_at") == F.col("b")), F.col("start_us"))).alias("end_us"),
-        piece(F.col("a"), F.col("b")).alias("text"), piece(F.col("b"), F.col("keep_to")).alias("keep_text"),
-    )
-    return got.select("media_id", "start_us", "end_us", F.trim("text").alias("text"), F.trim("keep_text").alias("keep_text"), "type", "confidence")
-
-
-def _confidence(c: Column) -> Column:
-    return F.bround(c, 2).cast("double")
-
-
 class _Words:
     """The words of several media, one behind the other: ids of equal words, media, place, and the end of each one's media."""
 
@@ -88,11 +67,10 @@ class _Words:
         names = coded.dictionary.to_pylist()
         self.ids = coded.indices.to_numpy(zero_copy_only=False)
         self.names = names
-        media = rows.column("media_id").to_pylist()
-        new = np.array([i == 0 or m != media[i - 1] for i, m in enumerate(media)])
-        self.media, starts = media, np.flatnonzero(new)
-        self.n = len(media)
+        new = new_keys(rows, ["media_id"])
+        starts, self.n = np.flatnonzero(new), rows.num_rows
         self.pos = rows.column("pos").to_numpy()
+        self.begin = starts[np.cumsum(new) - 1]
         self.end = np.append(starts[1:], self.n)[np.cumsum(new) - 1]
         plain = np.array([w != "" for w in names])[self.ids]
         self.plain = plain
@@ -155,60 +133,125 @@ def _nearly(w: _Words, min_run: int, max_run: int, max_gap: int, min_content: in
     return tuple(np.array(c, "int64") for c in zip(*tries)) if tries else (np.zeros(0, "int64"),) * 3
 
 
-FOUND = "media_id {}, pos int, length long, b int, type string"
+def _restarted(w: _Words, pause: np.ndarray, head: int, max_attempt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of content words whose first content words come again, one of them changed at most, behind the next pause: place, where
+    it begins again. An alignment within one edit leaves one word of the opening without an equal, so only such places are compared."""
+    places, at_pause, found = np.arange(w.n), np.flatnonzero(pause), np.flatnonzero(w.content)
+    after = np.append(at_pause, w.n)[np.searchsorted(at_pause, places, "right")]  # the next pause
+    ok = w.content & (after < np.minimum(w.end, places + max_attempt)) & (places - w.begin < w.end - w.begin - 2 * head)
+    at = places[ok]
+    b = after[at]
+
+    def heads(x: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the first `head` content words from x on, and whether they lie within reach."""
+        k = w.contents[x][:, None] + np.arange(head)
+        spots = np.append(found, np.full(head, w.n))[np.minimum(k, len(found))]
+        return spots, spots[:, -1] < np.minimum(x + reach, w.end[x])
+
+    (x, whole), (y, again) = heads(at, head + 2), heads(b, head + 4)
+    full = whole & again
+    at, b, x, y = at[full], b[full], x[full], y[full]
+    shared = (w.ids[x][:, :, None] == w.ids[y][:, None, :]).any(axis=2).sum(axis=1) if len(at) else np.zeros(0, int)
+    hits = []
+    for k in np.flatnonzero(shared >= head - 1).tolist():
+        i, j = int(at[k]), int(b[k])
+        opening, following = ([w.names[m] for m in w.ids[z[k]]] for z in (x, y))
+        width = j - i
+        if len(set(opening) & set(following)) >= len(set(opening)) - 1 and T.edits(opening, following) <= 1 and not T.translated(w.texts(i, j), w.texts(j, min(j + width, int(w.end[j])))):
+            hits.append((i, j))
+    return tuple(np.array(c, "int64") for c in zip(*hits)) if hits else (np.zeros(0, "int64"),) * 2
 
 
 def _repeats(words: DataFrame, exact: dict | None, near: dict | None) -> DataFrame:
     """media_id, pos, length, b (start of the repeat), type: the repeats that a scan of each media takes."""
 
     def find(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        w = _Words(rows)
+        w, media = _Words(rows), rows.column("media_id").combine_chunks()
         for kind, options, search in (("verbatim_repeat", exact, _exact), ("near_repeat", near, _nearly)):
-            if options is None:
-                continue
-            at, length, lag = search(w, **options)
-            keep = np.array(w.taken(at.tolist(), (at + lag).tolist()), "int64")
-            at, length, lag = at[keep], length[keep], lag[keep]
-            pos = w.pos[at]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w.media[i] for i in at.tolist()], rows.schema.field("media_id").type), pa.array(pos, pa.int32()), pa.array(length), pa.array(pos + lag, pa.int32()), pa.array([kind] * len(at), pa.string())],
-                ["media_id", "pos", "length", "b", "type"],
-            )
+            if options is not None:
+                at, length, lag = search(w, **options)
+                keep = np.array(w.taken(at.tolist(), (at + lag).tolist()), "int64")
+                at, length, lag = at[keep], length[keep], lag[keep]
+                pos = w.pos[at]
+                columns = [media.take(pa.array(at)), pa.array(pos, pa.int32()), pa.array(length), pa.array(pos + lag, pa.int32()), pa.array([kind] * len(at), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["media_id", "pos", "length", "b", "type"])
 
-    # a call takes several media, together at least so many words; a media's words fit a task
-    return key_groups(words.select("media_id", "pos", "norm"), ["media_id"], ["pos"], find, FOUND.format(words.schema["media_id"].dataType.simpleString()), least=50_000)
+    head = f"media_id {words.schema['media_id'].dataType.simpleString()}, pos int, length long, b int, type string"
+    return key_groups(words.select("media_id", "pos", "norm"), ["media_id"], ["pos"], find, head, least=50_000)
 
 
 EXACT = {"min_run": 3, "max_run": 14, "max_gap": 4, "min_content": 2}
 NEAR = {"min_run": 4, "max_run": 12, "max_gap": 5, "min_content": 3}
 
 
-def _total(words: DataFrame) -> DataFrame:
-    return words.groupBy("media_id").agg(F.count("*").cast("int").alias("_n"))
+RESTART = {"head": 3, "min_pause_us": 350_000, "max_attempt": 12}
+CORRECTION = {"look_back": 2, "retake_look_back": 10, "long_pause_us": 900_000}
 
 
-def _repeat_cuts(words: DataFrame, exact: dict | None, near: dict | None) -> DataFrame:
-    """media_id, a, b, keep_to, type, confidence of repeats; cuts begin where a pause allows."""
-    found = _repeats(words, exact, near)
-    at = snapped(words).select("media_id", "pos", F.col("snap").alias("a"))
-    found = found.join(at, ["media_id", "pos"]).join(_total(words), "media_id")
-    keep = F.least(F.col("b") + F.col("length") + 5, F.col("_n")).cast("int")
-    whole = F.col("type") == "verbatim_repeat"
-    conf = F.when(whole, F.least(F.lit(1.0), 0.55 + 0.08 * F.col("length"))).otherwise(F.least(F.lit(0.9), 0.5 + 0.06 * F.col("length")))
-    return found.select("media_id", "a", "b", keep.alias("keep_to"), "type", _confidence(conf).alias("confidence"))
+def _cuts(words: DataFrame, exact: dict | None = None, near: dict | None = None, restart: dict | None = None, correction: dict | None = None) -> DataFrame:
+    """The candidates of the detectors whose options are given. Cuts begin where a pause allows and end where the next word begins; a
+    correction's begins a few words before its marker, not beyond a long pause, and ends with its last word."""
+    gap = F.col("start_us") - F.lag("end_us").over(_words_in_order())
+    marked = snapped(words).select("media_id", "pos", "norm", "raw", "start_us", "end_us", "snap", gap.alias("_gap"))
+    gap = F.col("_gap")
+    if restart:
+        marked = marked.withColumn("_pause", F.coalesce(gap >= restart["min_pause_us"], F.lit(False)))
+    if correction:
+        options = CORRECTION | {k: v for k, v in correction.items() if k in CORRECTION}
+        size, retake = marker_sizes(**{k: v for k, v in correction.items() if k not in CORRECTION})
+        since = F.max(F.when(gap > options["long_pause_us"], F.col("pos"))).over(_words_in_order().rowsBetween(Window.unboundedPreceding, 0))
+        back = F.when(retake, options["retake_look_back"]).otherwise(options["look_back"])
+        marked = marked.withColumns({"_size": F.coalesce(size, F.lit(0)), "_from": F.greatest(F.col("pos") - back, since, F.lit(0)).cast("int")})
+
+    def find(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        w = _Words(rows)
+        column = lambda c: rows.column(c).to_numpy()
+        snap, found = w.begin + column("snap"), []
+
+        def take(kind: str, at, b, keep, confidence, a=None, least: int = 0) -> None:
+            """at, b: candidates and where a scan resumes; keep: how many words from b on are shown; least: the shortest cut."""
+            a = snap[at] if a is None else a
+            ok = b - a >= least
+            at, a, b, keep, confidence = at[ok], a[ok], b[ok], keep[ok], confidence[ok]
+            got = np.array(w.taken(at.tolist(), b.tolist()), "int64")
+            found.extend((kind, *x) for x in zip(a[got].tolist(), b[got].tolist(), np.minimum(b + keep, w.end[at])[got].tolist(), confidence[got].tolist()))
+
+        for kind, options, search, base, step, most in (("verbatim_repeat", exact, _exact, 0.55, 0.08, 1.0), ("near_repeat", near, _nearly, 0.5, 0.06, 0.9)):
+            if options:
+                at, length, lag = search(w, **options)
+                take(kind, at, at + lag, length + 5, np.minimum(most, base + step * length))
+        if restart:
+            at, b = _restarted(w, column("_pause").astype(bool), restart["head"], restart["max_attempt"])
+            take("false_start", at, b, np.full(len(at), 12), np.full(len(at), 0.72), least=2)
+        if correction:
+            at = np.flatnonzero(column("_size") > 0)
+            take("correction", at, at + column("_size")[at], np.full(len(at), 8), np.full(len(at), 0.7), a=w.begin[at] + column("_from")[at])
+        raw, start, end, media = rows.column("raw"), rows.column("start_us"), rows.column("end_us"), rows.column("media_id")
+        text = lambda i, j: " ".join(x for x in raw.slice(i, j - i).to_pylist() if x is not None).strip(" ")
+        out = {c: [] for c in COLUMNS}
+        for kind, a, b, keep, confidence in found:
+            to = end[b - 1] if kind == "correction" else start[b]
+            for c, v in zip(COLUMNS, (media[a].as_py(), start[a].as_py(), to.as_py(), text(a, b), text(b, keep), kind, round(confidence, 2))):
+                out[c].append(v)
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("media_id", media.type), ("start_us", pa.int64()), ("end_us", pa.int64()), ("text", pa.string()), ("keep_text", pa.string()), ("type", pa.string()), ("confidence", pa.float64())]))
+
+    # a call takes several media, together at least so many words; a media's words fit a task
+    head = f"media_id {words.schema['media_id'].dataType.simpleString()}, start_us long, end_us long, text string, keep_text string, type string, confidence double"
+    return key_groups(marked.drop("_gap"), ["media_id"], ["pos"], find, head, least=50_000)
 
 
 def verbatim_repeats(words: DataFrame, **options) -> DataFrame:
-    return _finish(words, _repeat_cuts(words, EXACT | options, None))
+    return _cuts(words, exact=EXACT | options)
 
 
 def near_repeats(words: DataFrame, **options) -> DataFrame:
-    return _finish(words, _repeat_cuts(words, None, NEAR | options))
+    return _cuts(words, near=NEAR | options)
 
 
-def marker_places(words: DataFrame, slips: tuple[str, ...] = T.SLIP_MARKERS, retakes: tuple[str, ...] = T.RETAKE_MARKERS) -> DataFrame:
-    """media_id, m0 (first word of a marker), m1 (behind its last), retake. Slips of one word come before those of two,
-    then retakes of three words, then of two."""
+def marker_sizes(slips: tuple[str, ...] = T.SLIP_MARKERS, retakes: tuple[str, ...] = T.RETAKE_MARKERS) -> tuple[Column, Column]:
+    """The number of words of the marker that begins at a word (null for none), and whether it asks for a retake. Slips of one word come
+    before those of two, then retakes of three words, then of two."""
     grams = {1: F.col("norm"), 2: F.concat_ws(" ", F.col("norm"), _at("norm", 1)), 3: F.concat_ws(" ", F.col("norm"), _at("norm", 1), _at("norm", 2))}
     size, retake = F.lit(None).cast("int"), F.lit(False)
     order = [(slips, 1, False), (slips, 2, False), (retakes, 3, True), (retakes, 2, True)]
@@ -216,51 +259,22 @@ def marker_places(words: DataFrame, slips: tuple[str, ...] = T.SLIP_MARKERS, ret
         own = [p for p in phrases if len(p.split()) == n]
         if own:
             size, retake = F.when(grams[n].isin(*own), F.lit(n)).otherwise(size), F.when(grams[n].isin(*own), F.lit(again)).otherwise(retake)
-    return words.select("media_id", F.col("pos").alias("m0"), size.alias("_n"), retake.alias("retake")).where("_n IS NOT NULL").select("media_id", "m0", (F.col("m0") + F.col("_n")).alias("m1"), "retake")
-
-
-def _correction_cuts(words: DataFrame, look_back: int = 2, retake_look_back: int = 10, long_pause_us: int = 900_000, **markers) -> DataFrame:
-    marks = skip_ahead(marker_places(words, **markers), ["media_id"], "m0", "m1")
-    pause = F.col("start_us") - F.lag("end_us").over(_words_in_order()) > long_pause_us
-    last = words.select("media_id", F.col("pos").alias("m0"), F.coalesce(F.max(F.when(pause, F.col("pos"))).over(_words_in_order().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("_p"))
-    found = marks.join(last, ["media_id", "m0"]).join(_total(words), "media_id")
-    a = F.greatest(F.col("m0") - F.when(F.col("retake"), retake_look_back).otherwise(look_back), F.col("_p"), F.lit(0)).cast("int")
-    keep = F.least(F.col("m1") + 8, F.col("_n")).cast("int")
-    return found.select("media_id", a.alias("a"), F.col("m1").alias("b"), keep.alias("keep_to"), F.lit("correction").alias("type"), F.lit(0.7).alias("confidence"))
+    return size, retake
 
 
 def corrections(words: DataFrame, **options) -> DataFrame:
     """Self-corrections: the words before a marker, back to a long pause, and the marker are cut."""
-    return _finish(words, _correction_cuts(words, **options))
-
-
-def _false_start_cuts(words: DataFrame, head: int = 3, min_pause_us: int = 350_000, max_attempt: int = 12) -> DataFrame:
-    pause = F.when(F.col("start_us") - F.lag("end_us").over(_words_in_order()) >= min_pause_us, F.col("pos"))
-    rows = words.withColumn("_pause", pause)
-    n = F.max("pos").over(Window.partitionBy("media_id")) + 1
-    rows = rows.select(
-        "media_id", "pos", "norm", n.alias("n"), F.min("_pause").over(_words_in_order().rowsBetween(1, max_attempt - 1)).alias("b"),
-        F.slice(T.content(F.collect_list("norm").over(_words_in_order().rowsBetween(0, head + 1))), 1, head).alias("opening"),
-        F.slice(T.content(F.collect_list("norm").over(_words_in_order().rowsBetween(0, head + 3))), 1, head).alias("restart"),
-        F.collect_list("norm").over(_words_in_order().rowsBetween(0, max_attempt - 1)).alias("ahead"),
-    )
-    open_ = rows.where((F.col("norm") != "") & ~T.is_stop(F.col("norm")) & F.col("b").isNotNull() & (F.size("opening") == head) & (F.col("pos") < F.col("n") - 2 * head))
-    back = rows.where(F.size("restart") == head).select("media_id", F.col("pos").alias("b"), F.col("restart").alias("next"), F.col("ahead").alias("next_ahead"))
-    pairs = open_.select("media_id", "pos", "b", "n", "opening", "ahead").join(back, ["media_id", "b"])
-    # within one edit at least all but one of the words are shared
-    pairs = pairs.where((F.size(F.array_intersect("opening", "next")) >= F.size(F.array_distinct("opening")) - 1)).where(T.n_edits("opening", "next") <= 1)
-    width = F.col("b") - F.col("pos")
-    pairs = pairs.where(~T.is_translation(F.slice("ahead", F.lit(1), width), F.slice("next_ahead", F.lit(1), width)))
-    at = snapped(words).select("media_id", "pos", F.col("snap").alias("a"))
-    pairs = pairs.select("media_id", "pos", "b", "n").join(at, ["media_id", "pos"]).where(F.col("b") - F.col("a") >= 2)
-    found = skip_ahead(pairs, ["media_id"], "pos", "b")
-    return found.select("media_id", "a", "b", F.least(F.col("b") + 12, F.col("n")).cast("int").alias("keep_to"), F.lit("false_start").alias("type"), F.lit(0.72).alias("confidence"))
+    return _cuts(words, correction=CORRECTION | options)
 
 
 def false_starts(words: DataFrame, **options) -> DataFrame:
     """A sentence that breaks off at a pause and begins again with the same content words, or one
     of them changed."""
-    return _finish(words, _false_start_cuts(words, **options))
+    return _cuts(words, restart=RESTART | options)
+
+
+def _confidence(c: Column) -> Column:
+    return F.bround(c, 2).cast("double")
 
 
 def similar_segments(segments: DataFrame, threshold: float = 0.65, reach: int = 6, least: int = 4) -> DataFrame:
@@ -306,12 +320,13 @@ def near_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
 def rerank(candidates: DataFrame, history: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Candidates after past decisions (history: text, approved). Dropped: rejected at least twice and more than twice as
     often as approved. Raised by 0.15, to 0.99 at most: approved at least twice and more than twice as often as rejected."""
-    c = candidates.withColumn("_id", F.xxhash64(*candidates.columns)).withColumn("_tok", T.accent_tokens(F.col("text")))
+    c = candidates.withColumn("_id", F.xxhash64("text"))  # a text has the same votes wherever it is found
+    t = c.groupBy("_id").agg(F.first("text").alias("_text")).select("_id", T.accent_tokens(F.col("_text")).alias("_tok"))
     h = history.where("text IS NOT NULL AND text <> ''").select(F.xxhash64("text").alias("_hid"), T.accent_tokens(F.col("text")).alias("_htok"), F.coalesce("approved", F.lit(False)).alias("approved")).groupBy("_hid").agg(F.first("_htok").alias("_htok"), F.count_if("approved").alias("_yes"), F.count_if(~F.col("approved")).alias("_no"))
-    near = near_sets(c.select(F.col("_id").alias("id"), F.col("_tok").alias("t")), h.select(F.col("_hid").alias("id"), F.col("_htok").alias("t")), threshold).toDF("_id", "_hid")
-    votes = near.join(c.select("_id", "_tok").distinct(), "_id").join(h, "_hid").where(T.jaccard(F.col("_tok"), F.col("_htok")) >= threshold)
+    near = near_sets(t.select(F.col("_id").alias("id"), F.col("_tok").alias("t")), h.select(F.col("_hid").alias("id"), F.col("_htok").alias("t")), threshold).toDF("_id", "_hid")
+    votes = near.join(t, "_id").join(h, "_hid").where(T.jaccard(F.col("_tok"), F.col("_htok")) >= threshold)
     votes = votes.groupBy("_id").agg(F.sum("_yes").alias("_yes"), F.sum("_no").alias("_no"))
-    got = c.drop("_tok").join(votes, "_id", "left").withColumns({"_yes": F.coalesce("_yes", F.lit(0)), "_no": F.coalesce("_no", F.lit(0))})
+    got = c.join(votes, "_id", "left").withColumns({"_yes": F.coalesce("_yes", F.lit(0)), "_no": F.coalesce("_no", F.lit(0))})
     got = got.where(~((F.col("_no") >= 2) & (F.col("_no") > 2 * F.col("_yes"))))
     raised = F.when((F.col("_yes") >= 2) & (F.col("_yes") > 2 * F.col("_no")), _confidence(F.least(F.lit(0.99), F.col("confidence") + 0.15))).otherwise(F.col("confidence"))
     return got.withColumn("confidence", raised).select(*candidates.columns)
@@ -321,24 +336,23 @@ def suppress_overlaps(candidates: DataFrame, slack_us: int = 50_000) -> DataFram
     """In order of start: one that begins before the last survivor's end less slack replaces it if
     strictly more confident, else goes. Survivors before the last are not looked at again."""
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         keep: list[int] = []
-        s, e, c = (pdf[x].tolist() for x in ("start_us", "end_us", "confidence"))
-        for i in range(len(pdf)):
-            if not keep or s[i] >= e[keep[-1]] - slack_us:
+        new = new_keys(rows, ["media_id"]).tolist()
+        s, e, c = (rows.column(x).to_pylist() for x in ("start_us", "end_us", "confidence"))
+        for i in range(rows.num_rows):
+            if new[i] or s[i] >= e[keep[-1]] - slack_us:
                 keep.append(i)
             elif c[i] > c[keep[-1]]:
                 keep[-1] = i
-        return pdf.iloc[keep]
+        yield from rows.take(pa.array(keep)).combine_chunks().to_batches()
 
-    return fold(candidates, ["media_id"], ["start_us", "type", "end_us"], step, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema.fields))
+    return key_groups(candidates, ["media_id"], ["start_us", "type", "end_us"], work, candidates.schema, least=20_000)
 
 
 def find_repeats(words: DataFrame, history: DataFrame | None = None, min_confidence: float = 0.0) -> DataFrame:
     """All detectors, the confidence filter, past decisions, and overlap suppression."""
-    words = stored(words, "words")
-    cuts = _repeat_cuts(words, EXACT, NEAR).unionByName(_correction_cuts(words)).unionByName(_false_start_cuts(words))
-    found = _finish(words, cuts.where(F.col("confidence") >= min_confidence))
+    found = _cuts(words, EXACT, NEAR, RESTART, CORRECTION).where(F.col("confidence") >= min_confidence)
     if history is not None:
         found = rerank(stored(found, "repeats"), history)
     return suppress_overlaps(found)
