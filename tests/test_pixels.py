@@ -266,3 +266,15 @@ def test_ruled_lines_are_no_content(spark):
     px = spark.createDataFrame([(*r, 0, 0, 0) for r in ink], "media_id long, frame_no long, y long, x long, b int, g int, r int")
     got = raster.slide_extents(spark.createDataFrame(frames, "media_id long, frame_no long, diff double"), px, 50, 30, 20).collect()
     assert [tuple(r) for r in got] == [(1, 0, 8, 1, 8, 6, 9, 1, 15)]
+
+
+def test_masks_are_dealt_out_once(spark):
+    """A chain of steps on bitmaps: one shuffle, the same runs whether pixels or runs are given, and in pieces of any number of frames."""
+    cells = [(1, f, y, x) for f in range(7) for y in range(14) for x in range(23) if (f * 31 + y * 7 + x * 5) % 4]
+    px = spark.createDataFrame(cells, "media_id long, frame_no long, y long, x long")
+    closed = M.close(M.spots(px), 2, 2, 23, 14)
+    plan = closed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    want = sorted(map(tuple, closed.collect()))
+    assert want == sorted(map(tuple, M.erode(M.dilate(M.row_runs(px), 2, 2, 23, 14), 2, 2, 23, 14).collect())) and want
+    assert sorted(map(tuple, M.swept(M.joined(px), lambda m: m, 23, 14).collect())) == sorted(map(tuple, M.row_runs(px).collect()))

@@ -140,8 +140,7 @@ def disc_places(pixels: DataFrame, discs: DataFrame, width: int, height: int, be
     opening, where it is a disc of about that size."""
     d = discs.select("media_id", F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("r").alias("_r"))
     dark = pixels.where(F.col("v") < below).join(d, "media_id").where((F.abs(F.col("x") - F.col("_cx")) <= F.col("_r") + pad) & (F.abs(F.col("y") - F.col("_cy")) <= F.col("_r") + pad))
-    runs = M.row_runs(dark)
-    opened = M.dilate(M.erode(runs, opening, opening, width, height), opening, opening, width, height)
+    opened = M.open_(M.joined(dark), opening, opening, width, height)
     blobs = M.run_components(opened).groupBy(*FRAME, "label").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     big = blobs.groupBy(*FRAME).agg(F.max(F.struct("n", (-F.col("label")).alias("l"), "x0", "x1", "y0", "y1")).alias("b")).select(*FRAME, "b.*").join(d, "media_id")
     w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1

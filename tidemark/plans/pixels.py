@@ -64,7 +64,7 @@ def background_removed(spark, d):
 
 @query("closed_mask", f"WITH RECURSIVE {PG}, {CANVAS} SELECT media_id, frame_no, y, count(*) AS n, min(x) AS x0, max(x) AS x1 FROM er GROUP BY 1, 2, 3")
 def closed_mask(spark, d):
-    runs = M.close(M.row_runs(page(spark, d).where(M.canvas())), 2, 2, WIDTH, HEIGHT)
+    runs = M.close(M.spots(page(spark, d).where(M.canvas())), 2, 2, WIDTH, HEIGHT)
     return runs.groupBy("media_id", "frame_no", "y").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
 
 
