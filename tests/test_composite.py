@@ -77,6 +77,57 @@ def test_layer_table_is_whole(spark):
             assert sorted((x.place, x.z, x.layer, x.x, x.y, x.shown) for x in got if x.media_id == m and x.start_us == a) == want
 
 
+def test_layer_table_is_the_same_in_any_chunks(spark):
+    """Chunks deal out the work of a media; they cut no interval, even where a chunk has no ends or one alone."""
+    r = random.Random(7)
+    bounds = [(1, 3, 400), (2, -50, 90)]
+    rows = [(m, lo, hi, 0, "base", 1.0, 0, 0, 0, False, 10**9) for m, lo, hi in bounds]
+    for m, lo, hi in bounds:
+        for _ in range(25):
+            a, z = r.randrange(lo - 20, hi), r.randrange(4)
+            rows.append((m, a, a + r.randrange(60), z, f"layer{z}" if z else "base", 1.0, r.randrange(9), r.randrange(9), 0, z == 2, r.randrange(99)))
+    names = "media_id long, start_us long, end_us long, z int, layer string, scale double, x long, y long, mask_top long, opaque boolean, turn long"
+    layers, ends = spark.createDataFrame(rows, names), spark.createDataFrame(bounds, "media_id long, lo_us long, hi_us long")
+    whole = sorted(map(tuple, C.layer_table(layers, ends).collect()))
+    assert len(whole) > 200
+    for chunk_us in (1, 7, 60):
+        assert sorted(map(tuple, C.layer_table(layers, ends, chunk_us).collect())) == whole
+
+
+def test_a_media_is_dealt_out(spark):
+    """No sort or window holds the ends of a whole media, so few media with many slides use all tasks."""
+    layers = spark.range(9).selectExpr("1L media_id", "id start_us", "id + 5 end_us", "0 z", "'base' layer", "1D scale", "0L x", "0L y", "0L mask_top", "false opaque", "id turn")
+    plan = C.layer_table(layers, spark.createDataFrame([(1, 0, 9)], "media_id long, lo_us long, hi_us long"))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_c#" in line for line in windows)
+
+
+def test_ink_is_dealt_out_once(spark):
+    """Overrides read ink once; it may come without the media, which the slides have."""
+    slides = spark.createDataFrame([(i % 2, i, i * 20 * S, i * 20 * S + 9 * S, i % 7 * 40, 700 + i % 9 * 40) for i in range(60)], SLIDE)
+    ink = spark.range(600).selectExpr("id % 60 % 2 AS media_id", "id % 60 AS slide", "id * 37 % 1080 AS y", "id * 91 % 1620 AS x")
+    got = C.overrides(slides, ink)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    rows = sorted(map(tuple, got.collect()))
+    assert len(rows) > 5 and sorted(map(tuple, C.overrides(slides, ink.drop("media_id")).collect())) == rows
+
+
+def test_overrides_in_fine_steps(spark):
+    """More steps than one number has bits."""
+    r, stage = random.Random(3), C.Stage(step=0.002)
+    slides, ink, want = [], [], {}
+    for i in range(80):
+        spots = [(r.randrange(5, 1078), r.randrange(1620)) for _ in range(5)] + [(r.randrange(100, 330), r.randrange(1250, 1600)) for _ in range(r.randrange(6))]
+        top, bottom = min(y for y, _ in spots), max(y for y, _ in spots)
+        slides.append((1, i, i * 20 * S, i * 20 * S + 9 * S, top, bottom))
+        ink += [(1, i, y, x) for y, x in spots]
+        found = plain_override(stage, top, bottom, spots)
+        if found is not None:
+            want[i] = found
+    got = {x.slide: round(x.scale, 9) for x in C.overrides(spark.createDataFrame(slides, SLIDE), spark.createDataFrame(ink, INK), stage).collect()}
+    assert got == want and any(stage.floor < v < stage.scale - 0.002 * C.WORD for v in want.values())
+
+
 def test_empty(spark):
     slides, ink = spark.createDataFrame([], SLIDE), spark.createDataFrame([], INK)
     assert C.overrides(slides, ink).count() == 0 and C.bridges(slides).count() == 0
