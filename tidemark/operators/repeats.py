@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -303,30 +304,82 @@ def similar_segments(segments: DataFrame, threshold: float = 0.65, reach: int =
     return best.select("media_id", "cut.start_us", "cut.end_us", "cut.text", F.col("keep.text").alias("keep_text"), kind.alias("type"), _confidence(F.col("sim")).alias("confidence"))
 
 
-def near_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """left, right: id, t (distinct tokens). Pairs a, b that may have a Jaccard similarity of threshold or more: those that
-    share a token among each side's rarest, so many that a pair at the threshold shares one. An equi-join on
-    rare tokens, not on all."""
-    df = right.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+#: Rows of tokens are counted by so many values of their hash.
+TOKEN_BUCKETS = 1 << 16
+
 
-    def prefix(rows: DataFrame, key: str) -> DataFrame:
-        each = rows.select(F.col("id").alias(key), F.explode("t").alias("w"), F.size("t").alias("n")).join(df, "w", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-        r = F.row_number().over(Window.partitionBy(key).orderBy("df", "w"))
-        return each.withColumn("r", r).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select(key, "w")
+def _token_counts(sets: DataFrame) -> np.ndarray:
+    """sets: h (hashed tokens). Rows of each bucket of tokens."""
+    got = sets.select(F.explode("h").alias("w")).groupBy(F.pmod("w", F.lit(TOKEN_BUCKETS)).cast("int").alias("k")).count().toArrow()
+    counts = np.zeros(TOKEN_BUCKETS, "int64")
+    counts[got.column("k").to_numpy()] = got.column("count").to_numpy()
+    return counts
 
-    return prefix(left, "a").join(prefix(right, "b"), "w").select("a", "b").distinct()
+
+def near_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """left, right: id, t (distinct tokens). Pairs a, b that may have a Jaccard similarity of threshold or more. Such sets of n and m tokens
+    share (n + m) * threshold / (1 + threshold) at least, so in any order of tokens they share one of the first n less that, and one, of either. The
+    order is by counts of hashed tokens, the rarest first. An equi-join on those tokens; sizes, places and a bit for each token decide
+    in the join, so that pairs that can't reach the threshold are never rows. Both sides are read twice."""
+    share = threshold / (1 + threshold) - 1e-9  # a little less, so that rounding loses no pair
+    left, right = (x.where(F.size("t") > 0).select("id", F.transform("t", lambda w: F.xxhash64(w)).alias("h")) for x in (left, right))
+    weight = _token_counts(left) * _token_counts(right)
+    rank = np.empty(TOKEN_BUCKETS, "int32")
+    rank[np.argsort(weight, kind="stable")] = np.arange(TOKEN_BUCKETS, dtype="int32")
+    alone = int((weight == 0).sum())  # lower ranks are of tokens that one side lacks
+
+    def firsts(sets: DataFrame, side: str) -> DataFrame:
+        """A set's first tokens that both sides have: hash, id, size, place and the set's bits."""
+
+        def run(batches):
+            for batch in batches:
+                lists = batch.column("h")
+                n, flat = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype("int64"), lists.flatten().to_numpy()
+                owner = np.repeat(np.arange(len(n)), n)
+                bits = np.zeros(len(n), "int64")
+                np.bitwise_or.at(bits, owner, np.int64(1) << (flat >> 32 & 63))
+                flat = flat[np.lexsort((flat, rank[flat % TOKEN_BUCKETS], owner))]
+                at = np.arange(len(flat)) - (np.cumsum(n) - n)[owner]
+                # the smallest set that may be near leaves the most tokens to look at
+                reach = n - np.ceil((n + np.ceil(n * (threshold - 1e-9))) * share) + 1
+                keep = np.flatnonzero((at < reach[owner]) & (rank[flat % TOKEN_BUCKETS] >= alone))
+                own = owner[keep]
+                columns = [pa.array(flat[keep].astype("int32")), batch.column("id").take(pa.array(own)), pa.array(n[own].astype("int32")), pa.array(at[keep].astype("int32")), pa.array(bits[own])]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+        names = ["w", side, f"{side}_n", f"{side}_at", f"{side}_bits"]
+        return sets.mapInArrow(run, f"w int, {side} {sets.schema['id'].dataType.simpleString()}, {side}_n int, {side}_at int, {side}_bits long")
+
+    x, y = firsts(left, "a"), firsts(right, "b")
+    both = F.ceil((F.col("a_n") + F.col("b_n")) * F.lit(share))
+    spare = lambda side: F.col(f"{side}_n") - both
+    unlike = lambda x, y: F.bit_count(F.col(f"{x}_bits").bitwiseAND(F.bitwise_not(f"{y}_bits")))
+    fits = (F.col("a_at") <= spare("a")) & (F.col("b_at") <= spare("b")) & (unlike("a", "b") <= spare("a")) & (unlike("b", "a") <= spare("b"))
+    return x.join(y, (x["w"] == y["w"]) & fits).select("a", "b").distinct()
 
 
 def rerank(candidates: DataFrame, history: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Candidates after past decisions (history: text, approved). Dropped: rejected at least twice and more than twice as
-    often as approved. Raised by 0.15, to 0.99 at most: approved at least twice and more than twice as often as rejected."""
-    c = candidates.withColumn("_id", F.xxhash64("text"))  # a text has the same votes wherever it is found
-    t = c.groupBy("_id").agg(F.first("text").alias("_text")).select("_id", T.accent_tokens(F.col("_text")).alias("_tok"))
-    h = history.where("text IS NOT NULL AND text <> ''").select(F.xxhash64("text").alias("_hid"), T.accent_tokens(F.col("text")).alias("_htok"), F.coalesce("approved", F.lit(False)).alias("approved")).groupBy("_hid").agg(F.first("_htok").alias("_htok"), F.count_if("approved").alias("_yes"), F.count_if(~F.col("approved")).alias("_no"))
-    near = near_sets(t.select(F.col("_id").alias("id"), F.col("_tok").alias("t")), h.select(F.col("_hid").alias("id"), F.col("_htok").alias("t")), threshold).toDF("_id", "_hid")
-    votes = near.join(t, "_id").join(h, "_hid").where(T.jaccard(F.col("_tok"), F.col("_htok")) >= threshold)
+    often as approved. Raised by 0.15, to 0.99 at most: approved at least twice and more than twice as often as rejected.
+    Equal sets of tokens have the same votes, so each set is looked up once; candidates are read three times."""
+    of_set = F.array_join(F.array_sort(T.accent_tokens(F.col("text"))), " ")
+    c = candidates.withColumn("_id", F.xxhash64(of_set))
+    t = stored(candidates.select(of_set.alias("_set")).where("_set <> ''").distinct().select(F.xxhash64("_set").alias("_id"), "_set"), "candidate-sets")
+    size = F.size(F.split("_set", " "))
+    least, most = (n or 0 for n in t.agg(F.min(size), F.max(size)).first())
+    h = history.where("text IS NOT NULL AND text <> ''").select(of_set.alias("_set"), F.coalesce("approved", F.lit(False)).alias("approved"))
+    h = h.where((F.col("_set") != "") & size.between(least * (threshold - 1e-9), most / (threshold - 1e-9)))
+    h = h.groupBy("_set").agg(F.count_if("approved").alias("_yes"), F.count_if(~F.col("approved")).alias("_no"))
+    h = stored(h.select(F.monotonically_increasing_id().alias("_hid"), F.col("_set").alias("_hset"), "_yes", "_no"), "history-sets")
+    toks = lambda c: F.split(c, " ")
+    near = near_sets(t.select(F.col("_id").alias("id"), toks("_set").alias("t")), h.select(F.col("_hid").alias("id"), toks("_hset").alias("t")), threshold).toDF("_id", "_hid")
+    votes = near.join(t, "_id").join(h, "_hid").where(T.jaccard(toks("_set"), toks("_hset")) >= threshold)
     votes = votes.groupBy("_id").agg(F.sum("_yes").alias("_yes"), F.sum("_no").alias("_no"))
-    got = c.join(votes, "_id", "left").withColumns({"_yes": F.coalesce("_yes", F.lit(0)), "_no": F.coalesce("_no", F.lit(0))})
+    # votes go to the media that they concern, so that candidates with their texts are dealt out once, by media
+    votes = c.select("media_id", "_id").distinct().join(votes, "_id")
+    of_id = Window.partitionBy("media_id", "_id")
+    got = c.withColumn("_own", F.lit(True)).unionByName(votes, allowMissingColumns=True).repartition("media_id")
+    got = got.withColumns({v: F.coalesce(F.max(v).over(of_id), F.lit(0)) for v in ("_yes", "_no")}).where("_own")
     got = got.where(~((F.col("_no") >= 2) & (F.col("_no") > 2 * F.col("_yes"))))
     raised = F.when((F.col("_yes") >= 2) & (F.col("_yes") > 2 * F.col("_no")), _confidence(F.least(F.lit(0.99), F.col("confidence") + 0.15))).otherwise(F.col("confidence"))
     return got.withColumn("confidence", raised).select(*candidates.columns)

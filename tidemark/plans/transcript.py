@@ -13,7 +13,7 @@ from tidemark.plans.base import EV, IV, query, spans, table, with_
 
 def segments(spark, d) -> DataFrame:
     """media_id, seg_no, text, words with times: word i of a media begins at 0.4 i + (i div 7) seconds."""
-    c = table(spark, d, "conversations").select(F.col("conv_id").alias("media_id"), F.col("turn").alias("seg_no"), "text")
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("media_id"), F.col("turn").alias("seg_no"), "text").repartition("media_id")  # texts are dealt out, which are smaller than their words
     c = c.withColumn("w", F.filter(F.split("text", " "), lambda x: x != ""))
     before = F.coalesce(F.sum(F.size("w")).over(Window.partitionBy("media_id").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     c = c.withColumn("k", before)
